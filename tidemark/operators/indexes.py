@@ -109,7 +109,7 @@ def build_scalar_index(
             F.max(column).alias(highest),
             F.count_if(column.isNull()).alias(nulls),
         ]
-    copy = lake.spark.read.schema(state.schema.add(ZONE, "int")).parquet(f"{path}/rows")
+    copy = lake.spark.read.schema(state.schema.add(ZONE, T.IntegerType())).parquet(f"{path}/rows")
     copy.groupBy(ZONE).agg(*facts).coalesce(1).write.parquet(f"{path}/zones")
     sizes = lake.spark.read.parquet(f"{path}/zones").select("row_count")
     return StagedIndex(lake, state, _event(state, index_name, SCALAR, path, columns, {}, sizes))
@@ -224,8 +224,7 @@ def list_indexes(lake: Lakehouse) -> DataFrame:
 
 def live_indexes(lake: Lakehouse, namespace: str, table_name: str) -> DataFrame:
     """The live indexes of one table."""
-    events = lake.index_events_of(namespace, table_name)
-    return _fold(events if events is not None else lake.index_events().limit(0))
+    return _fold(lake.index_events_of(namespace, table_name))
 
 
 def match_index(

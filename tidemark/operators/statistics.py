@@ -1,59 +1,77 @@
-"""Column statistics of a table in one aggregation pass."""
+"""Column statistics of a table: rows, nulls, min, max, distinct values, mean vector length."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.distances import norm
 
-STATISTICS = (
-    "column_name string, row_count bigint, null_count bigint, min_value string, "
-    "max_value string, distinct_count bigint, mean_norm double"
-)
+FACTS = ("row_count", "null_count", "min_value", "max_value", "distinct_count", "mean_norm")
 
 
 def column_statistics(rows: DataFrame, exact_distinct: bool = False) -> DataFrame:
-    """One row per column: rows, nulls, min, max, distinct values, mean vector length.
+    """One row per column: ``column_name`` and the facts above.
+
+    Distinct counts are approximate unless asked for exactly. Approximate ones take one
+    pass in which sketches of fixed size are merged. Exact ones group each column by itself,
+    with repeats already merged before the shuffle; a Parquet scan then still reads every
+    column just once, but a costly query behind ``rows`` would be run once per column.
 
-    Distinct counts are approximate unless asked for exactly: sketches of fixed size are
-    merged, while exact counts shuffle every distinct value of every column once. Min and
-    max are given as text; they are null for nested columns, as is the distinct count.
+    Min and max are given as text; they and the distinct count are null for nested columns.
     """
-    facts: list[Column] = [F.count(F.lit(1)).alias("row_count")]
+    if exact_distinct:
+        return reduce(DataFrame.union, [_exact(rows, field) for field in rows.schema.fields])
+    facts = [F.count(F.lit(1)).alias("row_count")]
     for number, field in enumerate(rows.schema.fields):
-        facts += _facts(F.col(f"`{field.name}`"), field.dataType, number, exact_distinct)
-    table = rows.agg(*facts)
+        facts += [fact.alias(f"{name}_{number}") for name, fact in _approximate(field).items()]
     lines = []
     for number, field in enumerate(rows.schema.fields):
-        lines.append(
-            F.struct(
-                F.lit(field.name).alias("column_name"),
-                F.col("row_count"),
-                *[F.col(f"{name}_{number}").alias(name) for name in _names()],
-            )
-        )
-    return table.select(F.inline(F.array(*lines)))
+        nulls = (F.col("row_count") - F.col(f"present_{number}")).alias("null_count")
+        others = [F.col(f"{name}_{number}").alias(name) for name in FACTS[2:]]
+        name = F.lit(field.name).alias("column_name")
+        lines.append(F.struct(name, F.col("row_count"), nulls, *others))
+    return rows.agg(*facts).select(F.inline(F.array(*lines)))
+
 
+def _approximate(field: T.StructField) -> dict[str, Column]:
+    column = F.col(f"`{field.name}`")
+    none = F.lit(None)
+    ordered = isinstance(field.dataType, T.AtomicType)
+    return {
+        "present": F.count(column),
+        "min_value": (F.min(column) if ordered else none).cast("string"),
+        "max_value": (F.max(column) if ordered else none).cast("string"),
+        "distinct_count": (F.approx_count_distinct(column) if ordered else none).cast("long"),
+        "mean_norm": _mean_norm(field),
+    }
 
-def _names() -> list[str]:
-    return [f.name for f in T.StructType.fromDDL(STATISTICS).fields][2:]
 
+def _exact(rows: DataFrame, field: T.StructField) -> DataFrame:
+    column = F.col(f"`{field.name}`")
+    name = F.lit(field.name).alias("column_name")
+    if not isinstance(field.dataType, T.AtomicType):
+        facts = {name: fact.alias(name) for name, fact in _approximate(field).items()}
+        whole = rows.agg(F.count(F.lit(1)).alias("row_count"), *facts.values())
+        nulls = (F.col("row_count") - F.col("present")).alias("null_count")
+        return whole.select(name, "row_count", nulls, *FACTS[2:])
+    values = rows.groupBy(column.alias("value")).agg(F.count(F.lit(1)).alias("repeats"))
+    absent = F.sum(F.when(F.col("value").isNull(), F.col("repeats")))
+    return values.agg(
+        F.coalesce(F.sum("repeats"), F.lit(0)).alias("row_count"),
+        F.coalesce(absent, F.lit(0)).alias("null_count"),
+        F.min("value").cast("string").alias("min_value"),
+        F.max("value").cast("string").alias("max_value"),
+        F.count("value").alias("distinct_count"),
+    ).select(name, *FACTS[:5], F.lit(None).cast("double").alias("mean_norm"))
 
-def _facts(column: Column, dtype: T.DataType, number: int, exact: bool) -> list[Column]:
-    none = F.lit(None)
-    lowest, highest, distinct, mean_norm = none, none, none, none
-    if isinstance(dtype, T.AtomicType):
-        lowest, highest = F.min(column), F.max(column)
-        distinct = F.count_distinct(column) if exact else F.approx_count_distinct(column)
-    elif isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.NumericType):
-        mean_norm = F.avg(norm(column))
-    values = (
-        F.count_if(column.isNull()),
-        lowest.cast("string"),
-        highest.cast("string"),
-        distinct.cast("long"),
-        mean_norm.cast("double"),
-    )
-    return [value.alias(f"{name}_{number}") for name, value in zip(_names(), values)]
+
+def _mean_norm(field: T.StructField) -> Column:
+    if isinstance(field.dataType, T.ArrayType) and isinstance(
+        field.dataType.elementType, T.NumericType
+    ):
+        return F.avg(norm(F.col(f"`{field.name}`")))
+    return F.lit(None).cast("double")

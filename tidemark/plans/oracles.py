@@ -5,28 +5,98 @@ from __future__ import annotations
 from tidemark.plans.workspace import SPLIT_DAY
 
 # Columns and document types of the given tables, in column order.
-FIELDS: dict[str, str] = {
-    "region": "r_regionkey int, r_name string",
-    "nation": "n_nationkey int, n_name string, n_regionkey int",
-    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, "
-    "c_mktsegment string",
-    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
-    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, "
-    "p_retailprice double",
-    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
-    "o_orderdate timestamp, o_orderpriority string",
-    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
-    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
-    "l_returnflag string, l_linestatus string, l_shipdate timestamp",
-    "events": "event_id long, ts timestamp, user_id long, event_type string, value double, "
-    "props string",
-    "documents": "doc_id long, text string, lang string, source string, n_chars long",
-    "embeddings": 'vec_id long, embedding {"type":"list","element-id":3,"element":"float";'
-    '"element-required":false}, label int',
-    "pages": "page_id long, url string, html string",
-    "benchmark": "item_id long, text string",
-    "labels": "doc_id long, quality int, toxic int",
-    "conversations": "conv_id long, turn long, role string, text string",
+FIELDS: dict[str, dict[str, str]] = {
+    "region": {
+        "r_regionkey": "int",
+        "r_name": "string",
+    },
+    "nation": {
+        "n_nationkey": "int",
+        "n_name": "string",
+        "n_regionkey": "int",
+    },
+    "customer": {
+        "c_custkey": "long",
+        "c_name": "string",
+        "c_nationkey": "int",
+        "c_acctbal": "double",
+        "c_mktsegment": "string",
+    },
+    "supplier": {
+        "s_suppkey": "long",
+        "s_name": "string",
+        "s_nationkey": "int",
+        "s_acctbal": "double",
+    },
+    "part": {
+        "p_partkey": "long",
+        "p_name": "string",
+        "p_brand": "string",
+        "p_type": "string",
+        "p_size": "int",
+        "p_retailprice": "double",
+    },
+    "orders": {
+        "o_orderkey": "long",
+        "o_custkey": "long",
+        "o_orderstatus": "string",
+        "o_totalprice": "double",
+        "o_orderdate": "timestamp",
+        "o_orderpriority": "string",
+    },
+    "lineitem": {
+        "l_orderkey": "long",
+        "l_partkey": "long",
+        "l_suppkey": "long",
+        "l_linenumber": "int",
+        "l_quantity": "double",
+        "l_extendedprice": "double",
+        "l_discount": "double",
+        "l_tax": "double",
+        "l_returnflag": "string",
+        "l_linestatus": "string",
+        "l_shipdate": "timestamp",
+    },
+    "events": {
+        "event_id": "long",
+        "ts": "timestamp",
+        "user_id": "long",
+        "event_type": "string",
+        "value": "double",
+        "props": "string",
+    },
+    "documents": {
+        "doc_id": "long",
+        "text": "string",
+        "lang": "string",
+        "source": "string",
+        "n_chars": "long",
+    },
+    "embeddings": {
+        "vec_id": "long",
+        "embedding": '{"type":"list","element-id":4,"element":"float","element-required":false}',
+        "label": "int",
+    },
+    "pages": {
+        "page_id": "long",
+        "url": "string",
+        "html": "string",
+    },
+    "benchmark": {
+        "item_id": "long",
+        "text": "string",
+    },
+    "labels": {
+        "doc_id": "long",
+        "quality": "int",
+        "toxic": "int",
+    },
+    "conversations": {
+        "conv_id": "long",
+        "turn": "long",
+        "role": "string",
+        "text": "string",
+    },
 }
 
 _QUERY_VECTOR = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
@@ -34,9 +104,8 @@ _QUERY_VECTOR = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
 
 def _fields_sql() -> str:
     rows = []
-    for table, listed in FIELDS.items():
-        for position, field in enumerate(_split(listed), start=1):
-            name, kind = field.split(" ", 1)
+    for table, fields in FIELDS.items():
+        for position, (name, kind) in enumerate(fields.items(), start=1):
             rows.append(
                 f"SELECT '{table}' AS table_name, '{name}' AS field_name, "
                 f"'{kind}' AS field_type, CAST({position} AS BIGINT) AS field_position, "
@@ -45,20 +114,6 @@ def _fields_sql() -> str:
     return " UNION ALL ".join(rows)
 
 
-def _split(listed: str) -> list[str]:
-    return [field.strip().replace(";", ",") for field in _outside_braces(listed)]
-
-
-def _outside_braces(listed: str) -> list[str]:
-    if "{" not in listed:
-        return listed.split(", ")
-    before, rest = listed.split("{", 1)
-    inside, after = rest.split("}", 1)
-    *whole, last = before.split(", ")
-    inside = inside.replace(",", ";")
-    return [*whole, last + "{" + inside + "}", *after.strip(", ").split(", ")]
-
-
 def _topk_sql(measure: str, order: str) -> str:
     return f"""
         WITH measured AS (
@@ -90,8 +145,7 @@ def _batch_sql(measure: str, order: str) -> str:
 
 def _statistics_sql() -> str:
     rows = []
-    for field in _split(FIELDS["lineitem"]):
-        name = field.split(" ", 1)[0]
+    for name in FIELDS["lineitem"]:
         rows.append(
             f"SELECT '{name}' AS column_name, count(*) AS row_count, "
             f"count(*) - count({name}) AS null_count, "

@@ -85,8 +85,7 @@ def table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def field_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every declared column of every given table, beside the rows its table holds."""
     space = workspace(spark, sf_dir)
-    for name in TABLES:
-        space.table(name)
+    space.tables(TABLES)
     fields, tables = space.lake.table_schemas(), space.lake.tables_internal()
     return (
         fields.join(tables, "table_uuid")

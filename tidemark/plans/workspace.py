@@ -9,6 +9,8 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +53,11 @@ class Workspace:
         """One given table, declared with its first column required, and appended whole."""
         return self._once(name, lambda: self._load(name))
 
+    def tables(self, names: Sequence[str]) -> list[TableState]:
+        """Several tables, a few of them written at a time."""
+        with ThreadPoolExecutor(4) as pool:
+            return list(pool.map(self.table, names))
+
     def orders_in_two(self) -> tuple[TableState, TableState]:
         """``orders`` in two appends by day: the states after the first and the second."""
         return self._once("orders_in_two", self._load_orders_in_two)

@@ -22,12 +22,10 @@ import uuid
 from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.sources.conform import conform
 from tidemark.sources.documents import to_struct
@@ -95,8 +93,7 @@ class Lakehouse:
         self.root = root.rstrip("/")
         self.catalog_namespace = _checked_name(catalog_namespace)
         for kind, events in (("tables", TABLE_EVENTS), ("indexes", INDEX_EVENTS)):
-            empty = spark.createDataFrame([], events)
-            empty.write.mode("ignore").parquet(self._event_path(kind, "_none", "_none"))
+            self._write_empty(events, self._event_path(kind, "_none", "_none"))
         self._create_catalog_views()
 
     # -- namespaces and tables ---------------------------------------------------
@@ -117,15 +114,16 @@ class Lakehouse:
         if SNAPSHOT in {name.lower() for name in schema.names}:
             raise ValueError(f"{SNAPSHOT!r} names the partition column of every table")
         _checked_name(namespace), _checked_name(table_name)
-        if self._newest(namespace, table_name) is not None:
+        address = (F.col("namespace") == namespace) & (F.col("table_name") == table_name)
+        if not self.table_events().where(address).isEmpty():
             raise ValueError(f"table {namespace}.{table_name} exists")
         table_uuid = str(uuid.uuid4())
         path = f"{self.root}/data/{namespace}/{table_name}-{table_uuid}"
         state = TableState(
             namespace, table_name, table_uuid, 0, f"{path}#0", path, _compact(schema_document), 0
         )
-        empty = self.spark.createDataFrame([], schema)
-        empty.write.mode("overwrite").parquet(f"{path}/{SNAPSHOT}=0")
+        self._write_empty(schema, f"{path}/{SNAPSHOT}=0")
+        self._write_empty(INDEX_EVENTS, self._event_path("indexes", namespace, table_name))
         self._record_snapshot(state, added=0)
         return state
 
@@ -176,12 +174,14 @@ class Lakehouse:
         self, namespace: str, table_name: str, metadata_location: str | None = None
     ) -> TableState:
         """The newest state of a table, or the one a ``metadata_location`` names."""
-        newest = self._newest(namespace, table_name, metadata_location)
-        if newest is not None:
-            return newest
-        if metadata_location is None or self._newest(namespace, table_name) is None:
-            raise TableNotFound(f"no table {namespace}.{table_name}")
-        raise SnapshotNotFound(f"{namespace}.{table_name} has no state {metadata_location!r}")
+        events = self._events_of("tables", TABLE_EVENTS, namespace, table_name)
+        if metadata_location is not None:
+            events = events.where(F.col("metadata_location") == metadata_location)
+        row = events.orderBy(F.desc(SNAPSHOT)).limit(1).collect()
+        if not row:
+            raise SnapshotNotFound(f"{namespace}.{table_name} has no state {metadata_location!r}")
+        fields = TableState.__dataclass_fields__.keys() - {"namespace", "table_name"}
+        return TableState(namespace, table_name, **{name: row[0][name] for name in fields})
 
     def scan(
         self,
@@ -227,12 +227,11 @@ class Lakehouse:
 
     # -- events ------------------------------------------------------------------
 
-    def index_events_of(self, namespace: str, table_name: str) -> DataFrame | None:
+    def index_events_of(self, namespace: str, table_name: str) -> DataFrame:
         return self._events_of("indexes", INDEX_EVENTS, namespace, table_name)
 
     def record_index_event(self, namespace: str, table_name: str, event: dict) -> None:
-        earlier = self.index_events_of(namespace, table_name)
-        last = earlier.agg(F.max("event_seq")).first()[0] if earlier is not None else None
+        last = self.index_events_of(namespace, table_name).agg(F.max("event_seq")).first()[0]
         row = {**event, "event_seq": (last or 0) + 1, "recorded_at": _now()}
         self._write_event("indexes", INDEX_EVENTS, namespace, table_name, row)
 
@@ -254,8 +253,8 @@ class Lakehouse:
     def _write_event(
         self, kind: str, schema: T.StructType, namespace: str, table_name: str, row: dict
     ) -> None:
-        event = pa.Table.from_pylist([row], schema=to_arrow_schema(schema, timezone="UTC"))
-        event = self.spark.createDataFrame(event, schema).coalesce(1)
+        values = [F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in schema.fields]
+        event = self.spark.range(0, 1, 1, 1).select(*values)
         event.write.mode("append").parquet(self._event_path(kind, namespace, table_name))
 
     def _event_path(self, kind: str, namespace: str, table_name: str) -> str:
@@ -267,29 +266,20 @@ class Lakehouse:
 
     def _events_of(
         self, kind: str, schema: T.StructType, namespace: str, table_name: str
-    ) -> DataFrame | None:
+    ) -> DataFrame:
         """One table's events from its own folder, however large the registry is."""
         path = self._event_path(kind, _checked_name(namespace), _checked_name(table_name))
         try:
             return self.spark.read.schema(schema).parquet(path)
         except AnalysisException as problem:
             if problem.getCondition() == "PATH_NOT_FOUND":
-                return None
+                raise TableNotFound(f"no table {namespace}.{table_name}") from None
             raise
 
-    def _newest(
-        self, namespace: str, table_name: str, metadata_location: str | None = None
-    ) -> TableState | None:
-        events = self._events_of("tables", TABLE_EVENTS, namespace, table_name)
-        if events is None:
-            return None
-        if metadata_location is not None:
-            events = events.where(F.col("metadata_location") == metadata_location)
-        row = events.orderBy(F.desc(SNAPSHOT)).limit(1).collect()
-        if not row:
-            return None
-        fields = TableState.__dataclass_fields__.keys() - {"namespace", "table_name"}
-        return TableState(namespace, table_name, **{name: row[0][name] for name in fields})
+    def _write_empty(self, schema: T.StructType, path: str) -> None:
+        """No rows, but the folder and the schema a reader finds there."""
+        columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+        self.spark.range(0).select(*columns).write.mode("ignore").parquet(path)
 
     # -- session views -----------------------------------------------------------
 
@@ -349,5 +339,5 @@ def _compact(document: str | dict) -> str:
     return json.dumps(body, separators=(",", ":"))
 
 
-def _now() -> datetime:
-    return datetime.now(timezone.utc)
+def _now() -> str:
+    return datetime.now(timezone.utc).isoformat()
