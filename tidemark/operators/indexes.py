@@ -249,14 +249,21 @@ def match_index(
 def matched(
     lake: Lakehouse, state: TableState, index_name: str | None, index_type: str
 ) -> dict | None:
-    """The index a search may use, or None: then it scans the table itself."""
+    """The index a search may use, or None: then it scans the table itself.
+
+    Gives what ``match_index`` gives for a name, from that name's last event alone.
+    """
     if not index_name:
         return None
-    found = match_index(
-        lake, state.namespace, state.table_name, state.metadata_location, index_name
-    ).collect()
-    index = json.loads(found[0]["index_json"]) if found else None
-    return index if index and index["index_type"] == index_type else None
+    events = lake.index_events_of(state.namespace, state.table_name).where(
+        (F.col("table_uuid") == state.table_uuid) & (F.col("index_name") == index_name)
+    )
+    last = events.orderBy(F.desc("event_seq")).limit(1).collect()
+    if not last or last[0]["event"] != "published":
+        return None
+    index = last[0].asDict()
+    fits = index["metadata_location"] == state.metadata_location
+    return index if fits and index["index_type"] == index_type else None
 
 
 def ivf_rows(lake: Lakehouse, index_path: str) -> DataFrame:

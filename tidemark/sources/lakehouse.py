@@ -32,17 +32,38 @@ from tidemark.sources.documents import to_struct
 
 SNAPSHOT = "snapshot_seq"
 
-TABLE_EVENTS = T.StructType.fromDDL(
-    "table_uuid string, snapshot_seq bigint, metadata_location string, table_path string, "
-    "schema_document string, added_rows bigint, total_rows bigint, committed_at timestamp"
+
+
+def _schema(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, dtype) for name, dtype in columns.items()])
+
+
+TABLE_EVENTS = _schema(
+    table_uuid=T.StringType(),
+    snapshot_seq=T.LongType(),
+    metadata_location=T.StringType(),
+    table_path=T.StringType(),
+    schema_document=T.StringType(),
+    added_rows=T.LongType(),
+    total_rows=T.LongType(),
+    committed_at=T.TimestampType(),
 )
-INDEX_EVENTS = T.StructType.fromDDL(
-    "table_uuid string, event_seq bigint, event string, index_name string, index_type string, "
-    "metadata_location string, index_path string, columns array<string>, params_json string, "
-    "row_count bigint, partition_count bigint, largest_partition_rows bigint, "
-    "recorded_at timestamp"
+INDEX_EVENTS = _schema(
+    table_uuid=T.StringType(),
+    event_seq=T.LongType(),
+    event=T.StringType(),
+    index_name=T.StringType(),
+    index_type=T.StringType(),
+    metadata_location=T.StringType(),
+    index_path=T.StringType(),
+    columns=T.ArrayType(T.StringType()),
+    params_json=T.StringType(),
+    row_count=T.LongType(),
+    partition_count=T.LongType(),
+    largest_partition_rows=T.LongType(),
+    recorded_at=T.TimestampType(),
 )
-_ADDRESS = T.StructType.fromDDL("namespace string, table_name string")
+_ADDRESS = _schema(namespace=T.StringType(), table_name=T.StringType())
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
