@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.distances import norm, to_matrix
 from tidemark.functions.predicates import zone_columns
-from tidemark.operators.vector_search import NearestSoFar
+from tidemark.operators.vector_search import NearestSoFar, scorable
 from tidemark.sources.lakehouse import Lakehouse, TableState
 
 SCALAR = "scalar"
@@ -331,11 +331,12 @@ def _nearest_list(lake: Lakehouse, centers: np.ndarray, metric: str):
         # No direction, so no nearest one: zero vectors go along with the first list.
         matrix[~matrix.any(axis=1)] = table[0]
         numbers = pa.array(np.arange(len(table), dtype=np.int32))
+        scored = scorable(table, metric)
         found = []
         step = max(1, DISTANCES_AT_A_TIME // len(table))
         for start in range(0, len(matrix), step):
             search = NearestSoFar(matrix[start : start + step], 1, metric)
-            search.add(numbers, table)
+            search.add(numbers, table, scored)
             found.append(search.ids)
         return pa.concat_arrays(found) if found else numbers.slice(0, 0)
 

@@ -119,7 +119,9 @@ def _rows_in_lists(
         raise VectorError(f"nprobe must be a positive whole number, not {nprobe!r}")
     if nprobe < lists:
         centroids = lake.spark.read.parquet(f"{index['index_path']}/lists")
-        nearest = vector_topk(centroids, query, nprobe, metric, LIST, "centroid").collect()
+        nearest = vector_topk(
+            centroids, query, nprobe, metric, LIST, "centroid", "native"
+        ).collect()
         rows = rows.where(F.col(LIST).isin([row[LIST] for row in nearest]))
     return rows.drop(LIST)
 

@@ -46,11 +46,12 @@ def vector_topk(
     metric: str = "l2",
     id_column: str = "id",
     vector_column: str = "vector",
-    form: str = "native",
+    form: str = "arrow",
 ) -> DataFrame:
     """Exact top k: ``(id, distance, rank)``, nearest first, equal distances by ascending id.
 
-    Null vectors are left out. An undefined distance is null and comes last.
+    Null vectors are left out. An undefined distance is null and comes last. ``form`` says
+    where distances are computed; both forms give the same bits.
     """
     _check_k(k)
     key = _name(id_column)
@@ -181,8 +182,9 @@ def _nearest_to_block(scan: DataFrame, block: DataFrame, k: int, metric: str) ->
             for first in range(0, batch.num_rows, VECTORS_AT_A_TIME):
                 piece = batch.slice(first, VECTORS_AT_A_TIME)
                 found = to_matrix(piece.column(1), length)
+                scored = scorable(found, metric)
                 for part in parts:
-                    part.add(piece.column(0), found)
+                    part.add(piece.column(0), found, scored)
         for start, part in zip(starts, parts):
             if part.ids is not None:
                 asked = query_ids.take(pa.array(part.which + start))
@@ -191,30 +193,100 @@ def _nearest_to_block(scan: DataFrame, block: DataFrame, k: int, metric: str) ->
     return scan.coalesce(MAX_SCAN_TASKS).mapInArrow(search, schema)
 
 
+def rounding_bound(length: int) -> float:
+    """More than the relative error of any sum of products over this many dimensions."""
+    return 16 * (length + 8) * float(np.finfo(np.float64).eps)
+
+
+def _squared_lengths(matrix: np.ndarray) -> np.ndarray:
+    """NaN where they are too large to be told apart; no comparison rules NaN out."""
+    squares = (matrix * matrix).sum(axis=1)
+    return np.where(np.isfinite(squares), squares, np.nan)
+
+
+def _of_length_one(matrix: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    return matrix / np.sqrt(np.where(squares < 1e-280, np.nan, squares))[:, None]
+
+
+def scorable(matrix: np.ndarray, metric: str) -> np.ndarray:
+    """Vectors with one more dimension, so that a product with queries gives their scores.
+
+    A score is the larger the nearer a vector is, and errs on the near side: the rounding
+    error that depends on the vector is added to it.
+    """
+    slack = rounding_bound(matrix.shape[1])
+    with np.errstate(all="ignore"):
+        squares = _squared_lengths(matrix)
+        if metric == "cosine":
+            return np.column_stack([_of_length_one(matrix, squares), np.zeros(len(matrix))])
+        return np.column_stack(
+            [matrix, (slack - 1) / 2 * squares if metric == "l2" else np.sqrt(squares)]
+        )
+
+
 class NearestSoFar:
     """The k nearest of all vectors added so far, for each of a few queries.
 
-    A matrix product gives every distance up to a rounding error that is bounded from
-    above. It is only used to leave out vectors that cannot be among the k nearest; those
-    that can are measured again exactly, so what is kept does not depend on the product.
+    Scores come from one matrix product, whose rounding error is bounded. They are only
+    used to leave out vectors that cannot be among the k nearest. All others are measured
+    exactly, so what is kept does not depend on the product or on the machine.
     """
 
     def __init__(self, queries: np.ndarray, k: int, metric: str):
         self.queries, self.k, self.metric = queries, k, metric
         self.sign = -1.0 if METRICS[metric] else 1.0
-        self.squares = (queries * queries).sum(axis=1)[:, None]
-        self.slack = 16 * (queries.shape[1] + 8) * np.finfo(np.float64).eps
+        self.slack = rounding_bound(queries.shape[1])
+        with np.errstate(all="ignore"):
+            self.squares = _squared_lengths(queries)
+            if metric == "cosine":
+                scaled, last = _of_length_one(queries, self.squares), np.zeros(len(queries))
+            elif metric == "ip":
+                scaled, last = queries, self.slack * np.sqrt(self.squares)
+            else:
+                scaled, last = queries, np.ones(len(queries))
+        self.scaled = np.column_stack([scaled, last])
         self.limits = np.full(len(queries), np.inf)
         self.which = np.empty(0, dtype=np.int64)
         self.keys = np.empty(0)
         self.ids: pa.Array | None = None
 
-    def add(self, ids: pa.Array, matrix: np.ndarray) -> None:
-        which, rows = self._possible(matrix)
+    def add(self, ids: pa.Array, matrix: np.ndarray, scored: np.ndarray) -> None:
+        with np.errstate(all="ignore"):
+            scores = self.scaled @ scored.T
+        if np.isinf(self.limits).any():
+            # The rows that score best set the first limits.
+            best = min(self.k, len(matrix))
+            rows = np.argpartition(-scores, best - 1, axis=1)[:, :best]
+            which = np.repeat(np.arange(len(rows)), best)
+            scores[which, rows.ravel()] = -np.inf
+            self._measure(which, rows.ravel(), ids, matrix)
+        # Written so that NaN counts as possible.
+        possible = np.flatnonzero(~(scores < self._floors()[:, None]))
+        which, rows = np.divmod(possible, len(matrix))
         if len(which) > 4 * self.k * len(self.queries):
             # Many equal vectors: of those only the k lowest ids can ever be kept.
             alive = _lowest_ids_of_copies(matrix, ids, self.k)[rows]
             which, rows = which[alive], rows[alive]
+        self._measure(which, rows, ids, matrix)
+
+    def _floors(self) -> np.ndarray:
+        """The score below which a vector is certainly farther than the kth kept one.
+
+        Just above minus infinity where fewer than k are kept: rows already measured score
+        minus infinity, and must not count again.
+        """
+        if self.metric == "l2":
+            near = self.limits * self.limits * (1 + self.slack)
+            floors = (self.squares * (1 - self.slack) - near) / 2
+        elif self.metric == "ip":
+            floors = -self.limits
+        else:
+            floors = 1 - self.slack - self.limits
+        return np.maximum(floors, np.finfo(np.float64).min)
+
+    def _measure(
+        self, which: np.ndarray, rows: np.ndarray, ids: pa.Array, matrix: np.ndarray
+    ) -> None:
         for start in range(0, len(which), VECTORS_AT_A_TIME):
             part = slice(start, start + VECTORS_AT_A_TIME)
             left = np.ascontiguousarray(matrix[rows[part]].T)
@@ -222,27 +294,6 @@ class NearestSoFar:
             exact = self.sign * by_dimension(left, right, self.metric)
             self._keep(which[part], exact, ids.take(pa.array(rows[part])))
 
-    def _possible(self, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of query and row that may belong to the k nearest."""
-        squares, own = self.squares, (matrix * matrix).sum(axis=1)
-        limits = self.limits
-        with np.errstate(all="ignore"):
-            product = self.queries @ matrix.T
-            if self.metric == "l2":
-                about, error = squares + own - 2 * product, self.slack * (squares + own)
-                limits = limits * limits
-            elif self.metric == "ip":
-                about, error = -product, self.slack * np.sqrt(squares * own)
-            else:
-                about = 1 - product / np.sqrt(squares * own)
-                error = self.slack
-            if len(matrix) > self.k:
-                kth = np.partition(about + error, self.k - 1, axis=1)[:, self.k - 1]
-                limits = np.fmin(limits, kth)
-            limits = limits + self.slack * np.abs(limits)
-            # Written so that NaN, which the product can give, counts as possible.
-            return np.nonzero(~(about - error > limits[:, None]))
-
     def _keep(self, which: np.ndarray, keys: np.ndarray, ids: pa.Array) -> None:
         which = np.concatenate([self.which, which])
         keys = np.concatenate([self.keys, keys])

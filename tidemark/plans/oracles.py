@@ -223,7 +223,7 @@ ORACLES: dict[str, str] = {
     "vector_topk_l2": _topk_sql("list_distance", "ASC"),
     "vector_topk_ip": _topk_sql("list_inner_product", "DESC"),
     "vector_topk_cosine": _topk_sql("list_cosine_distance", "ASC"),
-    "vector_topk_l2_arrow": _topk_sql("list_distance", "ASC"),
+    "vector_topk_l2_native": _topk_sql("list_distance", "ASC"),
     "vector_topk_batch": _batch_sql("list_distance", "ASC"),
     "vector_topk_batch_ip": _batch_sql("list_inner_product", "DESC"),
     "vector_topk_batch_cosine": _batch_sql("list_cosine_distance", "ASC"),

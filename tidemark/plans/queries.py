@@ -242,7 +242,7 @@ def _search_lines(space, location: str, index_name: str | None) -> DataFrame:
 # -- T2, T3: vector search ---------------------------------------------------------
 
 
-def exact_topk(metric: str, form: str = "native") -> Query:
+def exact_topk(metric: str, form: str = "arrow") -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
         wanted = first_vector(spark, sf_dir)
@@ -349,7 +349,7 @@ QUERIES: dict[str, Query] = {
     "vector_topk_l2": exact_topk("l2"),
     "vector_topk_ip": exact_topk("ip"),
     "vector_topk_cosine": exact_topk("cosine"),
-    "vector_topk_l2_arrow": exact_topk("l2", "arrow"),
+    "vector_topk_l2_native": exact_topk("l2", "native"),
     "vector_topk_batch": batch_topk("l2"),
     "vector_topk_batch_ip": batch_topk("ip"),
     "vector_topk_batch_cosine": batch_topk("cosine"),
