@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from tidemark.functions.distances import norm, to_matrix
 from tidemark.functions.predicates import zone_columns
 from tidemark.operators.vector_search import NearestSoFar, scorable
+from tidemark.session import MAX_TASKS
 from tidemark.sources.lakehouse import Lakehouse, TableState
 
 SCALAR = "scalar"
@@ -34,6 +35,8 @@ IVF = "ivf"
 MAX_ZONES = 4096
 MAX_LISTS = 16_384
 MAX_CENTROID_BYTES = 256 * 1024 * 1024
+# Up to this many partition folders are read by name, so that only they are listed.
+FOLDERS_BY_NAME = 512
 # Small tables still get this many files, so that an index can leave some of them out.
 MIN_FILES = 8
 SCALAR_ROWS_PER_FILE = 1_000_000
@@ -87,18 +90,20 @@ def build_scalar_index(
     if not columns:
         raise IndexBuildError("a scalar index needs at least one column")
     path = _new_path(lake, state, index_name)
-    files = max(MIN_FILES, -(-state.total_rows // rows_per_file))
-    zones = min(files, MAX_ZONES)
+    tasks = min(MAX_TASKS, max(MIN_FILES, -(-state.total_rows // rows_per_file)))
+    zones = min(tasks, MAX_ZONES)
     keys = [F.col(f"`{name}`") for name in columns]
-    zone = F.floor(F.spark_partition_id() * F.lit(zones) / F.lit(files)).cast("int")
+    zone = F.floor(F.spark_partition_id() * F.lit(zones / tasks)).cast("int")
     (
         lake.scan_files(state)
         .select(*[f"`{name}`" for name in types], _row_hash().alias("_row"))
-        .repartitionByRange(files, *keys, F.col("_row"))
+        .coalesce(MAX_TASKS)
+        .repartitionByRange(tasks, *keys, F.col("_row"))
         .drop("_row")
         .withColumn(ZONE, zone)
         .sortWithinPartitions(ZONE, *keys)
         .write.partitionBy(ZONE)
+        .option("maxRecordsPerFile", rows_per_file)
         .parquet(f"{path}/rows")
     )
     facts = [F.count(F.lit(1)).alias("row_count")]
@@ -109,7 +114,7 @@ def build_scalar_index(
             F.max(column).alias(highest),
             F.count_if(column.isNull()).alias(nulls),
         ]
-    copy = lake.spark.read.schema(state.schema.add(ZONE, T.IntegerType())).parquet(f"{path}/rows")
+    copy = index_rows(lake, path, state.schema, ZONE)
     copy.groupBy(ZONE).agg(*facts).coalesce(1).write.parquet(f"{path}/zones")
     sizes = lake.spark.read.parquet(f"{path}/zones").select("row_count")
     return StagedIndex(lake, state, _event(state, index_name, SCALAR, path, columns, {}, sizes))
@@ -168,6 +173,8 @@ def build_ivf_index(
             seed=seed,
             maxIter=max_iterations,
             distanceMeasure="cosine" if metric == "cosine" else "euclidean",
+            # The better start is worked out on the driver, in time that grows with nlist squared.
+            initMode="k-means||" if nlist <= 1024 else "random",
         )
         model = kmeans.fit(sample)
         centers = np.array(model.clusterCenters())
@@ -178,17 +185,20 @@ def build_ivf_index(
     weights = np.ones(lists)
     for row in counts:
         weights[row["prediction"]] += row["count"]
-    files = max(MIN_FILES, -(-state.total_rows * length * 4 // VECTOR_BYTES_PER_FILE))
-    placed = rows.withColumn(LIST, _nearest_list(lake, centers, metric)(vector))
+    rows_per_file = max(1, VECTOR_BYTES_PER_FILE // (4 * length))
+    tasks = min(MAX_TASKS, max(MIN_FILES, -(-state.total_rows // rows_per_file)))
+    placed = rows.coalesce(MAX_TASKS).withColumn(LIST, _nearest_list(lake, centers, metric)(vector))
     (
-        placed.withColumn("_task", _equal_share(weights / weights.sum(), files))
-        .repartitionById(files, F.col("_task"))
+        placed.withColumn("_task", _equal_share(weights / weights.sum(), tasks))
+        .repartitionById(tasks, F.col("_task"))
         .drop("_task", "_row")
         .sortWithinPartitions(LIST, F.col(f"`{id_column}`"))
         .write.partitionBy(LIST)
+        .option("maxRecordsPerFile", rows_per_file)
         .parquet(f"{path}/rows")
     )
-    sizes = ivf_rows(lake, path).groupBy(LIST).agg(F.count(F.lit(1)).alias("row_count"))
+    copy = index_rows(lake, path, ivf_schema(state, id_column, vector_column), LIST)
+    sizes = copy.groupBy(LIST).agg(F.count(F.lit(1)).alias("row_count"))
     centroids = lake.spark.createDataFrame(
         [(number, center.tolist()) for number, center in enumerate(centers)],
         f"{LIST} int, centroid array<double>",
@@ -266,8 +276,29 @@ def matched(
     return index if fits and index["index_type"] == index_type else None
 
 
-def ivf_rows(lake: Lakehouse, index_path: str) -> DataFrame:
-    return lake.spark.read.parquet(f"{index_path}/rows")
+def ivf_schema(state: TableState, id_column: str, vector_column: str) -> T.StructType:
+    fields = {field.name: field for field in state.schema.fields}
+    return T.StructType([fields[id_column], fields[vector_column]])
+
+
+def index_rows(
+    lake: Lakehouse,
+    index_path: str,
+    schema: T.StructType,
+    folder: str,
+    numbers: Sequence[int] | None = None,
+    file_io_config_json: str = "{}",
+) -> DataFrame:
+    """The rows of an index, or of some of its zones or lists, with their ``folder`` column."""
+    whole = T.StructType([*schema.fields, T.StructField(folder, T.IntegerType())])
+    reader = lake.spark.read.schema(whole).options(**json.loads(file_io_config_json))
+    root = f"{index_path}/rows"
+    if numbers is None:
+        return reader.parquet(root)
+    if not 0 < len(numbers) <= FOLDERS_BY_NAME:
+        return reader.parquet(root).where(F.col(folder).isin(list(numbers)))
+    named = [f"{root}/{folder}={number}" for number in numbers]
+    return reader.option("basePath", root).parquet(*named).where(F.col(folder).isin(list(numbers)))
 
 
 def _fold(events: DataFrame, *address: str) -> DataFrame:

@@ -16,7 +16,15 @@ from pyspark.sql import types as T
 
 from tidemark.functions.distances import VectorError
 from tidemark.functions.predicates import Predicate, PredicateError, parse_predicate
-from tidemark.operators.indexes import IVF, LIST, SCALAR, ZONE, ivf_rows, matched
+from tidemark.operators.indexes import (
+    IVF,
+    LIST,
+    SCALAR,
+    ZONE,
+    index_rows,
+    ivf_schema,
+    matched,
+)
 from tidemark.operators.vector_search import vector_topk
 from tidemark.sources.lakehouse import Lakehouse, TableState
 
@@ -76,7 +84,15 @@ def search_vector(
     index = matched(lake, state, index_name, IVF)
     if index is not None and json.loads(index["params_json"])["metric"] == distance_type:
         id_column, vector_column = index["columns"]
-        rows = _rows_in_lists(lake, index, query_vector, distance_type, params.get("nprobe"))
+        rows = _rows_in_lists(
+            lake,
+            state,
+            index,
+            query_vector,
+            distance_type,
+            params.get("nprobe"),
+            file_io_config_json,
+        )
     else:
         id_column, vector_column = _vector_columns(state, params)
         rows = lake.scan_state(state, file_io_config_json)
@@ -100,29 +116,34 @@ def _rows_in_zones(
     partition filter, so files of other zones are never opened."""
     zones = lake.spark.read.parquet(f"{index['index_path']}/zones")
     possible = zones.where(predicate.on_zones(set(index["columns"]))).select(ZONE).collect()
-    schema = T.StructType([*state.schema.fields, T.StructField(ZONE, T.IntegerType())])
-    reader = lake.spark.read.schema(schema).options(**json.loads(file_io_config_json))
-    rows = reader.parquet(f"{index['index_path']}/rows")
-    if len(possible) < index["partition_count"]:
-        rows = rows.where(F.col(ZONE).isin([row[ZONE] for row in possible]))
+    numbers = [row[ZONE] for row in possible] if len(possible) < index["partition_count"] else None
+    rows = index_rows(
+        lake, index["index_path"], state.schema, ZONE, numbers, file_io_config_json
+    )
     return rows.drop(ZONE)
 
 
 def _rows_in_lists(
-    lake: Lakehouse, index: dict, query: Sequence[float], metric: str, nprobe: int | None
+    lake: Lakehouse,
+    state: TableState,
+    index: dict,
+    query: Sequence[float],
+    metric: str,
+    nprobe: int | None,
+    file_io_config_json: str,
 ) -> DataFrame:
     """Ids and vectors of the lists whose centroids lie nearest to the query."""
-    rows = ivf_rows(lake, index["index_path"])
-    lists = json.loads(index["params_json"])["nlist"]
+    lists = index["partition_count"]
     nprobe = -(-lists // 4) if nprobe is None else nprobe
     if isinstance(nprobe, bool) or not isinstance(nprobe, int) or nprobe <= 0:
         raise VectorError(f"nprobe must be a positive whole number, not {nprobe!r}")
+    numbers = None
     if nprobe < lists:
-        centroids = lake.spark.read.parquet(f"{index['index_path']}/lists")
-        nearest = vector_topk(
-            centroids, query, nprobe, metric, LIST, "centroid", "native"
-        ).collect()
-        rows = rows.where(F.col(LIST).isin([row[LIST] for row in nearest]))
+        centroids = lake.spark.read.parquet(f"{index['index_path']}/lists").where("row_count > 0")
+        nearest = vector_topk(centroids, query, nprobe, metric, LIST, "centroid", "native")
+        numbers = [row[LIST] for row in nearest.collect()]
+    schema = ivf_schema(state, *index["columns"])
+    rows = index_rows(lake, index["index_path"], schema, LIST, numbers, file_io_config_json)
     return rows.drop(LIST)
 
 

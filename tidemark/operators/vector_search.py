@@ -27,11 +27,8 @@ from tidemark.functions.distances import (
     nearest_first,
     to_matrix,
 )
-from tidemark.session import run_folder
+from tidemark.session import MAX_TASKS, run_folder
 
-# At most this many tasks scan for one search. Each returns up to k rows per query, so the
-# rows to merge are bounded by it and not by the number of files. Far above any core count.
-MAX_SCAN_TASKS = 8192
 # Bytes of query vectors sent to every task at once; more queries take further passes.
 QUERY_BLOCK_BYTES = 64 * 1024 * 1024
 # Queries and vectors whose products a task holds in memory at a time.
@@ -58,7 +55,7 @@ def vector_topk(
     measured = distance(_name(vector_column), query, check_metric(metric), form)
     nearest = (
         vectors.where(_name(vector_column).isNotNull())
-        .coalesce(MAX_SCAN_TASKS)
+        .coalesce(MAX_TASKS)
         .select(key, measured.alias("distance"))
         .orderBy(nearest_first(metric, F.col("distance")), key.asc())
         .limit(k)
@@ -190,7 +187,7 @@ def _nearest_to_block(scan: DataFrame, block: DataFrame, k: int, metric: str) ->
                 asked = query_ids.take(pa.array(part.which + start))
                 yield pa.record_batch([asked, part.ids, part.distances()], names=schema.names)
 
-    return scan.coalesce(MAX_SCAN_TASKS).mapInArrow(search, schema)
+    return scan.coalesce(MAX_TASKS).mapInArrow(search, schema)
 
 
 def rounding_bound(length: int) -> float:

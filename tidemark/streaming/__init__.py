@@ -1,0 +1 @@
+"""Empty on purpose: no streaming operator is called for, and Spark's own work on any scan."""
