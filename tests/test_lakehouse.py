@@ -83,6 +83,17 @@ def test_a_pinned_read_prunes_by_snapshot_and_reads_only_named_columns(spark, la
     assert "ReadSchema: struct<id:bigint>" in text
 
 
+def test_a_view_follows_the_newest_snapshot_and_still_prunes(spark, lake, namespace):
+    lake.create_table(namespace, "t", SAMPLE)
+    view = f"SELECT id FROM {namespace}.t WHERE data = 'x'"
+    for number in (1, 2):
+        lake.append(namespace, "t", spark.sql("SELECT 1 AS id, 'x' AS data"))
+        assert spark.sql(view).count() == number
+    plan = spark.sql(view)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(snapshot_seq" in plan and "Subquery" in plan
+    assert "PushedFilters: [IsNotNull(data), EqualTo(data,x)]" in plan
+
+
 def test_a_refused_append_publishes_nothing_and_can_be_run_again(spark, lake, namespace):
     lake.create_table(namespace, "t", SAMPLE)
     lake.append(namespace, "t", spark.sql("SELECT 1 AS id, 'x' AS data"))
@@ -114,9 +125,12 @@ def test_another_session_object_finds_the_same_tables(spark, lake, namespace):
     lake.create_table(namespace, "t", SAMPLE)
     lake.append(namespace, "t", spark.sql("SELECT 1 AS id, 'x' AS data"))
     spark.sql(f"DROP VIEW {namespace}.t")
+    lake.append(namespace, "t", spark.sql("SELECT 2 AS id, 'y' AS data"))
+    assert spark.table(f"{namespace}.t").count() == 2
+    spark.sql(f"DROP VIEW {namespace}.t")
     again = Lakehouse(spark, lake.root, "test_catalog")
     again.refresh_views()
-    assert rows_of(spark.sql(f"SELECT * FROM {namespace}.t")) == [(1, "x")]
+    assert rows_of(spark.sql(f"SELECT * FROM {namespace}.t")) == [(1, "x"), (2, "y")]
 
 
 def test_names_that_could_leave_their_folder_are_refused(lake, namespace):

@@ -2,16 +2,17 @@
 
 Layout (all Parquet)::
 
-    <root>/registry/tables/namespace=<ns>/table_name=<t>/   one small row per snapshot
-    <root>/registry/indexes/namespace=<ns>/table_name=<t>/  one row per index event
-    <root>/data/<ns>/<t>-<uuid>/snapshot_seq=<n>/           rows added by snapshot n
+    <root>/registry/tables/namespace=<ns>/table_name=<t>/snapshot_seq=<n>/  one row
+    <root>/registry/indexes/namespace=<ns>/table_name=<t>/event_seq=<n>/    one row
+    <root>/data/<ns>/<t>-<uuid>/snapshot_seq=<n>/              rows added by snapshot n
 
 A snapshot becomes visible only when its registry row is written, and published files
 are never rewritten. An append that dies leaves files no read looks at, and running it
 again overwrites exactly those. One writer per table is assumed.
 
 The registry is the durable truth; the session catalog only gets views over it, so that
-``SELECT * FROM ns.t`` works and any later session can rebuild them.
+``SELECT * FROM ns.t`` works and any later session can rebuild them. A view looks the newest
+snapshot up when it is read, so appends need not touch it.
 """
 
 from __future__ import annotations
@@ -63,6 +64,7 @@ INDEX_EVENTS = _schema(
     largest_partition_rows=T.LongType(),
     recorded_at=T.TimestampType(),
 )
+SEQUENCE = {"tables": SNAPSHOT, "indexes": "event_seq"}
 _ADDRESS = _schema(namespace=T.StringType(), table_name=T.StringType())
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
@@ -114,7 +116,7 @@ class Lakehouse:
         self.root = root.rstrip("/")
         self.catalog_namespace = _checked_name(catalog_namespace)
         for kind, events in (("tables", TABLE_EVENTS), ("indexes", INDEX_EVENTS)):
-            self._write_empty(events, self._event_path(kind, "_none", "_none"))
+            self._write_empty(kind, events, "_none", "_none")
         self._create_catalog_views()
 
     # -- namespaces and tables ---------------------------------------------------
@@ -143,9 +145,10 @@ class Lakehouse:
         state = TableState(
             namespace, table_name, table_uuid, 0, f"{path}#0", path, _compact(schema_document), 0
         )
-        self._write_empty(schema, f"{path}/{SNAPSHOT}=0")
-        self._write_empty(INDEX_EVENTS, self._event_path("indexes", namespace, table_name))
+        _no_rows(self.spark, schema.fields).write.mode("overwrite").parquet(f"{path}/{SNAPSHOT}=0")
+        self._write_empty("indexes", INDEX_EVENTS, namespace, table_name)
         self._record_snapshot(state, added=0)
+        self._create_table_view(state)
         return state
 
     def append(
@@ -187,6 +190,8 @@ class Lakehouse:
             now.total_rows + added,
         )
         self._record_snapshot(state, added)
+        if not self.spark.catalog.tableExists(f"{namespace}.{table_name}"):
+            self._create_table_view(state)
         return Appended(state, checked.rejects if on_reject == "split" else None)
 
     # -- reads -------------------------------------------------------------------
@@ -197,7 +202,11 @@ class Lakehouse:
         """The newest state of a table, or the one a ``metadata_location`` names."""
         events = self._events_of("tables", TABLE_EVENTS, namespace, table_name)
         if metadata_location is not None:
-            events = events.where(F.col("metadata_location") == metadata_location)
+            number = metadata_location.rpartition("#")[2]
+            number = int(number) if number.isdecimal() else -1
+            events = events.where(
+                (F.col(SNAPSHOT) == number) & (F.col("metadata_location") == metadata_location)
+            )
         row = events.orderBy(F.desc(SNAPSHOT)).limit(1).collect()
         if not row:
             raise SnapshotNotFound(f"{namespace}.{table_name} has no state {metadata_location!r}")
@@ -242,8 +251,7 @@ class Lakehouse:
 
     def refresh_views(self) -> None:
         """Give this session a view for every registered table."""
-        for row in self.tables_internal().toLocalIterator():
-            self.create_namespace(row.namespace)
+        for row in self.tables_internal().select("namespace", "table_name").toLocalIterator():
             self._create_table_view(self.state(row.namespace, row.table_name))
 
     # -- events ------------------------------------------------------------------
@@ -268,15 +276,27 @@ class Lakehouse:
             "committed_at": _now(),
         }
         self._write_event("tables", TABLE_EVENTS, state.namespace, state.table_name, row)
-        self.create_namespace(state.namespace)
-        self._create_table_view(state)
 
     def _write_event(
         self, kind: str, schema: T.StructType, namespace: str, table_name: str, row: dict
     ) -> None:
-        values = [F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in schema.fields]
-        event = self.spark.range(0, 1, 1, 1).select(*values)
-        event.write.mode("append").parquet(self._event_path(kind, namespace, table_name))
+        number = SEQUENCE[kind]
+        values = [
+            F.lit(row[f.name]).cast(f.dataType).alias(f.name)
+            for f in schema.fields
+            if f.name != number
+        ]
+        path = f"{self._event_path(kind, namespace, table_name)}/{number}={row[number]}"
+        self.spark.range(0, 1, 1, 1).select(*values).write.mode("overwrite").parquet(path)
+
+    def _write_empty(
+        self, kind: str, schema: T.StructType, namespace: str, table_name: str
+    ) -> None:
+        """No events, but a folder to read and the schema in it."""
+        number = SEQUENCE[kind]
+        path = f"{self._event_path(kind, namespace, table_name)}/{number}=0"
+        fields = [field for field in schema.fields if field.name != number]
+        _no_rows(self.spark, fields).write.mode("ignore").parquet(path)
 
     def _event_path(self, kind: str, namespace: str, table_name: str) -> str:
         return f"{self.root}/registry/{kind}/namespace={namespace}/table_name={table_name}"
@@ -297,11 +317,6 @@ class Lakehouse:
                 raise TableNotFound(f"no table {namespace}.{table_name}") from None
             raise
 
-    def _write_empty(self, schema: T.StructType, path: str) -> None:
-        """No rows, but the folder and the schema a reader finds there."""
-        columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
-        self.spark.range(0).select(*columns).write.mode("ignore").parquet(path)
-
     # -- session views -----------------------------------------------------------
 
     def _create_catalog_views(self) -> None:
@@ -313,7 +328,8 @@ class Lakehouse:
             SELECT namespace, table_name, state.*
             FROM (
                 SELECT namespace, table_name,
-                       max_by(struct(table_uuid, metadata_location, snapshot_seq, total_rows,
+                       max_by(struct(table_uuid, metadata_location,
+                                     CAST(snapshot_seq AS BIGINT) AS snapshot_seq, total_rows,
                                      schema_document, committed_at), snapshot_seq) AS state
                 FROM parquet.`{self.root}/registry/tables`
                 GROUP BY namespace, table_name
@@ -337,13 +353,21 @@ class Lakehouse:
 
     def _create_table_view(self, state: TableState) -> None:
         columns = ", ".join(f"`{name}`" for name in state.schema.names)
+        registry = self._event_path("tables", state.namespace, state.table_name)
+        self.create_namespace(state.namespace)
         self.spark.sql(
-            f"CREATE OR REPLACE VIEW {state.namespace}.{state.table_name} AS "
-            f"SELECT {columns} FROM parquet.`{state.table_path}` "
-            f"WHERE {SNAPSHOT} <= {state.snapshot_seq}"
+            f"""
+            CREATE OR REPLACE VIEW {state.namespace}.{state.table_name} AS
+            SELECT {columns} FROM parquet.`{state.table_path}`
+            WHERE {SNAPSHOT} <= (SELECT max({SNAPSHOT}) FROM parquet.`{registry}`)
+            """
         )
 
 
+def _no_rows(spark: SparkSession, fields: list[T.StructField]) -> DataFrame:
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+
+
 def _checked_name(name: str) -> str:
     if not _NAME.fullmatch(name):
         raise ValueError(f"{name!r} is not a name of letters, digits and underscores")
