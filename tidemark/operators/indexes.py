@@ -117,7 +117,10 @@ def build_scalar_index(
     copy = index_rows(lake, path, state.schema, ZONE)
     copy.groupBy(ZONE).agg(*facts).coalesce(1).write.parquet(f"{path}/zones")
     sizes = lake.spark.read.parquet(f"{path}/zones").select("row_count")
-    return StagedIndex(lake, state, _event(state, index_name, SCALAR, path, columns, {}, sizes))
+    event = _event(state, index_name, SCALAR, path, columns, {}, sizes)
+    if event["row_count"] != state.total_rows:
+        raise IndexBuildError(f"{event['row_count']} of {state.total_rows} rows were copied")
+    return StagedIndex(lake, state, event)
 
 
 def build_ivf_index(
@@ -309,7 +312,7 @@ def _fold(events: DataFrame, *address: str) -> DataFrame:
 
 def _row_hash() -> Column:
     """A number for each row that depends only on where it is stored."""
-    return F.xxhash64("_metadata.file_path", "_metadata.row_index")
+    return F.xxhash64("_metadata.file_name", "_metadata.row_index")
 
 
 def _new_path(lake: Lakehouse, state: TableState, index_name: str) -> str:

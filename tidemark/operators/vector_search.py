@@ -250,16 +250,18 @@ class NearestSoFar:
     def add(self, ids: pa.Array, matrix: np.ndarray, scored: np.ndarray) -> None:
         with np.errstate(all="ignore"):
             scores = self.scaled @ scored.T
+        first = None
         if np.isinf(self.limits).any():
             # The rows that score best set the first limits.
             best = min(self.k, len(matrix))
-            rows = np.argpartition(-scores, best - 1, axis=1)[:, :best]
-            which = np.repeat(np.arange(len(rows)), best)
-            scores[which, rows.ravel()] = -np.inf
-            self._measure(which, rows.ravel(), ids, matrix)
+            rows = np.argpartition(-scores, best - 1, axis=1)[:, :best].ravel()
+            first = np.repeat(np.arange(len(scores)), best), rows
+            self._measure(*first, ids, matrix)
         # Written so that NaN counts as possible.
-        possible = np.flatnonzero(~(scores < self._floors()[:, None]))
-        which, rows = np.divmod(possible, len(matrix))
+        possible = ~(scores < self._floors()[:, None])
+        if first is not None:
+            possible[first] = False
+        which, rows = np.divmod(np.flatnonzero(possible), len(matrix))
         if len(which) > 4 * self.k * len(self.queries):
             # Many equal vectors: of those only the k lowest ids can ever be kept.
             alive = _lowest_ids_of_copies(matrix, ids, self.k)[rows]
@@ -267,19 +269,13 @@ class NearestSoFar:
         self._measure(which, rows, ids, matrix)
 
     def _floors(self) -> np.ndarray:
-        """The score below which a vector is certainly farther than the kth kept one.
-
-        Just above minus infinity where fewer than k are kept: rows already measured score
-        minus infinity, and must not count again.
-        """
+        """The score below which a vector is certainly farther than the kth kept one."""
         if self.metric == "l2":
             near = self.limits * self.limits * (1 + self.slack)
-            floors = (self.squares * (1 - self.slack) - near) / 2
-        elif self.metric == "ip":
-            floors = -self.limits
-        else:
-            floors = 1 - self.slack - self.limits
-        return np.maximum(floors, np.finfo(np.float64).min)
+            return (self.squares * (1 - self.slack) - near) / 2
+        if self.metric == "ip":
+            return -self.limits
+        return 1 - self.slack - self.limits
 
     def _measure(
         self, which: np.ndarray, rows: np.ndarray, ids: pa.Array, matrix: np.ndarray

@@ -135,7 +135,7 @@ def conform_write(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         return space.lake.append(space.namespace, "customer_retyped", rows).state
 
-    state = space._once("customer_retyped", write)
+    state = space.once("customer_retyped", write)
     return space.lake.scan_state(state).withColumn("c_acctbal", F.col("c_acctbal").cast("double"))
 
 

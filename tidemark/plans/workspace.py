@@ -51,7 +51,7 @@ class Workspace:
 
     def table(self, name: str) -> TableState:
         """One given table, declared with its first column required, and appended whole."""
-        return self._once(name, lambda: self._load(name))
+        return self.once(name, lambda: self._load(name))
 
     def tables(self, names: Sequence[str]) -> list[TableState]:
         """Several tables, a few of them written at a time."""
@@ -60,19 +60,19 @@ class Workspace:
 
     def orders_in_two(self) -> tuple[TableState, TableState]:
         """``orders`` in two appends by day: the states after the first and the second."""
-        return self._once("orders_in_two", self._load_orders_in_two)
+        return self.once("orders_in_two", self._load_orders_in_two)
 
     def lineitem_by_date(self) -> TableState:
         """``lineitem`` with a scalar index on ship date and part key."""
-        return self._once("lineitem_by_date", self._index_lineitem)
+        return self.once("lineitem_by_date", self._index_lineitem)
 
     def embeddings_in_lists(self) -> TableState:
         """``embeddings`` with IVF indexes for L2 and cosine."""
-        return self._once("embeddings_in_lists", self._index_embeddings)
+        return self.once("embeddings_in_lists", self._index_embeddings)
 
     def supplier_indexes(self) -> TableState:
         """``supplier`` with three indexes published and one of them dropped again."""
-        return self._once("supplier_indexes", self._index_supplier)
+        return self.once("supplier_indexes", self._index_supplier)
 
     def declare(self, table_name: str, rows: DataFrame, **types: str) -> TableState:
         """Create a table for ``rows``; ``types`` replaces document types by column name."""
@@ -82,7 +82,7 @@ class Workspace:
             field["required"] = position == 0
         return self.lake.create_table(self.namespace, table_name, json.dumps(document))
 
-    def _once(self, name: str, prepare):
+    def once(self, name: str, prepare):
         if name not in self._done:
             self._done[name] = prepare()
         return self._done[name]
