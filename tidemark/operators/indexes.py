@@ -11,6 +11,7 @@ A search only uses an index built from exactly the table state it reads.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -318,8 +319,7 @@ def _row_hash() -> Column:
 def _new_path(lake: Lakehouse, state: TableState, index_name: str) -> str:
     if not index_name:
         raise IndexBuildError("an index needs a name")
-    number = lake.spark.sql("SELECT uuid()").first()[0]
-    return f"{lake.root}/indexes/{state.namespace}/{state.table_name}/{number}"
+    return f"{lake.root}/indexes/{state.namespace}/{state.table_name}/{uuid.uuid4()}"
 
 
 def _event(

@@ -229,6 +229,18 @@ ORACLES: dict[str, str] = {
     "vector_topk_batch_cosine": _batch_sql("list_cosine_distance", "ASC"),
     "vector_topk_ivf_full": _topk_sql("list_distance", "ASC"),
     "vector_topk_ivf_full_cosine": _topk_sql("list_cosine_distance", "ASC"),
+    "index_build_scalar": """
+        SELECT count(*) AS row_count,
+               min(l_shipdate) AS first_shipdate, max(l_shipdate) AS last_shipdate,
+               min(l_partkey) AS lowest_partkey, max(l_partkey) AS highest_partkey,
+               count(*) - count(l_partkey) AS null_partkeys
+        FROM lineitem
+    """,
+    "index_build_ivf": """
+        SELECT vec_id, CAST(len(embedding) AS INTEGER) AS length,
+               round(CAST(embedding[1] AS DOUBLE), 6) + 0.0 AS first_number
+        FROM embeddings WHERE embedding IS NOT NULL
+    """,
     "index_match": """
         SELECT 'by_date' AS index_name, 'scalar' AS index_type, count(*) AS row_count,
                true AS same_state

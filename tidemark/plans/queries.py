@@ -17,6 +17,7 @@ from tidemark.operators import (
     vector_topk,
     vector_topk_batch,
 )
+from tidemark.operators.indexes import LIST, index_rows, ivf_schema
 from tidemark.plans.workspace import TABLES, workspace
 from tidemark.sources import conform, to_document, to_struct
 
@@ -286,7 +287,38 @@ def indexed_topk(metric: str, all_lists: bool) -> Query:
     return query
 
 
-# -- I1, I3, I4: index registry and statistics ---------------------------------------
+# -- I1-I4: index builds, their registry, and statistics -----------------------------
+
+
+def index_build_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zone map of ``lineitem`` summed up: its zones hold every row once."""
+    space = workspace(spark, sf_dir)
+    index = _index(space, space.lineitem_by_date(), "by_date")
+    return spark.read.parquet(f"{index['index_path']}/zones").agg(
+        F.sum("row_count").alias("row_count"),
+        F.min("min_l_shipdate").alias("first_shipdate"),
+        F.max("max_l_shipdate").alias("last_shipdate"),
+        F.min("min_l_partkey").alias("lowest_partkey"),
+        F.max("max_l_partkey").alias("highest_partkey"),
+        F.sum("nulls_l_partkey").alias("null_partkeys"),
+    )
+
+
+def index_build_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector of ``embeddings`` as its list holds it."""
+    space = workspace(spark, sf_dir)
+    state = space.embeddings_in_lists()
+    index = _index(space, state, "lists_l2")
+    rows = index_rows(space.lake, index["index_path"], ivf_schema(state, *index["columns"]), LIST)
+    first = F.round(F.get("embedding", F.lit(0)).cast("double"), 6) + F.lit(0.0)
+    return rows.select("vec_id", F.size("embedding").alias("length"), first.alias("first_number"))
+
+
+def _index(space, state, name: str) -> dict:
+    found = match_index(
+        space.lake, state.namespace, state.table_name, state.metadata_location, name
+    )
+    return json.loads(found.first()["index_json"])
 
 
 def index_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,6 +388,8 @@ QUERIES: dict[str, Query] = {
     "vector_topk_ivf_full": indexed_topk("l2", all_lists=True),
     "vector_topk_ivf_full_cosine": indexed_topk("cosine", all_lists=True),
     "vector_topk_ivf": indexed_topk("l2", all_lists=False),
+    "index_build_scalar": index_build_scalar,
+    "index_build_ivf": index_build_ivf,
     "index_match": index_match,
     "index_list": index_list,
     "column_statistics": line_statistics,

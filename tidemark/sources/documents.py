@@ -65,6 +65,8 @@ def _struct(body: dict) -> T.StructType:
             raise SchemaDocumentError(f"field {item} lacks {sorted(missing)}")
         if not isinstance(item["id"], int) or isinstance(item["id"], bool):
             raise SchemaDocumentError(f"field id must be an integer: {item['id']!r}")
+        if not isinstance(item["name"], str) or not item["name"] or "`" in item["name"]:
+            raise SchemaDocumentError(f"not a column name: {item['name']!r}")
         metadata = {FIELD_ID: item["id"]}
         if isinstance(item["type"], str) and (
             item["type"] == "uuid" or _FIXED.fullmatch(item["type"])

@@ -112,6 +112,8 @@ class Appended:
 
 class Lakehouse:
     def __init__(self, spark: SparkSession, root: str, catalog_namespace: str = "lake_catalog"):
+        if "`" in root:
+            raise ValueError("the root path must not hold a backtick")
         self.spark = spark
         self.root = root.rstrip("/")
         self.catalog_namespace = _checked_name(catalog_namespace)
