@@ -106,7 +106,7 @@ def test_a_refused_append_publishes_nothing_and_can_be_run_again(spark, lake, na
     split = lake.append(namespace, "t", bad, on_reject="split")
     assert (split.state.snapshot_seq, split.state.total_rows) == (2, 2)
     assert rows_of(lake.scan(namespace, "t")) == [(1, "x"), (2, "y")]
-    reasons = {row["data"]: row["problems"] for row in split.rejects.collect()}
+    reasons = {row["data"]: row["_problems"] for row in split.rejects.collect()}
     assert reasons == {"z": ["id: lost in cast"], "w": ["id: required is null"]}
 
 
@@ -121,6 +121,15 @@ def test_files_an_append_left_behind_are_never_read(spark, lake, namespace):
     assert rows_of(lake.scan(namespace, "t")) == [(1, "x"), (2, "y")]
 
 
+def test_a_creation_that_never_finished_can_be_run_again(spark, lake, namespace):
+    dead = f"{lake.root}/registry/tables/namespace={namespace}/table_name=t/snapshot_seq=0"
+    spark.range(0).selectExpr("CAST(id AS STRING) AS table_uuid").write.parquet(dead)
+    with pytest.raises(SnapshotNotFound):
+        lake.scan(namespace, "t")
+    lake.create_table(namespace, "t", SAMPLE)
+    assert lake.scan(namespace, "t").count() == 0
+
+
 def test_another_session_object_finds_the_same_tables(spark, lake, namespace):
     lake.create_table(namespace, "t", SAMPLE)
     lake.append(namespace, "t", spark.sql("SELECT 1 AS id, 'x' AS data"))
@@ -201,7 +210,7 @@ def test_nested_values_are_checked_to_their_depth(spark):
     document["fields"].append({"id": 8, "name": "n", "type": "int"})
     checked = conform(rows, to_struct(document))
     assert sorted(row["n"] for row in checked.accepted.collect()) == [0, 7]
-    reasons = {row["n"]: row["problems"] for row in checked.rejects.collect()}
+    reasons = {row["n"]: row["_problems"] for row in checked.rejects.collect()}
     assert reasons == {
         1: ["v: required is null"],
         2: ["v: lost in cast"],
@@ -227,7 +236,7 @@ def test_uuid_and_fixed_lengths_are_checked(spark):
     )
     checked = conform(rows, to_struct(json.dumps(document)))
     assert checked.accepted.count() == 2
-    assert sorted(row["problems"][0] for row in checked.rejects.collect()) == [
+    assert sorted(row["_problems"][0] for row in checked.rejects.collect()) == [
         "b: bad format",
         "u: bad format",
     ]

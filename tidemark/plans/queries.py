@@ -19,7 +19,7 @@ from tidemark.operators import (
 )
 from tidemark.operators.indexes import LIST, index_rows, ivf_schema
 from tidemark.plans.workspace import TABLES, workspace
-from tidemark.sources import conform, to_document, to_struct
+from tidemark.sources import PROBLEMS, conform, to_document, to_struct
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -164,7 +164,8 @@ def conform_rejects_required(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_problems_as_text(rejects: DataFrame) -> DataFrame:
-    return rejects.withColumn("problems", F.concat_ws("; ", "problems"))
+    reasons = F.concat_ws("; ", PROBLEMS).alias("problems")
+    return rejects.select(*[name for name in rejects.columns if name != PROBLEMS], reasons)
 
 
 # -- P1-P5, T1: projections, predicates, order ------------------------------------

@@ -1,4 +1,4 @@
-from tidemark.sources.conform import Conformed, conform
+from tidemark.sources.conform import PROBLEMS, Conformed, conform
 from tidemark.sources.documents import SchemaDocumentError, to_document, to_struct
 from tidemark.sources.lakehouse import (
     Appended,
@@ -10,6 +10,7 @@ from tidemark.sources.lakehouse import (
 )
 
 __all__ = [
+    "PROBLEMS",
     "Appended",
     "Conformed",
     "Lakehouse",

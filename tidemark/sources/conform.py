@@ -17,7 +17,8 @@ from tidemark.sources.documents import FIELD_FORMAT, fixed_length
 # Fixed value: the text form of a uuid.
 UUID_PATTERN = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 
-PROBLEMS = "problems"
+# Column of the reasons beside a refused row.
+PROBLEMS = "_problems"
 
 
 @dataclass(frozen=True)
@@ -42,7 +43,7 @@ class Conformed:
 
     @property
     def rejects(self) -> DataFrame:
-        """The refused rows as they came, with the reasons in ``problems``."""
+        """The refused rows as they came, with the reasons in ``_problems``."""
         reasons = [F.when(check, F.lit(label)) for label, check in self.checks.items()]
         reasons = F.array_compact(F.array(*reasons)) if reasons else F.array().cast("array<string>")
         return self.source.where(self.failed).withColumn(PROBLEMS, reasons)

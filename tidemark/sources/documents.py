@@ -29,6 +29,9 @@ PRIMITIVES: dict[str, T.DataType] = {
     "binary": T.BinaryType(),
 }
 
+# Column names that Spark or the layout of tables and indexes uses itself.
+RESERVED = ("_metadata", "_problems", "_row", "_task", "list_id", "snapshot_seq", "zone_id")
+
 _DECIMAL = re.compile(r"decimal\(\s*(\d+)\s*,\s*(\d+)\s*\)")
 _FIXED = re.compile(r"fixed[\[(](\d+)[\])]")
 
@@ -45,6 +48,9 @@ def to_struct(document: str | dict) -> T.StructType:
     struct = _struct(body)
     if not struct.fields:
         raise SchemaDocumentError("a schema document needs at least one field")
+    reserved = [name for name in struct.names if name.lower() in RESERVED]
+    if reserved:
+        raise SchemaDocumentError(f"reserved column names: {reserved}")
     ids = [field.metadata[FIELD_ID] for field in struct.fields]
     if len(set(ids)) != len(ids):
         raise SchemaDocumentError(f"field ids repeat: {ids}")

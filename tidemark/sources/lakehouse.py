@@ -136,12 +136,7 @@ class Lakehouse:
     def create_table(self, namespace: str, table_name: str, schema_document: str) -> TableState:
         """Declare a table; it can be selected from at once, with no rows."""
         schema = to_struct(schema_document)
-        if SNAPSHOT in {name.lower() for name in schema.names}:
-            raise ValueError(f"{SNAPSHOT!r} names the partition column of every table")
         _checked_name(namespace), _checked_name(table_name)
-        address = (F.col("namespace") == namespace) & (F.col("table_name") == table_name)
-        if not self.table_events().where(address).isEmpty():
-            raise ValueError(f"table {namespace}.{table_name} exists")
         table_uuid = str(uuid.uuid4())
         path = f"{self.root}/data/{namespace}/{table_name}-{table_uuid}"
         state = TableState(
@@ -149,7 +144,14 @@ class Lakehouse:
         )
         _no_rows(self.spark, schema.fields).write.mode("overwrite").parquet(f"{path}/{SNAPSHOT}=0")
         self._write_empty("indexes", INDEX_EVENTS, namespace, table_name)
-        self._record_snapshot(state, added=0)
+        try:
+            self._record_snapshot(state, 0, mode="errorifexists")
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            if self._newest(namespace, table_name) is not None:
+                raise ValueError(f"table {namespace}.{table_name} exists") from None
+            self._record_snapshot(state, 0)  # the folder of a creation that never finished
         self._create_table_view(state)
         return state
 
@@ -202,18 +204,10 @@ class Lakehouse:
         self, namespace: str, table_name: str, metadata_location: str | None = None
     ) -> TableState:
         """The newest state of a table, or the one a ``metadata_location`` names."""
-        events = self._events_of("tables", TABLE_EVENTS, namespace, table_name)
-        if metadata_location is not None:
-            number = metadata_location.rpartition("#")[2]
-            number = int(number) if number.isdecimal() else -1
-            events = events.where(
-                (F.col(SNAPSHOT) == number) & (F.col("metadata_location") == metadata_location)
-            )
-        row = events.orderBy(F.desc(SNAPSHOT)).limit(1).collect()
-        if not row:
+        found = self._newest(namespace, table_name, metadata_location)
+        if found is None:
             raise SnapshotNotFound(f"{namespace}.{table_name} has no state {metadata_location!r}")
-        fields = TableState.__dataclass_fields__.keys() - {"namespace", "table_name"}
-        return TableState(namespace, table_name, **{name: row[0][name] for name in fields})
+        return found
 
     def scan(
         self,
@@ -266,7 +260,23 @@ class Lakehouse:
         row = {**event, "event_seq": (last or 0) + 1, "recorded_at": _now()}
         self._write_event("indexes", INDEX_EVENTS, namespace, table_name, row)
 
-    def _record_snapshot(self, state: TableState, added: int) -> None:
+    def _newest(
+        self, namespace: str, table_name: str, metadata_location: str | None = None
+    ) -> TableState | None:
+        events = self._events_of("tables", TABLE_EVENTS, namespace, table_name)
+        if metadata_location is not None:
+            number = metadata_location.rpartition("#")[2]
+            number = int(number) if number.isdecimal() else -1
+            events = events.where(
+                (F.col(SNAPSHOT) == number) & (F.col("metadata_location") == metadata_location)
+            )
+        row = events.orderBy(F.desc(SNAPSHOT)).limit(1).collect()
+        if not row:
+            return None
+        fields = TableState.__dataclass_fields__.keys() - {"namespace", "table_name"}
+        return TableState(namespace, table_name, **{name: row[0][name] for name in fields})
+
+    def _record_snapshot(self, state: TableState, added: int, mode: str = "overwrite") -> None:
         row = {
             "table_uuid": state.table_uuid,
             "snapshot_seq": state.snapshot_seq,
@@ -277,10 +287,16 @@ class Lakehouse:
             "total_rows": state.total_rows,
             "committed_at": _now(),
         }
-        self._write_event("tables", TABLE_EVENTS, state.namespace, state.table_name, row)
+        self._write_event("tables", TABLE_EVENTS, state.namespace, state.table_name, row, mode)
 
     def _write_event(
-        self, kind: str, schema: T.StructType, namespace: str, table_name: str, row: dict
+        self,
+        kind: str,
+        schema: T.StructType,
+        namespace: str,
+        table_name: str,
+        row: dict,
+        mode: str = "overwrite",
     ) -> None:
         number = SEQUENCE[kind]
         values = [
@@ -289,7 +305,7 @@ class Lakehouse:
             if f.name != number
         ]
         path = f"{self._event_path(kind, namespace, table_name)}/{number}={row[number]}"
-        self.spark.range(0, 1, 1, 1).select(*values).write.mode("overwrite").parquet(path)
+        self.spark.range(0, 1, 1, 1).select(*values).write.mode(mode).parquet(path)
 
     def _write_empty(
         self, kind: str, schema: T.StructType, namespace: str, table_name: str
