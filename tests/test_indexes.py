@@ -244,17 +244,20 @@ def test_a_list_of_copies_is_spread_over_tasks(spark, lake, namespace, embedding
 
 def test_zero_and_null_vectors_in_a_cosine_index(spark, lake, namespace):
     rows = [(i, [float(i % 5 + 1), float(i % 3)]) for i in range(40)]
-    rows += [(100, [0.0, 0.0]), (101, None)]
+    rows += [(99, [float("nan"), 1.0]), (100, [0.0, 0.0]), (101, None)]
     frame = spark.createDataFrame(rows, "id long, v array<float>")
     state = loaded(lake, namespace, "t", frame)
     staged = build_ivf_index(lake, namespace, "t", "lists", "id", "v", 3, metric="cosine")
-    assert staged.event["row_count"] == 41
+    assert staged.event["row_count"] == 42
     staged.publish()
     found = search_vector(
         lake, namespace, "t", state.metadata_location, "lists", [1.0, 1.0], 50, "cosine",
         '{"nprobe": 3}',
     ).orderBy("rank").collect()
-    assert len(found) == 41 and found[-1]["id"] == 100 and found[-1]["distance"] is None
+    assert len(found) == 42
+    assert [(row["id"], row["distance"]) for row in found[-2:]] == [(99, None), (100, None)]
+    centroids = spark.read.parquet(f"{staged.event['index_path']}/lists")
+    assert centroids.where("exists(centroid, x -> isnan(x))").count() == 0
     assert found == vector_topk(frame, [1.0, 1.0], 50, "cosine", "id", "v").orderBy("rank").collect()
 
 

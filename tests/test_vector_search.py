@@ -150,6 +150,10 @@ def test_unknown_distance_or_repeated_query_ids_or_ragged_queries(spark):
     asked = "query_id long, query_vector array<float>"
     with pytest.raises(VectorError):
         vector_topk(frame, [1.0], 1, "hamming")
+    with pytest.raises(VectorError):
+        vector_topk(frame.toDF("rank", "vector"), [1.0], 1, id_column="rank")
+    with pytest.raises(VectorError):
+        vector_topk_batch(frame, frame, 1, query_id_column="id", query_vector_column="vector")
     for rows in ([(1, [1.0]), (1, [2.0])], [(1, [1.0]), (2, [1.0, 2.0])]):
         with pytest.raises(VectorError):
             vector_topk_batch(frame, spark.createDataFrame(rows, asked), 1)

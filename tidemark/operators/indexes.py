@@ -154,16 +154,15 @@ def build_ivf_index(
     rows = (
         lake.scan_files(state)
         .where(vector.isNotNull())
-        .select(f"`{id_column}`", vector, _row_hash().alias("_row"))
+        .select(f"`{id_column}`", vector, _row_hash().alias("_row"), _draw(id_column).alias("_draw"))
     )
     target = min(nlist * TRAINING_VECTORS_PER_LIST, TRAINING_VECTORS)
     sample = rows
     if state.total_rows > target:
-        # By a hash of the id, so that another layout of the same rows trains alike.
-        drawn = F.pmod(F.xxhash64(F.col(f"`{id_column}`")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        sample = rows.where(drawn < target / state.total_rows)
-    if metric == "cosine":
-        sample = sample.where(norm(vector) > 0)
+        sample = rows.where(F.col("_draw") < target / state.total_rows)
+    # One vector that is no point in space would make its whole centroid none.
+    size = norm(vector)
+    sample = sample.where((size < float("inf")) & (size > 0 if metric == "cosine" else F.lit(True)))
     sample = sample.select(array_to_vector(vector.cast("array<double>")).alias("features")).persist()
     try:
         first = sample.first()
@@ -195,7 +194,7 @@ def build_ivf_index(
     (
         placed.withColumn("_task", _equal_share(weights / weights.sum(), tasks))
         .repartitionById(tasks, F.col("_task"))
-        .drop("_task", "_row")
+        .drop("_task", "_row", "_draw")
         .sortWithinPartitions(LIST, F.col(f"`{id_column}`"))
         .write.partitionBy(LIST)
         .option("maxRecordsPerFile", rows_per_file)
@@ -316,6 +315,18 @@ def _row_hash() -> Column:
     return F.xxhash64("_metadata.file_name", "_metadata.row_index")
 
 
+def _draw(id_column: str) -> Column:
+    """A number in [0, 1) for each row, the same wherever files of the same rows lie.
+
+    With the place in the file, since an id that is not unique must not come in all at once.
+    """
+    return _unit(F.xxhash64(F.col(f"`{id_column}`"), F.col("_metadata.row_index")))
+
+
+def _unit(number: Column) -> Column:
+    return F.pmod(number, F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
 def _new_path(lake: Lakehouse, state: TableState, index_name: str) -> str:
     if not index_name:
         raise IndexBuildError("an index needs a name")
@@ -388,8 +399,6 @@ def _equal_share(shares: np.ndarray, tasks: int) -> Column:
     as_array = lambda numbers: F.expr(
         "array(" + ", ".join(f"{float(number)!r}D" for number in numbers) + ")"
     )
-    within = F.pmod(F.col("_row"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    place = F.get(as_array(ends - shares), F.col(LIST)) + within * F.get(
-        as_array(shares), F.col(LIST)
-    )
+    start, share = (F.get(as_array(part), F.col(LIST)) for part in (ends - shares, shares))
+    place = start + _unit(F.col("_row")) * share
     return F.least(F.floor(place * tasks), F.lit(tasks - 1)).cast("int")

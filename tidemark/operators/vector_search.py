@@ -51,6 +51,7 @@ def vector_topk(
     where distances are computed; both forms give the same bits.
     """
     _check_k(k)
+    _check_names(id_column)
     key = _name(id_column)
     measured = distance(_name(vector_column), query, check_metric(metric), form)
     nearest = (
@@ -60,6 +61,7 @@ def vector_topk(
         .orderBy(nearest_first(metric, F.col("distance")), key.asc())
         .limit(k)
     )
+    # A window without a partition, but over the k rows that are left.
     in_order = Window.orderBy(nearest_first(metric, F.col("distance")), key.asc())
     return nearest.withColumn("rank", F.row_number().over(in_order).cast("long"))
 
@@ -83,6 +85,7 @@ def vector_topk_batch(
     the driver never holds more than one block.
     """
     _check_k(k)
+    _check_names(query_id_column, id_column)
     check_metric(metric)
     wanted = queries.select(
         _name(query_id_column).alias("query_id"),
@@ -127,6 +130,12 @@ def _check_k(k: int) -> None:
         raise VectorError(f"k must be a positive whole number, not {k!r}")
 
 
+def _check_names(*columns: str) -> None:
+    names = [name.lower() for name in (*columns, "distance", "rank")]
+    if len(set(names)) != len(names):
+        raise VectorError(f"columns of the result would share a name: {names}")
+
+
 def _name(column: str):
     return F.col(f"`{column}`")
 

@@ -30,7 +30,7 @@ PRIMITIVES: dict[str, T.DataType] = {
 }
 
 # Column names that Spark or the layout of tables and indexes uses itself.
-RESERVED = ("_metadata", "_problems", "_row", "_task", "list_id", "snapshot_seq", "zone_id")
+RESERVED = ("_draw", "_metadata", "_problems", "_row", "_task", "list_id", "snapshot_seq", "zone_id")
 
 _DECIMAL = re.compile(r"decimal\(\s*(\d+)\s*,\s*(\d+)\s*\)")
 _FIXED = re.compile(r"fixed[\[(](\d+)[\])]")
