@@ -11,7 +11,6 @@ import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.distances import VectorError

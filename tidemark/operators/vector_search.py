@@ -22,7 +22,6 @@ from tidemark.functions.distances import (
     VectorError,
     by_dimension,
     check_metric,
-    check_query,
     distance,
     nearest_first,
     to_matrix,

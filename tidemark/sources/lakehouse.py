@@ -217,7 +217,8 @@ class Lakehouse:
         file_io_config_json: str = "{}",
     ) -> DataFrame:
         """All rows of a table as of one snapshot; the newest if none is named."""
-        return self.scan_state(self.state(namespace, table_name, metadata_location), file_io_config_json)
+        state = self.state(namespace, table_name, metadata_location)
+        return self.scan_state(state, file_io_config_json)
 
     def scan_state(self, state: TableState, file_io_config_json: str = "{}") -> DataFrame:
         files = self.scan_files(state, file_io_config_json)
