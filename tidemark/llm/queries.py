@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import packing, quality, sharding, wavelet
+from pyspark.sql import functions as F
+
+from tidemark.llm import line_dedup, packing, quality, sharding, wavelet
 from tidemark.llm.common import documents
 
 QUALITY_COLUMNS = (
@@ -23,6 +25,11 @@ def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_digests(wavelet.write_shards(documents(spark, sf_dir), path))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(documents(spark, sf_dir), min_documents=10, min_chars=1)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
@@ -35,6 +42,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_wavelet_tokens": op2_wavelet_tokens,
+    "op4_line_dedup": op4_line_dedup,
     "op8_sharding": op8_sharding,
     "op10_packing": op10_packing,
 }
