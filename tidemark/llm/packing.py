@@ -35,7 +35,7 @@ from tidemark.llm.tokens import encoded
 from tidemark.session import run_folder
 
 # Width of a length class. A piece is placed as if it were rounded up to it.
-CLASS_TOKENS = 8
+CLASS_TOKENS = 16
 # The master is left once no pattern can lower the number of sequences by a larger share.
 TOLERANCE = 1e-4
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, packing, quality, sharding, wavelet
+from tidemark.llm import line_dedup, packing, quality, sharding, simhash, wavelet
 from tidemark.llm.common import documents
 
 QUALITY_COLUMNS = (
@@ -30,6 +30,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(documents(spark, sf_dir), radius=2, shingle_words=3)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_wavelet_tokens": op2_wavelet_tokens,
     "op4_line_dedup": op4_line_dedup,
+    "op7_simhash_dedup": op7_simhash_dedup,
     "op8_sharding": op8_sharding,
     "op10_packing": op10_packing,
 }
