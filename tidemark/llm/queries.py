@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, packing, quality, sharding, simhash, wavelet
+from tidemark.llm import (
+    decontaminate,
+    line_dedup,
+    lm,
+    packing,
+    quality,
+    sharding,
+    simhash,
+    tool_calls,
+    wavelet,
+)
 from tidemark.llm.common import documents
 
 QUALITY_COLUMNS = (
@@ -25,11 +35,22 @@ def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_digests(wavelet.write_shards(documents(spark, sf_dir), path))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir), order=2, backoff=0.4, min_count=2)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(documents(spark, sf_dir), min_documents=10, min_chars=1)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each benchmark item found in a document."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.find_leaks(documents(spark, sf_dir), items)
+    return found.select("doc_id", F.inline("leaks"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(documents(spark, sf_dir), radius=2, shingle_words=3)
 
@@ -38,6 +59,44 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
+# What the turns of the given conversations would send to a tool, and its schema.
+LOOKUP = {
+    "lookup": {
+        "type": "object",
+        "properties": {
+            "query": {"type": "string", "minLength": 1, "maxLength": 300},
+            "limit": {"type": "integer", "minimum": 1, "maximum": 50},
+        },
+        "required": ["query", "limit"],
+        "additionalProperties": False,
+    }
+}
+
+
+def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given turns as tool traffic: a user's turn calls ``lookup`` with its text and as
+    limit its number of words, after the call two turns before; the assistant's turn that
+    follows is the result."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+    def name(turn: Column) -> Column:
+        return F.concat(F.lit("call_"), turn.cast("string"))
+
+    words = F.size(F.split(F.trim("text"), r"\s+"))
+    calls = turns.where("role = 'user'").select(
+        "conv_id",
+        name(F.col("turn")).alias("call_id"),
+        "turn",
+        F.lit("lookup").alias("name"),
+        F.to_json(F.struct(F.col("text").alias("query"), words.alias("limit"))).alias("arguments"),
+        F.when(F.col("turn") >= 2, F.array(name(F.col("turn") - 2))).otherwise(F.array()).alias("depends_on"),
+    )
+    results = turns.where("role = 'assistant'").select(
+        "conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content")
+    )
+    return tool_calls.link_calls(calls, results, LOOKUP)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack(documents(spark, sf_dir), path)
@@ -46,9 +105,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_wavelet_tokens": op2_wavelet_tokens,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_line_dedup": op4_line_dedup,
+    "op6_decontamination": op6_decontamination,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_sharding": op8_sharding,
+    "op9_tool_calls": op9_tool_calls,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}

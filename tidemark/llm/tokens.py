@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 from tokenizers import Tokenizer
 
@@ -25,7 +26,8 @@ class Encoder:
     """Encodes texts piece by piece and remembers the pieces.
 
     Texts are cut where the tokenizer itself never merges across: before white space for a
-    byte-level tokenizer that splits words, at white space for one that drops it. Texts with
+    byte-level tokenizer that splits words, at white space for one that drops it, and between
+    a word of plain letters and the full stop or comma that ends it. Texts with
     white space of other kinds, and tokenizers of other kinds, are encoded whole. The ids are
     those of the whole text in each case. Special tokens written out in a text are plain text.
     """
@@ -40,12 +42,18 @@ class Encoder:
             layout = json.load(file)
         splitter, normalizer = layout.get("pre_tokenizer") or {}, layout.get("normalizer") or {}
         self.cut = self.whole = None
+        self.lower = False
         if splitter.get("type") == "ByteLevel" and not normalizer:
             if splitter.get("use_regex") and not splitter.get("add_prefix_space"):
-                self.cut = re.compile(r"[ \n]*[^ \n]+|[ \n]+$")
+                self.cut = re.compile(
+                    r" ?[A-Za-z\xe0-\xf6\xf8-\xff]+(?=[.,][ \n])|[ \n]*[^ \n]+|[ \n]+$"
+                )
                 self.whole = re.compile(r"[^\S \n]")
         elif _drops_space(splitter) and _keeps_words_apart(normalizer):
-            self.cut = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+            self.cut = re.compile(
+                r"[a-z\xe0-\xf6\xf8-\xff]+(?=[.,][ \n])|[^ \t\n\r\x0b\x0c]+"
+            )
+            self.lower = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -53,6 +61,9 @@ class Encoder:
             return self._direct(texts)
         if len(self.known) > KNOWN_PIECES:
             self.known.clear()
+        if self.lower:
+            # The tokenizer lower-cases anyway; doing so for A-Z first makes pieces alike.
+            texts = [text.encode().lower().decode() for text in texts]
         plain = [self.whole is None or not self.whole.search(text) for text in texts]
         pieces = [self.cut.findall(text) if ok else [] for text, ok in zip(texts, plain)]
         known = self.known
@@ -68,7 +79,7 @@ class Encoder:
         if not texts:
             return []
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [b"".join([i.to_bytes(4, "little") for i in one.ids]) for one in encoded]
+        return [array("I", one.ids).tobytes() for one in encoded]
 
 
 def _drops_space(splitter: dict) -> bool:
