@@ -15,6 +15,7 @@ from tidemark.llm import (
     quality,
     sharding,
     simhash,
+    suffix,
     tool_calls,
     wavelet,
 )
@@ -44,6 +45,17 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.remove_repeats(documents(spark, sf_dir), min_bytes=400)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each benchmark item found in a document."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -107,6 +119,7 @@ QUERIES = {
     "op2_wavelet_tokens": op2_wavelet_tokens,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_line_dedup": op4_line_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_sharding": op8_sharding,
