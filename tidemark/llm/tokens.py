@@ -7,6 +7,7 @@ import os
 import re
 from array import array
 
+import numpy as np
 from tokenizers import Tokenizer
 
 # Encoded pieces one worker remembers before it starts anew: about 150 MB.
@@ -27,9 +28,10 @@ class Encoder:
 
     Texts are cut where the tokenizer itself never merges across: before white space for a
     byte-level tokenizer that splits words, at white space for one that drops it, and between
-    a word of plain letters and the full stop or comma that ends it. Texts with
-    white space of other kinds, and tokenizers of other kinds, are encoded whole. The ids are
-    those of the whole text in each case. Special tokens written out in a text are plain text.
+    a word of letters and the full stop or comma that ends it. New pieces are encoded many in
+    one text, set apart by white space. Texts with white space of other kinds, and tokenizers
+    of other kinds, are encoded whole. The ids are those of the whole text in each case.
+    Special tokens written out in a text are plain text.
     """
 
     def __init__(self, path: str):
@@ -41,19 +43,16 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             layout = json.load(file)
         splitter, normalizer = layout.get("pre_tokenizer") or {}, layout.get("normalizer") or {}
-        self.cut = self.whole = None
-        self.lower = False
-        if splitter.get("type") == "ByteLevel" and not normalizer:
+        self.cut = self.odd = None
+        self.drops = _drops_space(splitter) and _keeps_words_apart(normalizer)
+        if self.drops:
+            # The tokenizer lower-cases anyway; doing so for A-Z first makes pieces alike.
+            self.cut = lambda text: text.encode().lower().decode().split()
+            self.odd = re.compile(r"[\x1c-\x1f]")
+        elif splitter.get("type") == "ByteLevel" and not normalizer:
             if splitter.get("use_regex") and not splitter.get("add_prefix_space"):
-                self.cut = re.compile(
-                    r" ?[A-Za-z\xe0-\xf6\xf8-\xff]+(?=[.,][ \n])|[ \n]*[^ \n]+|[ \n]+$"
-                )
-                self.whole = re.compile(r"[^\S \n]")
-        elif _drops_space(splitter) and _keeps_words_apart(normalizer):
-            self.cut = re.compile(
-                r"[a-z\xe0-\xf6\xf8-\xff]+(?=[.,][ \n])|[^ \t\n\r\x0b\x0c]+"
-            )
-            self.lower = True
+                self.cut = re.compile(r"[ \n]*[^ \n]+|[ \n]+$").findall
+                self.odd = re.compile(r"[^\S \n]")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -61,20 +60,43 @@ class Encoder:
             return self._direct(texts)
         if len(self.known) > KNOWN_PIECES:
             self.known.clear()
-        if self.lower:
-            # The tokenizer lower-cases anyway; doing so for A-Z first makes pieces alike.
-            texts = [text.encode().lower().decode() for text in texts]
-        plain = [self.whole is None or not self.whole.search(text) for text in texts]
-        pieces = [self.cut.findall(text) if ok else [] for text, ok in zip(texts, plain)]
-        known = self.known
-        new = list({piece for row in pieces for piece in row if piece not in known})
-        known.update(zip(new, self._direct(new)))
+        plain = [not self.odd.search(text) for text in texts]
+        pieces = [self.cut(text) if ok else [] for text, ok in zip(texts, plain)]
+        self._learn(set().union(*pieces).difference(self.known))
         whole = iter(self._direct([text for text, ok in zip(texts, plain) if not ok]))
+        ids = self.known.__getitem__
         return [
-            b"".join([known[piece] for piece in row]) if ok else next(whole)
-            for row, ok in zip(pieces, plain)
+            b"".join(map(ids, row)) if ok else next(whole) for row, ok in zip(pieces, plain)
         ]
 
+    def _learn(self, new: set[str]) -> None:
+        stems = {p: p[:-1] for p in new if p[-1] in ".," and p[:-1].lstrip(" \n").isalpha()}
+        wanted = new.difference(stems)
+        wanted.update(stem for stem in stems.values() if stem not in self.known)
+        wanted.update(mark for mark in (".", ",") if mark not in self.known)
+        easy = [p for p in wanted if self.drops or not _leads_with_run(p)]
+        self.known.update(zip(easy, self._together(easy)))
+        others = [p for p in wanted if not self.drops and _leads_with_run(p)]
+        self.known.update(zip(others, self._direct(others)))
+        for piece, stem in stems.items():
+            self.known[piece] = self.known[stem] + self.known[piece[-1]]
+
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        """Pieces encoded as one text; each token belongs to the piece in which it starts."""
+        if not pieces:
+            return []
+        between = " " if self.drops else "\t"
+        one = self.tokenizer.encode_batch([between.join(pieces)], add_special_tokens=False)[0]
+        lengths = np.array([len(piece) for piece in pieces])
+        starts = np.cumsum(lengths + 1) - lengths - 1
+        first = np.array([start for start, _ in one.offsets], np.int64)
+        owner = np.searchsorted(starts, first, side="right") - 1
+        inside = first < starts[owner] + lengths[owner]
+        ids, owner = np.array(one.ids, "<u4")[inside], owner[inside]
+        data = ids.tobytes()
+        ends = (4 * np.searchsorted(owner, np.arange(len(pieces)), side="right")).tolist()
+        return [data[start:end] for start, end in zip([0, *ends], ends)]
+
     def _direct(self, texts: list[str]) -> list[bytes]:
         if not texts:
             return []
@@ -82,6 +104,11 @@ class Encoder:
         return [array("I", one.ids).tobytes() for one in encoded]
 
 
+def _leads_with_run(piece: str) -> bool:
+    """Whether white space other than one blank begins a piece, or ends it."""
+    return piece[0] == "\n" or piece[:2] in ("  ", " \n") or piece[-1] in " \n"
+
+
 def _drops_space(splitter: dict) -> bool:
     steps = splitter.get("pretokenizers", [])
     if [step.get("type") for step in steps] != ["Split", "ByteLevel"]:
