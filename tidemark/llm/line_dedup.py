@@ -328,23 +328,22 @@ class LineIndex:
         )
 
 
-@F.pandas_udf("kept_text string, n_lines long, n_dropped long")
-def _drop_lines_udf(text, repeated):
-    import pandas as pd
-
-    rows = []
-    for one, keys in zip(text, repeated):
-        lines = (one or "").encode().split(b"\n")
-        kept = lines
-        if keys is not None and len(keys):
-            gone = {(key["hi"], key["lo"]) for key in keys}
-            kept = [line for line in lines if key_hash(line_key(line)) not in gone]
-        rows.append((b"\n".join(kept).decode(), len(lines), len(lines) - len(kept)))
-    return pd.DataFrame(rows, columns=["kept_text", "n_lines", "n_dropped"])
-
-
 def _drop_lines(text: str, repeated: str) -> Column:
-    return _drop_lines_udf(F.col(text), F.col(repeated))
+    @F.pandas_udf("kept_text string, n_lines long, n_dropped long")
+    def drop(texts, keys_of_texts):
+        import pandas as pd
+
+        rows = []
+        for one, keys in zip(texts, keys_of_texts):
+            lines = (one or "").encode().split(b"\n")
+            kept = lines
+            if keys is not None and len(keys):
+                gone = {(key["hi"], key["lo"]) for key in keys}
+                kept = [line for line in lines if key_hash(line_key(line)) not in gone]
+            rows.append((b"\n".join(kept).decode(), len(lines), len(lines) - len(kept)))
+        return pd.DataFrame(rows, columns=["kept_text", "n_lines", "n_dropped"])
+
+    return drop(F.col(text), F.col(repeated))
 
 
 def dedup_lines(docs: DataFrame, min_documents: int = 10, min_chars: int = 1) -> DataFrame:
