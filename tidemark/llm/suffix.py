@@ -335,7 +335,9 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
         yield from batches_of(rows(), BLOCK_SCHEMA, size=50_000)
 
     blocks = materialise(texts.select("_row", "text").mapInArrow(split, BLOCKS), "blocks")
-    shared = blocks.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    # Written first, so that the join has two plain sides and Spark can split a core's rows.
+    cores = blocks.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    shared = materialise(cores, "shared-cores")
     shared = materialise(blocks.join(shared, "core"), "shared-blocks")
     named = shared.groupBy("core", "name").agg(
         F.count("*").alias("n"),
