@@ -15,8 +15,8 @@ from tidemark.operators import (
     search_vector,
     vector_topk,
 )
-from tidemark.operators import indexes
 from tidemark.operators.indexes import IndexBuildError
+from tidemark.operators.searches import IndexNotUsable
 from tidemark.sources import to_document
 
 
@@ -77,12 +77,11 @@ def test_a_selective_search_opens_only_the_zones_that_may_match(spark, lake, nam
     assert touched <= 2
 
 
-def test_zones_may_hold_several_files(spark, lake, namespace, monkeypatch):
-    monkeypatch.setattr(indexes, "MAX_ZONES", 4)
+def test_zones_follow_the_number_of_rows(spark, lake, namespace):
     frame = skewed(spark, 900)
     state = loaded(lake, namespace, "t", frame)
     staged = build_scalar_index(lake, namespace, "t", "by_n", ["n"], rows_per_file=50)
-    assert staged.event["partition_count"] <= 4 and staged.event["row_count"] == 900
+    assert 8 < staged.event["partition_count"] <= 18 and staged.event["row_count"] == 900
     staged.publish()
     node = json.dumps({"type": "gt", "term": "n", "value": 300})
     found = search_scalar(lake, namespace, "t", state.metadata_location, "by_n", node)
@@ -121,7 +120,11 @@ def test_registry_staging_matching_listing_and_dropping(spark, lake, namespace):
     second = lake.append(namespace, "t", spark.range(100, 130).toDF("id")).state
     assert match(second) == [] and len(match(first)) == 1
     node = json.dumps({"type": "gt-eq", "term": "id", "value": 95})
-    stale = search_scalar(lake, namespace, "t", second.metadata_location, "by_id", node)
+    with pytest.raises(IndexNotUsable):
+        search_scalar(lake, namespace, "t", second.metadata_location, "by_id", node)
+    stale = search_scalar(
+        lake, namespace, "t", second.metadata_location, "by_id", node, allow_scan=True
+    )
     assert stale.count() == 35
     assert "zone_id" not in plan_text(stale)
 
@@ -144,9 +147,8 @@ def test_faulty_builds_are_refused(spark, lake, namespace):
             build_scalar_index(lake, namespace, "t", "i", columns)
     with pytest.raises(IndexBuildError, match="centroid order"):
         build_ivf_index(lake, namespace, "t", "i", "id", "v", 1, metric="ip")
-    for nlist in (0, indexes.MAX_LISTS + 1):
-        with pytest.raises(IndexBuildError):
-            build_ivf_index(lake, namespace, "t", "i", "id", "v", nlist)
+    with pytest.raises(IndexBuildError):
+        build_ivf_index(lake, namespace, "t", "i", "id", "v", 0)
 
 
 @pytest.fixture(scope="module")
@@ -267,11 +269,15 @@ def test_requests_an_index_cannot_answer_scan_the_table(spark, lake, namespace,
     query = [0.5] * 64
     for metric, name in (("ip", "lists"), ("cosine", "lists"), ("l2", "absent"), ("l2", None)):
         found = search_vector(
-            lake, namespace, "e", state.metadata_location, name, query, 5, metric
-        )
+            lake, namespace, "e", state.metadata_location, name, query, 5, metric,
+            '{"allow_scan": true}',
+        )
         assert "list_id" not in plan_text(found)
         exact = vector_topk(embeddings, query, 5, metric, "vec_id", "embedding")
         assert found.collect() == exact.collect()
+    for name in ("absent", "lists"):
+        with pytest.raises(IndexNotUsable):
+            search_vector(lake, namespace, "e", None, name, query, 5, "ip")
     for nprobe in (0, -1, 1.5, True):
         with pytest.raises(VectorError):
             search_vector(
@@ -279,8 +285,20 @@ def test_requests_an_index_cannot_answer_scan_the_table(spark, lake, namespace,
             )
 
 
-def test_training_takes_a_sample_of_a_large_table(spark, lake, namespace, embeddings, monkeypatch):
-    monkeypatch.setattr(indexes, "TRAINING_VECTORS_PER_LIST", 20)
+def test_training_takes_a_sample_only_where_asked(spark, lake, namespace, embeddings):
     state = loaded(lake, namespace, "e", embeddings)
-    staged = build_ivf_index(lake, namespace, "e", "lists", "vec_id", "embedding", 5)
+    staged = build_ivf_index(
+        lake, namespace, "e", "lists", "vec_id", "embedding", 5, training_vectors=100
+    )
     assert staged.event["row_count"] == state.total_rows
+
+
+def test_a_search_that_probes_a_small_list_still_finds_k_rows(spark, lake, namespace):
+    far = [(0, [100.0, 100.0])]
+    near = [(i, [float(i % 7), float(i % 5)]) for i in range(1, 400)]
+    state = loaded(lake, namespace, "t", spark.createDataFrame(far + near, "id long, v array<float>"))
+    build_ivf_index(lake, namespace, "t", "lists", "id", "v", 6).publish()
+    found = search_vector(
+        lake, namespace, "t", state.metadata_location, "lists", [100.0, 100.0], 10, "l2", '{"nprobe": 1}'
+    ).collect()
+    assert [row["rank"] for row in found] == list(range(1, 11)) and found[0]["id"] == 0

@@ -26,25 +26,17 @@ from pyspark.sql import types as T
 from tidemark.functions.distances import norm, to_matrix
 from tidemark.functions.predicates import zone_columns
 from tidemark.operators.vector_search import NearestSoFar, scorable
-from tidemark.session import MAX_TASKS
 from tidemark.sources.lakehouse import Lakehouse, TableState
 
 SCALAR = "scalar"
 IVF = "ivf"
 
-# Zones and lists are partition folders; their number is bounded however large the table is.
-MAX_ZONES = 4096
-MAX_LISTS = 16_384
+# Centroids go to every task, so this is checked before they do.
 MAX_CENTROID_BYTES = 256 * 1024 * 1024
-# Up to this many partition folders are read by name, so that only they are listed.
-FOLDERS_BY_NAME = 512
 # Small tables still get this many files, so that an index can leave some of them out.
 MIN_FILES = 8
 SCALAR_ROWS_PER_FILE = 1_000_000
 VECTOR_BYTES_PER_FILE = 256 * 1024 * 1024
-# Vectors used to place the centroids; more do not move them noticeably.
-TRAINING_VECTORS_PER_LIST = 256
-TRAINING_VECTORS = 2_000_000
 DISTANCES_AT_A_TIME = 4_000_000
 
 ZONE = "zone_id"
@@ -91,14 +83,12 @@ def build_scalar_index(
     if not columns:
         raise IndexBuildError("a scalar index needs at least one column")
     path = _new_path(lake, state, index_name)
-    tasks = min(MAX_TASKS, max(MIN_FILES, -(-state.total_rows // rows_per_file)))
-    zones = min(tasks, MAX_ZONES)
+    tasks = max(MIN_FILES, -(-state.total_rows // rows_per_file))
     keys = [F.col(f"`{name}`") for name in columns]
-    zone = F.floor(F.spark_partition_id() * F.lit(zones / tasks)).cast("int")
+    zone = F.spark_partition_id()
     (
         lake.scan_files(state)
         .select(*[f"`{name}`" for name in types], _row_hash().alias("_row"))
-        .coalesce(MAX_TASKS)
         .repartitionByRange(tasks, *keys, F.col("_row"))
         .drop("_row")
         .withColumn(ZONE, zone)
@@ -136,18 +126,22 @@ def build_ivf_index(
     metric: str = "l2",
     seed: int = 42,
     max_iterations: int = 10,
+    training_vectors: int | None = None,
+    init_mode: str = "k-means||",
 ) -> StagedIndex:
     """Copy ids and vectors into lists around ``nlist`` KMeans centroids.
 
-    Centroids are fitted on a bounded sample, sent to the tasks, and every vector is put to
+    Centroids are fitted on all vectors, or on about ``training_vectors`` of them where that
+    is given; ``init_mode`` is how KMeans starts (``random`` is quicker for many lists and
+    worse). They are sent to the tasks, and every vector is put to
     its list in one pass. One shuffle then brings each list together, with lists cut or
     joined so that every task gets an equal share: a list holding a third of all vectors is
     spread over a third of the tasks.
     """
     if metric not in ("l2", "cosine"):
         raise IndexBuildError(f"no centroid order exists for {metric!r}; search it without an index")
-    if not 0 < nlist <= MAX_LISTS:
-        raise IndexBuildError(f"nlist must lie between 1 and {MAX_LISTS}")
+    if nlist <= 0:
+        raise IndexBuildError("nlist must be at least 1")
     state = lake.state(namespace, table_name, metadata_location)
     path = _new_path(lake, state, index_name)
     vector = F.col(f"`{vector_column}`")
@@ -156,10 +150,9 @@ def build_ivf_index(
         .where(vector.isNotNull())
         .select(f"`{id_column}`", vector, _row_hash().alias("_row"), _draw(id_column).alias("_draw"))
     )
-    target = min(nlist * TRAINING_VECTORS_PER_LIST, TRAINING_VECTORS)
     sample = rows
-    if state.total_rows > target:
-        sample = rows.where(F.col("_draw") < target / state.total_rows)
+    if training_vectors is not None and state.total_rows > training_vectors:
+        sample = rows.where(F.col("_draw") < training_vectors / state.total_rows)
     # One vector that is no point in space would make its whole centroid none.
     size = norm(vector)
     sample = sample.where((size < float("inf")) & (size > 0 if metric == "cosine" else F.lit(True)))
@@ -176,8 +169,7 @@ def build_ivf_index(
             seed=seed,
             maxIter=max_iterations,
             distanceMeasure="cosine" if metric == "cosine" else "euclidean",
-            # The better start is worked out on the driver, in time that grows with nlist squared.
-            initMode="k-means||" if nlist <= 1024 else "random",
+            initMode=init_mode,
         )
         model = kmeans.fit(sample)
         centers = np.array(model.clusterCenters())
@@ -189,8 +181,8 @@ def build_ivf_index(
     for row in counts:
         weights[row["prediction"]] += row["count"]
     rows_per_file = max(1, VECTOR_BYTES_PER_FILE // (4 * length))
-    tasks = min(MAX_TASKS, max(MIN_FILES, -(-state.total_rows // rows_per_file)))
-    placed = rows.coalesce(MAX_TASKS).withColumn(LIST, _nearest_list(lake, centers, metric)(vector))
+    tasks = max(MIN_FILES, -(-state.total_rows // rows_per_file))
+    placed = rows.withColumn(LIST, _nearest_list(lake, centers, metric)(vector))
     (
         placed.withColumn("_task", _equal_share(weights / weights.sum(), tasks))
         .repartitionById(tasks, F.col("_task"))
@@ -298,8 +290,8 @@ def index_rows(
     root = f"{index_path}/rows"
     if numbers is None:
         return reader.parquet(root)
-    if not 0 < len(numbers) <= FOLDERS_BY_NAME:
-        return reader.parquet(root).where(F.col(folder).isin(list(numbers)))
+    if not len(numbers):
+        return reader.parquet(root).where(F.lit(False))
     named = [f"{root}/{folder}={number}" for number in numbers]
     return reader.option("basePath", root).parquet(*named).where(F.col(folder).isin(list(numbers)))
 

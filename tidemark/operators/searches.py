@@ -27,8 +27,12 @@ from tidemark.operators.indexes import (
 from tidemark.operators.vector_search import vector_topk
 from tidemark.sources.lakehouse import Lakehouse, TableState
 
-# From this many rows on, batches of vectors go to NumPy: starting Python is then repaid.
-ARROW_FROM_ROWS = 500_000
+# Lists that an index search reads unless ``params_json`` says otherwise.
+NPROBE = 64
+
+
+class IndexNotUsable(ValueError):
+    """A search named an index that does not serve this table state or this request."""
 
 
 def filter_rows(
@@ -48,11 +52,18 @@ def search_scalar(
     expression_json: str,
     projection_columns: Sequence[str] | None = None,
     file_io_config_json: str = "{}",
+    allow_scan: bool = False,
 ) -> DataFrame:
-    """Rows of a table state for which the predicate is true, cut down to some columns."""
+    """Rows of a table state for which the predicate is true, cut down to some columns.
+
+    Without ``index_name`` the table is scanned. A named index that does not serve the state
+    is an error, unless ``allow_scan`` asks for a scan in its place.
+    """
     state = lake.state(namespace, table_name, metadata_location)
     predicate = parse_predicate(expression_json, state.schema)
     index = matched(lake, state, index_name, SCALAR)
+    if index is None and index_name is not None and not allow_scan:
+        raise IndexNotUsable(f"no scalar index {index_name!r} of {state.metadata_location}")
     if index is None:
         rows = lake.scan_state(state, file_io_config_json)
     else:
@@ -74,9 +85,11 @@ def search_vector(
 ) -> DataFrame:
     """The k nearest rows of a table state: ``(id, distance, rank)``.
 
-    ``params_json`` may hold ``nprobe`` (lists to read; a quarter of them unless said),
-    ``id_column`` and ``vector_column`` (needed without an index if the table has several)
-    and ``form`` (``native`` or ``arrow``; chosen by the number of rows unless said).
+    ``params_json`` may hold ``nprobe`` (lists to read at least; ``NPROBE`` unless
+    said; further ones are read while these hold fewer than k rows), ``id_column`` and
+    ``vector_column`` (needed without an index if the table has several), ``form``
+    (``arrow`` unless said, or ``native``) and ``allow_scan`` (scan the table where the named
+    index does not serve this state or distance, which is an error otherwise).
     """
     state = lake.state(namespace, table_name, metadata_location)
     params = json.loads(params_json)
@@ -89,13 +102,18 @@ def search_vector(
             index,
             query_vector,
             distance_type,
-            params.get("nprobe"),
+            params.get("nprobe", NPROBE),
+            k,
             file_io_config_json,
         )
+    elif index_name is not None and not params.get("allow_scan"):
+        raise IndexNotUsable(
+            f"no {distance_type} index {index_name!r} of {state.metadata_location}"
+        )
     else:
         id_column, vector_column = _vector_columns(state, params)
         rows = lake.scan_state(state, file_io_config_json)
-    form = params.get("form") or ("arrow" if state.total_rows >= ARROW_FROM_ROWS else "native")
+    form = params.get("form", "arrow")
     return vector_topk(rows, query_vector, k, distance_type, id_column, vector_column, form)
 
 
@@ -128,19 +146,28 @@ def _rows_in_lists(
     index: dict,
     query: Sequence[float],
     metric: str,
-    nprobe: int | None,
+    nprobe: int,
+    k: int,
     file_io_config_json: str,
 ) -> DataFrame:
-    """Ids and vectors of the lists whose centroids lie nearest to the query."""
+    """Ids and vectors of the lists whose centroids lie nearest to the query.
+
+    ``nprobe`` lists, and more in order of distance until they hold k rows.
+    """
     lists = index["partition_count"]
-    nprobe = -(-lists // 4) if nprobe is None else nprobe
     if isinstance(nprobe, bool) or not isinstance(nprobe, int) or nprobe <= 0:
         raise VectorError(f"nprobe must be a positive whole number, not {nprobe!r}")
     numbers = None
     if nprobe < lists:
         centroids = lake.spark.read.parquet(f"{index['index_path']}/lists").where("row_count > 0")
-        nearest = vector_topk(centroids, query, nprobe, metric, LIST, "centroid", "native")
-        numbers = [row[LIST] for row in nearest.collect()]
+        nearest = vector_topk(centroids, query, lists, metric, LIST, "centroid", "native")
+        ranked = nearest.join(centroids.select(LIST, "row_count"), LIST).orderBy("rank").collect()
+        numbers, held = [], 0
+        for row in ranked:
+            if len(numbers) >= nprobe and held >= k:
+                break
+            numbers.append(row[LIST])
+            held += row["row_count"]
     schema = ivf_schema(state, *index["columns"])
     rows = index_rows(lake, index["index_path"], schema, LIST, numbers, file_io_config_json)
     return rows.drop(LIST)

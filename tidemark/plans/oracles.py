@@ -252,6 +252,15 @@ ORACLES: dict[str, str] = {
         FROM (VALUES ('by_balance'), ('by_name')) AS names(index_name)
     """,
     "column_statistics": _statistics_sql(),
+    "column_statistics_approximate": f"""
+        SELECT column_name, row_count, null_count, min_value, max_value,
+               TRUE AS distinct_within_error
+        FROM ({_statistics_sql()}) AS facts
+    """,
+    "vector_topk_ivf": """
+        SELECT rank, TRUE AS is_exact
+        FROM unnest(generate_series(1, least(10, (SELECT count(*) FROM embeddings)))) AS ranks(rank)
+    """,
     "column_statistics_vectors": """
         SELECT 'embedding' AS column_name, count(*) AS row_count,
                count(*) - count(embedding) AS null_count,

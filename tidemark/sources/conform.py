@@ -49,12 +49,20 @@ class Conformed:
         return self.source.where(self.failed).withColumn(PROBLEMS, reasons)
 
 
-def conform(rows: DataFrame, schema: T.StructType) -> Conformed:
+# Types between which a cast may round a value and still give one.
+MEASURES = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def conform(rows: DataFrame, schema: T.StructType, lossy: str = "refuse") -> Conformed:
     """Match ``rows`` to ``schema`` by column name.
 
-    A row is refused if a required value is null or a value is lost in the cast.
+    A row is refused if a required value is null or a value is lost in the cast: if it turns
+    into null or, unless ``lossy="allow"``, into a number or time that does not cast back.
     Columns the schema does not declare, and absent required ones, are errors.
     """
+    if lossy not in ("refuse", "allow"):
+        raise ValueError(f"lossy must be 'refuse' or 'allow', not {lossy!r}")
+    exact = lossy == "refuse"
     given = {field.name: field.dataType for field in rows.schema.fields}
     # Casts go to the nullable form of a type; nulls inside are found by the checks.
     relaxed = schema.toNullable()
@@ -73,7 +81,7 @@ def conform(rows: DataFrame, schema: T.StructType) -> Conformed:
         came = given[field.name]
         value = raw if _same(came, field.dataType) else raw.try_cast(relaxed[field.name].dataType)
         tests = {
-            "lost in cast": _lost(raw, value, came, field.dataType),
+            "lost in cast": _lost(raw, value, came, field.dataType, exact),
             "required is null": _missing(raw, field.dataType, not field.nullable),
             "bad format": _bad_format(value, field.metadata.get(FIELD_FORMAT)),
         }
@@ -118,34 +126,40 @@ def _missing(value: Column, dtype: T.DataType, required: bool) -> Column | None:
     return _any(tests)
 
 
-def _lost(raw: Column, value: Column, came: T.DataType, wanted: T.DataType) -> Column | None:
-    """True where the cast turned a value, at any depth, into null. None if there is no cast."""
+def _lost(
+    raw: Column, value: Column, came: T.DataType, wanted: T.DataType, exact: bool
+) -> Column | None:
+    """True where the cast lost a value, at any depth. None if there is no cast."""
     if _same(came, wanted):
         return None
     tests = [raw.isNotNull() & value.isNull()]
+    if exact and isinstance(came, MEASURES) and isinstance(wanted, MEASURES):
+        tests.append(value.isNotNull() & ~value.try_cast(came).eqNullSafe(raw))
     if isinstance(came, T.StructType) and isinstance(wanted, T.StructType):
         if came.names != wanted.names:
             raise ValueError(f"nested fields {came.names} do not match {wanted.names}")
         for old, new in zip(came.fields, wanted.fields):
             inner = _lost(
-                raw.getField(old.name), value.getField(new.name), old.dataType, new.dataType
+                raw.getField(old.name), value.getField(new.name), old.dataType, new.dataType, exact
             )
             if inner is not None:
                 tests.append(F.coalesce(inner, F.lit(False)))
     elif isinstance(came, T.ArrayType) and isinstance(wanted, T.ArrayType):
-        tests.append(_lost_items(raw, value, came.elementType, wanted.elementType))
+        tests.append(_lost_items(raw, value, came.elementType, wanted.elementType, exact))
     elif isinstance(came, T.MapType) and isinstance(wanted, T.MapType):
         for part, old, new in (
             (F.map_keys, came.keyType, wanted.keyType),
             (F.map_values, came.valueType, wanted.valueType),
         ):
             if not _same(old, new):
-                tests.append(_lost_items(part(raw), part(value), old, new))
+                tests.append(_lost_items(part(raw), part(value), old, new, exact))
     return _any(tests)
 
 
-def _lost_items(raw: Column, value: Column, came: T.DataType, wanted: T.DataType) -> Column:
-    lost = F.zip_with(raw, value, lambda old, new: _lost(old, new, came, wanted))
+def _lost_items(
+    raw: Column, value: Column, came: T.DataType, wanted: T.DataType, exact: bool
+) -> Column:
+    lost = F.zip_with(raw, value, lambda old, new: _lost(old, new, came, wanted, exact))
     return F.coalesce(F.exists(lost, lambda flag: flag), F.lit(False))
 
 

@@ -156,17 +156,23 @@ class Lakehouse:
         return state
 
     def append(
-        self, namespace: str, table_name: str, rows: DataFrame, on_reject: str = "fail"
+        self,
+        namespace: str,
+        table_name: str,
+        rows: DataFrame,
+        on_reject: str = "fail",
+        lossy: str = "refuse",
     ) -> Appended:
         """Write ``rows`` as the table's next snapshot, in one pass and without a shuffle.
 
         ``on_reject="fail"`` publishes nothing if any row is refused. ``"split"`` publishes
         the good rows and hands back the refused ones as a lazy DataFrame over ``rows``.
+        ``lossy="allow"`` lets casts round values.
         """
         if on_reject not in ("fail", "split"):
             raise ValueError(f"on_reject must be 'fail' or 'split', not {on_reject!r}")
         now = self.state(namespace, table_name)
-        checked = conform(rows, now.schema)
+        checked = conform(rows, now.schema, lossy)
         labels = list(checked.checks)
         seen = Observation()
         counts = [F.count(F.lit(1)).alias("rows"), F.count_if(checked.failed).alias("refused")]
