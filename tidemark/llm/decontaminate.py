@@ -1,7 +1,7 @@
 """Finds benchmark items in documents by SimHash over item-sized windows.
 
-Texts are lower-cased and cut into words (letters, digits and ``_``); shingles are five
-words. Every window of as many words as an item has gets a 64-bit SimHash of its shingles.
+Texts are lower-cased and cut into words (runs of ASCII letters, digits and ``_``, and of all
+that is not ASCII); shingles are five words. Every window of as many words as an item has gets a 64-bit SimHash of its shingles.
 The items' fingerprints lie in a multi-index of eight bytes: if two fingerprints differ in at
 most ``radius`` bits, some byte differs in at most ``radius // 8``, so the index holds each
 item under all bytes that near and a window that looks up its eight bytes misses no item
@@ -22,9 +22,8 @@ the result is replaced. Empty tables are fine.
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import xxhash
@@ -36,34 +35,34 @@ from tidemark.llm.common import tasks_for, text_of
 BLOCK_BYTES = 4 << 20
 LEAKS = "array<struct<item_id:long,start:int,n_words:int,distance:int,similarity:double>>"
 
-_WORD = re.compile(r"\w+")
+# ASCII letters, digits and ``_`` stay in words, like all that is not ASCII.
+_PARTS = bytes(
+    code if code >= 128 or chr(code).isalnum() or code == 95 else 32 for code in range(256)
+)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    """Hash of each word, remembered up to a bound."""
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode("utf-8").translate(_PARTS).split()
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        made = self[word] = xxhash.xxh3_64_intdigest(word.encode())
-        return made
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(word) for word in words], np.uint64)
 
-_hashes = _Hashes()
 
-
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """A 64-bit hash for each window of ``size`` words."""
-    words = _WORD.findall((text or "").lower())
-    if len(words) < size:
+def mixed(one: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash for each window of ``size`` word hashes."""
+    if len(one) < size:
         return np.zeros(0, np.uint64)
-    one = np.array([_hashes[word] for word in words], np.uint64)
-    mixed = np.zeros(len(words) - size + 1, np.uint64)
+    found = np.zeros(len(one) - size + 1, np.uint64)
     for k in range(size):
-        mixed = (mixed ^ one[k : k + len(mixed)]) * _MIX
-        mixed ^= mixed >> np.uint64(29)
-    return mixed
+        found = (found ^ one[k : k + len(found)]) * _MIX
+        found ^= found >> np.uint64(29)
+    return found
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    return mixed(word_hashes(words_of(text)), size)
 
 
 def window_fingerprints(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
@@ -88,6 +87,10 @@ class ItemIndex:
         self.weights = [Counter(hashes.tolist()) for _, hashes in made]
         self.lengths = np.array([len(hashes) for _, hashes in made], np.int64)
         self.all_shingles = np.unique(np.concatenate([np.zeros(0, np.uint64), *[h for _, h in made]]))
+        # Numbers from 1 for the words of items, and their hashes by number.
+        vocabulary = sorted({word for _, text in items for word in words_of(text)})
+        self.number = {word: at for at, word in enumerate(vocabulary, 1)}
+        self.hashes = np.concatenate([np.zeros(1, np.uint64), word_hashes(vocabulary)])
         zero = np.zeros(1, np.int64)
         prints = [window_fingerprints(hashes, zero, len(hashes))[0] for _, hashes in made]
         self.prints = np.array(prints, np.uint64)
@@ -111,14 +114,11 @@ class ItemIndex:
 
     def leaks(self, text: str | None, similarity: float) -> list[dict]:
         """The best window for each item that the text holds."""
-        hashes = shingles(text, self.size)
-        if not len(hashes) or not len(self.all_shingles):
-            return []
-        place = np.searchsorted(self.all_shingles, hashes)
-        place[place == len(self.all_shingles)] = 0
-        shared = np.concatenate([[0], np.cumsum(self.all_shingles[place] == hashes)])
-        if not shared[-1]:
+        words = words_of(text)
+        shared = self._shared(words)
+        if not len(self.lengths) or shared[-1] < similarity * self.lengths.min():
             return []
+        hashes = mixed(word_hashes(words), self.size)
         best: dict[int, dict] = {}
         for length in np.unique(self.lengths).tolist():
             if length > len(hashes):
@@ -131,6 +131,29 @@ class ItemIndex:
                 self._verify(hashes, start, length, length, similarity, best)
         return [best[at] for at in sorted(best)]
 
+    def _shared(self, words: list[bytes]) -> np.ndarray:
+        """How many shingles before each place are those of an item.
+
+        Only runs of words that items hold are hashed, so most of a text costs a lookup a word.
+        """
+        numbers = np.fromiter(map(self.number.get, words, repeat(0)), np.int64, len(words))
+        n = len(numbers) - self.size + 1
+        if n <= 0:
+            return np.zeros(1, np.int64)
+        strange = np.concatenate([[0], np.cumsum(numbers == 0)])
+        at = np.flatnonzero(strange[self.size :] == strange[: -self.size])
+        found = np.zeros(n + 1, np.int64)
+        if len(at):
+            runs = self.hashes[numbers[at[:, None] + np.arange(self.size)]]
+            value = np.zeros(len(at), np.uint64)
+            for k in range(self.size):
+                value = (value ^ runs[:, k]) * _MIX
+                value ^= value >> np.uint64(29)
+            place = np.searchsorted(self.all_shingles, value)
+            place[place == len(self.all_shingles)] = 0
+            found[at + 1] = self.all_shingles[place] == value
+        return np.cumsum(found)
+
     def _verify(self, hashes, start, n, length, similarity, best) -> None:
         value = int(window_fingerprints(hashes, np.array([start]), n)[0])
         near = self.candidates(value)
