@@ -1,0 +1,367 @@
+"""Each operator against a brute-force version, over odd rows, and over an empty table."""
+
+import json
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from tokenizers import Tokenizer
+
+from tidemark.llm import (
+    decontaminate,
+    line_dedup,
+    lm,
+    packing,
+    quality,
+    sharding,
+    simhash,
+    suffix,
+    tool_calls,
+    wavelet,
+)
+from tidemark.llm.tokens import Encoder
+
+
+def given(docs):
+    return [(row["doc_id"], row["text"]) for row in docs.collect()]
+
+
+def empty(docs):
+    return docs.where("false")
+
+
+def ids_of(name, text):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+    tokenizer.encode_special_tokens = True
+    ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
+    return np.array(ids, "<u4").tobytes()
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoding_by_pieces_gives_the_ids_of_whole_texts(name):
+    texts = ["a\t b", "x\t\n\nb", "  ", "", "a  b\n\n c ", "don't it's' ' s", "é x, y.", "Σας ΟΔΟΣ"]
+    texts += ["<|endoftext|> a", "a\xa0 b", "end!, no. \nNew", "1234 12,3 $$|b", "x\x1cy z"]
+    coder = Encoder(public_tokenizers.path(name))
+    for _ in range(2):
+        assert [e + b"\2\0\0\0" for e in coder.encode(texts)] == [ids_of(name, t) for t in texts]
+
+
+def test_quality_counts_and_verdicts(docs):
+    found = quality.judge(docs).collect()
+    assert len(found) == len(given(docs))
+    for row in found:
+        text = row["text"] or ""
+        words = text.split()
+        windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+        often = Counter(windows)
+        covered = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(8)}
+        lines = [line for line in text.split("\n") if line.split()]
+        assert row["n_words"] == len(words) and row["word_chars"] == sum(map(len, words))
+        assert row["n_repeat_words"] == len(covered)
+        assert row["n_dup_lines"] == len(lines) - len(set(lines))
+        assert row["base_failed"] == (len(words) < 20 or 100 * len(covered) > 30 * len(words))
+    assert quality.judge(empty(docs)).count() == 0
+
+
+def test_quality_rules_by_line(spark):
+    prose = "This is a quiet line of plain prose, which ends well. " * 3
+    nav, shout = "Home | News | Sport | About | Contact", "BUY!! NOW!! OR!! NEVER!! AGAIN!!"
+    rows = [(1, prose), (2, prose + "\n" + nav), (3, "\n".join([nav] * 9)), (4, "\n".join([shout] * 8))]
+    rows += [(5, prose + "\nWe use cookies, accept all cookies.")]
+    kept = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string"), max_repeat_percent=100).collect()}
+    assert [kept[i]["kept"] for i in range(1, 6)] == [True, True, False, False, True]
+    assert [kept[i]["n_failed_lines"] for i in range(1, 6)] == [0, 1, 9, 8, 1]
+    assert kept[2]["clean_text"] == prose
+
+
+def test_wavelet_matrix_answers_like_the_list():
+    draw = np.random.default_rng(3)
+    for n in (0, 1, 511, 512, 513, 3000):
+        ids = draw.integers(0, 40, n).astype("<u4")
+        matrix = wavelet.WaveletMatrix.build(ids, 6)
+        assert (matrix.decode() == ids).all()
+        assert [matrix.access(i) for i in range(0, n, 7)] == ids[::7].tolist()
+        for value in (0, 7, 63, 64):
+            assert matrix.rank(value, n // 2) == (ids[: n // 2] == value).sum()
+            assert matrix.occurrences(value) == np.flatnonzero(ids == value).tolist()
+    with pytest.raises(IndexError):
+        matrix.select(63, 0)
+
+
+def test_wavelet_files_give_every_document_back(docs):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = sorted(given(docs), key=lambda row: (row[0] is not None, row[0] or 0, row[1] or ""))
+    start, wanted = 0, []
+    for doc_id, text in rows:
+        ids = ids_of("byte_bpe_50k.json", text)
+        wanted.append((doc_id, start, len(ids) // 4, zlib.crc32(ids)))
+        start += len(ids) // 4
+    files = wavelet.write_shards(docs, path, shard_tokens=700)
+    assert files.count() > 3
+    assert sorted(map(tuple, wavelet.read_digests(files).collect()), key=str) == sorted(wanted, key=str)
+    assert wavelet.read_digests(wavelet.write_shards(empty(docs), path)).count() == 0
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_lm_scores(docs, order):
+    texts = [(i, (t or "").lower().split()) for i, t in given(docs)]
+    counts = Counter(tuple(w[k : k + n]) for _, w in texts for n in range(1, order + 1) for k in range(len(w) - n + 1))
+    total = sum(len(w) for _, w in texts)
+
+    def one(words, at, n):
+        gram = tuple(words[at - n + 1 : at + 1])
+        if n == 1:
+            return math.log(counts[gram] / total)
+        if counts[gram] >= 2:
+            return math.log(counts[gram] / counts[gram[:-1]])
+        return math.log(0.4) + one(words, at, n - 1)
+
+    wanted = [(i, len(w), sum(one(w, at, min(order, at + 1)) for at in range(len(w)))) for i, w in texts]
+    found = [(r[0], r[1], r[2]) for r in lm.score(docs, order=order).collect()]
+    for a, b in zip(sorted(wanted, key=str), sorted(found, key=str), strict=True):
+        assert a[:2] == b[:2] and math.isclose(a[2], b[2], rel_tol=1e-9, abs_tol=1e-9)
+    assert lm.score(empty(docs)).count() == 0
+
+
+def lines_left(texts, corpus, least):
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").lower()
+    found = Counter(k for t in corpus for k in {key(line) for line in (t or "").split("\n")} if k)
+    return [[line for line in (t or "").split("\n") if found[key(line)] < least] for t in texts]
+
+
+def test_line_dedup_and_its_undoing(docs):
+    texts = [t for _, t in given(docs)]
+    index = line_dedup.LineIndex(docs.sparkSession, min_documents=10)
+    index.insert(docs)
+    wanted = sorted("\n".join(left) for left in lines_left(texts, texts, 10))
+    assert sorted(r["kept_text"] for r in index.apply(docs).collect()) == wanted
+    before = sorted(map(tuple, index.counts.collect()))
+    more = docs.where("doc_id % 2 = 0")
+    index.insert(more)
+    twice = texts + [r["text"] for r in more.collect()]
+    wanted = sorted("\n".join(left) for left in lines_left(texts, twice, 10))
+    assert sorted(r["kept_text"] for r in index.apply(docs).collect()) == wanted
+    index.delete(more)
+    assert sorted(map(tuple, index.counts.collect())) == before
+    index.delete(docs)
+    assert index.counts.count() == 0
+    assert line_dedup.dedup_lines(empty(docs)).count() == 0
+
+
+def test_cuckoo_filters_never_miss_and_forget_what_is_deleted():
+    draw = np.random.default_rng(5)
+    keys = draw.integers(-(2**62), 2**62, (3000, 2))
+    made = line_dedup.CuckooFilter(64)
+    for hi, lo in keys.tolist():
+        made.insert(hi, lo)
+    made = line_dedup.CuckooFilter.from_bytes(made.to_bytes())
+    assert made.holds(keys[:, 0], keys[:, 1]).all()
+    for hi, lo in keys[:2900].tolist():
+        assert made.delete(hi, lo)
+    assert made.holds(keys[2900:, 0], keys[2900:, 1]).all()
+    assert made.holds(keys[:2900, 0], keys[:2900, 1]).mean() < 0.05
+
+
+def test_suffix_dedup(docs):
+    texts = [(i, (t or "").encode()) for i, t in given(docs)]
+    starts = Counter(data[k : k + 400] for _, data in texts for k in range(len(data) - 399))
+    wanted = []
+    for doc_id, data in texts:
+        gone = np.zeros(len(data), bool)
+        for k in range(len(data) - 399):
+            if starts[data[k : k + 400]] > 1:
+                gone[k : k + 400] = True
+        spans = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
+        wanted.append((doc_id, bytes(b for b, g in zip(data, gone) if not g), spans, int(gone.sum())))
+    found = suffix.remove_repeats(docs, 400).collect()
+    found = [(r["doc_id"], bytes(r["kept"]), len(r["spans"]), r["n_removed"]) for r in found]
+    assert sorted(found, key=str) == sorted(wanted, key=str) and sum(row[3] for row in found) > 0
+    assert suffix.remove_repeats(empty(docs)).count() == 0
+
+
+@pytest.mark.parametrize("symbols", [2, 4, 30])
+def test_suffixes_are_in_order(symbols):
+    draw = np.random.default_rng(symbols)
+    for n in (1, 2, 50, 600):
+        text = draw.integers(0, symbols, n).astype(np.int16)
+        order = suffix.suffix_order(text, symbols, n)
+        assert order.tolist() == sorted(range(n), key=lambda i: text[i:].tolist())
+
+
+def test_queues_spill_and_keep_their_order():
+    queues = suffix.Queues(bound=64)
+    for at in range(0, 100, 10):
+        queues.push(np.array([1, 0, 1] * 3 + [0]), np.arange(at, at + 10))
+    assert queues.file is not None
+    assert queues.pop(0).tolist() == [k for k in range(100) if k % 10 in (1, 4, 7, 9)]
+
+
+def test_decontamination(spark, docs):
+    item = " ".join(f"item{k}" for k in range(20))
+    near = item.replace("item19", "other")
+    half = " ".join(item.split()[:10])
+    rows = [(1, f"Before {item.upper()}, after."), (2, f"x {near} y"), (3, half), (4, None), (5, item)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (8, None), (9, "too short"), (None, item)], "item_id long, text string")
+    found = {r["doc_id"]: r["leaks"] for r in decontaminate.find_leaks(texts, items).collect()}
+    assert [len(found[i]) for i in range(1, 6)] == [1, 1, 0, 0, 1]
+    assert found[1][0]["item_id"] == 7 and found[1][0]["start"] == 1 and found[1][0]["similarity"] == 1.0
+    assert found[2][0]["similarity"] == 15 / 17
+    assert decontaminate.find_leaks(empty(docs), items).count() == 0
+    assert decontaminate.find_leaks(docs, items.where("false")).where("size(leaks) > 0").count() == 0
+
+
+def test_multi_index_finds_all_within_the_radius():
+    draw = np.random.default_rng(2)
+    items = [(k, " ".join(f"a{x}" for x in draw.integers(0, 50, 30))) for k in range(50)]
+    index = decontaminate.ItemIndex(items, 5, 23)
+    for value in draw.integers(0, 2**63, 30).tolist() + index.prints.tolist():
+        near = np.flatnonzero(np.bitwise_count(index.prints ^ np.uint64(value)) <= 23)
+        assert index.candidates(value).tolist() == near.tolist()
+
+
+def fingerprint(text):
+    words = (text or "").encode().lower().split()
+    found = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(one, 42) for one in found]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_components(spark, docs):
+    rows = given(docs)
+    prints = [fingerprint(text) for _, text in rows]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i, a in enumerate(prints):
+            for k, b in enumerate(prints):
+                if (a ^ b).bit_count() <= 2:
+                    root[i] = min(root[i], root[k])
+    least = {}
+    for (doc_id, _), r in zip(rows, root):
+        least[r] = min([x for x in (least.get(r), doc_id) if x is not None], default=None)
+    wanted = [(i, f"{p:016x}", least[r]) for (i, _), p, r in zip(rows, prints, root)]
+    found = list(map(tuple, simhash.near_components(docs).collect()))
+    assert sorted(found, key=str) == sorted(wanted, key=str)
+    kept = simhash.keep_one_each(docs)
+    assert kept.columns == docs.columns and kept.count() == len(set(root))
+    assert simhash.near_components(empty(docs)).count() == 0
+
+
+def test_near_links_join_a_chain_of_fingerprints(spark):
+    from tidemark.llm.components import connected_components
+
+    draw = np.random.default_rng(1)
+    values, one = [], 0
+    for _ in range(60):
+        one ^= 1 << int(draw.integers(0, 64)) | 1 << int(draw.integers(0, 64))
+        values.append(one - (1 << 64) if one >> 63 else one)
+    frame = spark.createDataFrame([(v,) for v in set(values)], "fingerprint_bits long")
+    roots = connected_components(simhash.near_links(frame, 2)).collect()
+    assert {r["root"] for r in roots} == {min(values)} and len(roots) == len(set(values))
+
+
+def test_differencing_is_a_partition_and_tight():
+    draw = np.random.default_rng(4)
+    sizes = draw.integers(1, 10_000, 500).tolist()
+    shard_of, totals = sharding.difference(sizes, 16)
+    assert [sum(s for s, k in zip(sizes, shard_of) if k == n) for n in range(16)] == totals
+    assert max(totals) - min(totals) < 10
+    assert sharding.difference([8, 7, 6, 5, 4], 2)[1] in ([16, 14], [14, 16])
+    assert sharding.difference([], 3)[1] == [0, 0, 0]
+
+
+def test_sharding(docs):
+    rows = Counter(given(docs))
+    found = sharding.shard_documents(docs).collect()
+    assert len(found) == sum(rows.values()) and {r["law"] for r in found} == {"bytes"}
+    wanted = sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t in given(docs))
+    assert sorted((r["size"], r["text_crc32"]) for r in found) == wanted
+    assert max(Counter(c for c, _ in {(r["text_crc32"], r["shard"]) for r in found}).values()) == 1
+    for shard in range(16):
+        slots = sorted(r["slot"] for r in found if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+    assert sharding.shard_documents(empty(docs)).count() == 0
+
+
+def calls_of(spark):
+    calls = [
+        (1, "a", 0, "add", '{"x":1,"y":2}', []),
+        (1, "b", 2, "add", '{"y":"2"}', ["a"]),
+        (1, "c", 4, "add", "no json", ["b", "a"]),
+        (1, "a", 6, "add", "{}", []),
+        (2, "p", 0, "add", '{"x":1,"y":2,"z":3}', ["q"]),
+        (2, "q", 1, "none", None, ["p"]),
+        (None, None, 0, "add", '{"y":1,"x":0}', ["gone"]),
+    ]
+    results = [(1, "a", 1, "3"), (1, "b", 3, None), (9, "z", 1, "lost"), (None, None, 1, "one")]
+    return (
+        spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>"),
+        spark.createDataFrame(results, "conv_id long, call_id string, turn long, content string"),
+    )
+
+
+def test_tool_calls(spark):
+    number = {"type": "integer", "minimum": 1}
+    schema = {"properties": {"x": number, "y": number}, "required": ["x", "y"], "additionalProperties": False}
+    calls, results = calls_of(spark)
+    found = {(r["conv_id"], r["call_id"]): r for r in tool_calls.link_calls(calls, results, {"add": schema}).collect()}
+    assert {key: (r["level"], r["status"], r["repeats"]) for key, r in found.items()} == {
+        (1, "a"): (0, "answered", 1),
+        (1, "b"): (1, "answered", 0),
+        (1, "c"): (2, "unanswered", 0),
+        (2, "p"): (None, "unanswered", 0),
+        (2, "q"): (None, "unanswered", 0),
+        (None, None): (0, "answered", 0),
+        (9, "z"): (None, "orphan", 0),
+    }
+    assert found[1, "a"]["error"] is None
+    assert found[1, "a"]["json"] == '{"arguments":{"x":1,"y":2},"depends_on":[],"id":"a","name":"add","result":"3"}'
+    assert found[1, "b"]["error"] == "$.x: missing; $.y: not of type integer"
+    assert found[1, "c"]["error"] == "$: no JSON"
+    assert found[2, "p"]["error"] == "$.z: unknown; depends on itself"
+    assert found[2, "q"]["error"] == "no schema for this tool; depends on itself"
+    assert found[None, None]["error"] == "$.x: below the minimum; depends on a missing call: gone"
+    assert json.loads(found[9, "z"]["json"]) == {"id": "z", "result": "lost"}
+    assert tool_calls.link_calls(calls.where("false"), results.where("false"), {}).count() == 0
+
+
+def test_patterns_cover_each_piece_once():
+    draw = np.random.default_rng(6)
+    for n in (1, 30, 5000):
+        histogram = dict(Counter(draw.integers(1, 257, n).tolist()))
+        plan = packing.plan_patterns(histogram, 256)
+        dealt = Counter()
+        for pattern, times in plan:
+            assert sum(size * per for size, per in pattern.items()) <= 256
+            for size, per in pattern.items():
+                dealt[size] += per * times
+        assert dealt == histogram
+        total = sum(size * k for size, k in histogram.items())
+        # No packing takes fewer: the tokens need room, and two large pieces never meet.
+        least = max(total / 256, sum(k for size, k in histogram.items() if size > 128))
+        assert sum(times for _, times in plan) <= 1.02 * least + 2
+    assert packing.plan_patterns({}, 256) == []
+
+
+def test_packing(docs):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    found = packing.pack(docs, path, sequence_tokens=64).collect()
+    ids = {key: ids_of("word_bpe_49k.json", key[1]) for key in given(docs)}
+    assert sum(r["length"] for r in found) == sum(len(ids[key]) // 4 for key in given(docs))
+    by_id = {key[0]: ids[key] for key in ids if key[0] is not None}
+    for row in found:
+        if row["doc_id"] is not None:
+            data = by_id[row["doc_id"]]
+            piece = data[4 * row["start"] : 4 * (row["start"] + row["length"])]
+            assert zlib.crc32(piece) == row["ids_crc32"] and row["doc_tokens"] == len(data) // 4
+    ends = {}
+    for row in sorted(found, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert row["offset"] == ends.get(row["sequence_id"], 0)
+        ends[row["sequence_id"]] = row["offset"] + row["length"]
+    assert max(ends.values()) <= 64 and sorted(ends) == list(range(len(ends)))
+    assert packing.pack(empty(docs), path).count() == 0
+
