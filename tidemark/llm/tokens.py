@@ -8,7 +8,7 @@ import re
 from array import array
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 # Encoded pieces one worker remembers before it starts anew: about 150 MB.
 KNOWN_PIECES = 600_000
@@ -24,14 +24,18 @@ def encoder(path: str) -> "Encoder":
 
 
 class Encoder:
-    """Encodes texts piece by piece and remembers the pieces.
+    """Encodes texts word by word and remembers the words.
 
     Texts are cut where the tokenizer itself never merges across: before white space for a
     byte-level tokenizer that splits words, at white space for one that drops it, and between
-    a word of letters and the full stop or comma that ends it. New pieces are encoded many in
-    one text, set apart by white space. Texts with white space of other kinds, and tokenizers
-    of other kinds, are encoded whole. The ids are those of the whole text in each case.
-    Special tokens written out in a text are plain text.
+    a word of letters and the full stop or comma that ends it. New words are encoded many in
+    one text. Words of letters are told apart there by the tokens that only begin, or only
+    end, a word; others by a separator that none of them holds. Texts with white space of
+    other kinds, and tokenizers of other kinds, are encoded whole. The ids are those of the
+    whole text in each case. Special tokens written out in a text are plain text.
+
+    For a byte-level tokenizer a word stands for itself after one blank, or for itself if it
+    begins with a line end; what follows a tab stands as it is.
     """
 
     def __init__(self, path: str):
@@ -43,16 +47,30 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             layout = json.load(file)
         splitter, normalizer = layout.get("pre_tokenizer") or {}, layout.get("normalizer") or {}
-        self.cut = self.odd = None
-        self.drops = _drops_space(splitter) and _keeps_words_apart(normalizer)
+        suffix = layout["model"].get("end_of_word_suffix")
+        self.cut = None
+        self.drops = bool(suffix) and _drops_space(splitter) and _keeps_words_apart(normalizer)
         if self.drops:
-            # The tokenizer lower-cases anyway; doing so for A-Z first makes pieces alike.
-            self.cut = lambda text: text.encode().lower().decode().split()
-            self.odd = re.compile(r"[\x1c-\x1f]")
-        elif splitter.get("type") == "ByteLevel" and not normalizer:
+            self.cut, self.between = _lower_words, " \x01 "
+            self.last_letter = "\x7f"  # beyond ASCII the normalizer may change a word
+        elif splitter.get("type") == "ByteLevel" and not normalizer and not suffix:
             if splitter.get("use_regex") and not splitter.get("add_prefix_space"):
-                self.cut = re.compile(r"[ \n]*[^ \n]+|[ \n]+$").findall
-                self.odd = re.compile(r"[^\S \n]")
+                self.cut, self.between = _spaced_words, "\t"
+                self.last_letter = "\u04ff"
+        if self.cut:
+            (self.separator,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
+            self.letters = Tokenizer.from_file(path)
+            self.letters.normalizer = normalizers.Sequence([])
+            self.letters.pre_tokenizer = pre_tokenizers.Sequence(
+                [
+                    pre_tokenizers.WhitespaceSplit(),
+                    pre_tokenizers.ByteLevel(add_prefix_space=not self.drops, use_regex=False),
+                ]
+            )
+            # Which tokens end a word, or which begin one: a blank is written as this letter.
+            self.edge = np.zeros(self.vocabulary, bool)
+            for token, at in layout["model"]["vocab"].items():
+                self.edge[at] = token.endswith(suffix) if self.drops else token[0] == "\u0120"
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -60,42 +78,64 @@ class Encoder:
             return self._direct(texts)
         if len(self.known) > KNOWN_PIECES:
             self.known.clear()
-        plain = [not self.odd.search(text) for text in texts]
-        pieces = [self.cut(text) if ok else [] for text, ok in zip(texts, plain)]
-        self._learn(set().union(*pieces).difference(self.known))
-        whole = iter(self._direct([text for text, ok in zip(texts, plain) if not ok]))
+        rows = [self.cut(text) for text in texts]
+        self._learn(set().union(*filter(None, rows)).difference(self.known))
+        whole = iter(self._direct([text for text, row in zip(texts, rows) if row is None]))
         ids = self.known.__getitem__
-        return [
-            b"".join(map(ids, row)) if ok else next(whole) for row, ok in zip(pieces, plain)
-        ]
+        return [next(whole) if row is None else b"".join(map(ids, row)) for row in rows]
 
     def _learn(self, new: set[str]) -> None:
-        stems = {p: p[:-1] for p in new if p[-1] in ".," and p[:-1].lstrip(" \n").isalpha()}
-        wanted = new.difference(stems)
-        wanted.update(stem for stem in stems.values() if stem not in self.known)
-        wanted.update(mark for mark in (".", ",") if mark not in self.known)
-        easy = [p for p in wanted if self.drops or not _leads_with_run(p)]
-        self.known.update(zip(easy, self._together(easy)))
-        others = [p for p in wanted if not self.drops and _leads_with_run(p)]
-        self.known.update(zip(others, self._direct(others)))
-        for piece, stem in stems.items():
-            self.known[piece] = self.known[stem] + self.known[piece[-1]]
-
-    def _together(self, pieces: list[str]) -> list[bytes]:
-        """Pieces encoded as one text; each token belongs to the piece in which it starts."""
-        if not pieces:
+        stems, plain, mixed, odd = {}, set(), [], []
+        for word in new:
+            stem = word[:-1] if word[-1] in ".," else word
+            if stem.isalpha() and (stem.isascii() or max(stem) <= self.last_letter):
+                if stem is not word:
+                    stems[word] = stem
+                if stem not in self.known:
+                    plain.add(stem)
+            elif self._alone(word):
+                odd.append(word)
+            else:
+                mixed.append(word)
+        self.known.update(zip(plain, self._letters(list(plain))))
+        self.known.update(zip(mixed, self._together([self._written(word) for word in mixed])))
+        self.known.update(zip(odd, self._direct([self._written(word) for word in odd])))
+        marks = dict(zip(".,", self._direct([".", ","])))
+        for word, stem in stems.items():
+            self.known[word] = self.known[stem] + marks[word[-1]]
+
+    def _written(self, word: str) -> str:
+        """What a word stands for."""
+        if self.drops or word[0] == "\n":
+            return word
+        return word[1:] if word[0] == "\t" else " " + word
+
+    def _alone(self, word: str) -> bool:
+        """Whether a word would not stay apart from others in one text."""
+        if self.drops:
+            return "\x01" in word
+        text = self._written(word)
+        return not text or text[0] == "\n" or text[:2] in ("  ", " \n") or text[-1] in " \n"
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Words of letters encoded as one text."""
+        if not words:
             return []
-        between = " " if self.drops else "\t"
-        one = self.tokenizer.encode_batch([between.join(pieces)], add_special_tokens=False)[0]
-        lengths = np.array([len(piece) for piece in pieces])
-        starts = np.cumsum(lengths + 1) - lengths - 1
-        first = np.array([start for start, _ in one.offsets], np.int64)
-        owner = np.searchsorted(starts, first, side="right") - 1
-        inside = first < starts[owner] + lengths[owner]
-        ids, owner = np.array(one.ids, "<u4")[inside], owner[inside]
-        data = ids.tobytes()
-        ends = (4 * np.searchsorted(owner, np.arange(len(pieces)), side="right")).tolist()
-        return [data[start:end] for start, end in zip([0, *ends], ends)]
+        one = self.letters.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
+        ids = np.array(one.ids, "<u4")
+        edges = np.flatnonzero(self.edge[ids])
+        ends = edges + 1 if self.drops else np.append(edges[1:], len(ids))
+        return _slices(ids, np.append(0, ends[:-1]), ends)
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        """Texts encoded as one, with a separator between any two."""
+        if not texts:
+            return []
+        joined = self.between.join(texts)
+        one = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0]
+        ids = np.array(one.ids, "<u4")
+        gaps = np.flatnonzero(ids == self.separator)
+        return _slices(ids, np.append(0, gaps + 1), np.append(gaps, len(ids)))
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         if not texts:
@@ -104,9 +144,37 @@ class Encoder:
         return [array("I", one.ids).tobytes() for one in encoded]
 
 
-def _leads_with_run(piece: str) -> bool:
-    """Whether white space other than one blank begins a piece, or ends it."""
-    return piece[0] == "\n" or piece[:2] in ("  ", " \n") or piece[-1] in " \n"
+def _slices(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    data = ids.tobytes()
+    return [data[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]
+
+
+def _lower_words(text: str) -> list[str] | None:
+    """The words of a text; A-Z are lowered, as the tokenizer would, so that words are alike."""
+    if _SEPARATORS.search(text):
+        return None
+    return text.encode().lower().decode().split()
+
+
+def _spaced_words(text: str) -> list[str] | None:
+    """The words of a text whose white space is blanks and line ends, as ``Encoder`` writes them."""
+    if not text or _OTHER_SPACE.search(text):
+        return None
+    if text[0] == " " or text[-1] in " \n" or any(run in text for run in _RUNS):
+        return [
+            word[1:] if word[0] == " " and word[1:2] not in ("", " ", "\n") else "\t" + word
+            for word in _WORDS_AND_SPACE.findall(text)
+        ]
+    words = text.replace("\n", " \n").split(" ")
+    words[0] = "\t" + words[0]
+    return words
+
+
+_SEPARATORS = re.compile(r"[\x1c-\x1f]")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+_WORDS_AND_SPACE = re.compile(r"[ \n]*[^ \n]+|[ \n]+$")
+# White space within which a byte-level tokenizer may merge.
+_RUNS = ("  ", " \n", "\n\n\n", "\n\n ")
 
 
 def _drops_space(splitter: dict) -> bool:
