@@ -8,7 +8,7 @@ import re
 from array import array
 
 import numpy as np
-from tokenizers import Tokenizer, normalizers, pre_tokenizers
+from tokenizers import Tokenizer, pre_tokenizers
 
 # Encoded pieces one worker remembers before it starts anew: about 150 MB.
 KNOWN_PIECES = 600_000
@@ -28,11 +28,11 @@ class Encoder:
 
     Texts are cut where the tokenizer itself never merges across: before white space for a
     byte-level tokenizer that splits words, at white space for one that drops it, and between
-    a word of letters and the full stop or comma that ends it. New words are encoded many in
-    one text. Words of letters are told apart there by the tokens that only begin, or only
-    end, a word; others by a separator that none of them holds. Texts with white space of
-    other kinds, and tokenizers of other kinds, are encoded whole. The ids are those of the
-    whole text in each case. Special tokens written out in a text are plain text.
+    a word of letters and the full stop or comma that ends it. New words of letters go
+    straight to the tokenizer's model, since nothing in them is to be split; other new words
+    are encoded many in one text, between separators that none of them holds. Texts with white
+    space of other kinds, and tokenizers of other kinds, are encoded whole. The ids are those
+    of the whole text in each case. Special tokens written out in a text are plain text.
 
     For a byte-level tokenizer a word stands for itself after one blank, or for itself if it
     begins with a line end; what follows a tab stands as it is.
@@ -52,25 +52,13 @@ class Encoder:
         self.drops = bool(suffix) and _drops_space(splitter) and _keeps_words_apart(normalizer)
         if self.drops:
             self.cut, self.between = _lower_words, " \x01 "
-            self.last_letter = "\x7f"  # beyond ASCII the normalizer may change a word
         elif splitter.get("type") == "ByteLevel" and not normalizer and not suffix:
             if splitter.get("use_regex") and not splitter.get("add_prefix_space"):
                 self.cut, self.between = _spaced_words, "\t"
-                self.last_letter = "\u04ff"
         if self.cut:
             (self.separator,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
-            self.letters = Tokenizer.from_file(path)
-            self.letters.normalizer = normalizers.Sequence([])
-            self.letters.pre_tokenizer = pre_tokenizers.Sequence(
-                [
-                    pre_tokenizers.WhitespaceSplit(),
-                    pre_tokenizers.ByteLevel(add_prefix_space=not self.drops, use_regex=False),
-                ]
-            )
-            # Which tokens end a word, or which begin one: a blank is written as this letter.
-            self.edge = np.zeros(self.vocabulary, bool)
-            for token, at in layout["model"]["vocab"].items():
-                self.edge[at] = token.endswith(suffix) if self.drops else token[0] == "\u0120"
+            self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+            self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -79,30 +67,51 @@ class Encoder:
         if len(self.known) > KNOWN_PIECES:
             self.known.clear()
         rows = [self.cut(text) for text in texts]
-        self._learn(set().union(*filter(None, rows)).difference(self.known))
+        found = [row and list(map(self.known.get, row)) for row in rows]
+        self._learn(
+            {
+                word
+                for row, ids in zip(rows, found)
+                if row
+                for word, one in zip(row, ids)
+                if one is None
+            }
+        )
         whole = iter(self._direct([text for text, row in zip(texts, rows) if row is None]))
-        ids = self.known.__getitem__
-        return [next(whole) if row is None else b"".join(map(ids, row)) for row in rows]
+        known = self.known
+        return [
+            next(whole)
+            if row is None
+            else b"".join([known[word] if one is None else one for word, one in zip(row, ids)])
+            for row, ids in zip(rows, found)
+        ]
 
     def _learn(self, new: set[str]) -> None:
-        stems, plain, mixed, odd = {}, set(), [], []
+        known, marks, parts = self.known, {}, {}
+        mixed, odd = [], []
         for word in new:
             stem = word[:-1] if word[-1] in ".," else word
-            if stem.isalpha() and (stem.isascii() or max(stem) <= self.last_letter):
+            known_stem = known.get(stem) if stem.isascii() else None
+            if stem.isalpha() and (ids := known_stem or self._letters(stem)):
+                known[stem] = ids
                 if stem is not word:
-                    stems[word] = stem
-                if stem not in self.known:
-                    plain.add(stem)
+                    marks[word] = stem
+            elif word[0] == "\n" and word[1:2] not in ("", " ", "\n"):
+                # A lone line end is a token of its own, whatever follows it.
+                parts[word] = "\t" + word[1:]
+                if parts[word] not in known:
+                    mixed.append(parts[word])
             elif self._alone(word):
                 odd.append(word)
             else:
                 mixed.append(word)
-        self.known.update(zip(plain, self._letters(list(plain))))
-        self.known.update(zip(mixed, self._together([self._written(word) for word in mixed])))
-        self.known.update(zip(odd, self._direct([self._written(word) for word in odd])))
-        marks = dict(zip(".,", self._direct([".", ","])))
-        for word, stem in stems.items():
-            self.known[word] = self.known[stem] + marks[word[-1]]
+        known.update(zip(mixed, self._together([self._written(word) for word in mixed])))
+        known.update(zip(odd, self._direct([self._written(word) for word in odd])))
+        stop, comma, line = self._direct([".", ",", "\n"])
+        for word, stem in marks.items():
+            known[word] = known[stem] + (stop if word[-1] == "." else comma)
+        for word, rest in parts.items():
+            known[word] = line + known[rest]
 
     def _written(self, word: str) -> str:
         """What a word stands for."""
@@ -117,15 +126,20 @@ class Encoder:
         text = self._written(word)
         return not text or text[0] == "\n" or text[:2] in ("  ", " \n") or text[-1] in " \n"
 
-    def _letters(self, words: list[str]) -> list[bytes]:
-        """Words of letters encoded as one text."""
-        if not words:
-            return []
-        one = self.letters.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
-        ids = np.array(one.ids, "<u4")
-        edges = np.flatnonzero(self.edge[ids])
-        ends = edges + 1 if self.drops else np.append(edges[1:], len(ids))
-        return _slices(ids, np.append(0, ends[:-1]), ends)
+    def _letters(self, word: str) -> bytes | None:
+        """The ids of a word of letters; None for one of letters beyond U+04FF.
+
+        Up to there all letters have long been assigned, so that all splitters know them.
+        """
+        if not word.isascii():
+            if self.drops:
+                word = self.normalizer.normalize_str(word)
+            if not word.isalpha() or max(word) > "\u04ff":
+                return None
+            word = self.as_bytes.pre_tokenize_str(word)[0][0]
+        # A blank before a word is written as the letter U+0120.
+        tokens = self.model.tokenize(word if self.drops else "\u0120" + word)
+        return array("I", [token.id for token in tokens]).tobytes()
 
     def _together(self, texts: list[str]) -> list[bytes]:
         """Texts encoded as one, with a separator between any two."""
@@ -135,7 +149,9 @@ class Encoder:
         one = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0]
         ids = np.array(one.ids, "<u4")
         gaps = np.flatnonzero(ids == self.separator)
-        return _slices(ids, np.append(0, gaps + 1), np.append(gaps, len(ids)))
+        starts, ends = (4 * np.append(0, gaps + 1)).tolist(), (4 * np.append(gaps, len(ids))).tolist()
+        data = ids.tobytes()
+        return [data[start:end] for start, end in zip(starts, ends)]
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         if not texts:
@@ -144,11 +160,6 @@ class Encoder:
         return [array("I", one.ids).tobytes() for one in encoded]
 
 
-def _slices(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
-    data = ids.tobytes()
-    return [data[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]
-
-
 def _lower_words(text: str) -> list[str] | None:
     """The words of a text; A-Z are lowered, as the tokenizer would, so that words are alike."""
     if _SEPARATORS.search(text):

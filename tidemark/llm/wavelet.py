@@ -69,8 +69,9 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray, width: int) -> "WaveletMatrix":
         zeros, bits, ranks = [], [], []
+        ids = ids.astype(_narrow(width))
         for shift in range(width - 1, -1, -1):
-            plane = (ids >> shift & 1).astype(bool)
+            plane = (ids & ids.dtype.type(1 << shift)) != 0
             packed = np.packbits(plane, bitorder="little")
             padded = np.zeros(-(-max(1, len(packed)) // 64) * 64, np.uint8)
             padded[: len(packed)] = packed
@@ -79,7 +80,7 @@ class WaveletMatrix:
             zeros.append(int(len(ids) - before[-1]))
             bits.append(packed.tobytes())
             ranks.append(before.tobytes())
-            ids = np.concatenate([ids[~plane], ids[plane]])
+            ids = np.concatenate([np.compress(~plane, ids), np.compress(plane, ids)])
         return cls(len(ids), zeros, bits, ranks)
 
     def _bit(self, level: int, at: int) -> int:
@@ -147,15 +148,21 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids: the planes are undone from the lowest to the highest."""
-        ids = np.zeros(self.n, "<u4")
+        kind = _narrow(len(self.zeros))
+        ids = np.zeros(self.n, kind)
         for level in range(len(self.zeros) - 1, -1, -1):
             packed = np.frombuffer(self.bits[level], np.uint8)
-            plane = np.unpackbits(packed, count=self.n, bitorder="little").astype(bool)
-            above = np.empty(self.n, "<u4")
-            above[~plane] = ids[: self.zeros[level]]
-            above[plane] = ids[self.zeros[level] :] | np.uint32(1 << len(self.zeros) - 1 - level)
+            plane = np.unpackbits(packed, count=self.n, bitorder="little").view(bool)
+            above, zeros = np.empty(self.n, kind), self.zeros[level]
+            above[np.flatnonzero(~plane)] = ids[:zeros]
+            above[np.flatnonzero(plane)] = ids[zeros:] | kind(1 << len(self.zeros) - 1 - level)
             ids = above
-        return ids
+        return ids.astype("<u4")
+
+
+def _narrow(width: int) -> type:
+    """The number type for ids of so many bits."""
+    return np.uint16 if width <= 16 else np.uint32
 
 
 def write_shards(
