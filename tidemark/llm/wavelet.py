@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import batches_of, rows_of, tasks_for
@@ -211,21 +211,25 @@ def write_shards(
 
 def read_documents(files: DataFrame) -> DataFrame:
     """Every document of a file table: doc_id, start, n_tokens and its ids as bytes."""
+    return _placed(files, F.col("ids"))
+
+
+def read_digests(files: DataFrame) -> DataFrame:
+    """As ``read_documents``, with the CRC-32 of each document's ids in their place."""
+    return _placed(files, F.crc32("ids").alias("ids_crc32"))
+
+
+def _placed(files: DataFrame, result: Column) -> DataFrame:
+    """``result`` of every document and where it starts; only that is shuffled."""
     parts = files.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(
         "part", F.coalesce(F.sum("part_tokens").over(before), F.lit(0)).alias("part_start")
     )
     decoded = files.mapInArrow(_decode, "part int, doc_id long, first_token long, n_tokens long, ids binary")
-    return decoded.join(offsets, "part").select(
-        "doc_id", (F.col("part_start") + F.col("first_token")).alias("start"), "n_tokens", "ids"
-    )
-
-
-def read_digests(files: DataFrame) -> DataFrame:
-    """As ``read_documents``, with the CRC-32 of each document's ids in their place."""
-    parts = read_documents(files)
-    return parts.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    rows = decoded.select("part", "doc_id", "first_token", "n_tokens", result)
+    start = (F.col("part_start") + F.col("first_token")).alias("start")
+    return rows.join(offsets, "part").select("doc_id", start, "n_tokens", rows.columns[-1])
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
