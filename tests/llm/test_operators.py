@@ -45,6 +45,7 @@ def ids_of(name, text):
 def test_encoding_by_pieces_gives_the_ids_of_whole_texts(name):
     texts = ["a\t b", "x\t\n\nb", "  ", "", "a  b\n\n c ", "don't it's' ' s", "é x, y.", "Σας ΟΔΟΣ"]
     texts += ["<|endoftext|> a", "a\xa0 b", "end!, no. \nNew", "1234 12,3 $$|b", "x\x1cy z"]
+    texts += ["İ İ. b", "\na\n\nb", "a\n b \x01 c\x01", "Жук, жук. ß क़. 日本."]
     coder = Encoder(public_tokenizers.path(name))
     for _ in range(2):
         assert [e + b"\2\0\0\0" for e in coder.encode(texts)] == [ids_of(name, t) for t in texts]
