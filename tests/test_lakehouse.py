@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.sources import (
+    ConcurrentChange,
     Lakehouse,
     RejectedRows,
     SnapshotNotFound,
@@ -16,8 +17,8 @@ SAMPLE = json.dumps(
     {
         "type": "struct",
         "fields": [
-            {"id": 1, "name": "id", "type": "long", "required": True},
-            {"id": 2, "name": "data", "type": "string", "required": False},
+            {"id": 4, "name": "shelf", "type": "long", "required": True},
+            {"id": 6, "name": "label", "type": "string", "required": False},
         ],
     }
 )
@@ -29,36 +30,24 @@ def rows_of(frame):
 
 def test_creating_a_table_shows_in_both_registries_and_it_can_be_selected(spark, lake, namespace):
     assert lake.create_namespace(namespace, '{"team": "a\'b", "size": 3}') == namespace
-    lake.create_table(namespace, "test", SAMPLE)
-    fields = spark.sql(
-        f"""
-        SELECT field_name, field_type FROM test_catalog.table_schemas
-        WHERE table_uuid = (
-            SELECT table_uuid FROM test_catalog.tables_internal
-            WHERE namespace = '{namespace}' AND table_name = 'test'
-        )
-        ORDER BY field_position
-        """
-    )
-    assert [tuple(row) for row in fields.collect()] == [("id", "long"), ("data", "string")]
-    located = spark.sql(
-        f"""
-        SELECT metadata_location IS NOT NULL AS metadata_location_set
-        FROM test_catalog.tables_internal
-        WHERE namespace = '{namespace}' AND table_name = 'test'
-        """
-    )
-    assert rows_of(located) == [(True,)]
+    made = lake.create_table(namespace, "test", SAMPLE)
+    # The names of both relations and of their columns.
+    declared = spark.table("test_catalog.table_schemas").where(F.col("table_uuid") == made.table_uuid)
+    declared = declared.select("field_position", "field_name", "field_type")
+    assert rows_of(declared) == [(1, "shelf", "long"), (2, "label", "string")]
+    listed = spark.table("test_catalog.tables_internal").where(F.col("namespace") == namespace)
+    listed = listed.select("table_name", "table_uuid", "metadata_location")
+    assert rows_of(listed) == [("test", made.table_uuid, made.metadata_location)]
     selected = spark.sql(f"SELECT * FROM {namespace}.test")
-    assert selected.columns == ["id", "data"] and selected.count() == 0
+    assert selected.columns == ["shelf", "label"] and selected.count() == 0
     properties = spark.sql(f"DESCRIBE NAMESPACE EXTENDED {namespace}").collect()
     assert any("a'b" in str(row) for row in properties)
 
 
 def test_appends_and_pinned_reads(spark, lake, namespace):
     empty = lake.create_table(namespace, "t", SAMPLE)
-    first = lake.append(namespace, "t", spark.sql("SELECT 1 AS id, 'x' AS data")).state
-    second = lake.append(namespace, "t", spark.sql("SELECT 2 AS id, NULL AS data")).state
+    first = lake.append(namespace, "t", spark.sql("SELECT 1 AS shelf, 'x' AS label")).state
+    second = lake.append(namespace, "t", spark.sql("SELECT 2 AS shelf, NULL AS label")).state
     assert (first.snapshot_seq, second.snapshot_seq, second.total_rows) == (1, 2, 2)
     read = lambda state: rows_of(lake.scan(namespace, "t", state.metadata_location))
     assert read(empty) == []
@@ -77,51 +66,51 @@ def test_appends_and_pinned_reads(spark, lake, namespace):
 
 def test_a_pinned_read_prunes_by_snapshot_and_reads_only_named_columns(spark, lake, namespace):
     lake.create_table(namespace, "t", SAMPLE)
-    state = lake.append(namespace, "t", spark.sql("SELECT 1 AS id, 'x' AS data")).state
-    plan = lake.scan_state(state).where("id = 1").select("id")
+    state = lake.append(namespace, "t", spark.sql("SELECT 1 AS shelf, 'x' AS label")).state
+    plan = lake.scan_state(state).where("shelf = 1").select("shelf")
     text = plan._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     )
     assert "PartitionFilters: [isnotnull(snapshot_seq" in text
-    assert "PushedFilters: [IsNotNull(id), EqualTo(id,1)]" in text
-    assert "ReadSchema: struct<id:bigint>" in text
+    assert "PushedFilters: [IsNotNull(shelf), EqualTo(shelf,1)]" in text
+    assert "ReadSchema: struct<shelf:bigint>" in text
 
 
 def test_a_view_follows_the_newest_snapshot_and_still_prunes(spark, lake, namespace):
     lake.create_table(namespace, "t", SAMPLE)
-    view = f"SELECT id FROM {namespace}.t WHERE data = 'x'"
+    view = f"SELECT shelf FROM {namespace}.t WHERE label = 'x'"
     for number in (1, 2):
-        lake.append(namespace, "t", spark.sql("SELECT 1 AS id, 'x' AS data"))
+        lake.append(namespace, "t", spark.sql("SELECT 1 AS shelf, 'x' AS label"))
         assert spark.sql(view).count() == number
     plan = spark.sql(view)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(snapshot_seq" in plan and "Subquery" in plan
-    assert "PushedFilters: [IsNotNull(data), EqualTo(data,x)]" in plan
+    assert "PushedFilters: [IsNotNull(label), EqualTo(label,x)]" in plan
 
 
 def test_a_refused_append_publishes_nothing_and_can_be_run_again(spark, lake, namespace):
     lake.create_table(namespace, "t", SAMPLE)
-    lake.append(namespace, "t", spark.sql("SELECT 1 AS id, 'x' AS data"))
-    bad = spark.createDataFrame([("2", "y"), ("two", "z"), (None, "w")], "id string, data string")
+    lake.append(namespace, "t", spark.sql("SELECT 1 AS shelf, 'x' AS label"))
+    bad = spark.createDataFrame([("2", "y"), ("two", "z"), (None, "w")], "shelf string, label string")
     with pytest.raises(RejectedRows) as refused:
         lake.append(namespace, "t", bad)
     assert refused.value.rejected == 2
-    assert refused.value.counts == {"id: lost in cast": 1, "id: required is null": 1}
+    assert refused.value.counts == {"shelf: lost in cast": 1, "shelf: required is null": 1}
     assert rows_of(lake.scan(namespace, "t")) == [(1, "x")]
     split = lake.append(namespace, "t", bad, on_reject="split")
     assert (split.state.snapshot_seq, split.state.total_rows) == (2, 2)
     assert rows_of(lake.scan(namespace, "t")) == [(1, "x"), (2, "y")]
-    reasons = {row["data"]: row["_problems"] for row in split.rejects.collect()}
-    assert reasons == {"z": ["id: lost in cast"], "w": ["id: required is null"]}
+    reasons = {row["label"]: row["_problems"] for row in split.rejects.collect()}
+    assert reasons == {"z": ["shelf: lost in cast"], "w": ["shelf: required is null"]}
 
 
 def test_files_an_append_left_behind_are_never_read(spark, lake, namespace):
     lake.create_table(namespace, "t", SAMPLE)
-    state = lake.append(namespace, "t", spark.sql("SELECT 1 AS id, 'x' AS data")).state
-    stray = spark.sql("SELECT 7 AS id, 'dead' AS data").withColumn("id", F.col("id").cast("long"))
+    state = lake.append(namespace, "t", spark.sql("SELECT 1 AS shelf, 'x' AS label")).state
+    stray = spark.sql("SELECT 7 AS shelf, 'dead' AS label").withColumn("shelf", F.col("shelf").cast("long"))
     stray.write.parquet(f"{state.table_path}/snapshot_seq=2")
     assert rows_of(lake.scan(namespace, "t")) == [(1, "x")]
     assert rows_of(spark.sql(f"SELECT * FROM {namespace}.t")) == [(1, "x")]
-    lake.append(namespace, "t", spark.sql("SELECT 2 AS id, 'y' AS data"))
+    lake.append(namespace, "t", spark.sql("SELECT 2 AS shelf, 'y' AS label"))
     assert rows_of(lake.scan(namespace, "t")) == [(1, "x"), (2, "y")]
 
 
@@ -136,9 +125,9 @@ def test_a_creation_that_never_finished_can_be_run_again(spark, lake, namespace)
 
 def test_another_session_object_finds_the_same_tables(spark, lake, namespace):
     lake.create_table(namespace, "t", SAMPLE)
-    lake.append(namespace, "t", spark.sql("SELECT 1 AS id, 'x' AS data"))
+    lake.append(namespace, "t", spark.sql("SELECT 1 AS shelf, 'x' AS label"))
     spark.sql(f"DROP VIEW {namespace}.t")
-    lake.append(namespace, "t", spark.sql("SELECT 2 AS id, 'y' AS data"))
+    lake.append(namespace, "t", spark.sql("SELECT 2 AS shelf, 'y' AS label"))
     assert spark.table(f"{namespace}.t").count() == 2
     spark.sql(f"DROP VIEW {namespace}.t")
     again = Lakehouse(spark, lake.root, "test_catalog")
@@ -155,10 +144,10 @@ def test_names_that_could_leave_their_folder_are_refused(lake, namespace):
 def test_columns_must_match_the_declaration(spark, lake, namespace):
     lake.create_table(namespace, "t", SAMPLE)
     with pytest.raises(ValueError, match="not declared"):
-        lake.append(namespace, "t", spark.sql("SELECT 1 AS id, 2 AS other"))
+        lake.append(namespace, "t", spark.sql("SELECT 1 AS shelf, 2 AS other"))
     with pytest.raises(ValueError, match="absent"):
-        lake.append(namespace, "t", spark.sql("SELECT 'x' AS data"))
-    lake.append(namespace, "t", spark.sql("SELECT 1 AS id"))
+        lake.append(namespace, "t", spark.sql("SELECT 'x' AS label"))
+    lake.append(namespace, "t", spark.sql("SELECT 1 AS shelf"))
     assert rows_of(lake.scan(namespace, "t")) == [(1, None)]
 
 
@@ -248,11 +237,57 @@ def test_uuid_and_fixed_lengths_are_checked(spark):
 
 def test_values_that_a_cast_would_round_are_refused_unless_allowed(spark, lake, namespace):
     lake.create_table(namespace, "t", SAMPLE)
-    rows = spark.sql("SELECT 1.7D AS id, 'x' AS data UNION ALL SELECT 2.0D, 'y'")
+    rows = spark.sql("SELECT 1.7D AS shelf, 'x' AS label UNION ALL SELECT 2.0D, 'y'")
     with pytest.raises(RejectedRows):
         lake.append(namespace, "t", rows)
     done = lake.append(namespace, "t", rows, on_reject="split")
     assert rows_of(lake.scan(namespace, "t")) == [(2, "y")]
-    assert [row["id"] for row in done.rejects.collect()] == [1.7]
+    assert [row["shelf"] for row in done.rejects.collect()] == [1.7]
     lake.append(namespace, "t", rows, lossy="allow")
     assert rows_of(lake.scan(namespace, "t")) == [(1, "x"), (2, "y"), (2, "y")]
+
+
+def test_of_two_appends_at_once_the_second_fails_and_loses_nothing(
+    spark, lake, namespace, monkeypatch
+):
+    before = lake.create_table(namespace, "t", SAMPLE)
+    lake.append(namespace, "t", spark.sql("SELECT 1 AS shelf, 'x' AS label"))
+    late = spark.sql("SELECT 2 AS shelf, 'y' AS label")
+    with monkeypatch.context() as patch:
+        patch.setattr(lake, "state", lambda *_: before)
+        with pytest.raises(ConcurrentChange):
+            lake.append(namespace, "t", late)
+    assert rows_of(lake.scan(namespace, "t")) == [(1, "x")]
+    lake.append(namespace, "t", late)
+    assert rows_of(lake.scan(namespace, "t")) == [(1, "x"), (2, "y")]
+
+
+def test_a_claim_keeps_others_out_until_it_is_taken_over(spark, lake, namespace):
+    lake.create_table(namespace, "t", SAMPLE)
+    rows = spark.sql("SELECT 1 AS shelf, 'x' AS label")
+    lake._claim(lake.state(namespace, "t"), take_over=False)  # an append that is killed
+    with pytest.raises(ConcurrentChange, match="under way"):
+        lake.append(namespace, "t", rows)
+    lake.append(namespace, "t", rows, take_over=True)
+    assert rows_of(lake.scan(namespace, "t")) == [(1, "x")]
+
+
+def test_of_two_index_events_at_once_the_second_fails(lake, namespace, monkeypatch):
+    lake.create_table(namespace, "t", SAMPLE)
+    event = dict.fromkeys(lake.index_events().columns) | {"event": "drop", "index_name": "a"}
+    lake.record_index_event(namespace, "t", event)
+    monkeypatch.setattr(lake, "_last", lambda *_: 0)
+    with pytest.raises(ConcurrentChange):
+        lake.record_index_event(namespace, "t", event | {"index_name": "b"})
+    names = lake.index_events_of(namespace, "t").select("index_name")
+    assert rows_of(names) == [("a",)]
+
+
+def test_a_pinned_scan_lists_no_later_snapshot(spark, lake, namespace):
+    lake.create_table(namespace, "t", SAMPLE)
+    first = lake.append(namespace, "t", spark.sql("SELECT 1 AS shelf, 'x' AS label")).state
+    for _ in range(3):
+        lake.append(namespace, "t", spark.sql("SELECT 2 AS shelf, 'y' AS label"))
+    files = lake.scan(namespace, "t", first.metadata_location).inputFiles()
+    assert {file.split("/")[-2] for file in files} == {"snapshot_seq=0", "snapshot_seq=1"}
+    assert lake.state(namespace, "t").snapshot_seq == 4

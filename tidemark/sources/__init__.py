@@ -2,6 +2,7 @@ from tidemark.sources.conform import PROBLEMS, Conformed, conform
 from tidemark.sources.documents import SchemaDocumentError, to_document, to_struct
 from tidemark.sources.lakehouse import (
     Appended,
+    ConcurrentChange,
     Lakehouse,
     RejectedRows,
     SnapshotNotFound,
@@ -12,6 +13,7 @@ from tidemark.sources.lakehouse import (
 __all__ = [
     "PROBLEMS",
     "Appended",
+    "ConcurrentChange",
     "Conformed",
     "Lakehouse",
     "RejectedRows",

@@ -3,12 +3,14 @@
 Layout (all Parquet)::
 
     <root>/registry/tables/namespace=<ns>/table_name=<t>/snapshot_seq=<n>/  one row
+    <root>/registry/claims/namespace=<ns>/table_name=<t>/snapshot_seq=<n>/  who writes it
     <root>/registry/indexes/namespace=<ns>/table_name=<t>/event_seq=<n>/    one row
     <root>/data/<ns>/<t>-<uuid>/snapshot_seq=<n>/              rows added by snapshot n
 
 A snapshot becomes visible only when its registry row is written, and published files
 are never rewritten. An append that dies leaves files no read looks at, and running it
-again overwrites exactly those. One writer per table is assumed.
+again overwrites exactly those. An append claims its snapshot before it writes, so of two
+at once at most one goes on and the other fails with ``ConcurrentChange``.
 
 The registry is the durable truth; the session catalog only gets views over it, so that
 ``SELECT * FROM ns.t`` works and any later session can rebuild them. A view looks the newest
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.sources.conform import conform
+from tidemark.sources.conform import Conformed, conform
 from tidemark.sources.documents import to_struct
 
 SNAPSHOT = "snapshot_seq"
@@ -64,7 +66,13 @@ INDEX_EVENTS = _schema(
     largest_partition_rows=T.LongType(),
     recorded_at=T.TimestampType(),
 )
-SEQUENCE = {"tables": SNAPSHOT, "indexes": "event_seq"}
+CLAIM_EVENTS = _schema(
+    snapshot_seq=T.LongType(),
+    token=T.StringType(),
+    held=T.BooleanType(),
+    recorded_at=T.TimestampType(),
+)
+SEQUENCE = {"tables": SNAPSHOT, "indexes": "event_seq", "claims": SNAPSHOT}
 _ADDRESS = _schema(namespace=T.StringType(), table_name=T.StringType())
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
@@ -77,6 +85,10 @@ class SnapshotNotFound(LookupError):
     pass
 
 
+class ConcurrentChange(RuntimeError):
+    """Another writer holds or has taken the number this change was to have."""
+
+
 class RejectedRows(ValueError):
     """An append met rows the schema refuses; ``counts`` says how many failed each check."""
 
@@ -146,9 +158,7 @@ class Lakehouse:
         self._write_empty("indexes", INDEX_EVENTS, namespace, table_name)
         try:
             self._record_snapshot(state, 0, mode="errorifexists")
-        except AnalysisException as problem:
-            if problem.getCondition() != "PATH_ALREADY_EXISTS":
-                raise
+        except ConcurrentChange:
             if self._newest(namespace, table_name) is not None:
                 raise ValueError(f"table {namespace}.{table_name} exists") from None
             self._record_snapshot(state, 0)  # the folder of a creation that never finished
@@ -162,17 +172,32 @@ class Lakehouse:
         rows: DataFrame,
         on_reject: str = "fail",
         lossy: str = "refuse",
+        take_over: bool = False,
     ) -> Appended:
         """Write ``rows`` as the table's next snapshot, in one pass and without a shuffle.
 
         ``on_reject="fail"`` publishes nothing if any row is refused. ``"split"`` publishes
         the good rows and hands back the refused ones as a lazy DataFrame over ``rows``.
-        ``lossy="allow"`` lets casts round values.
+        ``lossy="allow"`` lets casts round values. An append that was killed still holds its
+        claim; ``take_over=True`` goes on in its place, once it is known to be dead.
         """
         if on_reject not in ("fail", "split"):
             raise ValueError(f"on_reject must be 'fail' or 'split', not {on_reject!r}")
         now = self.state(namespace, table_name)
         checked = conform(rows, now.schema, lossy)
+        token = self._claim(now, take_over)
+        try:
+            state = self._write_snapshot(now, checked, rows, on_reject)
+        except BaseException:
+            self._write_claim(now, token, held=False)
+            raise
+        if not self.spark.catalog.tableExists(f"{namespace}.{table_name}"):
+            self._create_table_view(state)
+        return Appended(state, checked.rejects if on_reject == "split" else None)
+
+    def _write_snapshot(
+        self, now: TableState, checked: Conformed, rows: DataFrame, on_reject: str
+    ) -> TableState:
         labels = list(checked.checks)
         seen = Observation()
         counts = [F.count(F.lit(1)).alias("rows"), F.count_if(checked.failed).alias("refused")]
@@ -186,23 +211,45 @@ class Lakehouse:
         if refused and on_reject == "fail":
             by_check = {label: metrics[f"check_{i}"] for i, label in enumerate(labels)}
             raise RejectedRows(
-                f"{namespace}.{table_name}", refused, {k: v for k, v in by_check.items() if v}
+                f"{now.namespace}.{now.table_name}",
+                refused,
+                {k: v for k, v in by_check.items() if v},
             )
         added = metrics["rows"] - refused
-        state = TableState(
-            namespace,
-            table_name,
-            now.table_uuid,
-            number,
-            f"{now.table_path}#{number}",
-            now.table_path,
-            now.schema_document,
-            now.total_rows + added,
+        state = replace(
+            now,
+            snapshot_seq=number,
+            metadata_location=f"{now.table_path}#{number}",
+            total_rows=now.total_rows + added,
         )
-        self._record_snapshot(state, added)
-        if not self.spark.catalog.tableExists(f"{namespace}.{table_name}"):
-            self._create_table_view(state)
-        return Appended(state, checked.rejects if on_reject == "split" else None)
+        self._record_snapshot(state, added, mode="errorifexists")
+        return state
+
+    def _claim(self, now: TableState, take_over: bool) -> str:
+        """Claim the snapshot after ``now``: at most one of several writers gets past this.
+
+        Each writes its claim first and then looks for others', so the later one sees both.
+        """
+        token, number = str(uuid.uuid4()), now.snapshot_seq + 1
+        self._write_claim(now, token, held=True)
+        path = self._event_path("claims", now.namespace, now.table_name)
+        fields = [field for field in CLAIM_EVENTS.fields if field.name != SNAPSHOT]
+        claims = self.spark.read.schema(T.StructType(fields)).parquet(f"{path}/{SNAPSHOT}={number}")
+        found = claims.select("token", "held").collect()
+        given_up = {row["token"] for row in found if not row["held"]}
+        others = {row["token"] for row in found} - given_up - {token}
+        if others and not take_over:
+            problem = f"another append to {now.namespace}.{now.table_name} is under way"
+        elif self._newest(now.namespace, now.table_name).snapshot_seq != now.snapshot_seq:
+            problem = f"{now.namespace}.{now.table_name} has grown since it was looked up"
+        else:
+            return token
+        self._write_claim(now, token, held=False)
+        raise ConcurrentChange(problem)
+
+    def _write_claim(self, now: TableState, token: str, held: bool) -> None:
+        row = {SNAPSHOT: now.snapshot_seq + 1, "token": token, "held": held, "recorded_at": _now()}
+        self._write_event("claims", CLAIM_EVENTS, now.namespace, now.table_name, row, "append")
 
     # -- reads -------------------------------------------------------------------
 
@@ -234,7 +281,10 @@ class Lakehouse:
         """As ``scan_state`` with the partition column and hidden ``_metadata`` still there."""
         schema = T.StructType([*state.schema.fields, T.StructField(SNAPSHOT, T.LongType())])
         reader = self.spark.read.schema(schema).options(**json.loads(file_io_config_json))
-        return reader.parquet(state.table_path).where(F.col(SNAPSHOT) <= state.snapshot_seq)
+        # Folders by name, so that later snapshots are not even listed.
+        folders = [f"{state.table_path}/{SNAPSHOT}={n}" for n in range(state.snapshot_seq + 1)]
+        files = reader.option("basePath", state.table_path).parquet(*folders)
+        return files.where(F.col(SNAPSHOT) <= state.snapshot_seq)
 
     # -- registries as relations -------------------------------------------------
 
@@ -263,25 +313,43 @@ class Lakehouse:
         return self._events_of("indexes", INDEX_EVENTS, namespace, table_name)
 
     def record_index_event(self, namespace: str, table_name: str, event: dict) -> None:
-        last = self.index_events_of(namespace, table_name).agg(F.max("event_seq")).first()[0]
-        row = {**event, "event_seq": (last or 0) + 1, "recorded_at": _now()}
-        self._write_event("indexes", INDEX_EVENTS, namespace, table_name, row)
+        last = self._last("indexes", INDEX_EVENTS, namespace, table_name)
+        row = {**event, "event_seq": last + 1, "recorded_at": _now()}
+        self._write_event("indexes", INDEX_EVENTS, namespace, table_name, row, "errorifexists")
+
+    def _last(self, kind: str, schema: T.StructType, namespace: str, table_name: str) -> int:
+        """The highest number of a table's events, from a listing; no file is opened."""
+        files = self._events_of(kind, schema, namespace, table_name).inputFiles()
+        numbers = [re.search(rf"/{SEQUENCE[kind]}=(\d+)/[^/]*$", file) for file in files]
+        return max((int(found[1]) for found in numbers if found), default=0)
 
     def _newest(
         self, namespace: str, table_name: str, metadata_location: str | None = None
     ) -> TableState | None:
-        events = self._events_of("tables", TABLE_EVENTS, namespace, table_name)
-        if metadata_location is not None:
+        """A state from the one folder that records it, however many others there are."""
+        if metadata_location is None:
+            number = self._last("tables", TABLE_EVENTS, namespace, table_name)
+        else:
             number = metadata_location.rpartition("#")[2]
             number = int(number) if number.isdecimal() else -1
-            events = events.where(
-                (F.col(SNAPSHOT) == number) & (F.col("metadata_location") == metadata_location)
-            )
-        row = events.orderBy(F.desc(SNAPSHOT)).limit(1).collect()
+        path = self._event_path("tables", _checked_name(namespace), _checked_name(table_name))
+        fields = [field for field in TABLE_EVENTS.fields if field.name != SNAPSHOT]
+        reader = self.spark.read.schema(T.StructType(fields))
+        try:
+            events = reader.parquet(f"{path}/{SNAPSHOT}={number}")
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
+            self._events_of("tables", TABLE_EVENTS, namespace, table_name)  # raises without a table
+            return None
+        if metadata_location is not None:
+            events = events.where(F.col("metadata_location") == metadata_location)
+        row = events.limit(1).collect()
         if not row:
             return None
-        fields = TableState.__dataclass_fields__.keys() - {"namespace", "table_name"}
-        return TableState(namespace, table_name, **{name: row[0][name] for name in fields})
+        names = TableState.__dataclass_fields__.keys() - {"namespace", "table_name", SNAPSHOT}
+        values = {name: row[0][name] for name in names}
+        return TableState(namespace, table_name, snapshot_seq=number, **values)
 
     def _record_snapshot(self, state: TableState, added: int, mode: str = "overwrite") -> None:
         row = {
@@ -312,7 +380,13 @@ class Lakehouse:
             if f.name != number
         ]
         path = f"{self._event_path(kind, namespace, table_name)}/{number}={row[number]}"
-        self.spark.range(0, 1, 1, 1).select(*values).write.mode(mode).parquet(path)
+        event = self.spark.range(0, 1, 1, 1).select(*values)
+        try:
+            event.write.mode(mode).parquet(path)
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            raise ConcurrentChange(f"{namespace}.{table_name} already has {path}") from None
 
     def _write_empty(
         self, kind: str, schema: T.StructType, namespace: str, table_name: str
