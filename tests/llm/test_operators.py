@@ -23,6 +23,7 @@ from tidemark.llm import (
     tool_calls,
     wavelet,
 )
+from tidemark.llm.queries import QUERIES
 from tidemark.llm.tokens import Encoder
 
 
@@ -128,6 +129,15 @@ def test_lm_scores(docs, order):
     assert lm.score(empty(docs)).count() == 0
 
 
+def test_lm_query_counts_three_words(spark, tmp_path):
+    """``b c`` occurs four times and ``a b c`` twice, so its last word scores by ``a b``."""
+    texts = ["a b c", "a b c", "x b c", "y b c", "z b d"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r["log_score"] for r in QUERIES["op3_lm_scoring"](spark, str(tmp_path)).collect()}
+    assert math.isclose(found[0], math.log(2 / 15) + math.log(2 / 2) + math.log(2 / 2))
+
+
 def lines_left(texts, corpus, least):
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").lower()
     found = Counter(k for t in corpus for k in {key(line) for line in (t or "").split("\n")} if k)

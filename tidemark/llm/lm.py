@@ -12,8 +12,9 @@ n-gram once, a word pair that every document holds is one row per chunk and make
 hot. Buckets grow in number with the words; chunks are bounded by ``CHUNK_BYTES`` and one
 document. Nothing but the number of words reaches the driver.
 
-N-grams are told by 64-bit hashes. Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased. Null and
-empty texts have no words, score 0.0 and no mean. Repeated rows count as often as they occur
+N-grams are told by 64-bit hashes; buckets are ranges of these, so a chunk's hashes are sent
+in order as differences, like all numbers byte by byte of equal weight and compressed. Words
+are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased. Null and empty texts have no words, score 0.0 and no mean. Repeated rows count as often as they occur
 and each is scored, also without id. Extra columns are not read. Empty tables are fine.
 """
 
@@ -57,6 +58,18 @@ SCORE_SCHEMA = pa.schema(
 )
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers in little room: all lowest bytes, then all second ones and so on, compressed."""
+    planes = numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes()
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = pa.decompress(data[8:], n * width, codec="zstd", asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(width, n).T.copy().view(kind).ravel()
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task, number = TaskContext.get().partitionId(), 0
     ids, lengths, words, numbers, size = [], [], [], {}, 0
@@ -65,7 +78,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = [xxhash.xxh3_64_intdigest(word) for word in numbers]
         return (
             task << 32 | number, len(words), ids, lengths,
-            np.array(hashes, "<u8").tobytes(), np.array(words, "<u4").tobytes(),
+            np.array(hashes, "<u8").tobytes(), _packed(np.array(words, "<u4")),
         )
 
     for doc_id, text in rows_of(batches, "doc_id", "text"):
@@ -85,7 +98,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _grams(vocabulary: bytes, words: bytes, lengths: list[int], order: int) -> list[np.ndarray]:
     """For n = 1, 2, ... the hash of the n-gram that ends at each word; 0 where none does."""
-    word = np.frombuffer(vocabulary, "<u8")[np.frombuffer(words, "<u4")]
+    word = np.frombuffer(vocabulary, "<u8")[_unpacked(words, "<u4")]
     since = np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     found = [_mix(word)]
     for n in range(2, order + 1):
@@ -109,7 +122,8 @@ def _distinct(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
-    return (grams >> np.uint64(20)) % np.uint64(buckets)
+    """The buckets of n-grams, ascending as their hashes are."""
+    return (grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
 
 
 def count_chunks(docs: DataFrame) -> DataFrame:
@@ -127,21 +141,19 @@ def ngram_totals(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
                 batches, "chunk", "doc_words", "vocabulary", "words"
             ):
                 grams, counts = _distinct(_grams(vocabulary, words, lengths, order))
-                bucket = _bucket(grams, buckets)
-                by = np.argsort(bucket, kind="stable")
-                ends = np.searchsorted(bucket[by], np.arange(buckets), side="right")
+                ends = np.searchsorted(_bucket(grams, buckets), np.arange(buckets), side="right")
                 start = 0
                 for number, end in enumerate(ends.tolist()):
                     if end > start:
-                        mine = by[start:end]
-                        yield number, chunk, grams[mine].tobytes(), counts[mine].astype("<u4").tobytes()
+                        steps = np.diff(grams[start:end], prepend=np.uint64(0))
+                        yield number, chunk, _packed(steps), _packed(counts[start:end].astype("<u4"))
                     start = end
 
         yield from batches_of(rows(), GRAM_SCHEMA, weight=lambda row: len(row[2]))
 
     def total(table: pa.Table) -> pa.Table:
-        held = [np.frombuffer(g, "<u8") for g in table.column("grams").to_pylist()]
-        counts = [np.frombuffer(c, "<u4") for c in table.column("counts").to_pylist()]
+        held = [np.cumsum(_unpacked(g, "<u8"), dtype="<u8") for g in table.column("grams").to_pylist()]
+        counts = [_unpacked(c, "<u4") for c in table.column("counts").to_pylist()]
         _, place = np.unique(np.concatenate(held), return_inverse=True)
         sums = np.bincount(place, weights=np.concatenate(counts)).astype("<u8")
         parts = np.split(sums[place], np.cumsum([len(one) for one in held])[:-1])
@@ -149,7 +161,7 @@ def ngram_totals(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
             [
                 table.column("chunk"),
                 table.column("bucket"),
-                pa.array([part.tobytes() for part in parts], pa.binary()),
+                pa.array([_packed(part) for part in parts], pa.binary()),
             ],
             schema=TOTAL_SCHEMA,
         )
@@ -159,7 +171,7 @@ def ngram_totals(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
 
 
 def score(
-    docs: DataFrame, order: int = 2, backoff: float = 0.4, min_count: int = 2
+    docs: DataFrame, order: int = 3, backoff: float = 0.4, min_count: int = 2
 ) -> DataFrame:
     """doc_id, n_words, log_score (natural logarithm, summed) and mean_log_score per word."""
     if order < 1 or not 0 < backoff <= 1:
@@ -180,7 +192,7 @@ def score(
             counts = np.zeros(len(distinct), np.int64)
             bucket = _bucket(distinct, buckets)
             for number, data in by_bucket.items():
-                counts[bucket == number] = np.frombuffer(data, "<u8")
+                counts[bucket == number] = _unpacked(data, "<u8")
             found = [counts[np.searchsorted(distinct, g).clip(0, max(0, len(distinct) - 1))] if len(distinct) else g for g in grams]
             scores = _score(grams, found, n_all, backoff, min_count)
             owner = np.repeat(np.arange(len(lengths)), lengths)

@@ -37,7 +37,7 @@ def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(documents(spark, sf_dir), order=2, backoff=0.4, min_count=2)
+    return lm.score(documents(spark, sf_dir), order=3, backoff=0.4, min_count=2)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
