@@ -194,6 +194,36 @@ def test_suffix_dedup(docs):
     assert suffix.remove_repeats(empty(docs)).count() == 0
 
 
+def test_suffix_dedup_of_a_passage_in_a_third_of_all_texts(spark, monkeypatch):
+    """One core under ever different texts: no task sorts more than the bound of it."""
+    draw = np.random.default_rng(8)
+    noise = lambda n: "".join(chr(97 + x) for x in draw.integers(0, 26, n))
+    footer, longer = noise(320), noise(450)
+    texts = [noise(700) + (footer if at % 3 == 0 else longer if at % 3 == 1 else "") + noise(700) for at in range(90)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes, materialise = {}, suffix.materialise
+
+    def noted(frame, label):
+        made = materialise(frame, label)
+        if label in ("to-sort", "to-deal"):
+            sorted_here = made.where("NOT is_large") if "is_large" in made.columns else made
+            by_core = sorted_here.selectExpr("core", "n_starts + 400 AS n").groupBy("core").sum("n")
+            sizes[label] = [n for _, n in by_core.collect()] + [0]
+        return made
+
+    monkeypatch.setattr(suffix, "materialise", noted)
+    monkeypatch.setattr(suffix, "SHARD_BYTES", 4000)
+    found = {r["doc_id"]: r for r in suffix.remove_repeats(rows, 400).collect()}
+    counts = Counter(text[k : k + 400] for text in texts for k in range(len(text) - 399))
+    wanted = {}
+    for at, text in enumerate(texts):
+        gone = {k + i for k in range(len(text) - 399) if counts[text[k : k + 400]] > 1 for i in range(400)}
+        wanted[at] = "".join(one for k, one in enumerate(text) if k not in gone)
+    assert sum(map(len, wanted.values())) < 90 * 1400 + 30 * 330
+    assert {at: bytes(r["kept"]).decode() for at, r in found.items()} == wanted
+    assert sizes and max(max(held) for held in sizes.values()) <= 4000
+
+
 @pytest.mark.parametrize("symbols", [2, 4, 30])
 def test_suffixes_are_in_order(symbols):
     draw = np.random.default_rng(symbols)

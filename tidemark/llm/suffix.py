@@ -19,7 +19,10 @@ Spark decides which suffixes can be equal, and shards are made of those alone:
    suffixes from it. Queues of induced suffixes, one per first symbol, spill to a temporary
    file above ``QUEUE_BYTES``. In the order found, neighbours that share ``min_bytes`` mark
    both their starts.
-4. What is marked goes back to every block of that name, and each document's runs are cut.
+4. A core whose blocks hold more than ``SHARD_BYTES`` (a footer under ever different texts)
+   would be too much for one task. Its starts are dealt by the hash of their ``min_bytes``
+   bytes, in which equal strings agree, and Spark counts these: no task holds such a core.
+5. What is marked goes back to every block of that name, and each document's runs are cut.
 
 The core of a block is at least ``min_bytes - SPAN + 1`` bytes, so two texts meet in a shard
 only where they share that much. Names, cores and the comparison of neighbours use 64-bit
@@ -35,6 +38,7 @@ from __future__ import annotations
 import tempfile
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +68,10 @@ CUT = "core long, name long, n_starts int, block binary"
 CUT_SCHEMA = pa.schema(
     [("core", pa.int64()), ("name", pa.int64()), ("n_starts", pa.int32()), ("block", pa.binary())]
 )
+STARTS = "core long, name long, start int, hash long"
+START_SCHEMA = pa.schema(
+    [("core", pa.int64()), ("name", pa.int64()), ("start", pa.int32()), ("hash", pa.int64())]
+)
 MARKS = "core long, name long, marks array<int>"
 MARK_SCHEMA = pa.schema([("core", pa.int64()), ("name", pa.int64()), ("marks", pa.list_(pa.int32()))])
 
@@ -305,6 +313,27 @@ def repeated_starts(blocks: list[tuple[bytes, int]], min_bytes: int) -> list[np.
     return [np.flatnonzero(marked[begin : begin + n]) for (_, n), begin in zip(blocks, begins.tolist())]
 
 
+def hashed_starts(parts: Iterator[tuple], min_bytes: int) -> Iterator[pa.RecordBatch]:
+    """For (core, name, starts, bytes) a row for each start: the hash of its ``min_bytes``."""
+    held, size = [], 0
+    for part in chain(parts, [None]):
+        if held and (part is None or size + len(part[3]) > PIECE):
+            hashes = window_hashes(np.frombuffer(b"".join(data for *_, data in held), np.uint8), min_bytes)
+            begins = np.cumsum([0, *[len(data) for *_, data in held]]).tolist()
+            counts = [n for _, _, n, _ in held]
+            columns = [
+                np.repeat(np.array([core for core, *_ in held], np.int64), counts),
+                np.repeat(np.array([name for _, name, *_ in held], np.int64), counts),
+                np.concatenate([np.arange(n, dtype=np.int32) for n in counts]),
+                np.concatenate([hashes[at : at + n] for at, n in zip(begins, counts)]).view(np.int64),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(one) for one in columns], schema=START_SCHEMA)
+            held, size = [], 0
+        if part is not None:
+            held.append(part)
+            size += len(part[3])
+
+
 def _runs(starts: np.ndarray) -> list[int]:
     """Ascending places as first, last, first, last of their runs."""
     if not len(starts):
@@ -345,24 +374,41 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
         F.first("n_starts").alias("n_starts"),
     )
     named = materialise(named, "named-blocks")
-    several = named.groupBy("core").agg(F.count("*").alias("names")).where("names > 1").select("core")
-    to_sort = materialise(
-        named.join(several, "core").select("core", "name", "n_starts", "at.row", "at.first"), "to-sort"
-    )
-    size = to_sort.agg(F.sum(F.col("n_starts") + min_bytes)).first()[0]
-    wanted = to_sort.groupBy("row").agg(
-        F.collect_list(F.struct("core", "name", "n_starts", "first")).alias("wanted")
+    n_bytes = F.sum(F.col("n_starts") + min_bytes)
+    several = named.groupBy("core").agg(F.count("*").alias("names"), n_bytes.alias("size"))
+    several = several.where("names > 1").select("core", (F.col("size") > SHARD_BYTES).alias("is_large"))
+    to_deal = materialise(
+        named.join(several, "core").select("core", "name", "n_starts", "at.row", "at.first", "is_large"),
+        "to-deal",
     )
+    to_sort, to_count = to_deal.where("NOT is_large"), to_deal.where("is_large")
+    size = to_sort.agg(n_bytes).first()[0]
+
+    def texts_with(wanted: DataFrame) -> DataFrame:
+        parts = F.collect_list(F.struct("core", "name", "n_starts", "first")).alias("wanted")
+        wanted = wanted.groupBy("row").agg(parts)
+        pieces = texts.select("_row", "text").join(wanted, F.col("_row") == F.col("row"))
+        return pieces.select("text", "wanted")
+
+    def cut_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for text, parts in rows_of(batches, "text", "wanted"):
+            data = (text or "").encode()
+            for part in parts:
+                first, n = part["first"], part["n_starts"]
+                yield part["core"], part["name"], n, data[first : first + n - 1 + min_bytes]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches_of(cut_parts(batches), CUT_SCHEMA)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from hashed_starts(cut_parts(batches), min_bytes)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for text, parts in rows_of(batches, "text", "wanted"):
-                data = (text or "").encode()
-                for part in parts:
-                    first, n = part["first"], part["n_starts"]
-                    yield part["core"], part["name"], n, data[first : first + n - 1 + min_bytes]
+            for core, name, starts in rows_of(batches, "core", "name", "starts"):
+                yield core, name, _runs(np.array(starts))
 
-        yield from batches_of(rows(), CUT_SCHEMA)
+        yield from batches_of(rows(), MARK_SCHEMA)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -384,10 +430,14 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
 
         yield from batches_of(rows(), MARK_SCHEMA)
 
-    pieces = texts.select("_row", "text").join(wanted, F.col("_row") == F.col("row"))
-    cut_out = pieces.select("text", "wanted").mapInArrow(cut, CUT)
+    cut_out = texts_with(to_sort).mapInArrow(cut, CUT)
     sharded = cut_out.repartition(tasks_for(size, 2 * SHARD_BYTES), "core").sortWithinPartitions("core", "name")
     sorted_marks = materialise(sharded.mapInArrow(mark, MARKS), "marks")
+    starts = materialise(texts_with(to_count).mapInArrow(hashed, STARTS), "starts")
+    again = starts.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    again = starts.join(materialise(again, "repeated-starts"), "hash")
+    counted = again.groupBy("core", "name").agg(F.array_sort(F.collect_list("start")).alias("starts"))
+    sorted_marks = sorted_marks.unionByName(counted.mapInArrow(runs, MARKS))
     # A name that occurs twice is repeated whole, whatever its shard found.
     whole = named.where("n > 1").select(
         "core", "name", F.array(F.lit(0), F.col("n_starts") - 1).alias("marks")
