@@ -4,6 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import searches
+from tidemark.plans.queries import QUERIES
 from tidemark.functions.distances import VectorError
 from tidemark.operators import (
     build_ivf_index,
@@ -191,6 +193,25 @@ def test_probing_every_list_gives_the_exact_result_and_recall_grows(
     print(f"recall@10 by nprobe, {metric}:", {n: hits / 20 for n, hits in recall.items()})
 
 
+def test_the_default_probe_reaches_its_recall_and_three_lists_do_not(
+    spark, sf_dir, lake, namespace, embeddings, monkeypatch
+):
+    recall = QUERIES["vector_topk_ivf_recall"]
+    assert recall(spark, sf_dir).first()["recall_reached"]
+    state = loaded(lake, namespace, "e", embeddings)
+    build_ivf_index(lake, namespace, "e", "lists", "vec_id", "embedding", 22).publish()
+    hits = 0
+    for row in embeddings.where("vec_id % 100 = 0").collect():
+        exact = vector_topk(embeddings, row["embedding"], 10, "l2", "vec_id", "embedding")
+        found = search_vector(
+            lake, namespace, "e", state.metadata_location, "lists", row["embedding"], 10
+        )
+        hits += len({r["vec_id"] for r in exact.collect()} & {r["vec_id"] for r in found.collect()})
+    assert hits >= 45
+    monkeypatch.setattr(searches, "PROBED_SHARE", 3 / 22)
+    assert not recall(spark, sf_dir).first()["recall_reached"]
+
+
 def test_every_vector_lies_in_the_list_of_its_nearest_centroid(spark, lake, namespace, embeddings):
     loaded(lake, namespace, "e", embeddings)
     staged = build_ivf_index(lake, namespace, "e", "lists", "vec_id", "embedding", 12)

@@ -163,6 +163,9 @@ _LINES = """
       AND (l_partkey < 500 OR (l_returnflag IN ('R', 'A') AND NOT l_quantity <= 30))
 """
 
+# The recall itself cannot be worked out in SQL: that it is reached is what must come out.
+_RECALL_SQL = "SELECT count(*) AS queries, TRUE AS recall_reached FROM embeddings WHERE vec_id % 20 = 0"
+
 ORACLES: dict[str, str] = {
     "table_scan": "SELECT * FROM lineitem",
     "field_catalog": _fields_sql(),
@@ -261,6 +264,8 @@ ORACLES: dict[str, str] = {
         SELECT rank, TRUE AS is_exact
         FROM unnest(generate_series(1, least(10, (SELECT count(*) FROM embeddings)))) AS ranks(rank)
     """,
+    "vector_topk_ivf_recall": _RECALL_SQL,
+    "vector_topk_ivf_recall_cosine": _RECALL_SQL,
     "column_statistics_vectors": """
         SELECT 'embedding' AS column_name, count(*) AS row_count,
                count(*) - count(embedding) AS null_count,

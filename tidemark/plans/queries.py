@@ -18,14 +18,15 @@ from tidemark.operators import (
     vector_topk_batch,
 )
 from tidemark.operators.indexes import LIST, index_rows, ivf_schema
+from tidemark.operators.searches import default_nprobe
 from tidemark.plans.workspace import TABLES, workspace
 from tidemark.sources import PROBLEMS, conform, to_document, to_struct
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 K = 10
-# Lists that the approximate search reads: fewer than there are.
-FEW_LISTS = 3
+# What the approximate search must find of the exact result, over every so many vectors.
+LEAST_RECALL, RECALL_EVERY = 0.9, 20
 # Three standard errors of the sketch that counts distinct values, at its usual 5 %.
 SKETCH_ERROR = 0.15
 
@@ -299,7 +300,7 @@ def indexed_topk(metric: str, all_lists: bool) -> Query:
             first_vector(spark, sf_dir),
             K,
             metric,
-            json.dumps({"nprobe": state.total_rows if all_lists else FEW_LISTS}),
+            json.dumps({"nprobe": state.total_rows} if all_lists else {}),
         )
         if all_lists:
             return found.select("vec_id", rounded(), "rank")
@@ -308,6 +309,36 @@ def indexed_topk(metric: str, all_lists: bool) -> Query:
     return query
 
 
+def ivf_recall(metric: str) -> Query:
+    """Whether the approximate search finds ``LEAST_RECALL`` of what the exact one does, for every
+    vector whose id is divisible by ``RECALL_EVERY``.
+
+    Lists are read whole, so a true neighbour is found if and only if its list is.
+    """
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        space = workspace(spark, sf_dir)
+        index = _index(space, space.embeddings_in_lists(), f"lists_{metric}")
+        vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+        queries = vectors.where(F.col("vec_id") % RECALL_EVERY == 0).select(
+            F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")
+        )
+        exact = vector_topk_batch(vectors, queries, K, metric, "vec_id", "embedding")
+        centroids = spark.read.parquet(f"{index['index_path']}/lists").where("row_count > 0")
+        nprobe = default_nprobe(index["partition_count"])
+        probed = vector_topk_batch(centroids, queries, nprobe, metric, LIST, "centroid")
+        placed = spark.read.parquet(f"{index['index_path']}/rows").select("vec_id", LIST)
+        hits = exact.join(placed, "vec_id").join(
+            probed.select("query_id", LIST, F.lit(1).alias("hit")), ["query_id", LIST], "left"
+        )
+        return hits.agg(
+            F.count_distinct("query_id").alias("queries"),
+            (F.count("hit") >= LEAST_RECALL * F.count("*")).alias("recall_reached"),
+        )
+
+    return query
+
+
 # -- I1-I4: index builds, their registry, and statistics -----------------------------
 
 
@@ -421,6 +452,8 @@ QUERIES: dict[str, Query] = {
     "vector_topk_ivf_full": indexed_topk("l2", all_lists=True),
     "vector_topk_ivf_full_cosine": indexed_topk("cosine", all_lists=True),
     "vector_topk_ivf": indexed_topk("l2", all_lists=False),
+    "vector_topk_ivf_recall": ivf_recall("l2"),
+    "vector_topk_ivf_recall_cosine": ivf_recall("cosine"),
     "index_build_scalar": index_build_scalar,
     "index_build_ivf": index_build_ivf,
     "index_match": index_match,
