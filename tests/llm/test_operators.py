@@ -1,7 +1,10 @@
 """Each operator against a brute-force version, over odd rows, and over an empty table."""
 
+import copyreg
+import gc
 import json
 import math
+import weakref
 import zlib
 from collections import Counter
 
@@ -256,6 +259,34 @@ def test_decontamination(spark, docs):
     assert decontaminate.find_leaks(docs, items.where("false")).where("size(leaks) > 0").count() == 0
 
 
+def test_decontamination_makes_a_pass_for_each_block(spark, monkeypatch):
+    """No more than one index of items is alive at a time, and all items are found."""
+    made, alive, most = decontaminate.ItemIndex, weakref.WeakSet(), []
+
+    class Noted(made):
+        def __init__(self, *given):
+            gc.collect()
+            alive.add(self)
+            most.append(len(alive))
+            super().__init__(*given)
+
+        def __reduce__(self):
+            return copyreg._reconstructor, (made, object, None), self.__dict__
+
+    texts = [" ".join(f"{one}{k}" for k in range(20)) for one in "abcdefgh"]
+    rows = [(k, text) for k, text in enumerate(texts)] + [(8, " x ".join(texts)), (9, None), (8, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "ItemIndex", Noted)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+    found = decontaminate.find_leaks(docs, items)
+    assert found.columns == ["doc_id", "text", "leaks"]
+    found = {(r["doc_id"], r["text"]): sorted(x["item_id"] for x in r["leaks"]) for r in found.collect()}
+    wanted = [[k] for k in range(8)] + [list(range(8)), [], []]
+    assert found == dict(zip(rows, wanted))
+    assert len(most) > 2 and max(most) <= 2
+
+
 def test_multi_index_finds_all_within_the_radius():
     draw = np.random.default_rng(2)
     items = [(k, " ".join(f"a{x}" for x in draw.integers(0, 50, 30))) for k in range(50)]

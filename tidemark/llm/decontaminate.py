@@ -10,9 +10,10 @@ the shingles, weights being how often each occurs, must reach ``similarity``.
 
 A window that reaches the similarity shares that part of its shingles with items, so windows
 that share less with all items together are passed over before fingerprints are made; this
-loses nothing. Work on a document grows with its length; there is no shuffle and no join.
-Items are sent to the tasks in blocks of at most ``BLOCK_BYTES`` of text, one pass over the
-documents for each, so a large benchmark makes passes and not large broadcasts.
+loses nothing. Work on a document grows with its length. Items are sent to the tasks in
+blocks of about ``BLOCK_BYTES`` of text. One block needs no shuffle and no join; of several,
+each is a pass of its own over the documents, whose leaks are written to the shared folder
+before the next block is read, and these are joined to the documents in the end.
 
 Null and empty texts hold no item. Items of fewer than ``shingle_words`` words (null ones
 too) cannot be told from common phrases and are not searched for. Repeated documents are
@@ -30,7 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import tasks_for, text_of
+from tidemark.llm.common import materialise, tasks_for, text_of
+from tidemark.session import run_folder
 
 BLOCK_BYTES = 4 << 20
 LEAKS = "array<struct<item_id:long,start:int,n_words:int,distance:int,similarity:double>>"
@@ -193,9 +195,29 @@ def find_leaks(
     """``docs`` with ``leaks``: for each item found its best window, distance and similarity."""
     blocks = tasks_for(items.agg(F.sum(F.octet_length(text_of()))).first()[0], BLOCK_BYTES)
     narrow = items.select(F.col("item_id").cast("long"), text_of().alias("text"))
-    found = []
-    for block in range(blocks):
+
+    def leaks_of(block: int) -> Column:
         mine = narrow.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         rows = sorted(tuple(row) for row in mine.where("item_id IS NOT NULL").collect())
-        found.append(_leaks_in(ItemIndex(rows, shingle_words, radius), similarity, F.col("text")))
-    return docs.withColumn("leaks", F.concat(*found))
+        return _leaks_in(ItemIndex(rows, shingle_words, radius), similarity, F.col("text"))
+
+    if blocks == 1:
+        return docs.withColumn("leaks", leaks_of(0))
+    # A pass ends, and its index goes, before the next one is built.
+    texts = materialise(
+        docs.drop("leaks").withColumn("_row", F.monotonically_increasing_id()), "leak-texts"
+    )
+    folder = run_folder(docs.sparkSession, "leaks")
+    for block in range(blocks):
+        passed = texts.select("_row", leaks_of(block).alias("_leaks")).where(F.size("_leaks") > 0)
+        passed.write.parquet(f"{folder}/block={block}")
+    by_block = F.array_sort(F.collect_list(F.struct("block", "_leaks")))
+    found = (
+        docs.sparkSession.read.schema(f"_row long, _leaks {LEAKS}, block int")
+        .parquet(folder)
+        .groupBy("_row")
+        .agg(F.flatten(F.transform(by_block, lambda one: one["_leaks"])).alias("leaks"))
+    )
+    none = F.array().cast(LEAKS)
+    joined = texts.join(found, "_row", "left").withColumn("leaks", F.coalesce("leaks", none))
+    return joined.select(*[name for name in docs.columns if name != "leaks"], "leaks")
