@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import (
@@ -287,6 +288,17 @@ def test_decontamination_makes_a_pass_for_each_block(spark, monkeypatch):
     assert len(most) > 2 and max(most) <= 2
 
 
+def test_items_without_id_are_found_and_short_items_do_no_harm(spark):
+    item = " ".join(f"item{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, f"x {item}"), (2, "too short a one too")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, item), (None, item), (None, None)], "item_id long, text string")
+    found = {r["doc_id"]: r["leaks"] for r in decontaminate.find_leaks(docs, items).collect()}
+    assert [one["item_id"] for one in found[1]] == [None] and found[2] == []
+    words = spark.createDataFrame([(9, "too short a one")], "item_id long, text string")
+    twice = decontaminate.find_leaks(docs.withColumn("text", F.lit("too short a one too short")), words)
+    assert twice.where("size(leaks) > 0").count() == 0
+
+
 def test_multi_index_finds_all_within_the_radius():
     draw = np.random.default_rng(2)
     items = [(k, " ".join(f"a{x}" for x in draw.integers(0, 50, 30))) for k in range(50)]

@@ -16,7 +16,9 @@ each is a pass of its own over the documents, whose leaks are written to the sha
 before the next block is read, and these are joined to the documents in the end.
 
 Null and empty texts hold no item. Items of fewer than ``shingle_words`` words (null ones
-too) cannot be told from common phrases and are not searched for. Repeated documents are
+too) cannot be told from common phrases and are not searched for. Items without id are
+searched for and reported with a null id, once for each text, unless an item with an id has
+that text and is reported for it. Repeated documents are
 each judged, items of equal text each reported. Extra columns are kept; a column named like
 the result is replaced. Empty tables are fine.
 """
@@ -116,9 +118,11 @@ class ItemIndex:
 
     def leaks(self, text: str | None, similarity: float) -> list[dict]:
         """The best window for each item that the text holds."""
+        if not len(self.lengths):
+            return []
         words = words_of(text)
         shared = self._shared(words)
-        if not len(self.lengths) or shared[-1] < similarity * self.lengths.min():
+        if shared[-1] < similarity * self.lengths.min():
             return []
         hashes = mixed(word_hashes(words), self.size)
         best: dict[int, dict] = {}
@@ -195,10 +199,12 @@ def find_leaks(
     """``docs`` with ``leaks``: for each item found its best window, distance and similarity."""
     blocks = tasks_for(items.agg(F.sum(F.octet_length(text_of()))).first()[0], BLOCK_BYTES)
     narrow = items.select(F.col("item_id").cast("long"), text_of().alias("text"))
+    named, nameless = narrow.where("item_id IS NOT NULL"), narrow.where("item_id IS NULL").distinct()
+    narrow = named.unionByName(nameless.join(named.select("text"), "text", "left_anti"))
 
     def leaks_of(block: int) -> Column:
         mine = narrow.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        rows = sorted(tuple(row) for row in mine.where("item_id IS NOT NULL").collect())
+        rows = sorted((tuple(row) for row in mine.collect()), key=lambda row: (row[0] is None, row[0] or 0, row[1]))
         return _leaks_in(ItemIndex(rows, shingle_words, radius), similarity, F.col("text"))
 
     if blocks == 1:
