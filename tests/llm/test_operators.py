@@ -282,6 +282,7 @@ def test_decontamination_makes_a_pass_for_each_block(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
     found = decontaminate.find_leaks(docs, items)
     assert found.columns == ["doc_id", "text", "leaks"]
+    assert "leaks(text" not in found._jdf.queryExecution().optimizedPlan().toString()
     found = {(r["doc_id"], r["text"]): sorted(x["item_id"] for x in r["leaks"]) for r in found.collect()}
     wanted = [[k] for k in range(8)] + [list(range(8)), [], []]
     assert found == dict(zip(rows, wanted))
