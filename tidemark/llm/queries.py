@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
+    conversations,
     decontaminate,
     line_dedup,
     lm,
@@ -19,7 +20,7 @@ from tidemark.llm import (
     tool_calls,
     wavelet,
 )
-from tidemark.llm.common import documents
+from tidemark.llm.common import documents, materialise
 
 QUALITY_COLUMNS = (
     "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept "
@@ -114,6 +115,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), path)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given conversations, damaged by a rule and repaired."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = conversations.counted(conversations.damage(turns))
+    summaries = materialise(conversations.repairs(rows), "repairs")
+    hashed = conversations.digests(conversations.repaired(rows, summaries))
+    hashed = hashed.withColumnRenamed("conv_id", "repaired_id")
+    both = summaries.join(hashed, F.col("conv_id").eqNullSafe(F.col("repaired_id")), "left")
+    nothing = F.sha2(F.lit(""), 256)
+    return both.drop("repaired_id").withColumn(
+        "repaired_sha256", F.coalesce("repaired_sha256", nothing)
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_wavelet_tokens": op2_wavelet_tokens,
@@ -125,5 +140,6 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_tool_calls": op9_tool_calls,
     "op10_packing": op10_packing,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 ORACLES: dict[str, str] = {}
