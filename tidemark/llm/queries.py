@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
+    alignment,
     conversations,
     decontaminate,
     line_dedup,
@@ -129,6 +130,14 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ALIGNMENT_COLUMNS = "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256".split()
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(documents(spark, sf_dir), *paths).select(*ALIGNMENT_COLUMNS)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_wavelet_tokens": op2_wavelet_tokens,
@@ -141,5 +150,6 @@ QUERIES = {
     "op9_tool_calls": op9_tool_calls,
     "op10_packing": op10_packing,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_token_alignment": op12_token_alignment,
 }
 ORACLES: dict[str, str] = {}
