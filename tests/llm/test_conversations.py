@@ -153,7 +153,7 @@ def test_search_finds_the_first_of_the_cheapest_among_all_edit_lists():
             for leave in range(4)
             if (found := conversations.search(steps, 0, (leave,)))
         ]
-        assert min(offers) == every(steps)
+        assert min(offers) == every(steps) == conversations.search(steps, 0, (0, 3), closed=True)
 
 
 @pytest.mark.parametrize("block", [256, 3, 1])

@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, product
 from operator import itemgetter
 
 import pyarrow as pa
@@ -154,30 +154,40 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def runs():
         by_conversation = groupby(rows_of(batches, *names), itemgetter(0))
+        last = None
         for at, (conv, rows) in enumerate(by_conversation):
+            if last:
+                # Begun at a first row and left behind: a whole conversation in one block.
+                yield _block(*last, whole=last[-1] == (0,))
             # Only the first run of a task can go on a conversation that begins elsewhere.
             entries = (0,) if at else STATES
-            steps, turns, place, task = [], [], 0, 0
+            steps, turns, place = [], [], None
             for _, turn, role, blank, cut, said_before, copies, task in rows:
+                place = task << 32 if place is None else place
                 for step in _steps(role[:1], blank, cut, said_before, copies):
                     if len(steps) >= BLOCK:
-                        yield _block(conv, (task << 32) + place, steps, turns, entries)
+                        yield _block(conv, place, steps, turns, entries)
                         entries, steps, turns, place = STATES, [], [], place + 1
                     steps.append(step)
                     turns.append(turn)
-            yield _block(conv, (task << 32) + place, steps, turns, entries)
+            last = (conv, place, steps, turns, entries)
+        if last:
+            yield _block(*last)
 
     yield from batches_of(runs(), _arrow(BLOCKS), 256)
 
 
-def _block(conv, place: int, steps: list[tuple[str, str]], turns: list, entries) -> tuple:
+def _block(
+    conv, place: int, steps: list[tuple[str, str]], turns: list, entries, whole: bool = False
+) -> tuple:
     roles, faults = [role for role, _ in steps], [fault for _, fault in steps]
     known = sorted({turn for turn in turns if turn is not None})
-    moves = [
-        search(steps, entry, (leave,)) if entry in entries else None
-        for entry in STATES
-        for leave in STATES
-    ]
+    moves: list[tuple[int, str] | None] = [None] * 16
+    if whole:
+        moves[0] = search(steps, 0, (0, 3), closed=True)
+    else:
+        for entry, leave in product(entries, STATES):
+            moves[4 * entry + leave] = search(steps, entry, (leave,))
     return (
         conv,
         place,
@@ -209,18 +219,20 @@ def _after(role: str) -> int:
     return 2 if role == "u" else 3
 
 
-def search(steps: list[tuple[str, str]], entry: int, goals: tuple[int, ...]) -> tuple[int, str] | None:
+def search(
+    steps: list[tuple[str, str]], entry: int, goals: tuple[int, ...], closed: bool = False
+) -> tuple[int, str] | None:
     """(cost, edits) of the cheapest, then ASCII-least way through ``steps`` from one state to one
-    of ``goals``, by iterative-deepening A*; None where there is none. Nothing is put in after
-    the last row."""
-    if not _reachable(steps, entry, goals):
+    of ``goals``, by iterative-deepening A*; None where there is none. Only if ``closed`` may rows
+    be put in after the last one."""
+    if not closed and not _reachable(steps, entry, goals):
         return None
     least = _lower_bounds(steps)
     # For each place and state, the largest budget with which no way was found.
     failed = [[-1] * 4 for _ in range(len(steps) + 1)]
     bound = least[0][entry > 0]
     while True:
-        path = _descend(steps, entry, goals, bound, least, failed)
+        path = _descend(steps, entry, goals, closed, bound, least, failed)
         if path is not None:
             return bound, path
         bound += 1
@@ -253,10 +265,10 @@ def _lower_bounds(steps) -> list[tuple[int, int]]:
     return bounds[::-1]
 
 
-def _descend(steps, entry: int, goals, bound: int, least, failed) -> str | None:
+def _descend(steps, entry: int, goals, closed: bool, bound: int, least, failed) -> str | None:
     """The first path within ``bound``, depth first in the order D, I, K, R, without recursion."""
     path: list[str] = []
-    stack = [(0, entry, bound, _edits(steps, 0, entry))]
+    stack = [(0, entry, bound, _edits(steps, 0, entry, closed))]
     while stack:
         place, state, budget, edits = stack[-1]
         if place == len(steps) and state in goals:
@@ -272,13 +284,15 @@ def _descend(steps, entry: int, goals, bound: int, least, failed) -> str | None:
         left = budget - cost
         if left >= least[after][state_after > 0] and left > failed[after][state_after]:
             path.append(edit)
-            stack.append((after, state_after, left, _edits(steps, after, state_after)))
+            stack.append((after, state_after, left, _edits(steps, after, state_after, closed)))
     return None
 
 
-def _edits(steps, place: int, state: int) -> Iterator[tuple[str, int, int, int]]:
-    """(edit, next place, next state, cost) in ASCII order; nothing after the last row."""
+def _edits(steps, place: int, state: int, closed: bool) -> Iterator[tuple[str, int, int, int]]:
+    """(edit, next place, next state, cost) in ASCII order."""
     if place == len(steps):
+        if closed:
+            yield "I", place, _after(NEXT_ROLE[state]), COST["I"]
         return
     role, fault = steps[place]
     yield "D", place + 1, state, COST["D"]

@@ -14,6 +14,7 @@ from tidemark.llm import (
     line_dedup,
     lm,
     packing,
+    pii,
     quality,
     sharding,
     simhash,
@@ -138,6 +139,21 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(documents(spark, sf_dir), *paths).select(*ALIGNMENT_COLUMNS)
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(documents(spark, sf_dir))
+
+    def how_many(kind: int) -> Column:
+        own = F.filter("base", lambda span: span[0] == kind)
+        return F.size(own).cast("long").alias(f"n_{pii.KINDS[kind]}")
+
+    return found.select(
+        "doc_id",
+        *map(how_many, range(len(pii.KINDS))),
+        F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"),
+        pii.written(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_wavelet_tokens": op2_wavelet_tokens,
@@ -151,5 +167,6 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_token_alignment": op12_token_alignment,
+    "op13_personal_data": op13_personal_data,
 }
 ORACLES: dict[str, str] = {}
