@@ -2,6 +2,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 from tidemark.session import run_folder, shared_folder
 
 ROOT = str(Path(__file__).resolve().parents[1])
@@ -10,9 +12,10 @@ ROOT = str(Path(__file__).resolve().parents[1])
 class Session:
     """Stands for a session: only what is asked of one here."""
 
-    def __init__(self, named, checkpoint=None):
+    def __init__(self, named, checkpoint=None, master="local[2]"):
         self.conf = self
         self.sparkContext = self
+        self.master = master
         self.named, self.checkpoint = named, checkpoint
 
     def get(self, key, default):
@@ -36,6 +39,15 @@ def test_a_folder_of_its_own_is_set_only_where_none_is_named():
     assert shared_folder(session) == session.checkpoint == shared_folder(session)
 
 
+@pytest.mark.parametrize("master", ["local-cluster[2,1,1024]", "spark://host:7077", "yarn", "k8s://x"])
+def test_a_cluster_must_name_its_shared_folder(master):
+    session = Session(None, master=master)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session)
+    assert session.checkpoint is None
+    assert shared_folder(Session("hdfs://name/shared", master=master)) == "hdfs://name/shared"
+
+
 def test_two_runs_never_share_a_folder():
     session = Session("/shared")
     assert run_folder(session, "a") != run_folder(session, "a")
