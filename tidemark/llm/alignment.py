@@ -11,9 +11,7 @@ tree, 16 at a time. A second pass aligns the documents again, looks their pairs
 number only if the key kept for it is the pair itself.
 
 Scale: texts are encoded once, and their ids written to the shared folder at 2 bytes a token;
-both passes read those. Words, cut before a blank where neither tokenizer merges across, are
-aligned once per worker and remembered. Distinct pairs are at most the product of the two
-vocabularies. They are dealt by B id to shards of about ``SHARD_PAIRS``; each shard is hashed by
+both passes read those. Distinct pairs are at most the product of the two vocabularies. They are dealt by B id to shards of about ``SHARD_PAIRS``; each shard is hashed by
 one task, and is counted and looked up by passes of its own, so no task or broadcast holds more
 than one (at most some 100 MB). Nothing is shuffled by word or pair but the distinct pairs and the
 vectors, which are kept to an eighth of what is read by giving each task enough of it.
@@ -27,8 +25,6 @@ empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,19 +36,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm.common import batches_of, materialise, rows_of
+from tidemark.llm.tokens import byte_letters, encoder
 
 # About how many distinct pairs one hash function, count vector and broadcast hold.
 SHARD_PAIRS = 1 << 22
-# Words whose alignment one worker remembers before it starts anew: about 150 MB.
-KNOWN_WORDS = 250_000
 # Tokens that are aligned at a time, numbers of a vector that travel in one row, vectors summed
 # at a time, and bytes read for each byte of a vector.
 TOKENS_AT_ONCE, CHUNK, FAN, READ_PER_VECTOR = 1 << 18, 1 << 16, 16, 8
 
-_BLANK = "▁"
-_CUT = re.compile(r"(?<=\S)(?= )")
-_BEFORE_BLANK = re.compile(r"[^\S ] ")
-
 _aligners: dict[tuple[str, str], "Aligner"] = {}
 
 
@@ -64,92 +55,49 @@ def aligner(path_a: str, path_b: str) -> "Aligner":
 
 
 class Aligner:
-    """Encodes texts by both tokenizers, word by word, and cuts their tokens into groups."""
+    """Encodes texts by both tokenizers and cuts their tokens into groups."""
 
     def __init__(self, path_a: str, path_b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.a = Tokenizer.from_file(path_a)
         # Special tokens written out in a text are plain text.
-        self.a.encode_special_tokens = True
+        self.a = encoder(path_a, special_as_text=True)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.bytes_a, self.bytes_b = _bytes_of_a(self.a), _bytes_of_b(self.b)
-        self.blank = self.b.piece_to_id(_BLANK)
+        self.bytes_a, self.bytes_b = _bytes_of_a(self.a.tokenizer), _bytes_of_b(self.b)
+        self.sizes_a = np.array([len(one) for one in self.bytes_a])
+        self.sizes_b = np.array([len(one) for one in self.bytes_b])
         self.type_a, self.type_b = _number_type(len(self.bytes_a)), _number_type(len(self.bytes_b))
-        # Word: (A ids, B ids, groups as text); None where the tokens do not spell it.
-        self.known: dict[str, tuple[bytes, bytes, str] | None] = {}
-
-    def align(self, texts: list[str | None]) -> list[tuple[bytes, bytes, str]]:
-        """For each text its ids by both tokenizers and its groups; empty without tokens."""
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        rows = [_words(text) if text else [] for text in texts]
-        known = self.known
-        self._learn({word for row in rows for word in row if word not in known})
-        aligned = []
-        for row in rows:
-            parts = [known[word] for word in row]
-            if not parts or None in parts:
-                aligned.append((b"", b"", ""))
-            else:
-                a, b, groups = zip(*parts)
-                aligned.append((b"".join(a), b"".join(b), ";".join(groups)))
-        return aligned
-
-    def _learn(self, new: set[str]) -> None:
-        """Aligns new words: many in one text, or by themselves where they would not stay apart."""
-        together = [word for word in new if word and not word[0].isspace() and not word[-1].isspace()]
-        for start in range(0, len(together), 10_000):
-            words = together[start : start + 10_000]
-            sizes = [len(word.encode()) + 1 for word in words]
-            found = self._spell(" ".join(words), np.cumsum(sizes))
-            if found is None:
-                new = new | set(words)
-            else:
-                self.known.update(zip(words, found))
-        for word in new:
-            if word not in self.known:
-                found = self._spell(word, np.array([len(word.encode()) + 1]))
-                self.known[word] = found[0] if found else None
-
-    def _spell(self, text: str, ends: np.ndarray) -> list[tuple[bytes, bytes, str]] | None:
-        """The parts of ``text``, after a blank, that end at the byte offsets ``ends``."""
-        a = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
-        b = self.b.encode(text, num_threads=1) if text else [self.blank]
+        # Ids as text, with what follows them inside a group and at the end of their part of it.
+        self.written_a = _written(len(self.bytes_a), b"|")
+        self.written_b = _written(len(self.bytes_b), b";")
+
+    def align(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, bytes]]:
+        """For each text its ids by both tokenizers and its groups as text; empty without tokens."""
+        nothing = np.zeros(0, self.type_a), np.zeros(0, self.type_b), b""
+        there = [text for text in texts if text]
+        ids_a = iter(self.a.encode([" " + text for text in there]))
+        for text in texts:
+            yield self._aligned(text, next(ids_a)) or nothing if text else nothing
+
+    def _aligned(self, text: str, ids_a: bytes) -> tuple[np.ndarray, np.ndarray, bytes] | None:
+        a, listed = np.frombuffer(ids_a, "<u4"), self.b.encode(text, num_threads=1)
         wanted = (" " + text).encode()
-        spelt_a, spelt_b = [self.bytes_a[one] for one in a], [self.bytes_b[one] for one in b]
-        if b"".join(spelt_a) != wanted or b"".join(spelt_b) != wanted:
+        spelt_b = b"".join(map(self.bytes_b.__getitem__, listed))
+        if spelt_b != wanted or b"".join(map(self.bytes_a.__getitem__, a.tolist())) != wanted:
             return None
-        ends_a, ends_b = np.cumsum([len(one) for one in spelt_a]), np.cumsum([len(one) for one in spelt_b])
-        at_a, at_b = common_ends(ends_a, ends_b)
-        groups, from_a, from_b = [], 0, 0
-        for to_a, to_b in zip((at_a + 1).tolist(), (at_b + 1).tolist()):
-            groups.append(f"{','.join(map(str, a[from_a:to_a]))}|{','.join(map(str, b[from_b:to_b]))}")
-            from_a, from_b = to_a, to_b
-        a, b = np.array(a, self.type_a), np.array(b, self.type_b)
-        cuts_a, cuts_b, cuts = (
-            np.searchsorted(values, ends, side="right").tolist()
-            for values in (ends_a, ends_b, ends_a[at_a])
-        )
-        parts, before = [], (0, 0, 0)
-        for after in zip(cuts_a, cuts_b, cuts):
-            parts.append(
-                (
-                    a[before[0] : after[0]].tobytes(),
-                    b[before[1] : after[1]].tobytes(),
-                    ";".join(groups[before[2] : after[2]]),
-                )
-            )
-            before = after
-        return parts
-
-
-def _words(text: str) -> list[str]:
-    """``text`` with a blank before it, cut where a blank follows something else than white space;
-    each part without the blank it begins with."""
-    words = text.split(" ")
-    if "" in words or _BEFORE_BLANK.search(text):
-        words = [part[1:] for part in _CUT.split(" " + text)]
-    return words
+        b = np.array(listed)
+        at_a, at_b = common_ends(np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b]))
+        last_a, last_b = np.zeros(len(a), int), np.zeros(len(b), int)
+        last_a[at_a] = last_b[at_b] = 1
+        # A token comes after the tokens of the other kind in the groups before its own.
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        before_a, before_b = np.concatenate([[0], at_b + 1]), at_a + 1
+        parts = np.empty(len(a) + len(b), object)
+        parts[np.arange(len(a)) + before_a[group_a]] = self.written_a[last_a, a]
+        parts[np.arange(len(b)) + before_b[group_b]] = self.written_b[last_b, b]
+        return a.astype(self.type_a), b.astype(self.type_b), b"".join(parts.tolist())[:-1]
+
+
+def _written(size: int, last: bytes) -> np.ndarray:
+    return np.array([[b"%d," % one for one in range(size)], [b"%d%s" % (one, last) for one in range(size)]], object)
 
 
 def _number_type(size: int) -> str:
@@ -157,15 +105,8 @@ def _number_type(size: int) -> str:
 
 
 def _bytes_of_a(tokenizer: Tokenizer) -> list[bytes]:
-    """What each token of a byte-level tokenizer stands for, by id.
-
-    Its alphabet writes printable bytes of Latin 1 as themselves and the others, in order, as the
-    letters from U+0100 on.
-    """
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {chr(one): one for one in shown}
-    letters |= {chr(256 + at): one for at, one in enumerate(sorted(set(range(256)) - set(shown)))}
-    table = [b""] * tokenizer.get_vocab_size()
+    """What each token of a byte-level tokenizer stands for, by id."""
+    letters, table = byte_letters(), [b""] * tokenizer.get_vocab_size()
     for token, at in tokenizer.get_vocab().items():
         table[at] = bytes(letters[letter] for letter in token if letter in letters)
     return table
@@ -175,7 +116,7 @@ def _bytes_of_b(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
     return [
         bytes([int(model.id_to_piece(at)[3:5], 16)])
         if model.is_byte(at)
-        else model.id_to_piece(at).replace(_BLANK, " ").encode()
+        else model.id_to_piece(at).replace("▁", " ").encode()
         for at in range(model.get_piece_size())
     ]
 
@@ -273,14 +214,13 @@ def _encode(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def encode(batches):
         coder = aligner(path_a, path_b)
-        width_a, width_b = np.dtype(coder.type_a).itemsize, np.dtype(coder.type_b).itemsize
 
         def rows():
             for held in _some_at_a_time(rows_of(batches, "doc_id", "text")):
                 for (doc, _), (a, b, groups) in zip(held, coder.align([text for _, text in held])):
-                    digest = hashlib.sha256(groups.encode()).hexdigest() if groups else ""
-                    n_groups = groups.count(";") + 1 if groups else 0
-                    yield doc, len(a) // width_a, len(b) // width_b, n_groups, digest, a, b
+                    digest = hashlib.sha256(groups).hexdigest() if groups else ""
+                    n_groups = groups.count(b"|")
+                    yield doc, len(a), len(b), n_groups, digest, a.tobytes(), b.tobytes()
 
         yield from batches_of(rows(), schema, 2048, lambda row: len(row[-1]) + len(row[-2]))
 
@@ -310,12 +250,10 @@ def _links(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str):
     """(rows, links by row, A ids, B ids) of the links of some documents at a time, aligned anew
     from the lengths of their tokens."""
     coder = aligner(path_a, path_b)
-    sizes_a = np.array([len(one) for one in coder.bytes_a])
-    sizes_b = np.array([len(one) for one in coder.bytes_b])
     for held in _some_at_a_time(rows_of(batches, "row", "a_ids", "b_ids"), TOKENS_AT_ONCE):
         a = np.frombuffer(b"".join(row[1] for row in held), coder.type_a)
         b = np.frombuffer(b"".join(row[2] for row in held), coder.type_b)
-        at_a, at_b = common_ends(np.cumsum(sizes_a[a]), np.cumsum(sizes_b[b]))
+        at_a, at_b = common_ends(np.cumsum(coder.sizes_a[a]), np.cumsum(coder.sizes_b[b]))
         width = np.dtype(coder.type_a).itemsize
         lasts = np.cumsum([len(row[1]) // width for row in held])
         cuts = np.concatenate([[0], np.searchsorted(at_a, lasts, side="left")])

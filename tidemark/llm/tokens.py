@@ -8,65 +8,82 @@ import re
 from array import array
 
 import numpy as np
+import tiktoken
 from tokenizers import Tokenizer, pre_tokenizers
 
 # Encoded pieces one worker remembers before it starts anew: about 150 MB.
 KNOWN_PIECES = 600_000
 
-_encoders: dict[str, "Encoder"] = {}
+# Fixed value: how byte-level tokenizers split a text before they merge.
+SPLIT = (
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+)
+# Letters, marks and white space that have long been assigned: all splitters agree on them.
+_ASSIGNED = re.compile(
+    "[^\x00-\u052f\u1e00-\u1fff\u2000-\u20b5\u3000-\u303e\u3041-\u3096\u30a0-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]"
+)
+# Longer runs without, or of, white space go to the tokenizer, whose time does not grow with the
+# square of a run.
+LONG_RUN = 1000
 
+_encoders: dict[tuple[str, bool], "Encoder"] = {}
 
-def encoder(path: str) -> "Encoder":
+
+def encoder(path: str, special_as_text: bool = False) -> "Encoder":
     """The encoder of one tokenizer file; loaded once per process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    key = (path, special_as_text)
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 class Encoder:
-    """Encodes texts word by word and remembers the words.
-
-    Texts are cut where the tokenizer itself never merges across: before white space for a
-    byte-level tokenizer that splits words, at white space for one that drops it, and between
-    a word of letters and the full stop or comma that ends it. New words of letters go
-    straight to the tokenizer's model, since nothing in them is to be split; other new words
-    are encoded many in one text, between separators that none of them holds. Texts with white
-    space of other kinds, and tokenizers of other kinds, are encoded whole. The ids are those
-    of the whole text in each case. Special tokens written out in a text are plain text.
-
-    For a byte-level tokenizer a word stands for itself after one blank, or for itself if it
-    begins with a line end; what follows a tab stands as it is.
+    """Encodes texts to the ids that the tokenizer gives for each whole text.
+
+    A byte-level tokenizer whose merges are numbered in their order goes by ranks, which is
+    several times as fast. One that drops white space and splits words is given each new word
+    once: words of letters go straight to its model, since nothing in them is to be split, others
+    many in one text, between separators that none of them holds; words are remembered. Texts
+    that either way might get wrong, and tokenizers of other kinds, are encoded whole: those with
+    a special token written out (``special_as_text`` tells whether it is plain text), with letters
+    or white space that not all splitters know, or with very long runs.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        special = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = re.compile("|".join(re.escape(one.content) for one in special) or r"(?!)", re.I)
         self.known: dict[str, bytes] = {}
         self.vocabulary = self.tokenizer.get_vocab_size()
         with open(path, encoding="utf-8") as file:
             layout = json.load(file)
         splitter, normalizer = layout.get("pre_tokenizer") or {}, layout.get("normalizer") or {}
         suffix = layout["model"].get("end_of_word_suffix")
-        self.cut = None
-        self.drops = bool(suffix) and _drops_space(splitter) and _keeps_words_apart(normalizer)
-        if self.drops:
-            self.cut, self.between = _lower_words, " \x01 "
-        elif splitter.get("type") == "ByteLevel" and not normalizer and not suffix:
-            if splitter.get("use_regex") and not splitter.get("add_prefix_space"):
-                self.cut, self.between = _spaced_words, "\t"
-        if self.cut:
+        self.words = bool(suffix) and _drops_space(splitter) and _keeps_words_apart(normalizer)
+        self.ranks = None if normalizer or suffix else _by_ranks(splitter, layout["model"])
+        if self.words:
+            self.between = " \x01 "
             (self.separator,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
             self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
             self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        if self.cut is None:
-            return self._direct(texts)
+        if self.ranks:
+            return [self._ranked(text) for text in texts]
+        return self._by_words(texts) if self.words else self._direct(texts)
+
+    def _ranked(self, text: str) -> bytes:
+        if _ASSIGNED.search(text) or self.special.search(text) or _has_long_run(text):
+            return self._direct([text])[0]
+        return array("I", self.ranks.encode_ordinary(text)).tobytes()
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > KNOWN_PIECES:
             self.known.clear()
-        rows = [self.cut(text) for text in texts]
+        rows = [None if self.special.search(text) else _lower_words(text) for text in texts]
         found = [row and list(map(self.known.get, row)) for row in rows]
         self._learn(
             {
@@ -87,7 +104,7 @@ class Encoder:
         ]
 
     def _learn(self, new: set[str]) -> None:
-        known, marks, parts = self.known, {}, {}
+        known, marks = self.known, {}
         mixed, odd = [], []
         for word in new:
             stem = word[:-1] if word[-1] in ".," else word
@@ -96,35 +113,13 @@ class Encoder:
                 known[stem] = ids
                 if stem is not word:
                     marks[word] = stem
-            elif word[0] == "\n" and word[1:2] not in ("", " ", "\n"):
-                # A lone line end is a token of its own, whatever follows it.
-                parts[word] = "\t" + word[1:]
-                if parts[word] not in known:
-                    mixed.append(parts[word])
-            elif self._alone(word):
-                odd.append(word)
             else:
-                mixed.append(word)
-        known.update(zip(mixed, self._together([self._written(word) for word in mixed])))
-        known.update(zip(odd, self._direct([self._written(word) for word in odd])))
-        stop, comma, line = self._direct([".", ",", "\n"])
+                (odd if "\x01" in word else mixed).append(word)
+        known.update(zip(mixed, self._together(mixed)))
+        known.update(zip(odd, self._direct(odd)))
+        stop, comma = self._direct([".", ","])
         for word, stem in marks.items():
             known[word] = known[stem] + (stop if word[-1] == "." else comma)
-        for word, rest in parts.items():
-            known[word] = line + known[rest]
-
-    def _written(self, word: str) -> str:
-        """What a word stands for."""
-        if self.drops or word[0] == "\n":
-            return word
-        return word[1:] if word[0] == "\t" else " " + word
-
-    def _alone(self, word: str) -> bool:
-        """Whether a word would not stay apart from others in one text."""
-        if self.drops:
-            return "\x01" in word
-        text = self._written(word)
-        return not text or text[0] == "\n" or text[:2] in ("  ", " \n") or text[-1] in " \n"
 
     def _letters(self, word: str) -> bytes | None:
         """The ids of a word of letters; None for one of letters beyond U+04FF.
@@ -132,14 +127,11 @@ class Encoder:
         Up to there all letters have long been assigned, so that all splitters know them.
         """
         if not word.isascii():
-            if self.drops:
-                word = self.normalizer.normalize_str(word)
+            word = self.normalizer.normalize_str(word)
             if not word.isalpha() or max(word) > "\u04ff":
                 return None
             word = self.as_bytes.pre_tokenize_str(word)[0][0]
-        # A blank before a word is written as the letter U+0120.
-        tokens = self.model.tokenize(word if self.drops else "\u0120" + word)
-        return array("I", [token.id for token in tokens]).tobytes()
+        return array("I", [token.id for token in self.model.tokenize(word)]).tobytes()
 
     def _together(self, texts: list[str]) -> list[bytes]:
         """Texts encoded as one, with a separator between any two."""
@@ -160,6 +152,42 @@ class Encoder:
         return [array("I", one.ids).tobytes() for one in encoded]
 
 
+def _by_ranks(splitter: dict, model: dict) -> tiktoken.Encoding | None:
+    """The tokenizer as ranks, if its ids are the order in which it merges."""
+    plain = splitter.get("type") == "ByteLevel" and splitter.get("use_regex")
+    if not plain or splitter.get("add_prefix_space") or model.get("ignore_merges"):
+        return None
+    vocabulary = model["vocab"]
+    merges = [one.split(" ") if isinstance(one, str) else one for one in model["merges"]]
+    if any(vocabulary.get(a + b) != at for at, (a, b) in enumerate(merges, 256)):
+        return None
+    if any(len(token) != 1 for token, at in vocabulary.items() if at < 256):
+        return None
+    letters = byte_letters()
+    ranks = {bytes(map(letters.__getitem__, t)): at for t, at in vocabulary.items() if at < 256 + len(merges)}
+    return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for.
+
+    Printable bytes of Latin 1 are themselves, the others, in order, the letters from U+0100 on.
+    """
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(one): one for one in shown}
+    others = sorted(set(range(256)) - set(shown))
+    return letters | {chr(256 + at): one for at, one in enumerate(others)}
+
+
+def _has_long_run(text: str) -> bool:
+    if len(text) < LONG_RUN:
+        return False
+    words = text.split()
+    # White space beyond one between words may be one long run.
+    spare = len(text) - sum(map(len, words)) - len(words)
+    return spare >= LONG_RUN or max(map(len, words), default=0) >= LONG_RUN
+
+
 def _lower_words(text: str) -> list[str] | None:
     """The words of a text; A-Z are lowered, as the tokenizer would, so that words are alike."""
     if _SEPARATORS.search(text):
@@ -167,25 +195,7 @@ def _lower_words(text: str) -> list[str] | None:
     return text.encode().lower().decode().split()
 
 
-def _spaced_words(text: str) -> list[str] | None:
-    """The words of a text whose white space is blanks and line ends, as ``Encoder`` writes them."""
-    if not text or _OTHER_SPACE.search(text):
-        return None
-    if text[0] == " " or text[-1] in " \n" or any(run in text for run in _RUNS):
-        return [
-            word[1:] if word[0] == " " and word[1:2] not in ("", " ", "\n") else "\t" + word
-            for word in _WORDS_AND_SPACE.findall(text)
-        ]
-    words = text.replace("\n", " \n").split(" ")
-    words[0] = "\t" + words[0]
-    return words
-
-
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
-_WORDS_AND_SPACE = re.compile(r"[ \n]*[^ \n]+|[ \n]+$")
-# White space within which a byte-level tokenizer may merge.
-_RUNS = ("  ", " \n", "\n\n\n", "\n\n ")
 
 
 def _drops_space(splitter: dict) -> bool:
