@@ -4,7 +4,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import searches
 from tidemark.plans.queries import QUERIES
 from tidemark.functions.distances import VectorError
 from tidemark.operators import (
@@ -13,9 +12,12 @@ from tidemark.operators import (
     drop_index,
     list_indexes,
     match_index,
+    probed_lists,
     search_scalar,
     search_vector,
+    search_vector_batch,
     vector_topk,
+    vector_topk_batch,
 )
 from tidemark.operators.indexes import IndexBuildError
 from tidemark.operators.searches import IndexNotUsable
@@ -120,15 +122,22 @@ def test_registry_staging_matching_listing_and_dropping(spark, lake, namespace):
     assert match(first, "other") == []
 
     second = lake.append(namespace, "t", spark.range(100, 130).toDF("id")).state
-    assert match(second) == [] and len(match(first)) == 1
+    # An index of an earlier state serves a later one, together with the rows appended since.
+    assert [found["metadata_location"] for found in match(second)] == [first.metadata_location]
     node = json.dumps({"type": "gt-eq", "term": "id", "value": 95})
+    later = search_scalar(lake, namespace, "t", second.metadata_location, "by_id", node)
+    assert sorted(row["id"] for row in later.collect()) == list(range(95, 130))
+    text = plan_text(later)
+    assert "zone_id" in text and "snapshot_seq=2" in text and "snapshot_seq=1" not in text
+    only_second = build_scalar_index(lake, namespace, "t", "later", ["id"])
+    only_second.publish()
     with pytest.raises(IndexNotUsable):
-        search_scalar(lake, namespace, "t", second.metadata_location, "by_id", node)
-    stale = search_scalar(
-        lake, namespace, "t", second.metadata_location, "by_id", node, allow_scan=True
+        search_scalar(lake, namespace, "t", first.metadata_location, "later", node)
+    scanned = search_scalar(
+        lake, namespace, "t", first.metadata_location, "later", node, allow_scan=True
     )
-    assert stale.count() == 35
-    assert "zone_id" not in plan_text(stale)
+    assert scanned.count() == 5 and "zone_id" not in plan_text(scanned)
+    drop_index(lake, namespace, "t", "later")
 
     build_scalar_index(lake, namespace, "t", "newer", ["id"]).publish()
     assert [found["index_name"] for found in match(second)] == ["newer"]
@@ -147,8 +156,8 @@ def test_faulty_builds_are_refused(spark, lake, namespace):
     for columns in (["v"], ["absent"], []):
         with pytest.raises(IndexBuildError):
             build_scalar_index(lake, namespace, "t", "i", columns)
-    with pytest.raises(IndexBuildError, match="centroid order"):
-        build_ivf_index(lake, namespace, "t", "i", "id", "v", 1, metric="ip")
+    with pytest.raises(IndexBuildError, match="hamming"):
+        build_ivf_index(lake, namespace, "t", "i", "id", "v", 1, metric="hamming")
     with pytest.raises(IndexBuildError):
         build_ivf_index(lake, namespace, "t", "i", "id", "v", 0)
 
@@ -193,23 +202,95 @@ def test_probing_every_list_gives_the_exact_result_and_recall_grows(
     print(f"recall@10 by nprobe, {metric}:", {n: hits / 20 for n, hits in recall.items()})
 
 
-def test_the_default_probe_reaches_its_recall_and_three_lists_do_not(
-    spark, sf_dir, lake, namespace, embeddings, monkeypatch
-):
+def clustered(spark, count=6000, length=8):
+    """Vectors around thirty far centres; a third of them are copies of one."""
+    rng = random.Random(6)
+    centres = [[rng.gauss(0, 50) for _ in range(length)] for _ in range(30)]
+    rows = []
+    for i in range(count):
+        centre = centres[0] if i % 3 == 0 else [x + rng.gauss(0, 1) for x in centres[i % 30]]
+        rows.append((i, [float(x) for x in centre]))
+    return rows
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+def test_the_search_by_radii_is_exact_and_leaves_lists_out(spark, lake, namespace, metric):
+    rows = clustered(spark)
+    rows += [(10_000, None), (10_001, [0.0] * 8), (10_002, [float("nan")] * 8), (10_003, [1e200] * 8)]
+    frame = spark.createDataFrame(rows, "id long, v array<double>")
+    state = loaded(lake, namespace, "t", frame)
+    build_ivf_index(lake, namespace, "t", "lists", "id", "v", 30, metric=metric).publish()
+    located = (lake, namespace, "t", state.metadata_location, "lists")
+    shares = []
+    for number in (1, 3, 8):
+        query = [x + 0.25 for x in rows[number][1]]
+        exact = vector_topk(frame, query, 5, metric, "id", "v").collect()
+        assert search_vector(*located, query, 5, metric).collect() == exact
+        lists = probed_lists(*located, query, 5).collect()
+        read = sum(row["row_count"] for row in lists if row["is_read"])
+        assert {row["row_count"] for row in lists} and sum(row["row_count"] for row in lists) == 6003
+        shares.append(read / 6003)
+    if metric != "ip":
+        assert sum(shares) / 3 < 0.6, shares
+    # With more rows asked for than have a distance, every list is read.
+    exact = vector_topk(frame, [1.0] * 8, 6003, metric, "id", "v").collect()
+    assert search_vector(*located, [1.0] * 8, 6003, metric).collect() == exact
+    if metric == "cosine":
+        exact = vector_topk(frame, [0.0] * 8, 4, metric, "id", "v").collect()
+        assert search_vector(*located, [0.0] * 8, 4, metric).collect() == exact
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+def test_many_queries_through_an_index_give_what_a_scan_gives(spark, lake, namespace, metric):
+    rows = clustered(spark, 1500) + [(10_001, [0.0] * 8), (10_002, [float("nan")] * 8), (10_003, None)]
+    frame = spark.createDataFrame(rows, "id long, v array<double>")
+    state = loaded(lake, namespace, "t", frame)
+    build_ivf_index(lake, namespace, "t", "lists", "id", "v", 20, metric=metric).publish()
+    queries = frame.where("id % 50 = 0 OR id = 10001 OR id = 10003").toDF("query_id", "query_vector")
+    found = search_vector_batch(
+        lake, namespace, "t", state.metadata_location, "lists", queries, 4, metric
+    )
+    wanted = vector_topk_batch(frame, queries, 4, metric, "id", "v")
+    assert found.columns == wanted.columns
+    assert sorted(found.collect()) == sorted(wanted.collect())
+    with pytest.raises(IndexNotUsable):
+        search_vector_batch(lake, namespace, "t", None, "absent", queries, 4, metric)
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "ip"])
+def test_vectors_appended_after_an_index_are_found(spark, lake, namespace, metric):
+    rows = clustered(spark, 900)
+    frame = spark.createDataFrame(rows, "id long, v array<double>")
+    loaded(lake, namespace, "t", frame.where("id < 600"))
+    build_ivf_index(lake, namespace, "t", "lists", "id", "v", 12, metric=metric).publish()
+    lake.append(namespace, "t", frame.where("id >= 600 AND id < 800"))
+    state = lake.append(namespace, "t", frame.where("id >= 800")).state
+    located = (lake, namespace, "t", state.metadata_location, "lists")
+    for number in (1, 700, 850):
+        query = rows[number][1]
+        exact = vector_topk(frame, query, 6, metric, "id", "v").collect()
+        assert search_vector(*located, query, 6, metric).collect() == exact
+    queries = frame.where("id % 40 = 0").toDF("query_id", "query_vector")
+    found = search_vector_batch(*located, queries, 3, metric)
+    assert sorted(found.collect()) == sorted(vector_topk_batch(frame, queries, 3, metric, "id", "v").collect())
+
+
+def test_fewer_lists_find_less(spark, sf_dir, lake, namespace, embeddings):
     recall = QUERIES["vector_topk_ivf_recall"]
     assert recall(spark, sf_dir).first()["recall_reached"]
     state = loaded(lake, namespace, "e", embeddings)
     build_ivf_index(lake, namespace, "e", "lists", "vec_id", "embedding", 22).publish()
-    hits = 0
+    hits = {1: 0, 11: 0}
     for row in embeddings.where("vec_id % 100 = 0").collect():
         exact = vector_topk(embeddings, row["embedding"], 10, "l2", "vec_id", "embedding")
-        found = search_vector(
-            lake, namespace, "e", state.metadata_location, "lists", row["embedding"], 10
-        )
-        hits += len({r["vec_id"] for r in exact.collect()} & {r["vec_id"] for r in found.collect()})
-    assert hits >= 45
-    monkeypatch.setattr(searches, "PROBED_SHARE", 3 / 22)
-    assert not recall(spark, sf_dir).first()["recall_reached"]
+        wanted = {r["vec_id"] for r in exact.collect()}
+        for nprobe in hits:
+            found = search_vector(
+                lake, namespace, "e", state.metadata_location, "lists", row["embedding"], 10, "l2",
+                json.dumps({"nprobe": nprobe}),
+            )
+            hits[nprobe] += len(wanted & {r["vec_id"] for r in found.collect()})
+    assert hits[1] < hits[11] and hits[11] >= 40
 
 
 def test_every_vector_lies_in_the_list_of_its_nearest_centroid(spark, lake, namespace, embeddings):

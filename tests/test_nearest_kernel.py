@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.functions.distances import METRICS, by_dimension
-from tidemark.operators.vector_search import NearestSoFar, scorable
+from tidemark.operators.nearest import NearestSoFar, scorable
 
 PLAIN = st.sampled_from([0.0, 1.0, -1.0, 0.5, 2.0, 1e-3, 3.0])
 WILD = st.sampled_from(

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.distances import VectorError
 from tidemark.operators import vector_topk, vector_topk_batch
-from tidemark.operators import vector_search
+from tidemark.functions.spaces import Space
+from tidemark.operators import nearest
+from tidemark.operators.cells import Cells, nearest_centres
 
 SCHEMA = "id long, vector array<float>"
 METRICS = ["l2", "ip", "cosine"]
@@ -97,13 +99,35 @@ def test_batch_and_single_searches_agree_to_the_bit(spark, sf_dir, metric):
             assert sorted(tuple(r) for r in single.collect()) == mine
 
 
-def test_queries_beyond_one_block_take_several_passes(spark):
-    rows, asked = made_vectors(200), made_vectors(60, seed=4)
-    frame = spark.createDataFrame(rows, SCHEMA)
+@pytest.mark.parametrize("metric", METRICS)
+@pytest.mark.parametrize("cells", [1, 7, 40])
+def test_cells_and_salted_groups_lose_nothing(spark, metric, cells):
+    rows, asked = made_vectors(600), made_vectors(60, seed=4)
+    frame = spark.createDataFrame(rows + [(1000, [float("nan")] * 8)], SCHEMA).repartition(3)
     queries = spark.createDataFrame(asked, "query_id long, query_vector array<float>")
-    whole = vector_topk_batch(frame, queries, 4).collect()
-    split = vector_topk_batch(frame, queries, 4, block_bytes=800).collect()
-    assert sorted(whole) == sorted(split)
+    found = vector_topk_batch(frame, queries, 2, metric, cells=cells, group_bytes=8 * 8 * 20).collect()
+    for number, query in asked:
+        mine = sorted((r for r in found if r["query_id"] == number), key=lambda r: r["rank"])
+        wanted = brute_force(rows, query, 2, metric) if query is not None else []
+        close([(r["id"], r["distance"], r["rank"]) for r in mine], wanted)
+
+
+def test_far_cells_are_not_visited(spark):
+    """Of well-parted clusters a query visits its own only."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 6)) * 100
+    rows = [(i, [float(x) for x in centres[i % 20] + rng.normal(size=6)]) for i in range(4000)]
+    frame = spark.createDataFrame(rows, "id long, vector array<double>")
+    queries = frame.where("id < 100").toDF("query_id", "query_vector")
+    found = vector_topk_batch(frame, queries, 3).collect()
+    assert len(found) == 300 and all(r["query_id"] % 20 == r["id"] % 20 for r in found)
+    matrix = np.array([vector for _, vector in rows])
+    space = Space("l2")
+    where, far = nearest_centres(matrix, matrix[:20])
+    radii = np.array([far[where == cell].max() for cell in range(20)])
+    cells = Cells(space, matrix[:20], np.bincount(where), radii, 6)
+    to, scale = cells.to_centres(matrix[:100])
+    assert ((space.least(to, radii[None, :], scale) <= 20).sum(axis=1) == 1).all()
 
 
 def test_text_ids_and_their_own_column_names(spark):
@@ -193,12 +217,12 @@ def test_copies_of_one_vector_do_not_pile_up_pairs():
     """All rows tie for every query, yet only k of them per query are measured exactly."""
     queries = np.ones((50, 4))
     matrix = np.ones((5000, 4))
-    kept = vector_search.NearestSoFar(queries, 3, "l2")
+    kept = nearest.NearestSoFar(queries, 3, "l2")
     sizes = []
     keep = kept._keep
     kept._keep = lambda which, keys, ids: (sizes.append(len(which)), keep(which, keys, ids))
     ids = pa.array(np.arange(5000)[::-1].copy())
-    kept.add(ids, matrix, vector_search.scorable(matrix, "l2"))
+    kept.add(ids, matrix, nearest.scorable(matrix, "l2"))
     assert sum(sizes) <= 2 * 50 * 3
     assert kept.ids.to_pylist() == [0, 1, 2] * 50
 
@@ -216,3 +240,4 @@ def test_the_plan_merges_k_rows_per_task_and_shuffles_no_vectors(spark, sf_dir):
     many = vector_topk_batch(vectors, queries, 10, "l2", "vec_id", "embedding")
     text = many._jdf.queryExecution().explainString(mode)
     assert text.count("WindowGroupLimit (") >= 2 and "Join" not in text
+    assert text.count("MapInArrow (") >= 4 and "BroadcastExchange" not in text

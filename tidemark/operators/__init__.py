@@ -6,7 +6,13 @@ from tidemark.operators.indexes import (
     list_indexes,
     match_index,
 )
-from tidemark.operators.searches import filter_rows, search_scalar, search_vector
+from tidemark.operators.searches import (
+    filter_rows,
+    probed_lists,
+    search_scalar,
+    search_vector,
+    search_vector_batch,
+)
 from tidemark.operators.statistics import column_statistics
 from tidemark.operators.vector_search import vector_topk, vector_topk_batch
 
@@ -19,8 +25,10 @@ __all__ = [
     "filter_rows",
     "list_indexes",
     "match_index",
+    "probed_lists",
     "search_scalar",
     "search_vector",
+    "search_vector_batch",
     "vector_topk",
     "vector_topk_batch",
 ]

@@ -5,7 +5,8 @@ zone's min, max and null count. ``ivf`` copies ids and vectors into the lists of
 nearest centroids. Both are written to a path of their own first; ``publish`` then appends
 one registry row, and only then can a search see them. Files are never rewritten.
 
-A search only uses an index built from exactly the table state it reads.
+A search uses an index built from the table state it reads, or from an earlier state of that
+table: then the rows that were appended since are scanned beside it.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.distances import norm, to_matrix
+from tidemark.functions.distances import METRICS, norm, to_matrix
 from tidemark.functions.predicates import zone_columns
-from tidemark.operators.vector_search import NearestSoFar, scorable
-from tidemark.sources.lakehouse import Lakehouse, TableState
+from tidemark.functions.spaces import Space
+from tidemark.operators.cells import nearest_centres
+from tidemark.sources.lakehouse import Lakehouse, TableState, snapshot_number
 
 SCALAR = "scalar"
 IVF = "ivf"
@@ -37,10 +39,10 @@ MAX_CENTROID_BYTES = 256 * 1024 * 1024
 MIN_FILES = 8
 SCALAR_ROWS_PER_FILE = 1_000_000
 VECTOR_BYTES_PER_FILE = 256 * 1024 * 1024
-DISTANCES_AT_A_TIME = 4_000_000
 
 ZONE = "zone_id"
 LIST = "list_id"
+TO_CENTROID = "centroid_distance"
 
 
 class IndexBuildError(ValueError):
@@ -131,15 +133,16 @@ def build_ivf_index(
 ) -> StagedIndex:
     """Copy ids and vectors into lists around ``nlist`` KMeans centroids.
 
-    Centroids are fitted on all vectors, or on about ``training_vectors`` of them where that
+    Lists lie in the space of the metric (``tidemark.functions.spaces``), and each knows its radius
+    there, so that a search can tell which of them cannot matter. Centroids are fitted on all vectors, or on about ``training_vectors`` of them where that
     is given; ``init_mode`` is how KMeans starts (``random`` is quicker for many lists and
     worse). They are sent to the tasks, and every vector is put to
     its list in one pass. One shuffle then brings each list together, with lists cut or
     joined so that every task gets an equal share: a list holding a third of all vectors is
     spread over a third of the tasks.
     """
-    if metric not in ("l2", "cosine"):
-        raise IndexBuildError(f"no centroid order exists for {metric!r}; search it without an index")
+    if metric not in METRICS:
+        raise IndexBuildError(f"no vector index exists for {metric!r}")
     if nlist <= 0:
         raise IndexBuildError("nlist must be at least 1")
     state = lake.state(namespace, table_name, metadata_location)
@@ -150,13 +153,21 @@ def build_ivf_index(
         .where(vector.isNotNull())
         .select(f"`{id_column}`", vector, _row_hash().alias("_row"), _draw(id_column).alias("_draw"))
     )
+    size = norm(vector)
+    space = Space(metric)
+    if metric == "ip":
+        finite = rows.where(size < float("inf"))
+        space = Space(metric, finite.agg(F.max(size)).first()[0] or 0.0)
     sample = rows
     if training_vectors is not None and state.total_rows > training_vectors:
         sample = rows.where(F.col("_draw") < training_vectors / state.total_rows)
     # One vector that is no point in space would make its whole centroid none.
-    size = norm(vector)
     sample = sample.where((size < float("inf")) & (size > 0 if metric == "cosine" else F.lit(True)))
-    sample = sample.select(array_to_vector(vector.cast("array<double>")).alias("features")).persist()
+    point = vector.cast("array<double>")
+    if metric == "ip":
+        rest = F.greatest(F.lit(space.longest**2) - size * size, F.lit(0.0))
+        point = F.array_append(point, F.sqrt(rest))
+    sample = sample.select(array_to_vector(point).alias("features")).persist()
     try:
         first = sample.first()
         if first is None:
@@ -173,6 +184,8 @@ def build_ivf_index(
         )
         model = kmeans.fit(sample)
         centers = np.array(model.clusterCenters())
+        if metric == "cosine":
+            centers = space.points(centers)
         counts = model.transform(sample).groupBy("prediction").count().collect()
     finally:
         sample.unpersist()
@@ -182,18 +195,24 @@ def build_ivf_index(
         weights[row["prediction"]] += row["count"]
     rows_per_file = max(1, VECTOR_BYTES_PER_FILE // (4 * length))
     tasks = max(MIN_FILES, -(-state.total_rows // rows_per_file))
-    placed = rows.withColumn(LIST, _nearest_list(lake, centers, metric)(vector))
+    place = _nearest_list(lake, centers, space, weights / weights.sum(), tasks)
     (
-        placed.withColumn("_task", _equal_share(weights / weights.sum(), tasks))
-        .repartitionById(tasks, F.col("_task"))
-        .drop("_task", "_row", "_draw")
+        rows.withColumn("_place", place(vector, F.col("_row")))
+        .select(f"`{id_column}`", vector, f"_place.{LIST}", f"_place.{TO_CENTROID}", "_place.task")
+        .repartitionById(tasks, F.col("task"))
+        .drop("task")
         .sortWithinPartitions(LIST, F.col(f"`{id_column}`"))
         .write.partitionBy(LIST)
         .option("maxRecordsPerFile", rows_per_file)
         .parquet(f"{path}/rows")
     )
-    copy = index_rows(lake, path, ivf_schema(state, id_column, vector_column), LIST)
-    sizes = copy.groupBy(LIST).agg(F.count(F.lit(1)).alias("row_count"))
+    measured = T.StructType([T.StructField(TO_CENTROID, T.DoubleType())])
+    # A product with a vector that has no place in the space may be the largest of all.
+    unknown = F.lit(float("inf") if metric == "ip" else 0.0)
+    sizes = index_rows(lake, path, measured, LIST).groupBy(LIST).agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.max(F.coalesce(TO_CENTROID, unknown)).alias("radius"),
+    )
     centroids = lake.spark.createDataFrame(
         [(number, center.tolist()) for number, center in enumerate(centers)],
         f"{LIST} int, centroid array<double>",
@@ -201,10 +220,12 @@ def build_ivf_index(
     (
         centroids.join(sizes, LIST, "left")
         .na.fill(0, ["row_count"])
+        .na.fill(0.0, ["radius"])
         .coalesce(1)
         .write.parquet(f"{path}/lists")
     )
     params = {"metric": metric, "nlist": lists, "seed": seed, "max_iterations": max_iterations}
+    params["longest"] = space.longest
     sizes = lake.spark.read.parquet(f"{path}/lists").select("row_count")
     columns = [id_column, vector_column]
     return StagedIndex(lake, state, _event(state, index_name, IVF, path, columns, params, sizes))
@@ -239,15 +260,18 @@ def match_index(
     metadata_location: str,
     index_name: str | None = None,
 ) -> DataFrame:
-    """The newest live index built from one table state, as one JSON row. No match: no row."""
+    """The live index that serves a table state, as one JSON row. No match: no row.
+
+    An index serves the state it was built from (``metadata_location``) and, as tables only grow,
+    later ones. The one built from the latest state is taken, of several the newest.
+    """
     state = lake.state(namespace, table_name, metadata_location)
-    live = live_indexes(lake, namespace, table_name).where(
-        (F.col("table_uuid") == state.table_uuid)
-        & (F.col("metadata_location") == state.metadata_location)
-    )
+    live = live_indexes(lake, namespace, table_name).where(F.col("table_uuid") == state.table_uuid)
+    number = F.substring_index("metadata_location", "#", -1).cast("long")
+    live = live.where(number <= state.snapshot_seq)
     if index_name is not None:
         live = live.where(F.col("index_name") == index_name)
-    newest = live.agg(F.max_by(F.struct("*"), F.col("event_seq")).alias("index"))
+    newest = live.agg(F.max_by(F.struct("*"), F.struct(number, "event_seq")).alias("index"))
     return newest.where("index IS NOT NULL").select(F.to_json("index").alias("index_json"))
 
 
@@ -257,6 +281,7 @@ def matched(
     """The index a search may use, or None: then it scans the table itself.
 
     Gives what ``match_index`` gives for a name, from that name's last event alone.
+    ``snapshot_seq`` of the result tells up to which snapshot its rows go.
     """
     if not index_name:
         return None
@@ -267,10 +292,21 @@ def matched(
     if not last or last[0]["event"] != "published":
         return None
     index = last[0].asDict()
-    fits = index["metadata_location"] == state.metadata_location
+    index["snapshot_seq"] = snapshot_number(index["metadata_location"])
+    fits = 0 <= index["snapshot_seq"] <= state.snapshot_seq
     return index if fits and index["index_type"] == index_type else None
 
 
+def appended_since(
+    lake: Lakehouse, state: TableState, index: dict, file_io_config_json: str = "{}"
+) -> DataFrame | None:
+    """The rows of a state that came after an index was built; None if there is no such snapshot."""
+    if index["snapshot_seq"] == state.snapshot_seq:
+        return None
+    rows = lake.scan_files(state, file_io_config_json, after=index["snapshot_seq"])
+    return rows.select(*[f"`{name}`" for name in state.schema.names])
+
+
 def ivf_schema(state: TableState, id_column: str, vector_column: str) -> T.StructType:
     fields = {field.name: field for field in state.schema.fields}
     return T.StructType([fields[id_column], fields[vector_column]])
@@ -354,43 +390,26 @@ def _event(
     }
 
 
-def _nearest_list(lake: Lakehouse, centers: np.ndarray, metric: str):
-    """The list of the nearest centroid; the lowest such list if several are as near.
+def _nearest_list(lake: Lakehouse, centers: np.ndarray, space: Space, shares: np.ndarray, tasks: int):
+    """The list of the nearest centroid, how far that is, and the task that writes the row.
 
-    The search is exact, so a task run again elsewhere places every vector as before.
+    The search is exact, so a task run again elsewhere places every vector as before. Lists lie
+    end to end on [0, 1), each as long as its share of the sample, and a row's hash gives its
+    place within its list. Tasks are equal cuts of that line, so large lists span several tasks
+    and small ones share one. The shares steer balance only.
     """
-    sent = lake.spark.sparkContext.broadcast(centers)
-
-    @F.arrow_udf("int")
-    def nearest(vectors: pa.Array) -> pa.Array:
-        table = sent.value
-        matrix = to_matrix(vectors, table.shape[1])
-        # No direction, so no nearest one: zero vectors go along with the first list.
-        matrix[~matrix.any(axis=1)] = table[0]
-        numbers = pa.array(np.arange(len(table), dtype=np.int32))
-        scored = scorable(table, metric)
-        found = []
-        step = max(1, DISTANCES_AT_A_TIME // len(table))
-        for start in range(0, len(matrix), step):
-            search = NearestSoFar(matrix[start : start + step], 1, metric)
-            search.add(numbers, table, scored)
-            found.append(search.ids)
-        return pa.concat_arrays(found) if found else numbers.slice(0, 0)
+    ends = np.cumsum(shares)
+    sent = lake.spark.sparkContext.broadcast((centers, ends - shares, shares))
+    length = centers.shape[1] - (space.metric == "ip")
+
+    @F.arrow_udf(f"{LIST} int, {TO_CENTROID} double, task int")
+    def nearest(vectors: pa.Array, rows: pa.Array) -> pa.Array:
+        table, starts, parts = sent.value
+        found, distance = nearest_centres(space.points(to_matrix(vectors, length)), table)
+        within = np.mod(rows.to_numpy(zero_copy_only=False), 1 << 30) / float(1 << 30)
+        task = np.minimum(np.floor((starts[found] + within * parts[found]) * tasks), tasks - 1)
+        columns = [pa.array(found.astype(np.int32)), pa.array(distance, from_pandas=True)]
+        columns.append(pa.array(task.astype(np.int32)))
+        return pa.StructArray.from_arrays(columns, names=[LIST, TO_CENTROID, "task"])
 
     return nearest
-
-
-def _equal_share(shares: np.ndarray, tasks: int) -> Column:
-    """The task of a row, from its list and its hash.
-
-    Lists lie end to end on [0, 1), each as long as its share of the sample, and a row's
-    hash gives its place within its list. Tasks are equal cuts of that line, so large lists
-    span several tasks and small ones share one. The shares steer balance only.
-    """
-    ends = np.cumsum(shares)
-    as_array = lambda numbers: F.expr(
-        "array(" + ", ".join(f"{float(number)!r}D" for number in numbers) + ")"
-    )
-    start, share = (F.get(as_array(part), F.col(LIST)) for part in (ends - shares, shares))
-    place = start + _unit(F.col("_row")) * share
-    return F.least(F.floor(place * tasks), F.lit(tasks - 1)).cast("int")

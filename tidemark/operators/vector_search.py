@@ -1,9 +1,8 @@
 """The k nearest vectors to one query vector, or to each of many.
 
 One query is a distance column under ``ORDER BY ... LIMIT k``: Spark keeps k rows per
-task and merges those, so vectors are never shuffled. Many queries go out to the tasks
-in blocks of a checked size; a task keeps k rows per query while it streams through its
-vectors, and only those rows are shuffled to be ranked.
+task and merges those, so vectors are never shuffled. Many queries are joined with the
+vectors on cells around some of these.
 """
 
 from __future__ import annotations
@@ -11,28 +10,24 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.distances import (
-    METRICS,
     VectorError,
-    by_dimension,
     check_metric,
     distance,
     nearest_first,
+    norm,
     to_matrix,
 )
-from tidemark.session import MAX_TASKS, run_folder
+from tidemark.functions.spaces import Space
+from tidemark.operators.cells import VECTORS_AT_A_TIME, Cells, join_on_cells, nearest_centres
 
-# Bytes of query vectors sent to every task at once; more queries take further passes.
-QUERY_BLOCK_BYTES = 64 * 1024 * 1024
-# Queries and vectors whose products a task holds in memory at a time.
-QUERIES_AT_A_TIME = 256
-VECTORS_AT_A_TIME = 10_000
+# Centres of a batch search: what goes to all tasks is so many vectors, however many there are.
+CELLS = 256
 
 
 def vector_topk(
@@ -55,7 +50,6 @@ def vector_topk(
     measured = distance(_name(vector_column), query, check_metric(metric), form)
     nearest = (
         vectors.where(_name(vector_column).isNotNull())
-        .coalesce(MAX_TASKS)
         .select(key, measured.alias("distance"))
         .orderBy(nearest_first(metric, F.col("distance")), key.asc())
         .limit(k)
@@ -74,14 +68,14 @@ def vector_topk_batch(
     vector_column: str = "vector",
     query_id_column: str = "query_id",
     query_vector_column: str = "query_vector",
-    block_bytes: int = QUERY_BLOCK_BYTES,
+    cells: int = CELLS,
+    group_bytes: int | None = None,
 ) -> DataFrame:
     """Exact top k for every row of ``queries``: ``(query id, id, distance, rank)``.
 
-    Queries are counted and measured first. If they fit ``block_bytes`` the result is lazy
-    and takes one pass over the vectors. Otherwise they are split by a hash of their id into
-    blocks that fit; each block is one pass whose result is written to the shared folder, so
-    the driver never holds more than one block.
+    Vectors are put to at most ``cells`` of their own as centres, and joined with the queries on
+    the cells that these have to visit, see ``tidemark.operators.cells``. Both sides are measured
+    and the cells counted first; the result is one lazy plan.
     """
     _check_k(k)
     _check_names(query_id_column, id_column)
@@ -90,38 +84,116 @@ def vector_topk_batch(
         _name(query_id_column).alias("query_id"),
         _name(query_vector_column).cast("array<double>").alias("query_vector"),
     ).where("query_vector IS NOT NULL")
+    length = _check_queries(wanted)
+    scan = vectors.where(_name(vector_column).isNotNull()).select(
+        _name(id_column).alias("id"), _name(vector_column).alias("vector")
+    )
+    names = (query_id_column, id_column)
+    facts = _facts(scan, metric) if length else None
+    if not facts or not facts["rows"]:
+        return _ranked(_no_matches(scan, wanted), k, metric, names)
+    space = Space(metric, facts["longest"] or 0.0)
+    # A cell of fewer vectors than are asked for bounds nothing.
+    centres = _centres(scan, space, length, max(1, min(cells, facts["rows"] // (8 * k))))
+    sent = scan.sparkSession.sparkContext.broadcast(centres)
+    placed = _placed(scan, sent, space, length)
+    counts, radii = np.zeros(len(centres), np.int64), np.zeros(len(centres))
+    farthest = F.max(F.coalesce("to_centre", F.lit(float("inf") if metric == "ip" else 0.0)))
+    for row in placed.groupBy("cell").agg(F.count("*").alias("n"), farthest.alias("radius")).collect():
+        counts[row["cell"]], radii[row["cell"]] = row["n"], row["radius"]
+    known = Cells(space, centres, counts, radii, length)
+    found = join_on_cells(placed.drop("to_centre"), wanted, k, metric, known, group_bytes)
+    return _ranked(found, k, metric, names)
+
+
+def nearest_in_cells(
+    vectors: DataFrame,
+    queries: DataFrame,
+    k: int,
+    metric: str,
+    id_column: str,
+    vector_column: str,
+    cell_column: str,
+    space: Space,
+    centres: np.ndarray,
+    counts: np.ndarray,
+    radii: np.ndarray,
+    group_bytes: int | None = None,
+) -> DataFrame:
+    """As ``vector_topk_batch``, for vectors that lie in cells already."""
+    _check_k(k)
+    _check_names("query_id", id_column)
+    wanted = queries.select(
+        "query_id", F.col("query_vector").cast("array<double>").alias("query_vector")
+    ).where("query_vector IS NOT NULL")
+    length = _check_queries(wanted)
+    scan = vectors.select(
+        _name(id_column).alias("id"), _name(vector_column).alias("vector"), _name(cell_column).alias("cell")
+    )
+    names = ("query_id", id_column)
+    if not length or not counts.sum():
+        return _ranked(_no_matches(scan, wanted), k, metric, names)
+    known = Cells(space, centres, counts, radii, length)
+    return _ranked(join_on_cells(scan, wanted, k, metric, known, group_bytes), k, metric, names)
+
+
+def best_of(found: DataFrame, k: int, metric: str, id_column: str) -> DataFrame:
+    """The k nearest per query of several results of batch searches."""
+    rows = found.select("query_id", _name(id_column).alias("id"), "distance")
+    return _ranked(rows, k, metric, ("query_id", id_column))
+
+
+def _check_queries(wanted: DataFrame) -> int | None:
+    """The length of the query vectors; None without queries."""
+    wild = F.exists("query_vector", lambda x: F.isnan(x) | (F.abs(x) == float("inf")) | x.isNull())
     facts = wanted.agg(
         F.count(F.lit(1)).alias("count"),
         F.count_distinct("query_id").alias("ids"),
         F.min(F.size("query_vector")).alias("shortest"),
         F.max(F.size("query_vector")).alias("longest"),
+        F.bool_or(wild).alias("wild"),
     ).first()
     if facts["count"] != facts["ids"]:
         raise VectorError("query ids must be present and unique")
     if facts["shortest"] != facts["longest"]:
         raise VectorError("query vectors differ in length")
-    scan = vectors.where(_name(vector_column).isNotNull()).select(
-        _name(id_column).alias("id"), _name(vector_column).alias("vector")
-    )
-    names = (query_id_column, id_column)
-    if facts["count"] == 0:
-        return _ranked(_no_matches(scan, wanted), k, metric, names)
-    size = facts["count"] * facts["longest"] * 8
-    if size <= block_bytes:
-        return _ranked(_nearest_to_block(scan, wanted, k, metric), k, metric, names)
-
-    blocks = -(-2 * size // block_bytes)
-    folder = run_folder(vectors.sparkSession, "topk")
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")
-    wanted.select("*", block).repartition(F.col("block")).write.partitionBy("block").parquet(
-        f"{folder}/queries"
-    )
-    split = vectors.sparkSession.read.parquet(f"{folder}/queries")
-    for number in range(blocks):
-        part = split.where(F.col("block") == number).select("query_id", "query_vector")
-        found = _ranked(_nearest_to_block(scan, part, k, metric), k, metric, names)
-        found.write.mode("overwrite").parquet(f"{folder}/found/block={number}")
-    return vectors.sparkSession.read.parquet(f"{folder}/found").drop("block")
+    if facts["longest"] == 0 or facts["wild"]:
+        raise VectorError("a query vector needs at least one number, all of them finite")
+    return facts["longest"]
+
+
+def _facts(scan: DataFrame, metric: str):
+    """How many vectors there are and, for products, how long the longest finite one is."""
+    size = norm(F.col("vector")) if metric == "ip" else F.lit(0.0)
+    return scan.agg(
+        F.count(F.lit(1)).alias("rows"), F.max(F.when(size < float("inf"), size)).alias("longest")
+    ).first()
+
+
+def _centres(scan: DataFrame, space: Space, length: int, cells: int) -> np.ndarray:
+    """Some of the vectors, chosen by hash, as points of the space; never none."""
+    chosen = scan.select("vector").orderBy(F.xxhash64("vector")).limit(cells).collect()
+    rows = [row["vector"] for row in chosen if len(row["vector"]) == length and None not in row["vector"]]
+    points = space.points(np.array(rows, float).reshape(len(rows), length))
+    points = np.unique(points[np.isfinite(points).all(axis=1)], axis=0)
+    return points if len(points) else np.zeros((1, points.shape[1]))
+
+
+def _placed(scan: DataFrame, sent, space: Space, length: int) -> DataFrame:
+    """Vectors with their cell and, null where they have no place, the distance to its centre."""
+    added = [T.StructField("cell", T.IntegerType()), T.StructField("to_centre", T.DoubleType())]
+    schema = T.StructType([*scan.schema.fields, *added])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, VECTORS_AT_A_TIME):
+                part = batch.slice(first, VECTORS_AT_A_TIME)
+                points = space.points(to_matrix(part.column(1), length))
+                cell, distance = nearest_centres(points, sent.value)
+                columns = [pa.array(cell.astype(np.int32)), pa.array(distance, from_pandas=True)]
+                yield pa.record_batch([*part.columns, *columns], names=schema.names)
+
+    return scan.mapInArrow(place, schema)
 
 
 def _check_k(k: int) -> None:
@@ -164,169 +236,3 @@ def _ranked(found: DataFrame, k: int, metric: str, names: tuple[str, str]) -> Da
         "distance",
         F.col("rank").cast("long").alias("rank"),
     )
-
-
-def _nearest_to_block(scan: DataFrame, block: DataFrame, k: int, metric: str) -> DataFrame:
-    """Up to k candidates per query from every task, for queries that fit one block."""
-    schema = _match_schema(scan, block)
-    collected = block.toArrow().combine_chunks()
-    if collected.num_rows == 0:
-        return _no_matches(scan, block)
-    ids, lists = (collected.column(name).chunk(0) for name in ("query_id", "query_vector"))
-    length = len(lists[0])
-    matrix = to_matrix(lists, length)
-    if length == 0 or not np.isfinite(matrix).all():
-        raise VectorError("a query vector needs at least one number, all of them finite")
-    sent = scan.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries = sent.value
-        starts = range(0, len(queries), QUERIES_AT_A_TIME)
-        parts = [NearestSoFar(queries[i : i + QUERIES_AT_A_TIME], k, metric) for i in starts]
-        for batch in batches:
-            for first in range(0, batch.num_rows, VECTORS_AT_A_TIME):
-                piece = batch.slice(first, VECTORS_AT_A_TIME)
-                found = to_matrix(piece.column(1), length)
-                scored = scorable(found, metric)
-                for part in parts:
-                    part.add(piece.column(0), found, scored)
-        for start, part in zip(starts, parts):
-            if part.ids is not None:
-                asked = query_ids.take(pa.array(part.which + start))
-                yield pa.record_batch([asked, part.ids, part.distances()], names=schema.names)
-
-    return scan.coalesce(MAX_TASKS).mapInArrow(search, schema)
-
-
-def rounding_bound(length: int) -> float:
-    """More than the relative error of any sum of products over this many dimensions."""
-    return 16 * (length + 8) * float(np.finfo(np.float64).eps)
-
-
-def _squared_lengths(matrix: np.ndarray) -> np.ndarray:
-    """NaN where they are too large to be told apart; no comparison rules NaN out."""
-    squares = (matrix * matrix).sum(axis=1)
-    return np.where(np.isfinite(squares), squares, np.nan)
-
-
-def _of_length_one(matrix: np.ndarray, squares: np.ndarray) -> np.ndarray:
-    return matrix / np.sqrt(np.where(squares < 1e-280, np.nan, squares))[:, None]
-
-
-def scorable(matrix: np.ndarray, metric: str) -> np.ndarray:
-    """Vectors with one more dimension, so that a product with queries gives their scores.
-
-    A score is the larger the nearer a vector is, and errs on the near side: the rounding
-    error that depends on the vector is added to it.
-    """
-    slack = rounding_bound(matrix.shape[1])
-    with np.errstate(all="ignore"):
-        squares = _squared_lengths(matrix)
-        if metric == "cosine":
-            return np.column_stack([_of_length_one(matrix, squares), np.zeros(len(matrix))])
-        return np.column_stack(
-            [matrix, (slack - 1) / 2 * squares if metric == "l2" else np.sqrt(squares)]
-        )
-
-
-class NearestSoFar:
-    """The k nearest of all vectors added so far, for each of a few queries.
-
-    Scores come from one matrix product, whose rounding error is bounded. They are only
-    used to leave out vectors that cannot be among the k nearest. All others are measured
-    exactly, so what is kept does not depend on the product or on the machine.
-    """
-
-    def __init__(self, queries: np.ndarray, k: int, metric: str):
-        self.queries, self.k, self.metric = queries, k, metric
-        self.sign = -1.0 if METRICS[metric] else 1.0
-        self.slack = rounding_bound(queries.shape[1])
-        with np.errstate(all="ignore"):
-            self.squares = _squared_lengths(queries)
-            if metric == "cosine":
-                scaled, last = _of_length_one(queries, self.squares), np.zeros(len(queries))
-            elif metric == "ip":
-                scaled, last = queries, self.slack * np.sqrt(self.squares)
-            else:
-                scaled, last = queries, np.ones(len(queries))
-        self.scaled = np.column_stack([scaled, last])
-        self.limits = np.full(len(queries), np.inf)
-        self.which = np.empty(0, dtype=np.int64)
-        self.keys = np.empty(0)
-        self.ids: pa.Array | None = None
-
-    def add(self, ids: pa.Array, matrix: np.ndarray, scored: np.ndarray) -> None:
-        with np.errstate(all="ignore"):
-            scores = self.scaled @ scored.T
-        first = None
-        if np.isinf(self.limits).any():
-            # The rows that score best set the first limits.
-            best = min(self.k, len(matrix))
-            rows = np.argpartition(-scores, best - 1, axis=1)[:, :best].ravel()
-            first = np.repeat(np.arange(len(scores)), best), rows
-            self._measure(*first, ids, matrix)
-        # Written so that NaN counts as possible.
-        possible = ~(scores < self._floors()[:, None])
-        if first is not None:
-            possible[first] = False
-        which, rows = np.divmod(np.flatnonzero(possible), len(matrix))
-        if len(which) > 4 * self.k * len(self.queries):
-            # Many equal vectors: of those only the k lowest ids can ever be kept.
-            alive = _lowest_ids_of_copies(matrix, ids, self.k)[rows]
-            which, rows = which[alive], rows[alive]
-        self._measure(which, rows, ids, matrix)
-
-    def _floors(self) -> np.ndarray:
-        """The score below which a vector is certainly farther than the kth kept one."""
-        if self.metric == "l2":
-            near = self.limits * self.limits * (1 + self.slack)
-            return (self.squares * (1 - self.slack) - near) / 2
-        if self.metric == "ip":
-            return -self.limits
-        return 1 - self.slack - self.limits
-
-    def _measure(
-        self, which: np.ndarray, rows: np.ndarray, ids: pa.Array, matrix: np.ndarray
-    ) -> None:
-        for start in range(0, len(which), VECTORS_AT_A_TIME):
-            part = slice(start, start + VECTORS_AT_A_TIME)
-            left = np.ascontiguousarray(matrix[rows[part]].T)
-            right = np.ascontiguousarray(self.queries[which[part]].T)
-            exact = self.sign * by_dimension(left, right, self.metric)
-            self._keep(which[part], exact, ids.take(pa.array(rows[part])))
-
-    def _keep(self, which: np.ndarray, keys: np.ndarray, ids: pa.Array) -> None:
-        which = np.concatenate([self.which, which])
-        keys = np.concatenate([self.keys, keys])
-        ids = ids if self.ids is None else pa.concat_arrays([self.ids, ids])
-        order = np.lexsort((_places(ids), keys, which))  # NaN keys sort last
-        which = which[order]
-        first = np.searchsorted(which, which, side="left")
-        best = np.arange(len(which)) - first < self.k
-        self.which, self.keys = which[best], keys[order][best]
-        self.ids = ids.take(pa.array(order[best]))
-        full, counts = np.unique(self.which, return_counts=True)
-        last = np.cumsum(counts) - 1
-        worst = self.keys[last[counts == self.k]]
-        self.limits[full[counts == self.k]] = np.where(np.isnan(worst), np.inf, worst)
-
-    def distances(self) -> pa.Array:
-        return pa.array(self.sign * self.keys, from_pandas=True)
-
-
-def _places(ids: pa.Array) -> np.ndarray:
-    """Numbers that sort as the ids do."""
-    if pa.types.is_integer(ids.type):
-        return ids.to_numpy(zero_copy_only=False)
-    return pd.Series(ids.to_numpy(zero_copy_only=False)).rank(method="dense").to_numpy()
-
-
-def _lowest_ids_of_copies(matrix: np.ndarray, ids: pa.Array, k: int) -> np.ndarray:
-    """Marks, of every set of equal rows, the k with the lowest ids."""
-    order = np.argsort(_places(ids), kind="stable")
-    sorted_rows = np.ascontiguousarray(matrix[order])
-    as_bytes = sorted_rows.view(np.dtype((np.void, sorted_rows.shape[1] * 8))).ravel()
-    _, copies = np.unique(as_bytes, return_inverse=True)
-    alive = np.empty(len(order), dtype=bool)
-    alive[order] = pd.Series(copies).groupby(copies).cumcount().to_numpy() < k
-    return alive

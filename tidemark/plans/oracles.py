@@ -127,12 +127,12 @@ def _topk_sql(measure: str, order: str) -> str:
     """
 
 
-def _batch_sql(measure: str, order: str) -> str:
+def _batch_sql(measure: str, order: str, asked: str = "TRUE") -> str:
     return f"""
         WITH measured AS (
             SELECT q.vec_id AS query_id, v.vec_id,
                    {measure}(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS exact
-            FROM embeddings q CROSS JOIN embeddings v
+            FROM embeddings q CROSS JOIN embeddings v WHERE {asked}
         ), ranked AS (
             SELECT *, row_number() OVER (
                 PARTITION BY query_id ORDER BY exact {order}, vec_id) AS rank
@@ -223,6 +223,12 @@ ORACLES: dict[str, str] = {
         WHERE starts_with(p_name, 's') AND p_brand NOT IN ('Brand#1', 'Brand#2')
           AND p_type <> 'ECONOMY' AND p_size IS NOT NULL
     """,
+    "scalar_search_appended": """
+        SELECT o_orderkey, o_custkey, o_orderdate FROM orders
+        WHERE o_custkey > 100 AND o_custkey <= 160
+    """,
+    "vector_topk_appended": _topk_sql("list_distance", "ASC"),
+    "vector_topk_batch_appended": _batch_sql("list_distance", "ASC", "q.vec_id % 20 = 0"),
     "vector_topk_l2": _topk_sql("list_distance", "ASC"),
     "vector_topk_ip": _topk_sql("list_inner_product", "DESC"),
     "vector_topk_cosine": _topk_sql("list_cosine_distance", "ASC"),
@@ -260,9 +266,16 @@ ORACLES: dict[str, str] = {
                TRUE AS distinct_within_error
         FROM ({_statistics_sql()}) AS facts
     """,
-    "vector_topk_ivf": """
-        SELECT rank, TRUE AS is_exact
-        FROM unnest(generate_series(1, least(10, (SELECT count(*) FROM embeddings)))) AS ranks(rank)
+    "vector_topk_ivf": _topk_sql("list_distance", "ASC"),
+    "vector_topk_ivf_cosine": _topk_sql("list_cosine_distance", "ASC"),
+    "vector_topk_ivf_ip": _topk_sql("list_inner_product", "DESC"),
+    "vector_topk_scan_l2": _topk_sql("list_distance", "ASC"),
+    "vector_topk_scan_ip": _topk_sql("list_inner_product", "DESC"),
+    "vector_topk_ivf_batch": _batch_sql("list_distance", "ASC", "q.vec_id % 20 = 0"),
+    "vector_topk_ivf_batch_cosine": _batch_sql("list_cosine_distance", "ASC", "q.vec_id % 20 = 0"),
+    "vector_topk_ivf_batch_ip": _batch_sql("list_inner_product", "DESC", "q.vec_id % 20 = 0"),
+    "vector_topk_ivf_lists": """
+        SELECT CAST(count(*) AS BIGINT) AS row_count, TRUE AS enough_is_read FROM embeddings
     """,
     "vector_topk_ivf_recall": _RECALL_SQL,
     "vector_topk_ivf_recall_cosine": _RECALL_SQL,

@@ -12,13 +12,14 @@ from tidemark.operators import (
     column_statistics,
     list_indexes,
     match_index,
+    probed_lists,
     search_scalar,
     search_vector,
+    search_vector_batch,
     vector_topk,
     vector_topk_batch,
 )
 from tidemark.operators.indexes import LIST, index_rows, ivf_schema
-from tidemark.operators.searches import default_nprobe
 from tidemark.plans.workspace import TABLES, workspace
 from tidemark.sources import PROBLEMS, conform, to_document, to_struct
 
@@ -234,6 +235,29 @@ def scalar_search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Orders of a range of customers, whatever their day.
+ORDERS_OF_SOME = {
+    "type": "and",
+    "left": {"type": "gt", "term": "o_custkey", "value": 100},
+    "right": {"type": "lt-eq", "term": "o_custkey", "value": 160},
+}
+
+
+def scalar_search_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through an index that is older than half of the rows."""
+    space = workspace(spark, sf_dir)
+    state = space.orders_since_index()
+    return search_scalar(
+        space.lake,
+        space.namespace,
+        "orders_in_two",
+        state.metadata_location,
+        "by_customer",
+        json.dumps(ORDERS_OF_SOME),
+        ["o_orderkey", "o_custkey", "o_orderdate"],
+    )
+
+
 def _search_lines(space, location: str, index_name: str | None) -> DataFrame:
     return search_scalar(
         space.lake,
@@ -273,21 +297,9 @@ def batch_topk(metric: str) -> Query:
     return query
 
 
-def _checked_topk(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
-    """What SQL can settle about an approximate result: its ranks, and that each row is one of
-    the table with its exact L2 distance."""
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    query = F.array(*[F.lit(float(x)) for x in first_vector(spark, sf_dir)])
-    squares = F.zip_with("embedding", query, lambda a, b: F.pow(a.cast("double") - b, F.lit(2)))
-    exact = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda done, one: done + one))
-    both = found.join(vectors.select("vec_id", exact.alias("exact")), "vec_id", "left")
-    return both.select(
-        F.col("rank").cast("long").alias("rank"),
-        F.coalesce(F.abs(F.col("exact") - F.col("distance")) < 1e-9, F.lit(False)).alias("is_exact"),
-    )
-
-
 def indexed_topk(metric: str, all_lists: bool) -> Query:
+    """The search through lists: all of them, or those that may hold one of the nearest."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         space = workspace(spark, sf_dir)
         state = space.embeddings_in_lists()
@@ -302,35 +314,109 @@ def indexed_topk(metric: str, all_lists: bool) -> Query:
             metric,
             json.dumps({"nprobe": state.total_rows} if all_lists else {}),
         )
-        if all_lists:
-            return found.select("vec_id", rounded(), "rank")
-        return _checked_topk(spark, sf_dir, found)
+        return found.select("vec_id", rounded(), "rank")
 
     return query
 
 
-def ivf_recall(metric: str) -> Query:
-    """Whether the approximate search finds ``LEAST_RECALL`` of what the exact one does, for every
-    vector whose id is divisible by ``RECALL_EVERY``.
+def scanned_topk(metric: str) -> Query:
+    """A search that names an index of another distance kind and allows a scan in its place."""
 
-    Lists are read whole, so a true neighbour is found if and only if its list is.
-    """
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        space = workspace(spark, sf_dir)
+        state = space.embeddings_in_lists()
+        other = "cosine" if metric == "l2" else "l2"
+        found = search_vector(
+            space.lake,
+            space.namespace,
+            "embeddings",
+            state.metadata_location,
+            f"lists_{other}",
+            first_vector(spark, sf_dir),
+            K,
+            metric,
+            '{"allow_scan": true}',
+        )
+        return found.select("vec_id", rounded(), "rank")
+
+    return query
+
+
+def vector_topk_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through an index that is older than half of the vectors."""
+    space = workspace(spark, sf_dir)
+    state = space.embeddings_since_index()
+    wanted = first_vector(spark, sf_dir)
+    found = search_vector(
+        space.lake, space.namespace, state.table_name, state.metadata_location, "lists", wanted, K
+    )
+    return found.select("vec_id", rounded(), "rank")
+
+
+def vector_batch_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    space = workspace(spark, sf_dir)
+    state = space.embeddings_since_index()
+    queries = _every_twentieth(spark, sf_dir)
+    found = search_vector_batch(
+        space.lake, space.namespace, state.table_name, state.metadata_location, "lists", queries, K
+    )
+    return found.select("query_id", "vec_id", rounded(), "rank")
+
+
+def lists_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows lie in lists, and whether those that a search reads hold enough of them."""
+    space = workspace(spark, sf_dir)
+    state = space.embeddings_in_lists()
+    lists = probed_lists(
+        space.lake,
+        space.namespace,
+        "embeddings",
+        state.metadata_location,
+        "lists_l2",
+        first_vector(spark, sf_dir),
+        K,
+    )
+    read = F.sum(F.when(F.col("is_read"), F.col("row_count")))
+    return lists.agg(F.sum("row_count").alias("row_count"), (read >= K).alias("enough_is_read"))
+
+
+def _every_twentieth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vectors.where(F.col("vec_id") % RECALL_EVERY == 0).select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")
+    )
+
+
+def indexed_batch(metric: str) -> Query:
+    """The nearest to every vector whose id is divisible by ``RECALL_EVERY``, through an index."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         space = workspace(spark, sf_dir)
-        index = _index(space, space.embeddings_in_lists(), f"lists_{metric}")
-        vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-        queries = vectors.where(F.col("vec_id") % RECALL_EVERY == 0).select(
-            F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")
+        state = space.embeddings_in_lists()
+        found = search_vector_batch(
+            space.lake,
+            space.namespace,
+            "embeddings",
+            state.metadata_location,
+            f"lists_{metric}",
+            _every_twentieth(spark, sf_dir),
+            K,
+            metric,
         )
+        return found.select("query_id", "vec_id", rounded(), "rank")
+
+    return query
+
+
+def ivf_recall(metric: str) -> Query:
+    """Whether the search through an index finds ``LEAST_RECALL`` of what one without it does."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+        queries = _every_twentieth(spark, sf_dir)
         exact = vector_topk_batch(vectors, queries, K, metric, "vec_id", "embedding")
-        centroids = spark.read.parquet(f"{index['index_path']}/lists").where("row_count > 0")
-        nprobe = default_nprobe(index["partition_count"])
-        probed = vector_topk_batch(centroids, queries, nprobe, metric, LIST, "centroid")
-        placed = spark.read.parquet(f"{index['index_path']}/rows").select("vec_id", LIST)
-        hits = exact.join(placed, "vec_id").join(
-            probed.select("query_id", LIST, F.lit(1).alias("hit")), ["query_id", LIST], "left"
-        )
+        found = indexed_batch(metric)(spark, sf_dir).select("query_id", "vec_id", F.lit(1).alias("hit"))
+        hits = exact.join(found, ["query_id", "vec_id"], "left")
         return hits.agg(
             F.count_distinct("query_id").alias("queries"),
             (F.count("hit") >= LEAST_RECALL * F.count("*")).alias("recall_reached"),
@@ -442,6 +528,7 @@ QUERIES: dict[str, Query] = {
     "scalar_search": scalar_search,
     "scalar_search_zone_map": scalar_search_zone_map,
     "scalar_search_text": scalar_search_text,
+    "scalar_search_appended": scalar_search_appended,
     "vector_topk_l2": exact_topk("l2"),
     "vector_topk_ip": exact_topk("ip"),
     "vector_topk_cosine": exact_topk("cosine"),
@@ -452,6 +539,16 @@ QUERIES: dict[str, Query] = {
     "vector_topk_ivf_full": indexed_topk("l2", all_lists=True),
     "vector_topk_ivf_full_cosine": indexed_topk("cosine", all_lists=True),
     "vector_topk_ivf": indexed_topk("l2", all_lists=False),
+    "vector_topk_ivf_cosine": indexed_topk("cosine", all_lists=False),
+    "vector_topk_ivf_ip": indexed_topk("ip", all_lists=False),
+    "vector_topk_ivf_lists": lists_read,
+    "vector_topk_ivf_batch": indexed_batch("l2"),
+    "vector_topk_ivf_batch_cosine": indexed_batch("cosine"),
+    "vector_topk_ivf_batch_ip": indexed_batch("ip"),
+    "vector_topk_appended": vector_topk_appended,
+    "vector_topk_batch_appended": vector_batch_appended,
+    "vector_topk_scan_l2": scanned_topk("l2"),
+    "vector_topk_scan_ip": scanned_topk("ip"),
     "vector_topk_ivf_recall": ivf_recall("l2"),
     "vector_topk_ivf_recall_cosine": ivf_recall("cosine"),
     "index_build_scalar": index_build_scalar,

@@ -62,12 +62,20 @@ class Workspace:
         """``orders`` in two appends by day: the states after the first and the second."""
         return self.once("orders_in_two", self._load_orders_in_two)
 
+    def orders_since_index(self) -> TableState:
+        """``orders_in_two`` after its second append, with an index of the first state only."""
+        return self.once("orders_since_index", self._index_first_orders)
+
+    def embeddings_since_index(self) -> TableState:
+        """``embeddings`` in two appends by label, with a vector index of the first state only."""
+        return self.once("embeddings_since_index", self._index_first_embeddings)
+
     def lineitem_by_date(self) -> TableState:
         """``lineitem`` with a scalar index on ship date and part key."""
         return self.once("lineitem_by_date", self._index_lineitem)
 
     def embeddings_in_lists(self) -> TableState:
-        """``embeddings`` with IVF indexes for L2 and cosine."""
+        """``embeddings`` with IVF indexes for all distance kinds."""
         return self.once("embeddings_in_lists", self._index_embeddings)
 
     def supplier_indexes(self) -> TableState:
@@ -100,6 +108,23 @@ class Workspace:
         second = self.lake.append(self.namespace, "orders_in_two", rows.where(~early))
         return first.state, second.state
 
+    def _index_first_orders(self) -> TableState:
+        first, second = self.orders_in_two()
+        build_scalar_index(
+            self.lake, self.namespace, "orders_in_two", "by_customer", ["o_custkey"], first.metadata_location
+        ).publish()
+        return second
+
+    def _index_first_embeddings(self) -> TableState:
+        rows = self.given("embeddings")
+        self.declare("embeddings_in_two", rows)
+        even = F.coalesce(F.col("label") % 2 == 0, F.lit(True))
+        address = (self.lake, self.namespace, "embeddings_in_two")
+        first = self.lake.append(*address[1:], rows.where(even)).state
+        lists = max(4, math.isqrt(first.total_rows))
+        build_ivf_index(*address, "lists", "vec_id", "embedding", lists).publish()
+        return self.lake.append(*address[1:], rows.where(~even)).state
+
     def _index_lineitem(self) -> TableState:
         state = self.table("lineitem")
         columns = ["l_shipdate", "l_partkey"]
@@ -108,8 +133,8 @@ class Workspace:
 
     def _index_embeddings(self) -> TableState:
         state = self.table("embeddings")
-        lists = max(4, min(4096, math.isqrt(state.total_rows)))
-        for metric in ("l2", "cosine"):
+        lists = max(4, math.isqrt(state.total_rows))
+        for metric in ("l2", "cosine", "ip"):
             build_ivf_index(
                 self.lake,
                 self.namespace,

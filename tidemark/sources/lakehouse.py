@@ -277,12 +277,15 @@ class Lakehouse:
         files = self.scan_files(state, file_io_config_json)
         return files.select(*[f"`{name}`" for name in state.schema.names])
 
-    def scan_files(self, state: TableState, file_io_config_json: str = "{}") -> DataFrame:
-        """As ``scan_state`` with the partition column and hidden ``_metadata`` still there."""
+    def scan_files(
+        self, state: TableState, file_io_config_json: str = "{}", after: int = -1
+    ) -> DataFrame:
+        """As ``scan_state`` with the partition column and hidden ``_metadata`` still there; of
+        snapshots after a number only, where one is given."""
         schema = T.StructType([*state.schema.fields, T.StructField(SNAPSHOT, T.LongType())])
         reader = self.spark.read.schema(schema).options(**json.loads(file_io_config_json))
         # Folders by name, so that later snapshots are not even listed.
-        folders = [f"{state.table_path}/{SNAPSHOT}={n}" for n in range(state.snapshot_seq + 1)]
+        folders = [f"{state.table_path}/{SNAPSHOT}={n}" for n in range(after + 1, state.snapshot_seq + 1)]
         files = reader.option("basePath", state.table_path).parquet(*folders)
         return files.where(F.col(SNAPSHOT) <= state.snapshot_seq)
 
@@ -330,8 +333,7 @@ class Lakehouse:
         if metadata_location is None:
             number = self._last("tables", TABLE_EVENTS, namespace, table_name)
         else:
-            number = metadata_location.rpartition("#")[2]
-            number = int(number) if number.isdecimal() else -1
+            number = snapshot_number(metadata_location)
         path = self._event_path("tables", _checked_name(namespace), _checked_name(table_name))
         fields = [field for field in TABLE_EVENTS.fields if field.name != SNAPSHOT]
         reader = self.spark.read.schema(T.StructType(fields))
@@ -467,6 +469,12 @@ def _no_rows(spark: SparkSession, fields: list[T.StructField]) -> DataFrame:
     return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
 
 
+def snapshot_number(metadata_location: str) -> int:
+    """The number of the snapshot that a location names; -1 if it names none."""
+    number = metadata_location.rpartition("#")[2]
+    return int(number) if number.isdecimal() else -1
+
+
 def _checked_name(name: str) -> str:
     if not _NAME.fullmatch(name):
         raise ValueError(f"{name!r} is not a name of letters, digits and underscores")
