@@ -4,9 +4,11 @@ The score of a word is the count of the longest n-gram that ends there over the
 context, if the n-gram occurs ``min_count`` times or more, and else ``backoff`` times the
 score with a shorter context; a single word scores its share of all words.
 
-Documents are taken in chunks. A chunk holds its words as numbers and, exploded, each of its
-n-grams once with its count there. These go to buckets by hash, where the counts of all chunks
-are summed: a bucket is a shard of the count tables. The sums are joined back to the chunks'
+Documents are taken in chunks, dealt out once: what explodes them and what scores them read the
+same shuffle. A chunk holds its words as numbers and, exploded, each of its n-grams once with its
+count there. These go to buckets by hash, where the counts of all chunks
+are summed: a bucket is a shard of the count tables. Back go a bit for each n-gram, whether it
+occurs again, and the counts of those that do. The sums are joined back to the chunks'
 n-grams, chunk by chunk, and a chunk then sums its documents' scores. As a chunk sends each
 n-gram once, a word pair that every document holds is one row per chunk and makes no bucket
 hot. Buckets grow in number with the words; chunks are bounded by ``CHUNK_BYTES`` and one
@@ -30,10 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batches_of, materialise, rows_of, tasks_for
+from tidemark.llm.common import batches_of, rows_of, tasks_for, text_of
 
 CHUNK_BYTES = 8 << 20
-BUCKET_WORDS = 2_000_000
+BUCKET_WORDS = 1_000_000
+# White space that parts words, as bytes of a text.
+SPACE = r"[\x20\x09-\x0D]+"
 
 CHUNKS = "chunk long, n_words long, doc_ids array<long>, doc_words array<int>, vocabulary binary, words binary"
 CHUNK_SCHEMA = pa.schema(
@@ -126,10 +130,32 @@ def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
     return (grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
 
 
-def count_chunks(docs: DataFrame) -> DataFrame:
-    """The documents as chunks of numbered words."""
+def count_chunks(docs: DataFrame, tasks: int) -> DataFrame:
+    """The documents as chunks of numbered words, dealt out by chunk once for all that follows."""
     narrow = docs.select(F.col("doc_id").cast("long"), "text")
-    return materialise(narrow.mapInArrow(_chunks, CHUNKS), "word-chunks")
+    return narrow.mapInArrow(_chunks, CHUNKS).repartition(tasks, "chunk")
+
+
+def _known_again(sums: np.ndarray) -> bytes:
+    """Counts in little room: a bit for each that is above 1, and those."""
+    again = sums > 1
+    bits = pa.compress(np.packbits(again).tobytes(), codec="zstd", asbytes=True)
+    return len(sums).to_bytes(8, "little") + len(bits).to_bytes(8, "little") + bits + _packed(sums[again])
+
+
+def _counts_of(data: bytes) -> np.ndarray:
+    n, size = int.from_bytes(data[:8], "little"), int.from_bytes(data[8:16], "little")
+    bits = pa.decompress(data[16 : 16 + size], -(-n // 8), codec="zstd", asbytes=True)
+    again = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).view(bool)
+    counts = np.ones(n, np.int64)
+    counts[again] = _unpacked(data[16 + size :], "<u8")
+    return counts
+
+
+def _parts(grams: np.ndarray, buckets: int, numbers: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where the n-grams of some buckets begin and end among ascending ones."""
+    own = _bucket(grams, buckets)
+    return tuple(np.searchsorted(own, numbers, side=side).tolist() for side in ("left", "right"))
 
 
 def ngram_totals(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
@@ -141,13 +167,10 @@ def ngram_totals(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
                 batches, "chunk", "doc_words", "vocabulary", "words"
             ):
                 grams, counts = _distinct(_grams(vocabulary, words, lengths, order))
-                ends = np.searchsorted(_bucket(grams, buckets), np.arange(buckets), side="right")
-                start = 0
-                for number, end in enumerate(ends.tolist()):
-                    if end > start:
-                        steps = np.diff(grams[start:end], prepend=np.uint64(0))
-                        yield number, chunk, _packed(steps), _packed(counts[start:end].astype("<u4"))
-                    start = end
+                numbers = np.unique(_bucket(grams, buckets))
+                for number, start, end in zip(numbers.tolist(), *_parts(grams, buckets, numbers)):
+                    steps = np.diff(grams[start:end], prepend=np.uint64(0))
+                    yield number, chunk, _packed(steps), _packed(counts[start:end].astype("<u4"))
 
         yield from batches_of(rows(), GRAM_SCHEMA, weight=lambda row: len(row[2]))
 
@@ -161,12 +184,13 @@ def ngram_totals(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
             [
                 table.column("chunk"),
                 table.column("bucket"),
-                pa.array([_packed(part) for part in parts], pa.binary()),
+                pa.array([_known_again(part) for part in parts], pa.binary()),
             ],
             schema=TOTAL_SCHEMA,
         )
 
-    exploded = chunks.select("chunk", "doc_words", "vocabulary", "words").mapInArrow(explode, GRAMS)
+    # All columns go in, so that the shuffle is the one that the join reads too.
+    exploded = chunks.mapInArrow(explode, GRAMS)
     return exploded.groupBy("bucket").applyInArrow(total, TOTALS)
 
 
@@ -176,23 +200,23 @@ def score(
     """doc_id, n_words, log_score (natural logarithm, summed) and mean_log_score per word."""
     if order < 1 or not 0 < backoff <= 1:
         raise ValueError("order must be at least 1 and backoff in (0, 1]")
-    chunks = count_chunks(docs)
-    n_all = chunks.agg(F.sum("n_words")).first()[0] or 0
-    buckets = tasks_for(n_all, BUCKET_WORDS)
+    words = F.size(F.filter(F.split(text_of(), SPACE), lambda word: word != ""))
+    facts = docs.agg(F.sum(words.cast("long")), F.sum(F.octet_length(text_of()))).first()
+    n_all, buckets = facts[0] or 0, tasks_for(facts[0], BUCKET_WORDS)
+    chunks = count_chunks(docs, tasks_for(facts[1], 4 * CHUNK_BYTES))
     totals = ngram_totals(chunks, order, buckets)
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
-        by_bucket = dict(zip(right.column("bucket").to_pylist(), right.column("totals").to_pylist()))
+        numbers, sums = right.column("bucket").to_numpy(), right.column("totals").to_pylist()
         for doc_ids, lengths, vocabulary, words in zip(
             *(left.column(n).to_pylist() for n in ("doc_ids", "doc_words", "vocabulary", "words"))
         ):
             grams = _grams(vocabulary, words, lengths, order)
             distinct, _ = _distinct(grams)
             counts = np.zeros(len(distinct), np.int64)
-            bucket = _bucket(distinct, buckets)
-            for number, data in by_bucket.items():
-                counts[bucket == number] = _unpacked(data, "<u8")
+            for start, end, data in zip(*_parts(distinct, buckets, numbers), sums):
+                counts[start:end] = _counts_of(data)
             found = [counts[np.searchsorted(distinct, g).clip(0, max(0, len(distinct) - 1))] if len(distinct) else g for g in grams]
             scores = _score(grams, found, n_all, backoff, min_count)
             owner = np.repeat(np.arange(len(lengths)), lengths)
