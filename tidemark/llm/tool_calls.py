@@ -3,17 +3,19 @@
 Calls and results are tables keyed by conversation and identifier. Repeated identifiers are
 settled by partial aggregation (the earliest row stands, the others are counted), then calls
 and results meet in one equality join. A call may depend on others of its conversation; its
-level is 0 without dependencies and else one more than the highest level of these, found
-round by round over all conversations at once, so a conversation with a third of all calls is
-spread over tasks like any other; rounds are as many as the longest chain. What no round
-reaches depends on itself. Arguments are checked against the schema of the called tool (types,
+level is 0 without dependencies and else one more than the highest level of these. Levels are
+found by rounds over all conversations at once, so a conversation with a third of all calls is
+spread over tasks like any other. Calls that wait for one other are settled by pointer doubling,
+in rounds that grow with the logarithm of their chain; only calls that wait for several take as
+many rounds as these wait for each other. What no round reaches depends on itself. Arguments are checked against the schema of the called tool (types,
 required and unknown properties, bounds, lengths, choices), and call and result become one
 line of canonical JSON: keys sorted, no white space, text as UTF-8.
 
 Rows: one for each call, and one for each result without a call (status ``orphan``). Null
 identifiers and null conversations link like values of their own. Null arguments are an empty
-object; text that is no JSON object, or a tool without schema, is an error in ``error`` and
-the row stays. Dependencies on calls that do not exist are reported there, and ignored for the
+object; text that is no JSON object, holds numbers or text that cannot be written again or is
+nested more than ``DEEPEST`` times, or a tool without schema, is an error in ``error`` and the row
+stays, such arguments as text. Dependencies on calls that do not exist are reported there, and ignored for the
 level. Extra columns are not read. Empty tables give no rows.
 """
 
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialise
 
 KEY = ["conv_id", "call_id"]
+# How deep arguments may be nested.
+DEEPEST = 100
 
 # JSON Schema's names of types.
 TYPES = {
@@ -137,7 +141,13 @@ def _join(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
 
 
 def _levels(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, level) of each call that can be ordered, and (key, missing) dependencies."""
+    """(key, level) of each call that can be ordered, and (key, missing) dependencies.
+
+    A call that waits for one other only points to it. Pointers are doubled until each points to a
+    call that waits for none or for several, so a chain takes rounds by the logarithm of its
+    length; what still points into a chain after as many rounds as the number of calls has binary
+    digits waits for itself. Only calls that wait for several are then settled round by round.
+    """
     needs = calls.select(*KEY, F.explode("call.depends_on").alias("needed")).distinct()
     there = calls.select("conv_id", F.col("call_id").alias("needed"), F.lit(True).alias("there"))
     same = needs["conv_id"].eqNullSafe(there["conv_id"]) & needs["needed"].eqNullSafe(there["needed"])
@@ -147,30 +157,65 @@ def _levels(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.array_sort(F.collect_set(F.coalesce(F.col("needed").cast("string"), F.lit("null")))).alias("missing")
     )
     edges = edges.where("there").drop("there")
-    bound = edges.groupBy(*KEY).agg(F.lit(True).alias("waits"))
-    levels = materialise(
-        _join(calls.select(*KEY), bound, "left")
-        .where("waits IS NULL")
-        .select(*KEY, F.lit(0).alias("level")),
-        "levels",
+    waits = edges.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("needed").alias("needed"))
+    waits = materialise(waits, "waits")
+    chains = _chains(waits.where("n = 1").drop("n"))
+    free = _join(calls.select(*KEY), waits.select(*KEY, "n"), "left").where("n IS NULL")
+    free = free.select(*KEY, F.lit(0).alias("level"))
+    several = _join(edges, waits.where("n > 1").select(*KEY, "n"), "inner").select(*KEY, "needed")
+    ends = _at(several, chains, "needed").select(
+        *KEY,
+        F.when(F.col("met"), F.col("_needed")).otherwise(F.col("needed")).alias("needed"),
+        F.coalesce("_steps", F.lit(0)).alias("steps"),
+        F.coalesce("_open", F.lit(False)).alias("open"),
     )
+    ends = materialise(ends, "dependencies")
+    levels, settled = materialise(free, "levels"), 0
     while True:
-        done = levels.select(
-            F.col("conv_id").alias("_c"), F.col("call_id").alias("_n"), F.col("level").alias("_level")
-        )
-        met = edges["conv_id"].eqNullSafe(done["_c"]) & edges["needed"].eqNullSafe(done["_n"])
+        found = _at(ends, levels, "needed")
         ready = (
-            edges.join(done, met, "left")
-            .groupBy(*KEY)
-            .agg((F.max("_level") + 1).alias("level"), F.bool_and(F.col("_level").isNotNull()).alias("all"))
+            found.groupBy(*KEY)
+            .agg(
+                (F.max(F.col("_level") + F.col("steps")) + 1).alias("level"),
+                F.bool_and(F.col("_level").isNotNull() & ~F.col("open")).alias("all"),
+            )
             .where("all")
             .select(*KEY, "level")
         )
-        old = levels.where("level = 0")
-        grown = materialise(old.unionByName(ready), "levels")
-        if grown.count() == levels.count():
-            return levels, missing
-        levels = grown
+        ready = materialise(ready, "levels")
+        now = ready.count()
+        levels = free.unionByName(ready)
+        if now == settled:
+            break
+        settled = now
+    chained = _at(chains.where("NOT open"), levels, "needed").where("_level IS NOT NULL")
+    chained = chained.select(*KEY, (F.col("_level") + F.col("steps")).alias("level"))
+    return levels.unionByName(chained), missing
+
+
+def _at(rows: DataFrame, calls: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the columns of the call that ``column`` names, prefixed; ``met`` if there is one."""
+    prefixed = calls.select(*[F.col(name).alias(f"_{name}") for name in calls.columns], F.lit(True).alias("_met"))
+    same = rows["conv_id"].eqNullSafe(prefixed["_conv_id"]) & rows[column].eqNullSafe(prefixed["_call_id"])
+    joined = rows.join(prefixed, same, "left").withColumn("met", F.coalesce("_met", F.lit(False)))
+    return joined.drop("_conv_id", "_call_id", "_met")
+
+
+def _chains(single: DataFrame) -> DataFrame:
+    """(key, needed, steps, open): where the chain of each call that waits for one other ends, how
+    many steps away, and whether it never does."""
+    chains = materialise(single.withColumns({"steps": F.lit(1), "open": F.lit(True)}), "chains")
+    for _ in range(chains.count().bit_length() + 1):
+        jumped = _at(chains, chains, "needed").select(
+            *KEY,
+            F.when(F.col("met"), F.col("_needed")).otherwise(F.col("needed")).alias("needed"),
+            (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
+            F.col("met").alias("open"),
+        )
+        chains = materialise(jumped, "chains")
+        if not chains.where("open").limit(1).count():
+            break
+    return chains
 
 
 def _write(schemas: dict[str, dict]):
@@ -189,12 +234,8 @@ def _write(schemas: dict[str, dict]):
 def _one(schemas, call_id, name, arguments, depends_on, content, status, missing, cycle):
     wrong, row = [], {"id": call_id}
     if status != "orphan":
-        given = {}
-        try:
-            given = json.loads(arguments, parse_constant=_no_constant) if arguments else {}
-        except ValueError:
-            wrong.append("$: no JSON")
-            given = arguments
+        given, problem = _parsed(arguments)
+        wrong += [problem] if problem else []
         if name not in schemas:
             wrong.append("no schema for this tool")
         elif not wrong:
@@ -209,5 +250,41 @@ def _one(schemas, call_id, name, arguments, depends_on, content, status, missing
     return "; ".join(wrong) or None, canonical(row)
 
 
+def _parsed(arguments: str | None) -> tuple:
+    """Arguments as a value that can be written again, or as they are with what is wrong."""
+    if not arguments:
+        return {}, None
+    try:
+        given = json.loads(arguments, parse_constant=_no_constant)
+    except ValueError:
+        return arguments, "$: no JSON"
+    except RecursionError:
+        return arguments, "$: nested too deeply"
+    if _depth_exceeds(given, DEEPEST):
+        return arguments, "$: nested too deeply"
+    try:
+        canonical(given).encode()
+    except UnicodeEncodeError:
+        return arguments, "$: half a surrogate pair"
+    except ValueError:
+        return arguments, "$: a number out of range"
+    return given, None
+
+
+def _depth_exceeds(value, most: int) -> bool:
+    """Whether lists and objects lie in each other more than ``most`` times; without recursion."""
+    level = [value]
+    for _ in range(most):
+        level = [
+            inner
+            for one in level
+            if isinstance(one, (list, dict))
+            for inner in (one.values() if isinstance(one, dict) else one)
+        ]
+        if not level:
+            return False
+    return any(isinstance(one, (list, dict)) for one in level)
+
+
 def _no_constant(text: str):
     raise ValueError(text)
