@@ -25,7 +25,9 @@ empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,6 @@ import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from tidemark.llm.common import batches_of, materialise, rows_of
 from tidemark.llm.tokens import byte_letters, encoder
@@ -61,7 +62,7 @@ class Aligner:
         # Special tokens written out in a text are plain text.
         self.a = encoder(path_a, special_as_text=True)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.bytes_a, self.bytes_b = _bytes_of_a(self.a.tokenizer), _bytes_of_b(self.b)
+        self.bytes_a, self.bytes_b = _bytes_of_a(path_a, self.a.vocabulary), _bytes_of_b(self.b)
         self.sizes_a = np.array([len(one) for one in self.bytes_a])
         self.sizes_b = np.array([len(one) for one in self.bytes_b])
         self.type_a, self.type_b = _number_type(len(self.bytes_a)), _number_type(len(self.bytes_b))
@@ -104,11 +105,12 @@ def _number_type(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
 
-def _bytes_of_a(tokenizer: Tokenizer) -> list[bytes]:
+def _bytes_of_a(path: str, size: int) -> list[bytes]:
     """What each token of a byte-level tokenizer stands for, by id."""
-    letters, table = byte_letters(), [b""] * tokenizer.get_vocab_size()
-    for token, at in tokenizer.get_vocab().items():
-        table[at] = bytes(letters[letter] for letter in token if letter in letters)
+    letters, table = byte_letters(), [b""] * size
+    with open(path, encoding="utf-8") as file:
+        for token, at in json.load(file)["model"]["vocab"].items():
+            table[at] = bytes(map(letters.__getitem__, token))
     return table
 
 
@@ -127,6 +129,15 @@ def common_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.
     return at_a, at_b
 
 
+class Sizes(NamedTuple):
+    """The number type of each tokenizer's ids, and the bytes that each id stands for."""
+
+    type_a: str
+    type_b: str
+    bytes_a: np.ndarray
+    bytes_b: np.ndarray
+
+
 class PerfectHash:
     """A minimal perfect hash function of distinct 64-bit keys, with the keys by their number."""
 
@@ -181,9 +192,10 @@ def _place(keys: np.ndarray, level: int, size: int) -> np.ndarray:
 def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """One row per document: its ids by both tokenizers as little-endian numbers, how many of them,
     of groups and links there are, how its links rank in the corpus, and the hash of its groups."""
-    spark = docs.sparkSession
+    spark, coder = docs.sparkSession, aligner(path_a, path_b)
+    lengths = Sizes(coder.type_a, coder.type_b, coder.sizes_a, coder.sizes_b)
     encoded = _encode(docs, path_a, path_b)
-    pairs = materialise(_distinct_pairs(encoded, path_a, path_b), "pairs")
+    pairs = materialise(_distinct_pairs(encoded, lengths), "pairs")
     shards = max(1, -(-pairs.count() // SHARD_PAIRS))
     hashed = materialise(_hash_functions(pairs, shards), "hashes")
     size = encoded.agg(F.sum(F.length("a_ids") + F.length("b_ids"))).first()[0] or 0
@@ -193,9 +205,9 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         if function is None:
             continue
         perfect = spark.sparkContext.broadcast(tuple(function))
-        vector = _count(encoded, path_a, path_b, perfect, size)
+        vector = _count(encoded, lengths, perfect, size)
         counts = spark.sparkContext.broadcast(vector)
-        found = materialise(_look_up(encoded, path_a, path_b, perfect, counts), "links")
+        found = materialise(_look_up(encoded, lengths, perfect, counts), "links")
         looked_up = found if looked_up is None else looked_up.unionByName(found)
         perfect.destroy(), counts.destroy()
     nothing = [F.lit(0).cast("long").alias(name) for name in ("n_links", "n_best", "count_sum")]
@@ -246,15 +258,14 @@ def _some_at_a_time(rows: Iterator[tuple], size: int = 1 << 20) -> Iterator[list
         yield held
 
 
-def _links(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str):
+def _links(batches: Iterator[pa.RecordBatch], lengths: Sizes):
     """(rows, links by row, A ids, B ids) of the links of some documents at a time, aligned anew
     from the lengths of their tokens."""
-    coder = aligner(path_a, path_b)
     for held in _some_at_a_time(rows_of(batches, "row", "a_ids", "b_ids"), TOKENS_AT_ONCE):
-        a = np.frombuffer(b"".join(row[1] for row in held), coder.type_a)
-        b = np.frombuffer(b"".join(row[2] for row in held), coder.type_b)
-        at_a, at_b = common_ends(np.cumsum(coder.sizes_a[a]), np.cumsum(coder.sizes_b[b]))
-        width = np.dtype(coder.type_a).itemsize
+        a = np.frombuffer(b"".join(row[1] for row in held), lengths.type_a)
+        b = np.frombuffer(b"".join(row[2] for row in held), lengths.type_b)
+        at_a, at_b = common_ends(np.cumsum(lengths.bytes_a[a]), np.cumsum(lengths.bytes_b[b]))
+        width = np.dtype(lengths.type_a).itemsize
         lasts = np.cumsum([len(row[1]) // width for row in held])
         cuts = np.concatenate([[0], np.searchsorted(at_a, lasts, side="left")])
         yield [row[0] for row in held], cuts, a[at_a].astype(np.uint64), b[at_b].astype(np.uint64)
@@ -264,9 +275,9 @@ def _keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a << np.uint64(32)) | b
 
 
-def _distinct_pairs(encoded: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def _distinct_pairs(encoded: DataFrame, lengths: Sizes) -> DataFrame:
     def distinct(batches):
-        for _, _, a, b in _links(batches, path_a, path_b):
+        for _, _, a, b in _links(batches, lengths):
             keys = np.unique(_keys(a, b))
             yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64))], names=["pair"])
 
@@ -296,13 +307,13 @@ def _shard(pair: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(pair.bitwiseAND(0xFFFFFFFF)), F.lit(shards)).cast("int")
 
 
-def _count(encoded: DataFrame, path_a: str, path_b: str, perfect, size: int) -> np.ndarray:
+def _count(encoded: DataFrame, lengths: Sizes, perfect, size: int) -> np.ndarray:
     """How often each pair of one shard is linked, by its number."""
     length = len(perfect.value[2]) // 8
 
     def count(batches):
         function, vector = PerfectHash(*perfect.value), np.zeros(length, np.int64)
-        for _, _, a, b in _links(batches, path_a, path_b):
+        for _, _, a, b in _links(batches, lengths):
             keys, times = np.unique(_keys(a, b), return_counts=True)
             numbers = function.numbers(keys)
             vector[numbers[numbers >= 0]] += times[numbers >= 0]
@@ -337,16 +348,16 @@ def _count(encoded: DataFrame, path_a: str, path_b: str, perfect, size: int) ->
     return whole
 
 
-def _look_up(encoded: DataFrame, path_a: str, path_b: str, perfect, counts) -> DataFrame:
+def _look_up(encoded: DataFrame, lengths: Sizes, perfect, counts) -> DataFrame:
     """Of each document the links whose pair is in the shard: how many there are, how many have
     the highest count of their B id, and the sum of their counts."""
 
     def look_up(batches):
         function, vector = PerfectHash(*perfect.value), counts.value
         owners = (function.keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        best = np.zeros(len(aligner(path_a, path_b).bytes_b), np.int64)
+        best = np.zeros(len(lengths.bytes_b), np.int64)
         np.maximum.at(best, owners, vector)
-        for rows, cuts, a, b in _links(batches, path_a, path_b):
+        for rows, cuts, a, b in _links(batches, lengths):
             numbers = function.numbers(_keys(a, b))
             met = numbers >= 0
             times = np.where(met, vector[numbers], 0)

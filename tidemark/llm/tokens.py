@@ -6,6 +6,7 @@ import json
 import os
 import re
 from array import array
+from functools import cached_property
 
 import numpy as np
 import tiktoken
@@ -51,14 +52,13 @@ class Encoder:
 
     def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = special_as_text
-        special = self.tokenizer.get_added_tokens_decoder().values()
-        self.special = re.compile("|".join(re.escape(one.content) for one in special) or r"(?!)", re.I)
-        self.known: dict[str, bytes] = {}
-        self.vocabulary = self.tokenizer.get_vocab_size()
+        self.path, self.special_as_text = path, special_as_text
         with open(path, encoding="utf-8") as file:
             layout = json.load(file)
+        added = {one["content"]: one["id"] for one in layout.get("added_tokens") or []}
+        self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.I)
+        self.known: dict[str, bytes] = {}
+        self.vocabulary = 1 + max([*layout["model"]["vocab"].values(), *added.values()])
         splitter, normalizer = layout.get("pre_tokenizer") or {}, layout.get("normalizer") or {}
         suffix = layout["model"].get("end_of_word_suffix")
         self.words = bool(suffix) and _drops_space(splitter) and _keeps_words_apart(normalizer)
@@ -69,6 +69,13 @@ class Encoder:
             self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
             self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """The tokenizer itself; not loaded where no text needs it."""
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.encode_special_tokens = self.special_as_text
+        return tokenizer
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         if self.ranks:
