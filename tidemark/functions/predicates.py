@@ -15,6 +15,9 @@ in a predicate is raised here, before Spark runs anything.
 from __future__ import annotations
 
 import json
+import math
+import struct
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, datetime
 from decimal import Decimal, InvalidOperation
@@ -49,6 +52,10 @@ _NULL_TESTS = ("is-null", "not-null")
 _INTEGER_BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
 
 
+# The column in which a zone map lists the lookups that a zone may fulfil.
+LOOKED_UP = "looked_up"
+
+
 class PredicateError(ValueError):
     """The predicate is malformed, or does not fit the columns it is put to."""
 
@@ -83,12 +90,32 @@ class Predicate:
     def on_rows(self) -> Column:
         return _build(self.root, _row_test)
 
-    def on_zones(self, zoned: set[str]) -> Column:
+    def on_zones(self, zoned: set[str], looked_up: Sequence[ColumnTest] = ()) -> Column:
         """True for every zone that may hold a matching row, by its min, max and null count.
 
-        Columns outside ``zoned`` have no such statistics and rule nothing out.
+        Columns outside ``zoned`` have no such statistics and rule nothing out. Of tests that were
+        ``looked_up`` in bitsets a zone has the numbers of those it may fulfil in ``LOOKED_UP``.
         """
-        return _build(self.root, lambda test: _zone_test(test, zoned))
+
+        def leaf(test: ColumnTest) -> Column:
+            possible = _zone_test(test, zoned)
+            if test in looked_up:
+                possible = possible & F.array_contains(LOOKED_UP, list(looked_up).index(test))
+            return possible
+
+        return _build(self.root, leaf)
+
+    def lookups(self, columns: Sequence[str]) -> list[ColumnTest]:
+        """The tests for given values of some columns."""
+        found, open_ = [], [self.root]
+        while open_:
+            node = open_.pop()
+            if isinstance(node, Junction):
+                open_ += node.parts
+            elif isinstance(node, ColumnTest) and node.op in ("eq", "in"):
+                if node.field.name in columns and node not in found:
+                    found.append(node)
+        return found
 
 
 def parse_predicate(expression_json: str | dict | bool, schema: T.StructType) -> Predicate:
@@ -165,10 +192,10 @@ def _literal(value, field: T.StructField):
         if isinstance(dtype, T.TimestampType):
             return datetime.fromisoformat(value)
         if isinstance(dtype, (T.DoubleType, T.FloatType)):
-            return float(value)
+            return _as_float(value, dtype)
         if isinstance(dtype, (T.IntegralType, T.DecimalType)):
             return _as_number(value, dtype)
-    except (ValueError, TypeError, InvalidOperation) as problem:
+    except (ValueError, TypeError, OverflowError, InvalidOperation) as problem:
         reason = f"{value!r} is no {dtype.simpleString()} for {field.name!r}: {problem}"
         raise PredicateError(reason) from None
     raise PredicateError(f"{field.name!r} is {dtype.simpleString()}: cannot compare")
@@ -182,6 +209,17 @@ def _as_boolean(value) -> bool:
     raise ValueError("neither true nor false")
 
 
+def _as_float(value, dtype: T.DataType) -> float:
+    """A fraction is rounded to the column's type as any is; a whole number must survive that."""
+    held = float(value)
+    if isinstance(dtype, T.FloatType) and math.isfinite(held):
+        (held,) = struct.unpack("f", struct.pack("f", held))
+    given = Decimal(str(value))
+    if given.is_finite() and given == given.to_integral_value() and Decimal(held) != given:
+        raise ValueError(f"would be {held!r}")
+    return float(value)
+
+
 def _as_number(value, dtype: T.DataType) -> int | Decimal:
     number = Decimal(str(value))
     if isinstance(dtype, T.DecimalType):

@@ -28,6 +28,7 @@ from tidemark.functions.distances import METRICS, norm, to_matrix
 from tidemark.functions.predicates import zone_columns
 from tidemark.functions.spaces import Space
 from tidemark.operators.cells import nearest_centres
+from tidemark.operators.zones import bits_for, bitsets, z_key
 from tidemark.sources.lakehouse import Lakehouse, TableState, snapshot_number
 
 SCALAR = "scalar"
@@ -40,6 +41,8 @@ MIN_FILES = 8
 SCALAR_ROWS_PER_FILE = 1_000_000
 VECTOR_BYTES_PER_FILE = 256 * 1024 * 1024
 
+WORDS_PER_FILE = 8_000_000
+
 ZONE = "zone_id"
 LIST = "list_id"
 TO_CENTROID = "centroid_distance"
@@ -70,10 +73,14 @@ def build_scalar_index(
     columns: Sequence[str],
     metadata_location: str | None = None,
     rows_per_file: int = SCALAR_ROWS_PER_FILE,
+    order: str = "columns",
+    lookup_columns: Sequence[str] = (),
 ) -> StagedIndex:
     """Copy a table state into zones ordered by ``columns``, and map the zones.
 
-    Rows are range-partitioned by the columns and then by a hash of where each row lies in
+    ``order="z"`` interleaves the columns, so that a test of any one of them rules zones out;
+    ``lookup_columns`` get a bitset in each zone, so that tests for given values do, whatever the
+    order (``tidemark.operators.zones``). Rows are range-partitioned by the order and then by a hash of where each row lies in
     its source file. A value that fills a third of the table is thereby cut into as many
     ranges as its share of the rows asks for, and a lost task finds the same rows again.
     """
@@ -84,17 +91,26 @@ def build_scalar_index(
             raise IndexBuildError(f"cannot order rows by {name!r}")
     if not columns:
         raise IndexBuildError("a scalar index needs at least one column")
+    if order not in ("columns", "z"):
+        raise IndexBuildError(f"order must be 'columns' or 'z', not {order!r}")
+    for name in lookup_columns:
+        if not isinstance(types.get(name), T.AtomicType):
+            raise IndexBuildError(f"cannot look {name!r} up")
     path = _new_path(lake, state, index_name)
     tasks = max(MIN_FILES, -(-state.total_rows // rows_per_file))
     keys = [F.col(f"`{name}`") for name in columns]
     zone = F.spark_partition_id()
+    rows = lake.scan_files(state).select(*[f"`{name}`" for name in types], _row_hash().alias("_row"))
+    by = keys
+    if order == "z":
+        rows = rows.withColumn("_z", z_key(lake.scan_state(state), columns))
+        by = [F.col("_z")]
     (
-        lake.scan_files(state)
-        .select(*[f"`{name}`" for name in types], _row_hash().alias("_row"))
-        .repartitionByRange(tasks, *keys, F.col("_row"))
+        rows.repartitionByRange(tasks, *by, F.col("_row"))
         .drop("_row")
         .withColumn(ZONE, zone)
-        .sortWithinPartitions(ZONE, *keys)
+        .sortWithinPartitions(ZONE, *by)
+        .drop("_z")
         .write.partitionBy(ZONE)
         .option("maxRecordsPerFile", rows_per_file)
         .parquet(f"{path}/rows")
@@ -110,7 +126,17 @@ def build_scalar_index(
     copy = index_rows(lake, path, state.schema, ZONE)
     copy.groupBy(ZONE).agg(*facts).coalesce(1).write.parquet(f"{path}/zones")
     sizes = lake.spark.read.parquet(f"{path}/zones").select("row_count")
-    event = _event(state, index_name, SCALAR, path, columns, {}, sizes)
+    params = {"order": order, "lookup_columns": list(lookup_columns)}
+    event = _event(state, index_name, SCALAR, path, columns, params, sizes)
+    if lookup_columns:
+        params["bits"] = bits_for(event["largest_partition_rows"])
+        event["params_json"] = json.dumps(params)
+    for at, name in enumerate(lookup_columns):
+        words = bitsets(copy, ZONE, name, params["bits"])
+        files = max(1, -(-event["partition_count"] * params["bits"] // (64 * WORDS_PER_FILE)))
+        words.repartitionByRange(files, "word").sortWithinPartitions("word").write.parquet(
+            f"{path}/bitsets/{at}"
+        )
     if event["row_count"] != state.total_rows:
         raise IndexBuildError(f"{event['row_count']} of {state.total_rows} rows were copied")
     return StagedIndex(lake, state, event)

@@ -17,7 +17,12 @@ from pyspark.sql import types as T
 
 from tidemark.functions.distances import VectorError, check_query, distance, norm
 from tidemark.functions.spaces import Space, sizes
-from tidemark.functions.predicates import Predicate, PredicateError, parse_predicate
+from tidemark.functions.predicates import (
+    LOOKED_UP,
+    Predicate,
+    PredicateError,
+    parse_predicate,
+)
 from tidemark.operators.indexes import (
     IVF,
     LIST,
@@ -28,6 +33,7 @@ from tidemark.operators.indexes import (
     ivf_schema,
     matched,
 )
+from tidemark.operators.zones import looked_up
 from tidemark.operators.vector_search import (
     best_of,
     nearest_in_cells,
@@ -135,7 +141,16 @@ def _rows_in_zones(
     """Rows of the zones that may match. Zones are few by construction; their ids are a
     partition filter, so files of other zones are never opened."""
     zones = lake.spark.read.parquet(f"{index['index_path']}/zones")
-    possible = zones.where(predicate.on_zones(set(index["columns"]))).select(ZONE).collect()
+    params = json.loads(index["params_json"])
+    tests = predicate.lookups(params.get("lookup_columns", []))
+    if tests:
+        found = looked_up(
+            lake.spark, index["index_path"], ZONE, tests, params["lookup_columns"], params["bits"]
+        )
+        zones = zones.join(found, ZONE, "left").withColumn(
+            LOOKED_UP, F.coalesce(LOOKED_UP, F.array().cast("array<int>"))
+        )
+    possible = zones.where(predicate.on_zones(set(index["columns"]), tests)).select(ZONE).collect()
     numbers = [row[ZONE] for row in possible] if len(possible) < index["partition_count"] else None
     rows = index_rows(
         lake, index["index_path"], state.schema, ZONE, numbers, file_io_config_json

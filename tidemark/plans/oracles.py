@@ -223,6 +223,17 @@ ORACLES: dict[str, str] = {
         WHERE starts_with(p_name, 's') AND p_brand NOT IN ('Brand#1', 'Brand#2')
           AND p_type <> 'ECONOMY' AND p_size IS NOT NULL
     """,
+    "scalar_search_z_order": """
+        SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_shipdate FROM lineitem
+        WHERE l_partkey >= 40 AND l_partkey < 55
+    """,
+    "scalar_search_lookup": """
+        SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_shipdate FROM lineitem
+        WHERE l_orderkey = 7 OR (l_orderkey IN (64, 65, 100, 133, 999999999) AND l_partkey IS NOT NULL)
+    """,
+    "scalar_search_none": """
+        SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_shipdate FROM lineitem WHERE FALSE
+    """,
     "scalar_search_appended": """
         SELECT o_orderkey, o_custkey, o_orderdate FROM orders
         WHERE o_custkey > 100 AND o_custkey <= 160

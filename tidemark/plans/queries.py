@@ -243,6 +243,40 @@ ORDERS_OF_SOME = {
 }
 
 
+# Lines by the second column of an order, and by keys that no order helps to find.
+LINES_OF_PARTS = {
+    "type": "and",
+    "left": {"type": "gt-eq", "term": "l_partkey", "value": 40},
+    "right": {"type": "lt", "term": "l_partkey", "value": 55},
+}
+LINES_OF_ORDERS = {
+    "type": "or",
+    "left": {"type": "eq", "term": "l_orderkey", "value": 7},
+    "right": {
+        "type": "and",
+        "left": {"type": "in", "term": "l_orderkey", "values": [64, 65, 100, 133, 999_999_999]},
+        "right": {"type": "not", "child": {"type": "is-null", "term": "l_partkey"}},
+    },
+}
+
+
+def searched_lines(predicate: dict) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        space = workspace(spark, sf_dir)
+        state = space.lineitem_by_both()
+        return search_scalar(
+            space.lake,
+            space.namespace,
+            "lineitem",
+            state.metadata_location,
+            "by_both",
+            json.dumps(predicate),
+            LINE_COLUMNS,
+        )
+
+    return query
+
+
 def scalar_search_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Through an index that is older than half of the rows."""
     space = workspace(spark, sf_dir)
@@ -528,6 +562,9 @@ QUERIES: dict[str, Query] = {
     "scalar_search": scalar_search,
     "scalar_search_zone_map": scalar_search_zone_map,
     "scalar_search_text": scalar_search_text,
+    "scalar_search_z_order": searched_lines(LINES_OF_PARTS),
+    "scalar_search_lookup": searched_lines(LINES_OF_ORDERS),
+    "scalar_search_none": searched_lines({"type": "false"}),
     "scalar_search_appended": scalar_search_appended,
     "vector_topk_l2": exact_topk("l2"),
     "vector_topk_ip": exact_topk("ip"),

@@ -15,7 +15,12 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.indexes import build_ivf_index, build_scalar_index, drop_index
+from tidemark.operators.indexes import (
+    SCALAR_ROWS_PER_FILE,
+    build_ivf_index,
+    build_scalar_index,
+    drop_index,
+)
 from tidemark.session import run_folder
 from tidemark.sources.documents import to_document
 from tidemark.sources.lakehouse import Lakehouse, TableState
@@ -74,6 +79,10 @@ class Workspace:
         """``lineitem`` with a scalar index on ship date and part key."""
         return self.once("lineitem_by_date", self._index_lineitem)
 
+    def lineitem_by_both(self) -> TableState:
+        """``lineitem`` in an order of ship date and part key alike, with bitsets of order keys."""
+        return self.once("lineitem_by_both", self._index_lineitem_both_ways)
+
     def embeddings_in_lists(self) -> TableState:
         """``embeddings`` with IVF indexes for all distance kinds."""
         return self.once("embeddings_in_lists", self._index_embeddings)
@@ -131,6 +140,21 @@ class Workspace:
         build_scalar_index(self.lake, self.namespace, "lineitem", "by_date", columns).publish()
         return state
 
+    def _index_lineitem_both_ways(self) -> TableState:
+        state = self.table("lineitem")
+        rows_per_file = max(500, state.total_rows // 64)
+        build_scalar_index(
+            self.lake,
+            self.namespace,
+            "lineitem",
+            "by_both",
+            ["l_shipdate", "l_partkey"],
+            rows_per_file=min(rows_per_file, SCALAR_ROWS_PER_FILE),
+            order="z",
+            lookup_columns=["l_orderkey"],
+        ).publish()
+        return state
+
     def _index_embeddings(self) -> TableState:
         state = self.table("embeddings")
         lists = max(4, math.isqrt(state.total_rows))
