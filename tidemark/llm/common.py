@@ -18,10 +18,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def materialise(rows: DataFrame, label: str) -> DataFrame:
+def fresh(rows: DataFrame, name: str) -> str:
+    """A column name that ``rows`` does not have yet, whatever the case of its letters."""
+    taken = {column.lower() for column in rows.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def materialise(rows: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """``rows`` written as a table in the shared folder and read back: lineage ends here."""
     folder = run_folder(rows.sparkSession, label)
-    rows.write.parquet(folder)
+    rows.write.option("compression", compression).parquet(folder)
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 

@@ -20,8 +20,9 @@ Spark decides which suffixes can be equal, and shards are made of those alone:
    file above ``QUEUE_BYTES``. In the order found, neighbours that share ``min_bytes`` mark
    both their starts.
 4. A core whose blocks hold more than ``SHARD_BYTES`` (a footer under ever different texts)
-   would be too much for one task. Its starts are dealt by the hash of their ``min_bytes``
-   bytes, in which equal strings agree, and Spark counts these: no task holds such a core.
+   would be too much for one task. Its starts are dealt by core and the hash of their
+   ``min_bytes`` bytes, in which equal strings agree, and Spark counts these: no task holds such a
+   core.
 5. What is marked goes back to every block of that name, and each document's runs are cut.
 
 The core of a block is at least ``min_bytes - SPAN + 1`` bytes, so two texts meet in a shard
@@ -46,11 +47,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batches_of, materialise, rows_of, tasks_for
+from tidemark.llm.common import batches_of, fresh, materialise, rows_of, tasks_for
 
 GRAM, SPAN = 16, 192
 # Starts worked on at a time; bytes of blocks in one shard and of queues held in memory.
-PIECE = 1 << 20
+PIECE, PLACE_BITS = 1 << 20, 21
 SHARD_BYTES = 4 << 20
 QUEUE_BYTES = 64 << 20
 
@@ -124,7 +125,8 @@ def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
 def anchors(data: np.ndarray, n_starts: int) -> np.ndarray:
     """The anchor of each of the first ``n_starts`` places: the first of the lowest hashes."""
     keys = gram_hashes(data[: n_starts + SPAN + GRAM - 2])
-    bits = np.uint64(max(1, int(len(keys)).bit_length()))
+    # The same for texts of any length, so that equal strings have equal anchors in all of them.
+    bits = np.uint64(PLACE_BITS)
     least = keys >> bits << bits | np.arange(len(keys), dtype=np.uint64)
     step = 1
     while 2 * step <= SPAN:
@@ -346,38 +348,43 @@ def _runs(starts: np.ndarray) -> list[int]:
 # -- the jobs ----------------------------------------------------------------------
 
 
+def kept(rows: DataFrame, label: str) -> DataFrame:
+    """A working table in little room: most of what this operator takes of the disk."""
+    return materialise(rows, label, "zstd")
+
+
 def remove_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
     """``docs`` with ``kept`` (binary), ``spans`` (first and end of each run), n_bytes, n_removed."""
     if min_bytes < SPAN + GRAM:
         raise ValueError(f"min_bytes must be at least {SPAN + GRAM}")
     made = ["kept", "spans", "n_bytes", "n_removed"]
-    texts = materialise(
-        docs.drop(*made, "_row").withColumn("_row", F.monotonically_increasing_id()), "texts"
-    )
+    rows_ = docs.drop(*made)
+    row, found_, cut_ = (fresh(rows_, name) for name in ("_row", "_found", "_cut"))
+    texts = kept(rows_.withColumn(row, F.monotonically_increasing_id()), "texts")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for row, text in rows_of(batches, "_row", "text"):
+            for number, text in rows_of(batches, row, "text"):
                 for block in blocks_of((text or "").encode(), min_bytes):
-                    yield row, *block
+                    yield number, *block
 
         yield from batches_of(rows(), BLOCK_SCHEMA, size=50_000)
 
-    blocks = materialise(texts.select("_row", "text").mapInArrow(split, BLOCKS), "blocks")
+    blocks = kept(texts.select(row, "text").mapInArrow(split, BLOCKS), "blocks")
     # Written first, so that the join has two plain sides and Spark can split a core's rows.
     cores = blocks.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    shared = materialise(cores, "shared-cores")
-    shared = materialise(blocks.join(shared, "core"), "shared-blocks")
+    shared = kept(cores, "shared-cores")
+    shared = kept(blocks.join(shared, "core"), "shared-blocks")
     named = shared.groupBy("core", "name").agg(
         F.count("*").alias("n"),
         F.min(F.struct("row", "first")).alias("at"),
         F.first("n_starts").alias("n_starts"),
     )
-    named = materialise(named, "named-blocks")
+    named = kept(named, "named-blocks")
     n_bytes = F.sum(F.col("n_starts") + min_bytes)
     several = named.groupBy("core").agg(F.count("*").alias("names"), n_bytes.alias("size"))
     several = several.where("names > 1").select("core", (F.col("size") > SHARD_BYTES).alias("is_large"))
-    to_deal = materialise(
+    to_deal = kept(
         named.join(several, "core").select("core", "name", "n_starts", "at.row", "at.first", "is_large"),
         "to-deal",
     )
@@ -387,7 +394,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
     def texts_with(wanted: DataFrame) -> DataFrame:
         parts = F.collect_list(F.struct("core", "name", "n_starts", "first")).alias("wanted")
         wanted = wanted.groupBy("row").agg(parts)
-        pieces = texts.select("_row", "text").join(wanted, F.col("_row") == F.col("row"))
+        pieces = texts.select(F.col(row).alias("row"), "text").join(wanted, "row")
         return pieces.select("text", "wanted")
 
     def cut_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -432,10 +439,10 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
 
     cut_out = texts_with(to_sort).mapInArrow(cut, CUT)
     sharded = cut_out.repartition(tasks_for(size, 2 * SHARD_BYTES), "core").sortWithinPartitions("core", "name")
-    sorted_marks = materialise(sharded.mapInArrow(mark, MARKS), "marks")
-    starts = materialise(texts_with(to_count).mapInArrow(hashed, STARTS), "starts")
-    again = starts.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    again = starts.join(materialise(again, "repeated-starts"), "hash")
+    sorted_marks = kept(sharded.mapInArrow(mark, MARKS), "marks")
+    starts = kept(texts_with(to_count).mapInArrow(hashed, STARTS), "starts")
+    again = starts.groupBy("core", "hash").agg(F.count("*").alias("n")).where("n > 1")
+    again = starts.join(kept(again.select("core", "hash"), "repeated-starts"), ["core", "hash"])
     counted = again.groupBy("core", "name").agg(F.array_sort(F.collect_list("start")).alias("starts"))
     sorted_marks = sorted_marks.unionByName(counted.mapInArrow(runs, MARKS))
     # A name that occurs twice is repeated whole, whatever its shard found.
@@ -445,12 +452,12 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
     single = sorted_marks.join(named.where("n = 1").select("core", "name"), ["core", "name"])
     marks = whole.unionByName(single.select("core", "name", "marks"))
     found = shared.join(marks, ["core", "name"]).groupBy("row").agg(
-        F.collect_list(F.struct("first", "marks")).alias("_found")
+        F.collect_list(F.struct("first", "marks")).alias(found_)
     )
-    joined = texts.join(found.withColumnRenamed("row", "_row"), "_row", "left")
-    cut_text = _remove(min_bytes)("text", "_found")
-    return joined.withColumn("_cut", cut_text).select(
-        *[name for name in texts.columns if name != "_row"], *[f"_cut.{name}" for name in made]
+    joined = texts.join(found.withColumnRenamed("row", row), row, "left")
+    cut_text = _remove(min_bytes)("text", found_)
+    return joined.withColumn(cut_, cut_text).select(
+        *rows_.columns, *[f"{cut_}.{name}" for name in made]
     )
 
 
@@ -473,12 +480,12 @@ def _remove(min_bytes: int):
                     spans[-1][1] = max(spans[-1][1], end)
                 else:
                     spans.append([start, end])
-            kept, at = [], 0
+            parts, at = [], 0
             for start, end in spans:
-                kept.append(data[at:start])
+                parts.append(data[at:start])
                 at = end
-            kept.append(data[at:])
-            left = b"".join(kept)
+            parts.append(data[at:])
+            left = b"".join(parts)
             rows.append((left, [{"first": a, "end": b} for a, b in spans], len(data), len(data) - len(left)))
         return pd.DataFrame(rows, columns=["kept", "spans", "n_bytes", "n_removed"])
 
