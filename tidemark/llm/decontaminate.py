@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, tasks_for, text_of
+from tidemark.llm.common import fresh, materialise, tasks_for, text_of
 from tidemark.session import run_folder
 
 BLOCK_BYTES = 4 << 20
@@ -283,20 +283,20 @@ def find_leaks(
     if blocks == 1:
         return docs.withColumn("leaks", leaks_of(0))
     # A pass ends, and its index goes, before the next one is built.
-    texts = materialise(
-        docs.drop("leaks").withColumn("_row", F.monotonically_increasing_id()), "leak-texts"
-    )
+    rows = docs.drop("leaks")
+    row, own = fresh(rows, "_row"), fresh(rows, "_leaks")
+    texts = materialise(rows.withColumn(row, F.monotonically_increasing_id()), "leak-texts")
     folder = run_folder(docs.sparkSession, "leaks")
     for block in range(blocks):
-        passed = texts.select("_row", leaks_of(block).alias("_leaks")).where(F.size("_leaks") > 0)
-        passed.write.parquet(f"{folder}/block={block}")
-    by_block = F.array_sort(F.collect_list(F.struct("block", "_leaks")))
+        passed = texts.select(F.col(row).alias("row"), leaks_of(block).alias("found"))
+        passed.where(F.size("found") > 0).write.parquet(f"{folder}/block={block}")
+    by_block = F.array_sort(F.collect_list(F.struct("block", "found")))
     found = (
-        docs.sparkSession.read.schema(f"_row long, _leaks {LEAKS}, block int")
+        docs.sparkSession.read.schema(f"row long, found {LEAKS}, block int")
         .parquet(folder)
-        .groupBy("_row")
-        .agg(F.flatten(F.transform(by_block, lambda one: one["_leaks"])).alias("leaks"))
+        .groupBy(F.col("row").alias(row))
+        .agg(F.flatten(F.transform(by_block, lambda one: one["found"])).alias(own))
     )
-    none = F.array().cast(LEAKS)
-    joined = texts.join(found, "_row", "left").withColumn("leaks", F.coalesce("leaks", none))
-    return joined.select(*[name for name in docs.columns if name != "leaks"], "leaks")
+    joined = texts.join(found, row, "left")
+    leaks = F.coalesce(own, F.array().cast(LEAKS)).alias("leaks")
+    return joined.select(*rows.columns, leaks)

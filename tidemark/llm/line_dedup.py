@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batches_of, materialise, rows_of, tasks_for
+from tidemark.llm.common import batches_of, fresh, materialise, rows_of, tasks_for
 from tidemark.session import run_folder
 
 # The white space that is stripped from a line.
@@ -273,7 +273,7 @@ class LineIndex:
         )
         # As many salts as the fullest shard has copies; a shard with fewer folds them.
         keys = line_keys(docs, self.min_chars).withColumn("shard", _shard(self.shards))
-        keys = keys.join(F.broadcast(salts) if self.shards <= 10_000 else salts, "shard").select(
+        keys = keys.join(salts, "shard").select(
             "shard",
             F.pmod(F.xxhash64("doc_id", "hi"), F.col("salts")).cast("int").alias("salt"),
             F.lit(None).cast("binary").alias("filter"), "doc_id", "hi", "lo",
@@ -305,8 +305,7 @@ class LineIndex:
                     if passed.any():
                         yield rows.filter(pa.array(passed))
 
-        tasks = self.spark.conf.get("spark.sql.shuffle.partitions")
-        ordered = streamed.repartition(int(tasks), "shard", "salt").sortWithinPartitions(
+        ordered = streamed.repartition("shard", "salt").sortWithinPartitions(
             "shard", "salt", F.col("filter").isNull()
         )
         passed = ordered.mapInArrow(probe, KEY_COLUMNS)
@@ -315,16 +314,14 @@ class LineIndex:
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped``, repeated lines left out."""
-        found = self.repeated(docs).groupBy("doc_id").agg(
-            F.collect_set(F.struct("hi", "lo")).alias("_repeated")
-        )
-        found = found.withColumnRenamed("doc_id", "_doc_id")
         names = ["kept_text", "n_lines", "n_dropped"]
-        rows = docs.drop(*names, "_repeated", "_doc_id")
-        joined = rows.join(found, rows["doc_id"].cast("long").eqNullSafe(found["_doc_id"]), "left")
-        cut = _drop_lines("text", "_repeated")
-        return joined.withColumn("_cut", cut).select(
-            *rows.columns, "_cut.kept_text", "_cut.n_lines", "_cut.n_dropped"
+        rows = docs.drop(*names)
+        keys, owner, cut = (fresh(rows, name) for name in ("_repeated", "_doc_id", "_cut"))
+        found = self.repeated(docs).groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias(keys))
+        found = found.withColumnRenamed("doc_id", owner)
+        joined = rows.join(found, rows["doc_id"].cast("long").eqNullSafe(found[owner]), "left")
+        return joined.withColumn(cut, _drop_lines("text", keys)).select(
+            *rows.columns, *[f"{cut}.{name}" for name in names]
         )
 
 

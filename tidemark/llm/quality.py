@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bind, text_of
+from tidemark.llm.common import bind, fresh, text_of
 
 # The white space that parts words, and the symbols that are counted.
 SPACE = r"[\x20\x09-\x0D]"
@@ -162,24 +162,25 @@ def judge(
         )
 
     whole = text_of(text)
+    of_words, of_lines = fresh(docs, "_words"), fresh(docs, "_lines")
     counted = docs.withColumns(
         {
-            "_words": bind(words_of(whole), by_words),
-            "_lines": bind(F.split(whole, "\n"), by_lines),
+            of_words: bind(words_of(whole), by_words),
+            of_lines: bind(F.split(whole, "\n"), by_lines),
             "n_symbols": count(whole, SYMBOLS).cast("long"),
         }
     )
     found = counted.withColumns(
         {
-            "n_words": F.col("_words.n_words"),
-            "word_chars": F.col("_words.word_chars"),
-            "n_dup_lines": F.col("_lines.n_dup_lines"),
-            "n_repeat_words": F.col("_words.n_repeat_words"),
-            "n_failed_lines": F.col("_lines.lines.n_failed_lines"),
-            "lost_words": F.col("_lines.lines.lost_words"),
-            "clean_text": F.col("_lines.lines.clean_text"),
+            "n_words": F.col(f"{of_words}.n_words"),
+            "word_chars": F.col(f"{of_words}.word_chars"),
+            "n_dup_lines": F.col(f"{of_lines}.n_dup_lines"),
+            "n_repeat_words": F.col(f"{of_words}.n_repeat_words"),
+            "n_failed_lines": F.col(f"{of_lines}.lines.n_failed_lines"),
+            "lost_words": F.col(f"{of_lines}.lines.lost_words"),
+            "clean_text": F.col(f"{of_lines}.lines.clean_text"),
         }
-    ).drop("_words", "_lines")
+    ).drop(of_words, of_lines)
     failed = (F.col("n_words") < min_words) | (
         100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")
     )
