@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.sources import (
+    to_document,
     ConcurrentChange,
     Lakehouse,
     RejectedRows,
@@ -291,3 +292,22 @@ def test_a_pinned_scan_lists_no_later_snapshot(spark, lake, namespace):
     files = lake.scan(namespace, "t", first.metadata_location).inputFiles()
     assert {file.split("/")[-2] for file in files} == {"snapshot_seq=0", "snapshot_seq=1"}
     assert lake.state(namespace, "t").snapshot_seq == 4
+
+
+def test_good_and_refused_rows_add_up_though_the_input_never_repeats(spark, lake, namespace):
+    """The input is random and has a name like that of the working column."""
+    schema = spark.createDataFrame([], "id long, x double, _refused int").schema
+    document = json.loads(to_document(schema))
+    document["fields"][1]["required"] = True
+    lake.create_table(namespace, "t", json.dumps(document))
+    drawn = F.when(F.rand() < 0.5, F.lit(None)).otherwise(F.rand())
+    rows = spark.range(3000).select("id", drawn.alias("x"), F.lit(7).alias("_refused"))
+    done = lake.append(namespace, "t", rows, on_reject="split")
+    good = {row["id"] for row in lake.scan(namespace, "t").select("id").collect()}
+    for _ in range(2):
+        refused = {row["id"] for row in done.rejects.collect()}
+        assert good | refused == set(range(3000)) and not good & refused
+    assert done.state.total_rows == len(good) and 1000 < len(good) < 2000
+    assert done.rejects.columns == ["id", "x", "_refused", "_problems"]
+    none = lake.append(namespace, "t", rows.where("false"), on_reject="split")
+    assert none.state.total_rows == len(good) and none.rejects.count() == 0

@@ -77,9 +77,14 @@ def _native(vector: Column, query: list[float], metric: str) -> Column:
         size += value * value
     similarity = F.try_divide(product, norm(vector) * F.lit(math.sqrt(size)))
     similarity = F.nanvl(similarity, F.lit(None).cast("double"))
-    # least and greatest skip nulls, so an undefined similarity must not reach them.
-    bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), similarity))
-    return F.when(similarity.isNotNull(), F.lit(1.0) - bounded)
+
+    # least and greatest skip nulls, so an undefined similarity must not reach them. It is worked
+    # out once and handed on as the one item of an array.
+    def from_one(value: Column) -> Column:
+        bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))
+        return F.when(value.isNotNull(), F.lit(1.0) - bounded)
+
+    return F.get(F.transform(F.array(similarity), from_one), F.lit(0))
 
 
 def _total(values: Column) -> Column:

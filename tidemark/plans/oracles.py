@@ -196,6 +196,17 @@ ORACLES: dict[str, str] = {
         SELECT *, 'c_acctbal: lost in cast' AS problems FROM customer
         WHERE TRY_CAST(c_acctbal AS DECIMAL(5, 2)) IS NULL
     """,
+    "conform_rejects_lossy": """
+        SELECT l_orderkey, l_linenumber, l_extendedprice, l_shipdate,
+               concat_ws('; ',
+                   CASE WHEN l_extendedprice <> trunc(l_extendedprice)
+                        THEN 'l_extendedprice: lost in cast' END,
+                   CASE WHEN l_shipdate <> CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP)
+                        THEN 'l_shipdate: lost in cast' END) AS problems
+        FROM lineitem
+        WHERE l_extendedprice <> trunc(l_extendedprice)
+           OR l_shipdate <> CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP)
+    """,
     "conform_rejects_required": """
         SELECT d.doc_id, d.lang, d.source, l.quality, 'quality: required is null' AS problems
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id

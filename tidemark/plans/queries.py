@@ -157,6 +157,18 @@ def conform_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_problems_as_text(conform(rows, to_struct(document)).rejects)
 
 
+def conform_rejects_lossy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items whose price or date a whole number or a day cannot hold without loss."""
+    rows = workspace(spark, sf_dir).given("lineitem").select(
+        "l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate"
+    )
+    document = json.loads(to_document(rows.schema))
+    types = {"l_extendedprice": "long", "l_shipdate": "date"}
+    for field in document["fields"]:
+        field["type"] = types.get(field["name"], field["type"])
+    return _with_problems_as_text(conform(rows, to_struct(document)).rejects)
+
+
 def conform_rejects_required(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that lack the label a table would require."""
     space = workspace(spark, sf_dir)
@@ -554,6 +566,7 @@ QUERIES: dict[str, Query] = {
     "snapshot_pinned_scan": snapshot_pinned_scan,
     "conform_write": conform_write,
     "conform_rejects": conform_rejects,
+    "conform_rejects_lossy": conform_rejects_lossy,
     "conform_rejects_required": conform_rejects_required,
     "projection_not_null": projection_not_null,
     "filter_eq_and": filter_eq_and,

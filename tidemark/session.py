@@ -1,4 +1,4 @@
-"""Where a job may write, and how many tasks it may start."""
+"""Where a job may write."""
 
 from __future__ import annotations
 
@@ -7,11 +7,6 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Most tasks on either side of a shuffle or under a merge. What the driver keeps about a
-# shuffle grows with the product of both sides, so this holds it down however many files
-# there are; it lies well above the cores of a large cluster, so none of them stays idle.
-MAX_TASKS = 8192
-
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``.

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import run_folder
 from tidemark.sources.conform import Conformed, conform
 from tidemark.sources.documents import to_struct
 
@@ -177,7 +178,8 @@ class Lakehouse:
         """Write ``rows`` as the table's next snapshot, in one pass and without a shuffle.
 
         ``on_reject="fail"`` publishes nothing if any row is refused. ``"split"`` publishes
-        the good rows and hands back the refused ones as a lazy DataFrame over ``rows``.
+        the good rows and hands back the refused ones: ``rows`` are worked out once, by a job that
+        writes them to the shared folder in two parts, and each half reads its own.
         ``lossy="allow"`` lets casts round values. An append that was killed still holds its
         claim; ``take_over=True`` goes on in its place, once it is known to be dead.
         """
@@ -185,6 +187,11 @@ class Lakehouse:
             raise ValueError(f"on_reject must be 'fail' or 'split', not {on_reject!r}")
         now = self.state(namespace, table_name)
         checked = conform(rows, now.schema, lossy)
+        rejects = None
+        if on_reject == "split":
+            rows, refused = self._split(checked)
+            rejects = conform(refused, now.schema, lossy).rejects
+            checked = conform(rows, now.schema, lossy)
         token = self._claim(now, take_over)
         try:
             state = self._write_snapshot(now, checked, rows, on_reject)
@@ -193,7 +200,19 @@ class Lakehouse:
             raise
         if not self.spark.catalog.tableExists(f"{namespace}.{table_name}"):
             self._create_table_view(state)
-        return Appended(state, checked.rejects if on_reject == "split" else None)
+        return Appended(state, rejects)
+
+    def _split(self, checked: Conformed) -> tuple[DataFrame, DataFrame]:
+        """Rows as they came, good ones and refused ones, from files that one job wrote."""
+        rows, flag = checked.source, "_refused"
+        while flag.lower() in (name.lower() for name in rows.columns):
+            flag += "_"
+        folder = run_folder(self.spark, "split")
+        rows.withColumn(flag, checked.failed).write.partitionBy(flag).parquet(folder)
+        fields = [*rows.schema.fields, T.StructField(flag, T.BooleanType())]
+        parts = self.spark.read.schema(T.StructType(fields)).parquet(folder)
+        good, refused = parts.where(~F.col(flag)), parts.where(F.col(flag))
+        return good.drop(flag), refused.drop(flag)
 
     def _write_snapshot(
         self, now: TableState, checked: Conformed, rows: DataFrame, on_reject: str
