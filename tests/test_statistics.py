@@ -1,6 +1,16 @@
+import random
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.operators import column_statistics
+from tidemark.operators import (
+    column_statistics,
+    frequent_values,
+    merged_statistics,
+    record_statistics,
+)
+from tidemark.sources import to_document
 
 ROWS = [
     (1, 2.5, "a", [3.0, 4.0]),
@@ -52,3 +62,46 @@ def test_approximate_counts_take_one_pass(spark, sf_dir):
         wanted = exact[row["column_name"]]
         assert row["distinct_count"] == pytest.approx(wanted["distinct_count"], rel=0.2)
         assert row["min_value"] == wanted["min_value"] and row["max_value"] == wanted["max_value"]
+
+
+def test_statistics_of_a_state_come_from_those_of_its_snapshots(spark, lake, namespace):
+    frame = spark.range(900).select(
+        "id",
+        F.when(F.col("id") % 3 != 0, (F.col("id") % 50).cast("double")).alias("x"),
+        F.concat(F.lit("n"), F.col("id") % 7).alias("s"),
+        F.array("id").alias("a"),
+    )
+    lake.create_table(namespace, "t", to_document(frame.schema))
+    first = lake.append(namespace, "t", frame.where("id < 300")).state
+    assert record_statistics(lake, namespace, "t") == 2 and record_statistics(lake, namespace, "t") == 0
+    second = lake.append(namespace, "t", frame.where("id >= 300")).state
+    with pytest.raises(LookupError):
+        merged_statistics(lake, namespace, "t")
+    assert record_statistics(lake, namespace, "t") == 1
+    for state, rows in ((first, frame.where("id < 300")), (second, frame)):
+        found = {row["column_name"]: row for row in merged_statistics(lake, namespace, "t", state.metadata_location).collect()}
+        for row in column_statistics(rows, exact_distinct=True).collect():
+            mine = found[row["column_name"]]
+            for fact in ("row_count", "null_count", "min_value", "max_value"):
+                assert mine[fact] == row[fact], (row["column_name"], fact)
+            if row["distinct_count"]:
+                assert abs(mine["distinct_count"] - row["distinct_count"]) <= 0.06 * row["distinct_count"] + 1
+        middle = rows.agg(F.median("x")).first()[0]
+        assert abs(found["x"]["quantiles"][1] - middle) <= 2
+        assert found["s"]["quantiles"] is None and found["a"]["min_value"] is None
+
+
+@pytest.mark.parametrize("counters", [5, 40, 10_000])
+def test_frequent_values_are_counted_exactly(spark, counters):
+    draw = random.Random(3)
+    words = [f"w{min(draw.randrange(1, 3000), draw.randrange(1, 3000), draw.randrange(1, 60))}" for _ in range(6000)]
+    rows = [(word, at, None if at % 4 else "same") for at, word in enumerate(words)] + [(None, None, None)] * 30
+    frame = spark.createDataFrame(rows, "word string, number int, `odd.name` string").repartition(5)
+    found = frequent_values(frame, ["word", "number", "odd.name"], 5, counters)
+    got = {}
+    for row in found.collect():
+        got.setdefault(row["column_name"], []).append((row["rank"], row["value"], row["repeats"]))
+    for column, values in (("word", words), ("number", [str(at) for at in range(6000)]), ("odd.name", ["same"] * 1500)):
+        best = sorted(Counter(values).items(), key=lambda item: (-item[1], item[0]))[:5]
+        assert sorted(got[column]) == [(n, value, times) for n, (value, times) in enumerate(best, 1)]
+    assert frequent_values(frame.where("false"), ["word"], 3).count() == 0

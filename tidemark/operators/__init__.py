@@ -13,7 +13,12 @@ from tidemark.operators.searches import (
     search_vector,
     search_vector_batch,
 )
-from tidemark.operators.statistics import column_statistics
+from tidemark.operators.statistics import (
+    column_statistics,
+    frequent_values,
+    merged_statistics,
+    record_statistics,
+)
 from tidemark.operators.vector_search import vector_topk, vector_topk_batch
 
 __all__ = [
@@ -23,9 +28,12 @@ __all__ = [
     "column_statistics",
     "drop_index",
     "filter_rows",
+    "frequent_values",
     "list_indexes",
     "match_index",
+    "merged_statistics",
     "probed_lists",
+    "record_statistics",
     "search_scalar",
     "search_vector",
     "search_vector_batch",

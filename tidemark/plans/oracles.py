@@ -143,15 +143,27 @@ def _batch_sql(measure: str, order: str, asked: str = "TRUE") -> str:
     """
 
 
-def _statistics_sql() -> str:
+def _frequent_sql(table: str, columns: list[str], k: int) -> str:
+    parts = [
+        f"""
+        SELECT '{name}' AS column_name, CAST({name} AS VARCHAR) AS value, count(*) AS repeats,
+               row_number() OVER (ORDER BY count(*) DESC, CAST({name} AS VARCHAR)) AS rank
+        FROM {table} WHERE {name} IS NOT NULL GROUP BY {name}
+        """
+        for name in columns
+    ]
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) AS ranked WHERE rank <= {k}"
+
+
+def _statistics_sql(table: str = "lineitem") -> str:
     rows = []
-    for name in FIELDS["lineitem"]:
+    for name in FIELDS[table]:
         rows.append(
             f"SELECT '{name}' AS column_name, count(*) AS row_count, "
             f"count(*) - count({name}) AS null_count, "
             f"CAST(min({name}) AS VARCHAR) AS min_value, "
             f"CAST(max({name}) AS VARCHAR) AS max_value, "
-            f"count(DISTINCT {name}) AS distinct_count FROM lineitem"
+            f"count(DISTINCT {name}) AS distinct_count FROM {table}"
         )
     return " UNION ALL ".join(rows)
 
@@ -288,6 +300,14 @@ ORACLES: dict[str, str] = {
                TRUE AS distinct_within_error
         FROM ({_statistics_sql()}) AS facts
     """,
+    "column_statistics_merged": f"""
+        SELECT column_name, row_count, null_count, min_value, max_value,
+               TRUE AS distinct_within_error
+        FROM ({_statistics_sql("orders")}) AS facts
+    """,
+    "frequent_values": _frequent_sql(
+        "lineitem", ["l_returnflag", "l_suppkey", "l_shipdate", "l_quantity", "l_orderkey"], 5
+    ),
     "vector_topk_ivf": _topk_sql("list_distance", "ASC"),
     "vector_topk_ivf_cosine": _topk_sql("list_cosine_distance", "ASC"),
     "vector_topk_ivf_ip": _topk_sql("list_inner_product", "DESC"),

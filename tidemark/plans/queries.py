@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import (
     column_statistics,
+    frequent_values,
     list_indexes,
     match_index,
+    merged_statistics,
     probed_lists,
+    record_statistics,
     search_scalar,
     search_vector,
     search_vector_batch,
@@ -30,6 +33,8 @@ K = 10
 LEAST_RECALL, RECALL_EVERY = 0.9, 20
 # Three standard errors of the sketch that counts distinct values, at its usual 5 %.
 SKETCH_ERROR = 0.15
+# As much of the one that merges over snapshots, rounded up.
+MERGED_ERROR = 0.06
 
 # Lines shipped in the first half of 1997 from early parts, or returned in bulk then.
 SHIPPED_EARLY_1997 = {
@@ -550,6 +555,33 @@ def line_statistics_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def merged_order_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the second state of ``orders_in_two`` from those of its snapshots."""
+    space = workspace(spark, sf_dir)
+    _, second = space.orders_in_two()
+    address = (space.lake, space.namespace, "orders_in_two", second.metadata_location)
+    space.once("orders_statistics", lambda: record_statistics(*address))
+    exact = column_statistics(space.lake.scan_state(second), exact_distinct=True).select(
+        F.col("column_name").alias("name"), F.col("distinct_count").alias("exact")
+    )
+    both = merged_statistics(*address).join(exact, F.col("column_name") == F.col("name"))
+    off = F.abs(F.col("distinct_count") - F.col("exact"))
+    return both.select(
+        "column_name",
+        "row_count",
+        "null_count",
+        "min_value",
+        "max_value",
+        (off <= MERGED_ERROR * F.col("exact")).alias("distinct_within_error"),
+    )
+
+
+def frequent_line_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    space = workspace(spark, sf_dir)
+    rows = space.lake.scan_state(space.table("lineitem"))
+    return frequent_values(rows, ["l_returnflag", "l_suppkey", "l_shipdate", "l_quantity", "l_orderkey"], 5)
+
+
 def vector_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = workspace(spark, sf_dir)
     rows = space.lake.scan_state(space.table("embeddings"))
@@ -607,5 +639,7 @@ QUERIES: dict[str, Query] = {
     "index_list": index_list,
     "column_statistics": line_statistics,
     "column_statistics_approximate": line_statistics_approximate,
+    "column_statistics_merged": merged_order_statistics,
+    "frequent_values": frequent_line_values,
     "column_statistics_vectors": vector_statistics,
 }
