@@ -26,10 +26,10 @@ def fresh(rows: DataFrame, name: str) -> str:
     return name
 
 
-def materialise(rows: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+def materialise(rows: DataFrame, label: str) -> DataFrame:
     """``rows`` written as a table in the shared folder and read back: lineage ends here."""
     folder = run_folder(rows.sparkSession, label)
-    rows.write.option("compression", compression).parquet(folder)
+    rows.write.option("compression", "zstd").parquet(folder)
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 

@@ -348,11 +348,6 @@ def _runs(starts: np.ndarray) -> list[int]:
 # -- the jobs ----------------------------------------------------------------------
 
 
-def kept(rows: DataFrame, label: str) -> DataFrame:
-    """A working table in little room: most of what this operator takes of the disk."""
-    return materialise(rows, label, "zstd")
-
-
 def remove_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
     """``docs`` with ``kept`` (binary), ``spans`` (first and end of each run), n_bytes, n_removed."""
     if min_bytes < SPAN + GRAM:
@@ -360,7 +355,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
     made = ["kept", "spans", "n_bytes", "n_removed"]
     rows_ = docs.drop(*made)
     row, found_, cut_ = (fresh(rows_, name) for name in ("_row", "_found", "_cut"))
-    texts = kept(rows_.withColumn(row, F.monotonically_increasing_id()), "texts")
+    texts = materialise(rows_.withColumn(row, F.monotonically_increasing_id()), "texts")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -370,21 +365,21 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
 
         yield from batches_of(rows(), BLOCK_SCHEMA, size=50_000)
 
-    blocks = kept(texts.select(row, "text").mapInArrow(split, BLOCKS), "blocks")
+    blocks = materialise(texts.select(row, "text").mapInArrow(split, BLOCKS), "blocks")
     # Written first, so that the join has two plain sides and Spark can split a core's rows.
     cores = blocks.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    shared = kept(cores, "shared-cores")
-    shared = kept(blocks.join(shared, "core"), "shared-blocks")
+    shared = materialise(cores, "shared-cores")
+    shared = materialise(blocks.join(shared, "core"), "shared-blocks")
     named = shared.groupBy("core", "name").agg(
         F.count("*").alias("n"),
         F.min(F.struct("row", "first")).alias("at"),
         F.first("n_starts").alias("n_starts"),
     )
-    named = kept(named, "named-blocks")
+    named = materialise(named, "named-blocks")
     n_bytes = F.sum(F.col("n_starts") + min_bytes)
     several = named.groupBy("core").agg(F.count("*").alias("names"), n_bytes.alias("size"))
     several = several.where("names > 1").select("core", (F.col("size") > SHARD_BYTES).alias("is_large"))
-    to_deal = kept(
+    to_deal = materialise(
         named.join(several, "core").select("core", "name", "n_starts", "at.row", "at.first", "is_large"),
         "to-deal",
     )
@@ -439,10 +434,10 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
 
     cut_out = texts_with(to_sort).mapInArrow(cut, CUT)
     sharded = cut_out.repartition(tasks_for(size, 2 * SHARD_BYTES), "core").sortWithinPartitions("core", "name")
-    sorted_marks = kept(sharded.mapInArrow(mark, MARKS), "marks")
-    starts = kept(texts_with(to_count).mapInArrow(hashed, STARTS), "starts")
+    sorted_marks = materialise(sharded.mapInArrow(mark, MARKS), "marks")
+    starts = materialise(texts_with(to_count).mapInArrow(hashed, STARTS), "starts")
     again = starts.groupBy("core", "hash").agg(F.count("*").alias("n")).where("n > 1")
-    again = starts.join(kept(again.select("core", "hash"), "repeated-starts"), ["core", "hash"])
+    again = starts.join(materialise(again.select("core", "hash"), "repeated-starts"), ["core", "hash"])
     counted = again.groupBy("core", "name").agg(F.array_sort(F.collect_list("start")).alias("starts"))
     sorted_marks = sorted_marks.unionByName(counted.mapInArrow(runs, MARKS))
     # A name that occurs twice is repeated whole, whatever its shard found.
