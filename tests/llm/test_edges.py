@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemark.llm import decontaminate, line_dedup, packing, quality, suffix, wavelet
+from tidemark.llm import decontaminate, line_dedup, packing, quality, sharding, suffix, wavelet
 
 SPACE = " \t\n\x0b\x0c\r"
 CLASHES = "_words _lines _cut _repeated _doc_id _found _row _leaks row found block salt shard core name filter".split()
@@ -45,6 +45,28 @@ def test_extra_columns_come_back_as_they_were(spark, monkeypatch, block_bytes):
             assert row[: len(docs.columns)] == given[row["doc_id"]][:]
 
 
+def test_shards_of_many_tasks_are_merged_as_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "FAN", 3)
+    monkeypatch.setattr(sharding, "TASK_GROUPS", 40)
+    draw = random.Random(2)
+    texts = ["x" * draw.randrange(1, 400) + str(at) for at in range(900)] + ["giant" * 4000, None, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sharding.shard_documents(docs).collect()
+    assert len(rows) == len(texts)
+    sums = Counter()
+    for row in rows:
+        assert row["size"] == len(texts[row["doc_id"]] or "") + 1
+        sums[row["shard"]] += row["size"]
+    assert max(sums.values()) - sorted(sums.values())[0] <= 20_000
+    plain = sorted(sums.values())[:-1]
+    assert len(sums) == 16 and max(plain) - min(plain) <= 400
+    of_text = {}
+    for row in rows:
+        assert of_text.setdefault(texts[row["doc_id"]] or "", row["shard"]) == row["shard"]
+    for shard in range(16):
+        assert sorted(row["slot"] for row in rows if row["shard"] == shard) == list(range(sum(row["shard"] == shard for row in rows)))
+
+
 def long_text(seed, size=3_200_000):
     draw = random.Random(seed)
     words = ["".join(draw.choices("abcdefghijklmnoprstu", k=draw.randrange(2, 9))) for _ in range(40_000)]

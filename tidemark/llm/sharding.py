@@ -4,10 +4,10 @@ Documents of equal text stay together. Their groups are the numbers to be parted
 partial partitions of largest spread are combined again and again, the largest shard of one
 with the smallest of the other, until one is left.
 
-That is done in two steps of the same kind. Groups that hold over ``GIANT_SHARE`` of all
+That is done in steps of the same kind. Groups that hold over ``GIANT_SHARE`` of all
 bytes are few by that bound. The others are dealt by hash to tasks; each differences its own
-groups into one partial partition and hands up its shards' sums. A last task differences
-giants and sums: at most a fixed number of giants, and one number per task and shard.
+groups into one partial partition and hands up its shards' sums. These are differenced again as a
+tree, ``FAN`` partitions at a time, at its root together with the giants.
 Documents then look their shard up by hash. Slots are numbered within buckets of a shard and
 set off by the counts of the buckets before, so no shard is sorted by one task.
 
@@ -36,6 +36,8 @@ from tidemark.llm.common import materialise, tasks_for, text_of
 GIANT_SHARE = 1 / 65536
 # Groups that one task differences.
 TASK_GROUPS = 200_000
+# Partial partitions that one task of the tree differences.
+FAN = 64
 # Buckets within a shard in which slots are counted, for each so many documents.
 BUCKET_ROWS = 500_000
 
@@ -108,36 +110,54 @@ def place_groups(groups: DataFrame, shards: int, n_groups: int, n_bytes: int) ->
     )
     parted = materialise(small.unionByName(large), "partial-partitions")
 
-    sums = (
-        parted.where("part >= 0")
-        .groupBy("part", "bin")
-        .agg(F.sum("group_size").alias("group_size"))
-        .select(F.lit(None).cast("long").alias("group_hash"), F.lit(None).cast("long").alias("group_crc"), "group_size", "part", "bin")
-    )
-    few = sums.unionByName(parted.where("part < 0"))
-
-    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [batch for batch in batches if batch.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held).sort_by(
-            [(name, "ascending") for name in ("part", "bin", "group_hash", "group_crc", "group_size")]
+    small = parted.where("part >= 0")
+    giants = parted.where("part < 0")
+    sums = small.groupBy("part", "bin").agg(F.sum("group_size").alias("group_size"))
+    # Where the shards of each task's own partition have gone so far.
+    way = small.select("part", "bin", F.col("part").alias("at_part"), F.col("bin").alias("at_bin")).distinct()
+    parts = (parted.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
+        is_last = parts <= FAN
+        none = F.lit(None).cast("long")
+        nodes = sums.select(none.alias("group_hash"), none.alias("group_crc"), "group_size", "part", "bin")
+        nodes = nodes.unionByName(giants) if is_last else nodes
+        above = F.floor(F.greatest("part", F.lit(0)) / FAN).cast("int").alias("parent")
+        merged = nodes.select("*", above).groupBy("parent").applyInArrow(
+            _merge(shards), schema + ", parent int, shard int"
         )
-        shard_of, _ = difference(table.column("group_size").to_pylist(), shards)
-        out = table.append_column("shard", pa.array(shard_of))
-        yield from out.combine_chunks().to_batches(max_chunksize=10_000)
-
-    final = materialise(few.coalesce(1).mapInArrow(last, schema + ", shard int"), "final-partition")
-    bins = final.where("part >= 0").select("part", "bin", "shard")
+        merged = materialise(merged, "merged-partitions")
+        step = merged.where("part >= 0").select(
+            F.col("part").alias("at_part"), F.col("bin").alias("at_bin"), "parent", "shard"
+        )
+        way = way.join(step, ["at_part", "at_bin"]).select(
+            "part", "bin", F.col("parent").alias("at_part"), F.col("shard").alias("at_bin")
+        )
+        if is_last:
+            break
+        sums = merged.groupBy(F.col("parent").alias("part"), F.col("shard").alias("bin")).agg(
+            F.sum("group_size").alias("group_size")
+        )
+        parts = -(-parts // FAN)
     key = ["group_hash", "group_crc", "group_size"]
     return (
-        parted.where("part >= 0")
-        .join(bins, ["part", "bin"])
-        .select(*key, "shard")
-        .unionByName(final.where("part < 0").select(*key, "shard"))
+        small.join(way, ["part", "bin"])
+        .select(*key, F.col("at_bin").alias("shard"))
+        .unionByName(merged.where("part < 0").select(*key, "shard"))
     )
 
 
+def _merge(shards: int):
+    """Partial partitions of a node of the tree, and giants at its root, as one partition."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        order = ("part", "bin", "group_hash", "group_crc", "group_size")
+        table = table.sort_by([(name, "ascending") for name in order])
+        shard_of, _ = difference(table.column("group_size").to_pylist(), shards)
+        return table.append_column("shard", pa.array(shard_of))
+
+    return merge
+
+
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """Every document's size, the CRC-32 of its text, its shard and its slot there."""
     text = text_of()
