@@ -44,6 +44,14 @@ class Cells:
     radii: np.ndarray
     length: int
 
+    def plain(self) -> tuple:
+        """What a broadcast can carry to workers that have no copy of this package."""
+        return self.space.metric, self.space.longest, self.centres, self.counts, self.radii, self.length
+
+    @classmethod
+    def of(cls, plain: tuple) -> "Cells":
+        return cls(Space(*plain[:2]), *plain[2:])
+
     def salts(self, group_bytes: int) -> np.ndarray:
         """Into how many groups each cell is cut."""
         rows = max(1, group_bytes // (8 * max(1, self.length)))
@@ -87,7 +95,7 @@ def join_on_cells(
 ) -> DataFrame:
     """(query_id, id, distance): of every query at least its k nearest, from (id, vector, cell) and
     (query_id, query_vector). At most k come from each group that a query visits."""
-    sent = placed.sparkSession.sparkContext.broadcast(cells)
+    sent = placed.sparkSession.sparkContext.broadcast(cells.plain())
     salts = cells.salts(group_bytes or GROUP_BYTES)
     row = F.xxhash64("id", F.monotonically_increasing_id())
     n_salts = F.get(F.array(*[F.lit(int(n)) for n in salts]), F.col("cell"))
@@ -122,7 +130,7 @@ def _homes(sent):
     """Each query with its nearest cell that is not empty."""
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = sent.value
+        cells = Cells.of(sent.value)
         full = np.flatnonzero(cells.counts > 0)
         for batch in batches:
             for start in range(0, batch.num_rows, QUERIES_AT_A_TIME):
@@ -138,7 +146,7 @@ def _visits(sent, salts: np.ndarray):
     """Each query with all groups of all cells that may hold one of its k nearest."""
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = sent.value
+        cells = Cells.of(sent.value)
         firsts = np.cumsum(salts) - salts
         for batch in batches:
             for start in range(0, batch.num_rows, QUERIES_AT_A_TIME):
@@ -170,7 +178,7 @@ def _search(sent, k: int, metric: str, schema: T.StructType, bound: bool):
     query_type = to_arrow_type(schema["query_id"].dataType)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = sent.value
+        cells = Cells.of(sent.value)
         group, held = None, []
         for run in _runs(batches):
             key = run.column("cell")[0].as_py(), run.column("salt")[0].as_py()
