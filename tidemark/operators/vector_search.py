@@ -8,6 +8,7 @@ vectors on cells around some of these.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -84,17 +85,20 @@ def vector_topk_batch(
         _name(query_id_column).alias("query_id"),
         _name(query_vector_column).cast("array<double>").alias("query_vector"),
     ).where("query_vector IS NOT NULL")
-    length = _check_queries(wanted)
     scan = vectors.where(_name(vector_column).isNotNull()).select(
         _name(id_column).alias("id"), _name(vector_column).alias("vector")
     )
     names = (query_id_column, id_column)
-    facts = _facts(scan, metric) if length else None
-    if not facts or not facts["rows"]:
+    # Three small jobs that do not wait for each other.
+    with ThreadPoolExecutor(3) as pool:
+        checked = pool.submit(_check_queries, wanted)
+        measured, chosen = pool.submit(_facts, scan, metric), pool.submit(_chosen, scan, cells)
+        length, facts, chosen = checked.result(), measured.result(), chosen.result()
+    if not length or not facts["rows"]:
         return _ranked(_no_matches(scan, wanted), k, metric, names)
     space = Space(metric, facts["longest"] or 0.0)
     # A cell of fewer vectors than are asked for bounds nothing.
-    centres = _centres(scan, space, length, max(1, min(cells, facts["rows"] // (8 * k))))
+    centres = _centres(chosen[: max(1, facts["rows"] // (8 * k))], space, length)
     sent = scan.sparkSession.sparkContext.broadcast(centres)
     placed = _placed(scan, sent, space, length)
     counts, radii = np.zeros(len(centres), np.int64), np.zeros(len(centres))
@@ -170,10 +174,15 @@ def _facts(scan: DataFrame, metric: str):
     ).first()
 
 
-def _centres(scan: DataFrame, space: Space, length: int, cells: int) -> np.ndarray:
-    """Some of the vectors, chosen by hash, as points of the space; never none."""
-    chosen = scan.select("vector").orderBy(F.xxhash64("vector")).limit(cells).collect()
-    rows = [row["vector"] for row in chosen if len(row["vector"]) == length and None not in row["vector"]]
+def _chosen(scan: DataFrame, cells: int) -> list:
+    """So many of the vectors, by hash."""
+    rows = scan.select("vector", F.xxhash64("vector").alias("hash")).orderBy("hash").limit(cells)
+    return [row["vector"] for row in rows.collect()]
+
+
+def _centres(chosen: list, space: Space, length: int) -> np.ndarray:
+    """Vectors that have a place in the space as its points, each once; never none."""
+    rows = [vector for vector in chosen if len(vector) == length and None not in vector]
     points = space.points(np.array(rows, float).reshape(len(rows), length))
     points = np.unique(points[np.isfinite(points).all(axis=1)], axis=0)
     return points if len(points) else np.zeros((1, points.shape[1]))
