@@ -273,7 +273,8 @@ class LineIndex:
         )
         # As many salts as the fullest shard has copies; a shard with fewer folds them.
         keys = line_keys(docs, self.min_chars).withColumn("shard", _shard(self.shards))
-        keys = keys.join(salts, "shard").select(
+        # A row a shard; joined by shuffle, few shards would bring all keys to few tasks.
+        keys = keys.join(F.broadcast(salts) if self.shards <= 10_000 else salts, "shard").select(
             "shard",
             F.pmod(F.xxhash64("doc_id", "hi"), F.col("salts")).cast("int").alias("salt"),
             F.lit(None).cast("binary").alias("filter"), "doc_id", "hi", "lo",
