@@ -152,6 +152,32 @@ def test_no_documents_none_with_spans_and_clashing_columns(spark, tmp_path):
     assert sorted(row.spans for row in found) == ["", "", ""]
 
 
+def test_trees_and_thresholds_come_from_all_documents(spark, monkeypatch):
+    rows = corpus(6, 600)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {}
+
+    def materialise(table, label, write=pii.materialise):
+        kept[label] = write(table, label)
+        return kept[label]
+
+    monkeypatch.setattr(pii, "materialise", materialise)
+    trees = pii.train(docs)
+    assert trees.trees and min(trees.thresholds) < float("inf")
+    schema = "kind int, label double, held boolean, features array<double>"
+    every = docs.mapInArrow(pii._examples, schema)
+    n = {row.held: row["count"] for row in every.groupBy("held").count().collect()}
+    # Each example counts, those that are equal in one row with their number.
+    weights = {row.held: row["w"] for row in kept["examples"].groupBy("held").agg({"weight": "sum"}).toDF("held", "w").collect()}
+    assert weights == n
+    assert kept["held"].agg({"weight": "sum"}).first()[0] == n[True]
+    assert kept["examples"].count() == every.distinct().count() < sum(n.values())
+    # Sixteen times the documents: the same distinct rows, sixteen times the weight.
+    pii.train(docs.crossJoin(spark.range(16).select()))
+    assert kept["examples"].agg({"weight": "sum"}).first()[0] == 16 * sum(n.values())
+    assert kept["examples"].count() == every.distinct().count()
+
+
 def test_redacted_text_shows_kinds_only():
     text = "a a@b.c 1.2.3.4 z"
     assert pii.redact(text, pii.base_spans(text)) == "a [email] [ip] z"

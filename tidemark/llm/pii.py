@@ -7,18 +7,21 @@ trees score each by its format (digits, groups, separators, check digit) and con
 cue words before it). Those at or above their kind's threshold are taken, the best first, where
 they overlap nothing taken before; base spans always stay.
 
-Training: there are no labelled spans, so labels are made from the base rules on a sample of about
-``SAMPLE_DOCUMENTS`` documents, chosen by hash over the whole table. Base spans are examples, other
-candidates are counterexamples, and in place of each base span other ways to write it (examples)
-and look-alikes such as dates, versions and numbers that fail their check digit (counterexamples)
-are scored in its context. A quarter of the sample, by hash, is held out: an isotonic regression
-over its scores gives the threshold, the least score whose calibrated share of examples reaches
-``PRECISION``. A kind with fewer than ``LEAST_HELD`` held-out examples there, or a table without
-base spans, gets base spans only.
-
-Scale: the trees are trained by MLlib on the sample and are then a few arrays of bounded size; all
-documents go through one pass without a shuffle, in which every rule takes time in proportion to
-the text. Null texts are empty; every row of the input gives a row, so null and repeated ids stay
+Training: there are no labelled spans, so labels are made from the base rules on all documents.
+Base spans are examples, other candidates are counterexamples, and in place of each base span other
+ways to write it (examples) and look-alikes such as dates, versions and numbers that fail their
+check digit (counterexamples) are scored in its context. A quarter of the documents, by hash, is
+held out: an isotonic regression over all its scores gives the threshold, the least score whose
+calibrated share of examples reaches ``PRECISION``. A kind with fewer than ``LEAST_HELD`` held-out
+examples there, or a table without base spans, gets base spans only.
+
+Scale: equal rows of features are counted, by one shuffle, and MLlib trains the trees on the
+distinct ones with their counts as weights. ``BINS`` is so large that it takes the cuts it tries
+from all of up to a million distinct rows; of more it draws a million for the cuts, while trees and
+leaves still see all rows. Thresholds go by scores to ``DIGITS_OF_SCORES`` digits, so what the
+regression brings to the driver does not grow with the table. The trees are then a few arrays of
+bounded size; all documents go through one more pass without a shuffle, in which every rule takes
+time in proportion to the text. Null texts are empty; every row of the input gives a row, so null and repeated ids stay
 as they are. Columns other than ``doc_id`` and ``text`` are ignored. Offsets are code points.
 """
 
@@ -39,8 +42,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import batches_of, materialise, rows_of
 
-SAMPLE_DOCUMENTS, HELD_OUT, PRECISION, LEAST_HELD = 20_000, 4, 0.95, 20
-TREES, DEPTH = 20, 4
+HELD_OUT, PRECISION, LEAST_HELD = 4, 0.95, 20
+TREES, DEPTH, BINS = 20, 4, 1024
+ROWS_PER_TASK, DIGITS_OF_SCORES = 20_000, 4
 CONTEXT = 40
 
 # The kinds in their order, the base patterns, and the words that tell of a kind or
@@ -243,11 +247,16 @@ class Trees:
         scores = self.scores([features(text, one) for one in open_])
         # Leaves are added up in one order, so that equal candidates have equal scores.
         ranked = sorted(zip(np.round(-scores, 9).tolist(), open_))
-        wanted = [span for score, span in ranked if -score >= self.thresholds[span.kind]]
+        wanted = [span for score, span in ranked if judged(-score) >= self.thresholds[span.kind]]
         taken = _Taken()
         return sorted(span for span in wanted if taken.add(span))
 
 
+def judged(scores):
+    """Scores as thresholds know them."""
+    return np.round(scores, DIGITS_OF_SCORES)
+
+
 def _apart(spans: list[Span], base: list[Span]) -> list[Span]:
     """The spans that overlap none of the base spans."""
     taken = _Taken()
@@ -277,10 +286,10 @@ class _Taken:
         return free
 
 
-def find_spans(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
+def find_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, base, added) for each document: arrays of (kind, start, end), kinds by number."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    trees = train(narrow, sample_documents)
+    trees = train(narrow)
     spans = pa.list_(pa.list_(pa.int64()))
     schema = pa.schema([("doc_id", pa.int64()), ("base", spans), ("added", spans)])
 
@@ -317,31 +326,37 @@ def redact(text: str, spans: list[Span]) -> str:
 # -- training --------------------------------------------------------------------------
 
 
-def train(docs: DataFrame, sample_documents: int) -> Trees:
-    """Trees and thresholds from the base rules on a sample of about so many documents."""
+def train(docs: DataFrame) -> Trees:
+    """Trees and thresholds from the base rules on all documents."""
     nothing = Trees([], [np.inf] * len(KINDS))
-    n_docs = docs.count()
-    if not n_docs:
-        return nothing
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
-    sample = docs.where(place < int(min(1.0, sample_documents / n_docs) * (1 << 20)))
     fields = "kind int, label double, held boolean, features array<double>"
-    rows = materialise(sample.mapInArrow(_examples, fields), "examples")
+    rows = docs.mapInArrow(_examples, fields).groupBy("kind", "label", "held", "features")
+    rows = materialise(rows.agg(F.count("*").cast("double").alias("weight")), "examples")
     fit_on = rows.where("NOT held")
-    counts = fit_on.agg(F.sum("label"), F.count("*")).first()
-    if not counts[0] or counts[0] == counts[1]:
+    counts = fit_on.agg(F.max("label"), F.min("label"), F.count("*")).first()
+    if not counts[0] or counts[1]:
         return nothing
-    tasks = max(1, counts[1] // 20_000)
-    vectors = fit_on.select("label", array_to_vector("features").alias("features")).coalesce(tasks)
-    booster = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=1, checkpointInterval=-1)
+    tasks = max(1, counts[2] // ROWS_PER_TASK)
+    vectors = fit_on.select("label", "weight", array_to_vector("features").alias("features")).coalesce(tasks)
+    booster = GBTClassifier(
+        maxIter=TREES,
+        maxDepth=DEPTH,
+        maxBins=BINS,
+        stepSize=0.2,
+        seed=1,
+        checkpointInterval=-1,
+        weightCol="weight",
+    )
     model = booster.fit(vectors)
     trees = Trees(
         [_nodes(tree, weight) for tree, weight in zip(model.trees, model.treeWeights)],
         [np.inf] * len(KINDS),
     )
-    held = rows.where("held").mapInArrow(_scored(trees), "kind int, label double, score double")
-    held = materialise(held, "held")
-    examples = {row.kind: row.n for row in held.where("label = 1").groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    fields = "kind int, label double, score double, weight double"
+    held = rows.where("held").mapInArrow(_scored(trees), fields).groupBy("kind", "label", "score")
+    held = materialise(held.agg(F.sum("weight").alias("weight")), "held")
+    examples = held.where("label = 1").groupBy("kind").agg(F.sum("weight").alias("n"))
+    examples = {row.kind: row.n for row in examples.collect()}
     for kind in range(len(KINDS)):
         if examples.get(kind, 0) >= LEAST_HELD:
             trees.thresholds[kind] = _threshold(held.where(F.col("kind") == kind))
@@ -371,21 +386,22 @@ def _scored(trees: Trees):
     def score(batches):
         for batch in batches:
             values = trees.scores(batch.column("features").to_pylist())
-            columns = [batch.column("kind"), batch.column("label"), pa.array(np.round(values, 9))]
-            yield pa.RecordBatch.from_arrays(columns, names=["kind", "label", "score"])
+            columns = [batch.column("kind"), batch.column("label"), pa.array(judged(np.round(values, 9)))]
+            columns.append(batch.column("weight"))
+            yield pa.RecordBatch.from_arrays(columns, names=["kind", "label", "score", "weight"])
 
     return score
 
 
 def _threshold(held: DataFrame) -> float:
     """The least score from which on the calibrated share of examples is ``PRECISION``."""
-    model = IsotonicRegression(featuresCol="score", labelCol="label").fit(held)
+    model = IsotonicRegression(featuresCol="score", labelCol="label", weightCol="weight").fit(held)
     pairs = zip(model.boundaries.toArray(), model.predictions.toArray())
     return float(min((score for score, share in pairs if share >= PRECISION), default=np.inf))
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labelled candidates of the sampled documents, and of what is put in place of base spans."""
+    """Labelled candidates of documents, and of what is put in place of base spans."""
     schema = pa.schema(
         [("kind", pa.int32()), ("label", pa.float64()), ("held", pa.bool_()), ("features", pa.list_(pa.float64()))]
     )
