@@ -36,6 +36,13 @@ def test_a_second_run_of_a_query_gives_the_same_rows(spark, sf_dir):
     assert sorted(runs[0]) == sorted(runs[1])
 
 
+def test_the_matched_index_does_not_depend_on_the_queries_before(spark, sf_dir, connection, tmp_path):
+    data = tmp_path / "data"
+    data.symlink_to(sf_dir)
+    for name in ("index_match", "scalar_search_none", "index_match"):
+        assert difference(QUERIES[name](spark, str(data)), connection, ORACLES[name]) is None
+
+
 def test_entry_returns_the_ten_nearest(spark):
     rows = entry_module.entry(spark).collect()
     assert [row["rank"] for row in rows] == list(range(1, 11))
