@@ -404,3 +404,18 @@ def test_a_search_that_probes_a_small_list_still_finds_k_rows(spark, lake, names
         lake, namespace, "t", state.metadata_location, "lists", [100.0, 100.0], 10, "l2", '{"nprobe": 1}'
     ).collect()
     assert [row["rank"] for row in found] == list(range(1, 11)) and found[0]["id"] == 0
+
+
+def test_training_leaves_the_distances_between_centroids_off_the_driver(spark, lake, namespace):
+    frame = spark.range(600).selectExpr(
+        "id", "transform(sequence(1, 64), i -> CAST(pmod(xxhash64(id, i), 1000) AS FLOAT)) AS v"
+    )
+    loaded(lake, namespace, "t", frame)
+    context, group = spark.sparkContext, f"build {namespace}"
+    context.setJobGroup(group, "lists")
+    build_ivf_index(lake, namespace, "t", "lists", "id", "v", 200, max_iterations=3).publish()
+    tracker = context.statusTracker()
+    stages = [at for job in tracker.getJobIdsForGroup(group) for at in tracker.getJobInfo(job).stageIds]
+    names = [found.name for found in map(tracker.getStageInfo, stages) if found]
+    assert any("KMeans" in name for name in names)
+    assert not any("DistanceMeasure" in name for name in names)

@@ -36,6 +36,8 @@ IVF = "ivf"
 
 # Centroids go to every task, so this is checked before they do.
 MAX_CENTROID_BYTES = 256 * 1024 * 1024
+# What a task of the training may hold of distances between a block of vectors and all centroids.
+BLOCK_PRODUCTS_MB = 64
 # Small tables still get this many files, so that an index can leave some of them out.
 MIN_FILES = 8
 SCALAR_ROWS_PER_FILE = 1_000_000
@@ -207,6 +209,10 @@ def build_ivf_index(
             maxIter=max_iterations,
             distanceMeasure="cosine" if metric == "cosine" else "euclidean",
             initMode=init_mode,
+            # By blocks, since the other solver has a task for every centroid in each round, which
+            # tells the driver how far all others are.
+            solver="block",
+            maxBlockSizeInMB=min(1.0, BLOCK_PRODUCTS_MB * length / nlist),
         )
         model = kmeans.fit(sample)
         centers = np.array(model.clusterCenters())
