@@ -241,3 +241,39 @@ def test_the_plan_merges_k_rows_per_task_and_shuffles_no_vectors(spark, sf_dir):
     text = many._jdf.queryExecution().explainString(mode)
     assert text.count("WindowGroupLimit (") >= 2 and "Join" not in text
     assert text.count("MapInArrow (") >= 4 and "BroadcastExchange" not in text
+
+
+def test_queries_go_out_by_groups_of_cells_not_by_cells(spark):
+    import pyarrow as pa
+
+    from tidemark.functions.spaces import Space
+    from tidemark.operators import cells as cells_module
+
+    draw = np.random.default_rng(3)
+    centres = draw.normal(size=(256, 8))
+    counts = np.full(256, 40)
+    counts[[5, 6, 7]] = 0, 1, 500_000
+    known = cells_module.Cells(Space("l2"), centres, counts, np.full(256, 1e9), 8)
+    salts, groups = known.salts(1 << 20), known.groups(1 << 20)
+    assert salts[7] > 1 and [cell for cell in np.flatnonzero(groups == groups[7]) if counts[cell]] == [7]
+    counts[7] = 40
+    salts, groups = known.salts(1 << 20), known.groups(1 << 20)
+    held = np.bincount(groups, counts)
+    assert (salts == 1).all() and held.max() <= max(40, -(-counts.sum() // cells_module.GROUPS))
+    assert len(held) <= 2 * cells_module.GROUPS
+    asked = pa.record_batch(
+        [
+            pa.array([1, 2]),
+            pa.array(draw.normal(size=(2, 8)).tolist()),
+            pa.array([1e12, float("inf")]),
+            pa.array([1e12, float("nan")]),
+            pa.array([3, 4], pa.int32()),
+        ],
+        names=["query_id", "query_vector", "reach", "kth", "cell"],
+    )
+    sent = spark.sparkContext.broadcast(known.plain())
+    rows = pa.Table.from_batches(cells_module._visits(sent, salts, groups)(iter([asked]))).to_pydict()
+    # Every group that holds a vector, once for each query, and not every cell.
+    full = set(groups[counts > 0].tolist())
+    visits = list(zip(rows["query_id"], rows["group"], rows["salt"]))
+    assert sorted(visits) == sorted((query, group, 0) for query in (1, 2) for group in full)
