@@ -419,3 +419,25 @@ def test_training_leaves_the_distances_between_centroids_off_the_driver(spark, l
     names = [found.name for found in map(tracker.getStageInfo, stages) if found]
     assert any("KMeans" in name for name in names)
     assert not any("DistanceMeasure" in name for name in names)
+
+
+def test_building_zones_shuffles_and_writes_little_beside_the_rows(spark, lake, namespace):
+    frame = spark.range(0, 200_000, 1, 4).selectExpr("id % 50 AS a", "CAST(id % 1000 AS INT) AS b")
+    state = loaded(lake, namespace, "t", frame)
+    context, group = spark.sparkContext, f"zones {namespace}"
+    context.setJobGroup(group, "zones")
+    index = build_scalar_index(lake, namespace, "t", "by_a", ["a"], rows_per_file=20_000).publish()
+    tracker = context.statusTracker()
+    store = context._jsc.sc().statusStore()
+    stages = [at for job in tracker.getJobIdsForGroup(group) for at in tracker.getJobInfo(job).stageIds]
+    done = [store.lastStageAttempt(at) for at in stages]
+    shuffled = sum(stage.shuffleWriteBytes() for stage in done if str(stage.status()) == "COMPLETE")
+    # With eight bytes of a hash for each row it would be 17 a row.
+    assert shuffled < 15 * 200_000, shuffled
+    # One value of a few still spans several zones, none of them much too large.
+    assert index["row_count"] == 200_000 and index["largest_partition_rows"] <= 2 * 20_000
+    files = spark.read.parquet(f"{index['index_path']}/rows").inputFiles()
+    assert files and all(".zstd." in name for name in files)
+    node = json.dumps({"type": "eq", "term": "a", "value": 7})
+    found = search_scalar(lake, namespace, "t", state.metadata_location, "by_a", node)
+    assert found.count() == 4_000

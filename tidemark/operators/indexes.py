@@ -28,7 +28,7 @@ from tidemark.functions.distances import METRICS, norm, to_matrix
 from tidemark.functions.predicates import zone_columns
 from tidemark.functions.spaces import Space
 from tidemark.operators.cells import nearest_centres
-from tidemark.operators.zones import bits_for, bitsets, z_key
+from tidemark.operators.zones import RANK_BITS, bits_for, bitsets, z_key
 from tidemark.sources.lakehouse import Lakehouse, TableState, snapshot_number
 
 SCALAR = "scalar"
@@ -43,7 +43,8 @@ MIN_FILES = 8
 SCALAR_ROWS_PER_FILE = 1_000_000
 VECTOR_BYTES_PER_FILE = 256 * 1024 * 1024
 
-WORDS_PER_FILE = 8_000_000
+# Into how many ranges rows of one value can be cut, or of one place in the space-filling order.
+BITS_OF_RANGES = 16
 
 ZONE = "zone_id"
 LIST = "list_id"
@@ -102,19 +103,27 @@ def build_scalar_index(
     tasks = max(MIN_FILES, -(-state.total_rows // rows_per_file))
     keys = [F.col(f"`{name}`") for name in columns]
     zone = F.spark_partition_id()
-    rows = lake.scan_files(state).select(*[f"`{name}`" for name in types], _row_hash().alias("_row"))
+    # A few bits tell equal values apart well enough, and are all of a hash that does not compress.
+    rows = lake.scan_files(state).select(
+        *[f"`{name}`" for name in types], F.pmod(_row_hash(), F.lit(1 << BITS_OF_RANGES)).alias("_row")
+    )
     by = keys
     if order == "z":
-        rows = rows.withColumn("_z", z_key(lake.scan_state(state), columns))
-        by = [F.col("_z")]
+        place = z_key(lake.scan_state(state), columns)
+        if RANK_BITS * len(columns) <= 63 - BITS_OF_RANGES:
+            # Both in one number, which is shuffled in fewer bytes.
+            rows = rows.withColumn("_row", F.shiftleft(place, BITS_OF_RANGES) + F.col("_row"))
+            by = [F.shiftright("_row", BITS_OF_RANGES)]
+        else:
+            rows, by = rows.withColumn("_z", place), [F.col("_z")]
     (
         rows.repartitionByRange(tasks, *by, F.col("_row"))
-        .drop("_row")
         .withColumn(ZONE, zone)
         .sortWithinPartitions(ZONE, *by)
-        .drop("_z")
+        .drop("_row", "_z")
         .write.partitionBy(ZONE)
         .option("maxRecordsPerFile", rows_per_file)
+        .option("compression", "zstd")
         .parquet(f"{path}/rows")
     )
     facts = [F.count(F.lit(1)).alias("row_count")]
@@ -134,11 +143,9 @@ def build_scalar_index(
         params["bits"] = bits_for(event["largest_partition_rows"])
         event["params_json"] = json.dumps(params)
     for at, name in enumerate(lookup_columns):
-        words = bitsets(copy, ZONE, name, params["bits"])
-        files = max(1, -(-event["partition_count"] * params["bits"] // (64 * WORDS_PER_FILE)))
-        words.repartitionByRange(files, "word").sortWithinPartitions("word").write.parquet(
-            f"{path}/bitsets/{at}"
-        )
+        # As they are grouped; in order of the words, so that few row groups hold those looked up.
+        words = bitsets(copy, ZONE, name, params["bits"]).sortWithinPartitions("word")
+        words.write.parquet(f"{path}/bitsets/{at}")
     if event["row_count"] != state.total_rows:
         raise IndexBuildError(f"{event['row_count']} of {state.total_rows} rows were copied")
     return StagedIndex(lake, state, event)

@@ -208,7 +208,8 @@ class Lakehouse:
         while flag.lower() in (name.lower() for name in rows.columns):
             flag += "_"
         folder = run_folder(self.spark, "split")
-        rows.withColumn(flag, checked.failed).write.partitionBy(flag).parquet(folder)
+        split = rows.withColumn(flag, checked.failed).write.partitionBy(flag)
+        split.option("compression", "zstd").parquet(folder)
         fields = [*rows.schema.fields, T.StructField(flag, T.BooleanType())]
         parts = self.spark.read.schema(T.StructType(fields)).parquet(folder)
         good, refused = parts.where(~F.col(flag)), parts.where(F.col(flag))
@@ -224,7 +225,8 @@ class Lakehouse:
             counts.append(F.count_if(checked.checks[label]).alias(f"check_{number}"))
         number = now.snapshot_seq + 1
         accepted = replace(checked, source=rows.observe(seen, *counts)).accepted
-        accepted.write.mode("overwrite").parquet(f"{now.table_path}/{SNAPSHOT}={number}")
+        files = f"{now.table_path}/{SNAPSHOT}={number}"
+        accepted.write.mode("overwrite").option("compression", "zstd").parquet(files)
         metrics = seen.get
         refused = metrics["refused"]
         if refused and on_reject == "fail":
