@@ -228,6 +228,39 @@ def test_suffix_dedup_of_a_passage_in_a_third_of_all_texts(spark, monkeypatch):
     assert sizes and max(max(held) for held in sizes.values()) <= 4000
 
 
+def test_suffix_dedup_names_of_one_core_are_joined_by_several_tasks(spark, monkeypatch):
+    draw = np.random.default_rng(9)
+    noise = lambda n: "".join(chr(97 + x) for x in draw.integers(0, 26, n))
+    footer = noise(390)
+    texts = [noise(600) + footer + noise(600) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    settings = {
+        "autoBroadcastJoinThreshold": "-1",
+        "adaptive.coalescePartitions.enabled": "false",
+        "adaptive.advisoryPartitionSizeInBytes": "1k",
+        "adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+        "adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    tasks, materialise = {}, suffix.materialise
+
+    def noted(frame, label):
+        made = materialise(frame, label)
+        if label == "to-deal":
+            tasks.update(made.groupBy(F.input_file_name()).count().collect())
+        return made
+
+    monkeypatch.setattr(suffix, "materialise", noted)
+    for name, value in settings.items():
+        spark.conf.set(f"spark.sql.{name}", value)
+    try:
+        found = suffix.remove_repeats(rows, 400).collect()
+    finally:
+        for name in settings:
+            spark.conf.unset(f"spark.sql.{name}")
+    assert sum(tasks.values()) >= 400 and max(tasks.values()) <= sum(tasks.values()) / 2
+    assert all(bytes(row["kept"]).decode() == texts[row["doc_id"]] for row in found)
+
+
 @pytest.mark.parametrize("symbols", [2, 4, 30])
 def test_suffixes_are_in_order(symbols):
     draw = np.random.default_rng(symbols)
